@@ -51,12 +51,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end] for each span; equal sequences have equal hashes."""
-    up, down = powers(len(values) + 1)
-    h = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=h[1:])
-    return mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+class Spans:
+    """Hashes of spans of one sequence of 64-bit values; equal sequences have equal hashes."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -88,8 +92,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(_BYTE[data], starts, ends)
+def byte_spans(data: np.ndarray) -> Spans:
+    """Span hashes over bytes, for words, lines and whole texts."""
+    return Spans(_BYTE[data])
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -97,7 +102,14 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     at = np.arange(len(hashes) - n + 1)
-    return span_hash(hashes, at, at + n)
+    return Spans(hashes)(at, at + n)
+
+
+def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of flags over each row's range."""
+    sums = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -9,12 +9,30 @@ from pyspark.sql import functions as F
 
 from docloom.llm.linededup import dedup_lines
 from docloom.llm.mixing import mix_sources
+from docloom.llm.packing import pack
+from docloom.llm.quality import GAMMA, METRICS, REACH, ZERO_BUCKET, judged, measure, thresholds
+from docloom.llm.store import written
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    measured = written(measure(docs).drop("text"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(measured, thresholds(measured)).select(*columns)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -26,6 +44,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
+    "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
@@ -33,7 +53,78 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _quality_sql() -> str:
+    value = f"CASE WHEN {{b}} = {ZERO_BUCKET} THEN 0.0 ELSE 2 * pow({GAMMA}, {{b}}) / ({GAMMA} + 1) END"
+    level = lambda tag, keys: f"""
+        {tag}s AS (
+            SELECT {keys} metric, sum(n) AS n, bucket FROM sketch GROUP BY ALL),
+        {tag}c AS (
+            SELECT *, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS upto,
+                   sum(n) OVER (PARTITION BY {keys} metric) AS docs FROM {tag}s),
+        {tag}q AS (
+            SELECT {keys} metric, max(docs) AS docs, min(bucket) FILTER (upto >= 0.5 * docs) AS m,
+                   min(bucket) FILTER (upto >= 0.1 * docs) AS u FROM {tag}c GROUP BY ALL),
+        {tag} AS (
+            SELECT {keys} metric, docs, {value.format(b="m")} AS mid, {value.format(b="u")} AS under FROM {tag}q)"""
+    metrics = " UNION ALL ".join(
+        f"SELECT lang, source, '{m}' AS metric, CASE WHEN {d[1]} > 0 THEN {d[0]}::double / {d[1]} ELSE 0.0 END AS x FROM measured WHERE NOT base_failed"
+        for m, d in METRICS.items()
+    )
+    spread = " ".join(f"WHEN '{m}' THEN {d[2]}" for m, d in METRICS.items())
+    beyond = " OR ".join(
+        f"coalesce(CASE WHEN {d[1]} > 0 THEN {d[0]}::double / {d[1]} ELSE 0.0 END > {m}.mid + {m}.reach, false)"
+        + (f" OR coalesce(CASE WHEN {d[1]} > 0 THEN {d[0]}::double / {d[1]} ELSE 0.0 END < {m}.mid - {m}.reach, false)" if d[3] else "")
+        for m, d in METRICS.items()
+    )
+    joins = " ".join(
+        f"LEFT JOIN fences {m} ON {m}.metric = '{m}' AND {m}.lang IS NOT DISTINCT FROM d.lang AND {m}.source IS NOT DISTINCT FROM d.source"
+        for m in METRICS
+    )
+    return f"""
+        WITH base AS (
+            SELECT doc_id, lang, source, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        grams AS (
+            SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM base)),
+        twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+        covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+            FROM grams JOIN twice USING (doc_id, g), range(8) AS r(k) GROUP BY doc_id),
+        lines AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM base)
+            WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+        measured AS (
+            SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
+            FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+        metrics AS ({metrics}),
+        sketch AS (
+            SELECT lang, source, metric, count(*) AS n,
+                   CASE WHEN x > 0 THEN ceil(ln(x) / ln({GAMMA}))::int ELSE {ZERO_BUCKET} END AS bucket
+            FROM metrics GROUP BY ALL),
+        {level("by_group", "lang, source,")}, {level("by_lang", "lang,")}, {level("overall", "")},
+        fences AS (
+            SELECT g.lang, g.source, g.metric,
+                   CASE WHEN g.docs >= 50 THEN g.mid WHEN l.docs >= 50 THEN l.mid ELSE a.mid END AS mid,
+                   {REACH} * greatest((CASE WHEN g.docs >= 50 THEN g.mid WHEN l.docs >= 50 THEN l.mid ELSE a.mid END) - CASE WHEN g.docs >= 50 THEN g.under WHEN l.docs >= 50 THEN l.under ELSE a.under END,
+                                      CASE g.metric {spread} END) AS reach
+            FROM by_group g JOIN by_lang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric
+            JOIN overall a ON g.metric = a.metric)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT ({beyond}) AS kept
+        FROM measured d {joins}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": _quality_sql(),
     "op9_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM split),

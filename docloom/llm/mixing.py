@@ -3,9 +3,10 @@
 Every document of a source gets the same fractional number of copies, target / source size. The whole part is
 taken at once; the fraction, as a mass of fraction * size words, is rounded pairwise: of two documents, one gives
 mass to the other, in a direction drawn so that each keeps its expectation, until one of them holds nothing or
-its full size. The sum of masses never changes, so a source's taken words miss its target by less than one
-document. Pairing runs in groups of bounded expected size; each group leaves at most one unfinished document,
-and those meet again, group by group, in a reduction tree until one is left for each source.
+its full size. The sum of masses never changes. Pairing runs in groups of bounded expected size among documents
+of like size (tiers of powers of two); each group leaves at most one unfinished document, and those meet again,
+group by group, in a reduction tree until one is left for each source and tier. These few, from the largest to
+the smallest, round the mass that is left, so a source misses its target by about one of its smallest documents.
 
 Nulls: a null text has size 0; the null source is a source of its own, the last one. Documents of size 0 take 0.
 Repeated rows are documents of their own, in the same group. An empty table gives an empty result.
@@ -80,15 +81,30 @@ def _pair(state: Column, item: Column, seed: int) -> Column:
 
 
 def _round(items: DataFrame, seed: int, id_type: str) -> DataFrame:
-    """Rows (source, node, done, rest) from rows (source, node, item): the documents of a node, paired in turn."""
+    """Rows (source, tier, node, done, rest) from rows (source, tier, node, item): a node's documents, paired in turn."""
     item = f"struct<doc_id:{id_type},h:bigint,size:double,mass:double>"
     empty = F.struct(
         F.array().cast(f"array<struct<doc_id:{id_type},h:bigint,size:double,up:boolean>>").alias("done"),
         F.lit(None).cast(item).alias("rest"),
     )
     queue = F.array_sort(F.collect_list("item"), lambda a, b: F.when(a["h"] < b["h"], -1).when(a["h"] > b["h"], 1).otherwise(0))
-    grouped = items.groupBy("source", "node").agg(queue.alias("queue"))
-    return grouped.select("source", "node", F.aggregate("queue", empty, lambda s, x: _pair(s, x, seed)).alias("out")).select("source", "node", "out.*")
+    grouped = items.groupBy("source", "tier", "node").agg(queue.alias("queue"))
+    return grouped.select("source", "tier", "node", F.aggregate("queue", empty, lambda s, x: _pair(s, x, seed)).alias("out")).select("source", "tier", "node", "out.*")
+
+
+def _settle(last: DataFrame, seed: int) -> DataFrame:
+    """Rounds the last document of each tier, the largest first, by what is left of their masses' sum."""
+    order = lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["h"] < b["h"], -1).otherwise(1)
+    queues = last.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h", "size")), order).alias("queue"), F.sum("mass").alias("mass"))
+    done = f"array<{last.select(F.struct('doc_id', 'h', 'size', F.lit(True).alias('up')).alias('x')).schema['x'].dataType.simpleString()}>"
+    start = F.struct(F.array().cast(done).alias("done"), F.col("mass").alias("left"))
+
+    def step(state: Column, x: Column) -> Column:
+        up = _uniform(F.lit(seed), x["h"]) * x["size"] < state["left"]
+        ended = F.struct(x["doc_id"].alias("doc_id"), x["h"].alias("h"), x["size"].alias("size"), up.alias("up"))
+        return F.struct(F.concat(state["done"], F.array(ended)).alias("done"), (state["left"] - F.when(up, x["size"]).otherwise(0.0)).alias("left"))
+
+    return queues.select("source", F.explode(F.aggregate("queue", start, step)["done"]).alias("d")).select("source", "d.*")
 
 
 def mix_sources(
@@ -125,8 +141,9 @@ def mix_sources(
     fractional = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
     id_type = sized.schema["doc_id"].dataType.simpleString()
     item = F.struct("doc_id", F.col("row_hash").alias("h"), F.col("size").cast("double").alias("size"), "mass")
+    tier = F.floor(F.log2("size")).alias("tier")
     nodes = F.greatest(F.ceil(F.col("n_docs") / group), F.lit(1))
-    level = _round(planned.filter(fractional).select("source", F.pmod("row_hash", nodes).alias("node"), item.alias("item")), seed, id_type)
+    level = _round(planned.filter(fractional).select("source", tier, F.pmod("row_hash", nodes).alias("node"), item.alias("item")), seed, id_type)
     left = math.ceil(largest / group)
     rounded = []
     while True:
@@ -134,11 +151,9 @@ def mix_sources(
         rounded.append(level.select("source", F.explode("done").alias("d")).select("source", "d.*"))
         if left <= 1:
             break
-        rest = level.filter("rest IS NOT NULL").select("source", F.floor(F.col("node") / group).alias("node"), F.col("rest").alias("item"))
+        rest = level.filter("rest IS NOT NULL").select("source", "tier", F.floor(F.col("node") / group).alias("node"), F.col("rest").alias("item"))
         level, left = _round(rest, seed, id_type), math.ceil(left / group)
-    last = level.filter("rest IS NOT NULL").select("source", "rest.*")
-    up = _uniform(F.lit(seed), F.col("h")) * F.col("size") < F.col("mass")
-    rounded.append(last.select("source", "doc_id", "h", "size", up.alias("up")))
+    rounded.append(_settle(level.filter("rest IS NOT NULL").select("source", "rest.*"), seed))
     drawn = rounded[0]
     for more in rounded[1:]:
         drawn = drawn.union(more)

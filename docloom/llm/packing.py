@@ -6,7 +6,7 @@ histograms alone: middle parts by their number of units, and tails by their numb
 combinations of up to DEPTH lengths that fill a window (a unit, for tails) exactly are enumerated, non-negative
 least squares finds how often each should be used, and the counts are rounded down to what the histogram holds.
 Tails that fill a unit together form one more unit. The residual units are packed greedily, one after another,
-cutting a part where a window ends; residual tails share windows with tails of their length.
+cutting a part where a window ends; residual tails fill windows greedily, the longest first.
 
 Pieces learn their place from their rank among pieces of their length. Ranks come from counts by bucket (a hash
 of the document) and running sums of those counts, so no task sees more than a bucket.
@@ -106,6 +106,30 @@ class Slots:
         return container[k] + ranks - first[k], offset[k]
 
 
+def greedy(left: np.ndarray, window: int) -> tuple[list[list[tuple[int, int, int, int]]], int]:
+    """Slots (first rank, container, offset, pieces in a row) of each length and the number of containers.
+
+    A container takes the longest lengths first, as many as fit; it is repeated while the histogram lasts, so the
+    steps are as few as the lengths, whatever their counts.
+    """
+    total, left = left.copy(), left.copy()
+    slots: list[list[tuple[int, int, int, int]]] = [[] for _ in left]
+    containers = 0
+    while left.any():
+        room, uses = window, []
+        for length in np.flatnonzero(left)[::-1]:
+            run = int(min(left[length], room // length))
+            if run:
+                uses.append((length, window - room, run))
+                room -= run * int(length)
+        times = min(int(left[length]) // run for length, _, run in uses)
+        for length, offset, run in uses:
+            slots[length].append((int(total[length] - left[length]), containers, offset, run))
+            left[length] -= times * run
+        containers += times
+    return slots, containers
+
+
 class Plan:
     """The whole packing, from the number of full windows and the histograms of middle parts and tails."""
 
@@ -117,9 +141,8 @@ class Plan:
         self.stream_at = np.cumsum(units) - units
         self.bins_at = int(units.sum())
         windows = -(-(self.bins_at + self.tail.containers) // UNITS)
-        self.per_window = WINDOW // np.maximum(np.arange(UNIT), 1)
-        needed = -(-self.tail.left // self.per_window)
-        self.tails_base = self.stream_base + windows + np.cumsum(needed) - needed
+        self.tails_base = self.stream_base + windows
+        self.rest, _ = greedy(self.tail.left, WINDOW)
 
 
 def describe(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -207,8 +230,12 @@ def _pieces(docs: pd.DataFrame, before: pd.DataFrame, plan: Plan) -> pd.DataFram
             at = plan.bins_at + unit
             emit(rows, n[rows] - size, size, checks[rows], plan.stream_base + at // UNITS, at % UNITS * UNIT + offset)
         rows = mine[~placed]
-        k = rank[rows] - plan.tail.used[size]
-        emit(rows, n[rows] - size, size, checks[rows], plan.tails_base[size] + k // plan.per_window[size], k % plan.per_window[size] * size)
+        if len(rows):
+            rest = rank[rows] - plan.tail.used[size]
+            first, container, offset, run = (np.array(c, np.int64) for c in zip(*plan.rest[size]))
+            k = np.searchsorted(first, rest, side="right") - 1
+            beyond, within = np.divmod(rest - first[k], run[k])
+            emit(rows, n[rows] - size, size, checks[rows], plan.tails_base + container[k] + beyond, offset[k] + within * size)
     out = np.concatenate(parts)
     table = pd.DataFrame(out[:, 1:], columns=["start", "length", "ids_crc32", "sequence_id", "offset"])
     table.insert(0, "doc_id", docs["doc_id"].to_numpy()[out[:, 0]])

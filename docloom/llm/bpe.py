@@ -1,8 +1,9 @@
 """Token ids of whole texts with a byte-level BPE tokenizer file, memoised by word.
 
 A byte-level pre-tokenizer always splits before a lone blank or line feed that stands between two characters that
-are not white space, so texts are cut there and each distinct chunk is encoded once. Chunks are keyed by 64-bit
-hashes; the memo keeps at most MEMO_CHUNKS of them and starts anew beyond that, which changes no result.
+are not white space, so texts are cut there and each distinct chunk is encoded once in a worker's life. Chunks are
+keyed by 64-bit hashes in a table of fixed size with two places for each key; a key that finds both taken is
+encoded anew each time, and a full store of ids starts anew. Neither changes a result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import numpy as np
 
 from docloom.llm import kernels as K
 
-MEMO_CHUNKS = 2_000_000
+PLACES, MEMO_IDS, MEMO_STEMS = 1 << 22, 1 << 24, 300_000
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: First bytes of the UTF-8 forms of white space outside ASCII, with two and with three bytes.
 _SPACE_2, _SPACE_3 = 0xC2, (0xE1, 0xE2, 0xE3)
 
@@ -28,7 +30,14 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     plain_after = (after > 0x20) & (after != 0x7F) & (after != _SPACE_2) & ~np.isin(after, _SPACE_3)
     plain_before = (before > 0x20) & (before != 0x7F) & ((before < 0x80) | ((two != _SPACE_2) & ~np.isin(three, _SPACE_3)))
-    return np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], at[plain_before & plain_after]]))
+    return np.sort(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], at[plain_before & plain_after]]), kind="stable")
+
+
+def byte_letters() -> dict[int, str]:
+    """A byte-level vocabulary's letter for each byte: itself if it prints, else the next unused one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordMemo:
@@ -38,37 +47,84 @@ class WordMemo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.stems: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.starts, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys, self.starts, self.lengths = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (keys & K.U(PLACES - 1)).astype(np.int64), (keys >> K.U(40)).astype(np.int64) & (PLACES - 1)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's place, and whether it is known."""
+        one, two = self._places(keys)
+        at = np.where(self.keys[one] == keys, one, two)
+        return at, self.keys[at] == keys
+
+    def _piece(self, text: str) -> list[int]:
+        """Ids of one pre-token, straight from the tokenizer's model."""
+        found = self.stems.get(text)
+        if found is None:
+            if len(self.stems) >= MEMO_STEMS:
+                self.stems.clear()
+            found = self.stems[text] = [x.id for x in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        return found
 
-    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+    def _chunk(self, text: str) -> list[int]:
+        """Ids of a chunk. A word, with or without a blank before it and marks after it, is one or two pre-tokens."""
+        end = len(text)
+        while end and text[end - 1] in _MARKS:
+            end -= 1
+        head = text[1:end] if text[:1] == " " else text[:end]
+        if head.isalpha():
+            return self._piece(text) if end == len(text) else self._piece(text[:end]) + self._piece(text[end:])
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, and the rows' offsets among them."""
-        starts = chunk_starts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        keys, first, back = np.unique(K.byte_spans(data)(starts, ends), return_index=True, return_inverse=True)
-        at, known = self._slots(keys)
+        begins = chunk_starts(data, offsets)
+        ends = np.append(begins[1:], len(data))
+        keys = K.byte_spans(data)(begins, ends)
+        at, known = self._find(keys)
+        starts, lengths = self.starts[at], self.lengths[at].astype(np.int64)
         if not known.all():
-            if len(self.keys) + len(keys) > MEMO_CHUNKS:
+            missing = np.flatnonzero(~known)
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            found = [self._chunk(raw[begins[i] : ends[i]].decode("utf-8", "replace")) for i in missing[first].tolist()]
+            sizes = np.array([len(x) for x in found], np.int64)
+            ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
+            if self.used + len(ids) > MEMO_IDS and self.used:
                 self._reset()
-                known[:] = False
-            new, raw = first[~known], data.tobytes()
-            found = self.tokenizer.encode_batch([raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-            ids = [np.asarray(x.ids, np.uint32) for x in found]
-            lengths = np.array([len(x) for x in ids], np.int64)
-            everything = np.concatenate([self.keys, keys[~known]])
-            order = np.argsort(everything)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])[order]
-            self.lengths = np.concatenate([self.lengths, lengths])[order]
-            self.ids, self.keys = np.concatenate([self.ids, *ids]), everything[order]
-            at, _ = self._slots(keys)
-        at = at[back]
-        ids = K.ragged(self.ids, self.starts[at], self.lengths[at])
-        sums = np.concatenate([[0], np.cumsum(self.lengths[at])])
-        return ids, sums[np.searchsorted(starts, offsets)]
+                return self.encode(data, offsets)
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            places = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
+            starts[missing], lengths[missing] = places[back], sizes[back]
+            for k in (0, 1):
+                slot = self._places(new)[k]
+                free = self.keys[slot] == 0
+                self.keys[slot[free]] = new[free]
+                mine = self.keys[slot] == new
+                self.starts[slot[mine]], self.lengths[slot[mine]] = places[mine], sizes[mine]
+                new, places, sizes = new[~mine], places[~mine], sizes[~mine]
+                if not len(new):
+                    break
+        ids = K.ragged(self.ids, starts, lengths)
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, sums[np.searchsorted(begins, offsets)]
+
+
+_memos: dict[str, WordMemo] = {}
+
+
+def memo(path: str) -> WordMemo:
+    """This worker's memo for a tokenizer file; later tasks of the worker go on with it."""
+    if path not in _memos:
+        _memos[path] = WordMemo(path)
+    return _memos[path]

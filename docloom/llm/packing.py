@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import bpe
 from docloom.llm import kernels as K
-from docloom.llm.bpe import WordMemo
 from docloom.llm.store import written
 
 WINDOW, UNIT, DEPTH, END_ID = 2048, 64, 4, 1
@@ -147,7 +147,7 @@ class Plan:
 
 def describe(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Each document's id count and the checksums of its parts; of a middle part also those of its beginnings and ends."""
-    memo = WordMemo(path)
+    memo = bpe.memo(path)
     for batch in batches:
         counts, full, heads, ends, tails = [], [], [], [], []
         for _, _, data, offsets in K.text_chunks(batch.column("text")):

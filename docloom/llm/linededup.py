@@ -1,11 +1,9 @@
 """Line dedup: two Bloom filters find lines that may repeat; only those are shuffled and confirmed.
 
-Each task adds the keys of its documents' lines to two filters, one of keys seen once and one of keys seen
-twice. Filters meet by OR, and what two partial filters both saw once counts as seen twice, so partial filters
-of any split of the data merge to the same answer. The bit space is cut into segments by the key's leading bits
-and segments are merged as rows by the shuffle. The merged twice-seen filter, at most MAX_BITS / 8 bytes, is
-broadcast; lines that hit it are suspects. Suspects carry a 128-bit digest of the key; grouping by digest
-confirms repeats across documents and picks the smallest document. More suspects than needed cost shuffle only.
+A filter of once-seen and one of twice-seen keys (see bloom) are merged over all documents and the twice-seen
+one, bounded in size, is broadcast; lines that hit it are suspects. Suspects carry a 128-bit digest of the key;
+grouping by digest confirms repeats across documents and picks the smallest document. Lines found in more than
+one in HOT_SHARE of all suspects, HOT_SHARE at most, learn their first document by broadcast, the others by join.
 
 Nulls: a null or empty text is one empty line. A null id is one document that comes after all others; rows that
 share an id are one document. Lines whose key is shorter than min_chars stay. An empty table gives an empty result.
@@ -14,7 +12,6 @@ share an id are one document. Lines whose key is shorter than min_chars stay. An
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.bloom import may_repeat, twice_seen
 from docloom.llm.store import written
 
-#: Bits of a filter: BITS_PER_KEY for each line, rounded up to a power of two, between these bounds.
-BITS_PER_KEY, MIN_BITS, MAX_BITS = 12, 1 << 16, 1 << 27
-SEGMENTS, PROBES = 64, 4
+HOT_SHARE = 1000
 STRIP = b" \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
 
@@ -44,93 +40,48 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes]:
     return out
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions for each 64-bit hash, all in the segment that its leading bits name."""
-    per = np.uint64(bits // SEGMENTS)
-    base = (hashes >> np.uint64(58)) * per
-    step = (hashes >> np.uint64(29)) | np.uint64(1)
-    return np.stack([base + (hashes + np.uint64(i) * step) % per for i in range(PROBES)], axis=1)
-
-
 def texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
-def _partial_filters(bits: int, min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            keys = [k for t in texts(batch.column(0)) for k in {x for x in line_keys(t, min_chars) if x}]
-            if not keys:
-                continue
-            hashes, counts = np.unique(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), return_counts=True)
-            at = positions(hashes, bits)
-            again = (counts > 1) | once[at].all(axis=1)
-            twice[at[again].ravel()] = True
-            once[at.ravel()] = True
-        per = bits // SEGMENTS
-        for s in range(SEGMENTS):
-            part = slice(s * per, (s + 1) * per)
-            if once[part].any():
-                packed = [zlib.compress(np.packbits(x[part]).tobytes(), 1) for x in (once, twice)]
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": [packed[0]], "twice": [packed[1]]})
-
-    return run
-
-
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The merged twice-seen bits of every segment that this task was dealt."""
-    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for segment, *packed in zip(*(c.to_pylist() for c in batch.columns)):
-            once, twice = (np.frombuffer(zlib.decompress(x), np.uint8) for x in packed)
-            if segment in seen:
-                once_so_far, twice_so_far = seen[segment]
-                once, twice = once | once_so_far, twice | twice_so_far | (once & once_so_far)
-            seen[segment] = once, twice
-    for segment, (_, twice) in seen.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-
-def twice_seen(docs: DataFrame, text_col: str, min_chars: int) -> np.ndarray:
-    """The merged twice-seen filter as packed bits; at most MAX_BITS / 8 bytes."""
-    text = F.col(text_col)
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_KEY * lines - 1).bit_length() if lines else MIN_BITS))
-    partial = docs.select(text.cast("binary")).mapInArrow(_partial_filters(bits, min_chars), "segment int, once binary, twice binary")
-    merged = partial.repartition("segment").mapInArrow(_merge, "segment int, twice binary")
-    out = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8)
-    for row in merged.toLocalIterator():
-        out[row.segment] = np.frombuffer(zlib.decompress(bytes(row.twice)), np.uint8)
-    return out.ravel()
+def key_hashes(text: bytes, min_chars: int) -> tuple[list[bytes], list[int]]:
+    """A document's distinct keys and their hashes."""
+    keys = list({k for k in line_keys(text, min_chars) if k})
+    return keys, [xxhash.xxh3_64_intdigest(k) for k in keys]
 
 
 def repeated_lines(docs: DataFrame, text_col: str, doc: F.Column, min_chars: int) -> DataFrame:
     """Rows (doc, digest): lines to drop, those of a key that a document with a smaller id holds."""
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, text_col, min_chars))
+    rows = docs.select(doc.alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    lines = docs.select(F.col(text_col).alias("text")).agg(F.sum(breaks + 1)).first()[0] or 0
+
+    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.array([h for t in texts(batch.column("text")) for h in key_hashes(t, min_chars)[1]], np.uint64)
+
+    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(rows, hashes_of, lines))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = sent.value
-        bits = len(packed) * 8
         for batch in batches:
-            rows, keys = [], []
+            at, keys, hashes = [], [], []
             for i, text in enumerate(texts(batch.column("text"))):
-                own = {k for k in line_keys(text, min_chars) if k}
-                rows += [i] * len(own)
+                own, found = key_hashes(text, min_chars)
+                at += [i] * len(own)
                 keys += own
-            if not keys:
-                continue
-            at = positions(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), bits).astype(np.int64)
-            hit = np.flatnonzero(((packed[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1))
+                hashes += found
+            hit = np.flatnonzero(may_repeat(sent.value, np.array(hashes, np.uint64)))
             digests = [hashlib.blake2b(keys[j], digest_size=16).digest() for j in hit]
-            ids = batch.column("doc").take(pa.array(np.asarray(rows, np.int64)[hit]))
+            ids = batch.column("doc").take(pa.array(np.asarray(at, np.int64)[hit]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary())], names=["doc", "digest"])
 
-    found = written(docs.select(doc.alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(suspects, "doc long, digest binary"))
-    confirmed = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-    return found.join(confirmed, "digest").filter("doc > first").select("doc", "digest")
+    found = written(rows.mapInArrow(suspects, "doc long, digest binary"))
+    counted = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    confirmed = written(counted.filter("first < last").select("digest", "first", "n"))
+    is_hot = F.col("n") * HOT_SHARE > found.count()
+    hot = F.broadcast(confirmed.filter(is_hot).drop("n"))
+    by_broadcast = found.join(hot, "digest")
+    by_shuffle = found.join(hot, "digest", "left_anti").join(confirmed.filter(~is_hot).drop("n"), "digest")
+    return by_broadcast.union(by_shuffle).filter("doc > first").select("doc", "digest")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:

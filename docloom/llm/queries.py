@@ -13,6 +13,7 @@ from docloom.llm.mixing import mix_sources
 from docloom.llm.packing import pack
 from docloom.llm.quality import GAMMA, METRICS, REACH, ZERO_BUCKET, judged, measure, thresholds
 from docloom.llm.store import written
+from docloom.llm.substring import dedup_substrings
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +32,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs, window=35).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measured = written(measure(docs).drop("text"))
@@ -51,6 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
@@ -153,6 +160,19 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN sizes USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
     """,
+    "op5_substring_dedup": f"""
+        WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i+34], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM split)),
+        twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        covered AS (SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN twice USING (h), range(35) AS r(k)),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split)
+        SELECT d.doc_id, count(word) AS n_words, count(word) FILTER (c.i IS NOT NULL) AS n_removed,
+               sha256(coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL), '')) AS kept_sha256
+        FROM documents d LEFT JOIN words x USING (doc_id) LEFT JOIN covered c ON c.doc_id = x.doc_id AND c.i = x.i
+        GROUP BY d.doc_id
+    """,
     "op7_quality_rules": _quality_sql(),
     "op9_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.jaccard import jaccard_components
 from docloom.llm.kdtree import top_k
+from docloom.llm.language import fit, identify, in_training
 from docloom.llm.linededup import dedup_lines
 from docloom.llm.mixing import mix_sources
 from docloom.llm.packing import pack
@@ -27,6 +28,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, "doc_id", "text", "lang")
+    held_out = F.coalesce(~in_training("doc_id"), F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,

@@ -14,8 +14,10 @@ from docloom.llm.linededup import dedup_lines
 from docloom.llm.mixing import mix_sources
 from docloom.llm.packing import pack
 from docloom.llm.quality import GAMMA, METRICS, REACH, ZERO_BUCKET, judged, measure, thresholds
+from docloom.llm.revisit import capture_log, resolve_revisits
 from docloom.llm.store import written
 from docloom.llm.substring import dedup_substrings
+from docloom.llm.wordpiece import count_pieces
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +37,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(capture_log(_table(spark, sf_dir, "pages")))
+    names = ("date", "etag", "content-length", "cache-control")
+    return found.select("record_id", "url_key", "outcome", "response_id", *[F.col("headers")[n].alias(n.replace("-", "_")) for n in names])
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs, window=35).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_pieces(docs, public_tokenizers.path(TOKENIZER)).select("doc_id", "n_words", "n_pieces", "n_unknown")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     measured = written(measure(docs).drop("text"))
@@ -70,8 +85,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_line_dedup": op9_line_dedup,
@@ -175,6 +192,48 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents d LEFT JOIN sizes USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
     """,
+    "op3_warc_revisits": r"""
+        WITH visits AS (
+            SELECT page_id AS p, url AS u, html, v, page_id * 3 + v * 1000 AS time, page_id % 3 = 0 AS changed FROM pages, range(4) AS r(v)),
+        kinds AS (
+            SELECT *, CASE WHEN v = 0 OR (v = 2 AND changed) THEN 'response' ELSE 'revisit' END AS kind,
+                   sha1(CASE WHEN v >= 2 AND changed THEN html || '+' ELSE html END) AS d FROM visits),
+        records AS (
+            SELECT p * 4 + v AS record_id, time, kind, p, v, html,
+                   CASE v WHEN 1 THEN u || '#again' WHEN 3 THEN regexp_replace(u, '^https?://', 'HTTPS://') ELSE u END AS url,
+                   CASE WHEN v = 1 AND p % 4 = 0 THEN '"stale"' WHEN v = 1 THEN 'W/"' || d[1:12] || '"'
+                        WHEN kind = 'response' THEN '"' || d[1:12] || '"' END AS etag,
+                   CASE WHEN kind = 'response' OR v = 2 THEN 'day ' || p % 7 END AS last_modified,
+                   CASE WHEN kind = 'response' OR (v = 3 AND p % 5 <> 0) THEN d END AS digest FROM kinds),
+        bare AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM records),
+        split AS (
+            SELECT *, lower(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS place,
+                   substring(b, length(regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS rest FROM bare),
+        keyed AS (
+            SELECT *, regexp_replace(regexp_replace(place, '^(http://[^/?]*):80$', '\1'), '^(https://[^/?]*):443$', '\1')
+                || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+                    rest, '([?&])utm_[a-z]+=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '/+$', '') AS url_key FROM split),
+        found AS (
+            SELECT x.*, y.record_id AS of, y.etag AS of_etag, y.last_modified AS of_modified, y.digest AS of_digest, length(y.html) AS of_length,
+                   row_number() OVER (PARTITION BY x.record_id ORDER BY y.time DESC NULLS LAST, y.record_id DESC) AS k
+            FROM keyed x LEFT JOIN keyed y
+              ON y.kind = 'response' AND x.url_key = y.url_key AND (y.time < x.time OR (y.time = x.time AND y.record_id < x.record_id))
+            WHERE x.kind = 'revisit'),
+        judged AS (
+            SELECT *, CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') IS NOT DISTINCT FROM regexp_replace(of_etag, '^W/', '')
+                           WHEN last_modified IS NOT NULL THEN last_modified IS NOT DISTINCT FROM of_modified
+                           WHEN digest IS NOT NULL THEN digest IS NOT DISTINCT FROM of_digest END AS agrees
+            FROM found WHERE k = 1),
+        named AS (
+            SELECT *, CASE WHEN of IS NULL THEN 'no_response' WHEN agrees IS NULL THEN 'unvalidated'
+                           WHEN agrees THEN 'resolved' ELSE 'mismatch' END AS outcome FROM judged)
+        SELECT record_id, url_key, outcome, CASE WHEN outcome = 'resolved' THEN of END AS response_id,
+               CASE WHEN outcome = 'resolved' THEN 't' || time END AS date,
+               CASE WHEN outcome = 'resolved' THEN coalesce(etag, of_etag) END AS etag,
+               CASE WHEN outcome = 'resolved' THEN of_length::varchar END AS content_length,
+               CASE WHEN outcome = 'resolved' THEN 'max-age=' || (p % 100 + v) END AS cache_control
+        FROM named
+    """,
     "op5_substring_dedup": f"""
         WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
         windows AS (

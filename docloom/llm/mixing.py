@@ -95,14 +95,20 @@ def _round(items: DataFrame, seed: int, id_type: str) -> DataFrame:
 def _settle(last: DataFrame, seed: int) -> DataFrame:
     """Rounds the last document of each tier, the largest first, by what is left of their masses' sum."""
     order = lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["h"] < b["h"], -1).otherwise(1)
-    queues = last.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h", "size")), order).alias("queue"), F.sum("mass").alias("mass"))
+    queue = F.array_sort(F.collect_list(F.struct("doc_id", "h", "size")), order).alias("queue")
+    queues = last.groupBy("source").agg(queue, F.sum("mass").alias("mass"), F.sum("size").alias("sizes"))
     done = f"array<{last.select(F.struct('doc_id', 'h', 'size', F.lit(True).alias('up')).alias('x')).schema['x'].dataType.simpleString()}>"
-    start = F.struct(F.array().cast(done).alias("done"), F.col("mass").alias("left"))
+    start = F.struct(F.array().cast(done).alias("done"), F.col("mass").alias("left"), F.col("sizes").alias("smaller"))
 
     def step(state: Column, x: Column) -> Column:
-        up = _uniform(F.lit(seed), x["h"]) * x["size"] < state["left"]
-        ended = F.struct(x["doc_id"].alias("doc_id"), x["h"].alias("h"), x["size"].alias("size"), up.alias("up"))
-        return F.struct(F.concat(state["done"], F.array(ended)).alias("done"), (state["left"] - F.when(up, x["size"]).otherwise(0.0)).alias("left"))
+        left, size, smaller = state["left"], x["size"], state["smaller"] - x["size"]
+        # Both ways are open while the smaller documents can still make up the rest exactly.
+        can_take, can_leave = (left >= size) & (left - size <= smaller), left <= smaller
+        drawn = _uniform(F.lit(seed), x["h"]) * size < left
+        up = F.when(can_take & can_leave, drawn).when(can_take | can_leave, can_take).otherwise(left > size / 2)
+        ended = F.struct(x["doc_id"].alias("doc_id"), x["h"].alias("h"), size.alias("size"), up.alias("up"))
+        rest = left - F.when(up, size).otherwise(0.0)
+        return F.struct(F.concat(state["done"], F.array(ended)).alias("done"), rest.alias("left"), smaller.alias("smaller"))
 
     return queues.select("source", F.explode(F.aggregate("queue", start, step)["done"]).alias("d")).select("source", "d.*")
 

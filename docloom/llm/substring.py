@@ -10,7 +10,8 @@ Where an anchor has one context only, that context repeats as a whole. Otherwise
 with how often it occurs, are built into one suffix automaton, which is sent to the task that streams the
 contexts through it: for each end of a prefix, matching statistics give the longest suffix that occurs twice, and
 where it is at least a window long its words are covered. Anchors with more than MOST_CONTEXTS different contexts
-would make automata without bound; their windows are compared by hash and pre-aggregated instead.
+would make automata without bound; those of their windows that pass a second filter are counted by hash instead,
+pre-aggregated.
 
 Words and windows are compared by 64-bit hashes. Nulls: a null text has no words; null ids are kept. Rows that
 share an id are documents of their own; equal rows count as occurrences of their own. An empty table gives an
@@ -235,7 +236,29 @@ def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
     spans = shards.mapInArrow(_shard(window), "m long, context long, spans array<int>")
     pairs = "transform(sequence(0, size(spans) div 2 - 1), k -> named_struct('start', spans[2 * k], 'end', spans[2 * k + 1]))"
     spans = spans.filter("size(spans) > 0").select("m", "context", F.expr(pairs).alias("spans"))
-    single = read_back.filter("windows IS NOT NULL").select("m", "context", "n", F.posexplode("windows").alias("k", "w"))
+    hot = read_back.filter("windows IS NOT NULL").select("m", "context", "n", "windows")
+    n_windows = hot.agg(F.sum(F.size("windows"))).first()[0] or 0
+
+    def own_windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        windows, n = batch.column("windows"), batch.column("n").to_numpy()
+        yield np.repeat(windows.flatten().to_numpy().view(np.uint64), np.repeat(np.minimum(n, 2), np.diff(windows.offsets.to_numpy())))
+
+    passed = docs.sparkSession.sparkContext.broadcast(twice_seen(hot, own_windows, n_windows))
+
+    def may_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column("windows")
+            sizes = np.diff(windows.offsets.to_numpy())
+            values = windows.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = np.flatnonzero(may_repeat(passed.value, values.view(np.uint64)))
+            rows = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(rows) for c in ("m", "context", "n")] + [pa.array(place[hit].astype(np.int32)), pa.array(values[hit])], names=["m", "context", "n", "k", "w"]
+            )
+
+    single = hot.mapInArrow(may_count, "m long, context long, n long, k int, w long")
     twice = written(single.groupBy("m", "w").agg(F.sum("n").alias("times")).filter("times > 1").select("m", "w"))
     by_hash = single.join(twice, ["m", "w"]).groupBy("m", "context").agg(F.collect_list(F.struct(F.col("k").alias("start"), (F.col("k") + window).alias("end"))).alias("spans"))
     covered = written(spans.union(by_hash))

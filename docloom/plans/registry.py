@@ -1,7 +1,7 @@
 """All queries of the library's own operators, with their SQL twins."""
 
-from docloom.plans import ledger, ranking, texts
+from docloom.plans import ledger, ranking, texts, wiki
 
-MODULES = (ranking, texts, ledger)
+MODULES = (ranking, texts, ledger, wiki)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

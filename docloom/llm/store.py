@@ -1,28 +1,5 @@
 """Intermediate tables that outlive executors."""
 
-from __future__ import annotations
+from docloom.sources.store import shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only a local master may fall back on its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        named = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="docloom-"))
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written once as Parquet in the shared folder and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]

@@ -73,10 +73,14 @@ def hybrid(dense: Column, text: Column, weight: Column | float = 0.8) -> Column:
     return weight * F.coalesce(dense, F.lit(0.0)) + (1 - weight) * F.coalesce(text, F.lit(0.0))
 
 
+def ranked(scored: DataFrame, *keys: str, score: str = "score", tie: str = "doc_id") -> DataFrame:
+    """Every row with its rank within its keys, scores compared at six decimals, ties by id."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(score, 6)), tie)))
+
+
 def best(scored: DataFrame, n: int, *keys: str, score: str = "score", tie: str = "doc_id") -> DataFrame:
-    """The n best rows of each key, scores compared at six decimals, ties by id; with their rank."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(score, 6)), tie))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= n)
+    """The n best rows of each key, with their rank."""
+    return ranked(scored, *keys, score=score, tie=tie).filter(F.col("rank") <= n)
 
 
 def near_best(scored: DataFrame, key: str, score: str, margin: float, most: int, least: float = 0.0, tie: str = "doc_id") -> DataFrame:

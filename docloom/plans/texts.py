@@ -49,18 +49,17 @@ def sc13_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sc6_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = F.split(F.substring("text", 1, 60), " ")
-    aliases = F.array(F.col("lang"), F.get(tags, F.lit(2)))
-    title = F.get(tags, F.lit(0))
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(tx.clean_tags(tags, title, aliases), "/").alias("tags"))
+    """A page's URL parts as tags, its third one as title and the fourth as alias."""
+    parts = F.split("url", "[/?=&.]")
+    title, aliases = F.get(parts, F.lit(2)), F.array(F.get(parts, F.lit(3)), F.lit("COM"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(tx.clean_tags(parts, title, aliases), "/").alias("tags"))
 
 
 def tx10_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References written after each sentence of a document, some with their document, some twice."""
     number = F.lpad((F.col("i") * 7 % 50).cast("string"), 4, "0")
     ref = F.concat(F.when(F.col("i") % 3 == 0, "d9:").otherwise(""), F.lit("B"), number)
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "[.]"), 1, 30)).alias("i", "part"))
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.]")).alias("i", "part"))
     cited = parts.select("doc_id", "i", F.concat("part", F.lit(" ["), ref, F.lit(", "), F.lit("B0001"), F.lit("]")).alias("cited"))
     texts = cited.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "cited"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["cited"]), ".")
@@ -118,15 +117,15 @@ ORACLE_SQL = {
     "sc5_content_hash": """
         SELECT doc_id, sha256(coalesce(source, '') || chr(10) || coalesce(lang, '') || chr(10) || coalesce(text, '')) AS content_hash FROM documents""",
     "sc6_tags": """
-        WITH t AS (SELECT doc_id, lang, string_split(left(text, 60), ' ') AS w FROM documents),
+        WITH t AS (SELECT page_id, regexp_split_to_array(url, '[/?=&.]') AS w FROM pages),
         tidy AS (
-            SELECT doc_id, i, trim(regexp_replace(replace(x, ',', ' '), '[ \\t\\n\\r]+', ' ', 'g')) AS tag, lang, w
+            SELECT page_id, i, trim(regexp_replace(replace(x, ',', ' '), '[ \\t\\n\\r]+', ' ', 'g')) AS tag, w
             FROM (SELECT *, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t)),
         fresh AS (
-            SELECT *, row_number() OVER (PARTITION BY doc_id, lower(tag) ORDER BY i) AS dup FROM tidy
-            WHERE tag <> '' AND lower(tag) NOT IN (lower(trim(w[1])), lower(trim(lang)), coalesce(lower(trim(w[3])), ''))),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM fresh WHERE dup = 1)
-        SELECT doc_id, coalesce(string_agg(tag, '/' ORDER BY k) FILTER (k <= 3), '') AS tags FROM documents LEFT JOIN ranked USING (doc_id) GROUP BY doc_id""",
+            SELECT *, row_number() OVER (PARTITION BY page_id, lower(tag) ORDER BY i) AS dup FROM tidy
+            WHERE tag <> '' AND lower(tag) NOT IN (lower(trim(w[3])), coalesce(lower(trim(w[4])), ''), 'com')),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM fresh WHERE dup = 1)
+        SELECT page_id, coalesce(string_agg(tag, '/' ORDER BY k) FILTER (k <= 3), '') AS tags FROM pages LEFT JOIN ranked USING (page_id) GROUP BY page_id""",
     "sc7_specificity": f"""
         SELECT doc_id, round(least(0.8, least(0.6, {_COUNT('[A-Z]')} * 0 + {_COUNT(r'\b[A-Z]\s*[:(]')} * 0.08
             + {_COUNT(r'[0-9]+(?:\.[0-9]+)?\s*[-–]\s*[0-9]+(?:\.[0-9]+)?')} * 0.08
@@ -138,7 +137,7 @@ ORACLE_SQL = {
         WITH parts AS (
             SELECT doc_id, i - 1 AS i, p FROM (
                 SELECT doc_id, unnest(w) AS p, generate_subscripts(w, 1) AS i
-                FROM (SELECT doc_id, string_split(text, '.')[1:30] AS w FROM documents))),
+                FROM (SELECT doc_id, string_split(text, '.') AS w FROM documents))),
         refs AS (
             SELECT doc_id, 2 * i AS k, CASE WHEN i % 3 = 0 THEN 'd9:' ELSE 'd' || doc_id || ':' END || 'B' || lpad((i * 7 % 50)::varchar, 4, '0') AS r FROM parts
             UNION ALL SELECT doc_id, 2 * i + 1, 'd' || doc_id || ':B0001' FROM parts),

@@ -3,7 +3,7 @@
 Each task adds its hashes to two filters, one of hashes seen once and one of hashes seen twice. Filters meet by
 OR, and what two partial filters both saw once counts as seen twice, so partial filters of any split of the data
 merge to the same answer. The bit space is cut into segments by the hash's leading bits, and segments are merged
-as rows by the shuffle. The merged twice-seen filter has at most MAX_BITS bits whatever the input; past that it
+as rows by the shuffle. The merged twice-seen filter has at most so many bits as stated whatever the input; past that it
 only lets more through.
 """
 
@@ -26,24 +26,34 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     per = np.uint64(bits // SEGMENTS)
     base = (hashes >> np.uint64(58)) * per
     step = (hashes >> np.uint64(29)) | np.uint64(1)
-    return np.stack([base + (hashes + np.uint64(i) * step) % per for i in range(PROBES)], axis=1)
+    return np.stack([base + (hashes + np.uint64(i) * step) % per for i in range(PROBES)], axis=1).astype(np.int64)
+
+
+def _test(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each row of bit positions whether all are set."""
+    return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _set(packed: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(packed, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
 
 
 def _partial(bits: int, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for found in hashes_of(batch):
                 hashes, counts = np.unique(found, return_counts=True)
                 at = positions(hashes, bits)
-                again = (counts > 1) | once[at].all(axis=1)
-                twice[at[again].ravel()] = True
-                once[at.ravel()] = True
-        per = bits // SEGMENTS
+                again = (counts > 1) | _test(once, at)
+                _set(twice, at[again])
+                _set(once, at)
+        per = bits // SEGMENTS // 8
         for s in range(SEGMENTS):
             part = slice(s * per, (s + 1) * per)
             if once[part].any():
-                packed = [zlib.compress(np.packbits(x[part]).tobytes(), 1) for x in (once, twice)]
+                packed = [zlib.compress(x[part].tobytes(), 1) for x in (once, twice)]
                 yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "once": [packed[0]], "twice": [packed[1]]})
 
     return run
@@ -63,9 +73,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "twice": [zlib.compress(twice.tobytes(), 1)]})
 
 
-def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: int) -> np.ndarray:
-    """The twice-seen filter, as packed bits, of the hashes that hashes_of finds in the rows; keys: about how many."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_KEY * max(keys, 1) - 1).bit_length()))
+def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: int, most: int = MAX_BITS) -> np.ndarray:
+    """The twice-seen filter, as packed bits, of the hashes that hashes_of finds in the rows; keys: about how many;
+    most: the largest number of bits."""
+    bits = min(most, max(MIN_BITS, 1 << (BITS_PER_KEY * max(keys, 1) - 1).bit_length()))
     partial = rows.mapInArrow(_partial(bits, hashes_of), "segment int, once binary, twice binary")
     merged = partial.repartition("segment").mapInArrow(_merge, "segment int, twice binary")
     out = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8)
@@ -75,5 +86,4 @@ def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
 
 
 def may_repeat(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = positions(hashes, len(packed) * 8).astype(np.int64)
-    return ((packed[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
+    return _test(packed, positions(hashes, len(packed) * 8))

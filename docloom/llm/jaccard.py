@@ -6,7 +6,8 @@ shingles, so of d + 1 buckets of the hash space at least one holds the same shin
 into a few more buckets than that, the d + 1 fullest are its strong keys and the rest its weak ones; a link
 shares a key that is strong in one of the two. Sizes are handled in classes of ratio SIZE_RATIO; a set also emits
 the keys of the next larger class if a partner can be there. Keys of whole buckets are equal for near copies
-and hardly ever else. Connected groups of shared keys are the blocks.
+and hardly ever else; a Bloom filter of bounded size drops most keys that only one class has before any is shuffled.
+Connected groups of shared keys are the blocks.
 
 Each block is joined with itself by signature trees: leaves hold a set's token bitmap and size, inner nodes the
 OR of the bitmaps, the range of sizes and the most tokens that bits can hide. A dual traversal follows pairs of
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels as K
+from docloom.llm.bloom import may_repeat, twice_seen
 from docloom.llm.components import components
 from docloom.llm.store import written
 
 SIZE_RATIO, SPARE, CHUNK, FANOUT, LEADERS = 1.3, 0.15, 1024, 8, 8
+#: Bits of the filter of shared keys, at most.
+KEY_BITS = 1 << 29
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +118,10 @@ def keys(hashes: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarr
     return key[out], np.concatenate([[0], np.cumsum(n_keys)]), np.bincount(row[part][strong], minlength=len(sizes))
 
 
-def describe(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
-    """Rows (doc_id, n_shingles, f1, f2, keys, n_strong); f1 and f2 are a 128-bit fingerprint of the set."""
+def describe(docs: DataFrame, n: int, classes: Classes | None) -> DataFrame:
+    """Rows (doc_id, n_shingles, f1, f2), and with classes given keys and n_strong; f1 and f2 are a 128-bit fingerprint
+    of the set."""
+    names = ["doc_id", "n_shingles", "f1", "f2"] + ["keys", "n_strong"] * (classes is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,16 +131,36 @@ def describe(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                 np.cumsum(hashes, out=sums[0, 1:])
                 np.cumsum(K.mix(hashes ^ K.U(0xA5A5)), out=sums[1, 1:])
                 prints = [K.mix(s[at[1:]] - s[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64) for s in sums]
-                key, key_at, n_strong = keys(hashes, at, classes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints),
-                        pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(key.view(np.int64))), pa.array(n_strong, pa.int32()),
-                    ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "n_strong"],
-                )
+                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints)]
+                if classes is not None:
+                    key, key_at, n_strong = keys(hashes, at, classes)
+                    columns += [pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(key.view(np.int64))), pa.array(n_strong, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, n_strong int")
+    kinds = "doc_id long, n_shingles long, f1 long, f2 long" + ", keys array<long>, n_strong int" * (classes is not None)
+    return docs.mapInArrow(run, kinds)
+
+
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """Rows (rep, key, strong) of keys that more than one class may have."""
+
+    def all_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column("keys").flatten().to_numpy().view(np.uint64)
+
+    n_keys = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    sent = classes.sparkSession.sparkContext.broadcast(twice_seen(classes.select("keys"), all_keys, n_keys, KEY_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            strong = place < batch.column("n_strong").to_numpy()[row]
+            hit = np.flatnonzero(may_repeat(sent.value, values.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row[hit])), pa.array(values[hit]), pa.array(strong[hit])], names=["rep", "key", "strong"])
+
+    return classes.select("rep", "keys", "n_strong").mapInArrow(run, "rep long, key long, strong boolean")
 
 
 class Tree:
@@ -346,11 +372,11 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     """Rows (doc_id, n_shingles, component_id): each row's number of distinct n-word shingles (A-Z lower-cased) and
     the smallest id reachable over links of similarity num / den or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(describe(docs, n, Classes(num, den)))
-    sets = described.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
+    described = written(describe(docs, n, None))
+    sets = describe(docs, n, Classes(num, den)).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
     classes = written(sets.agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_strong").alias("n_strong")))
 
-    bucket_keys = classes.select("rep", "n_strong", F.posexplode("keys").alias("pos", "key")).select("rep", "key", (F.col("pos") < F.col("n_strong")).alias("strong"))
+    bucket_keys = shared_keys(classes)
     hubs = bucket_keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other"), F.max("strong").alias("strong"))
     hubs = hubs.filter("hub < other AND strong").select("key", "hub")
     shared = bucket_keys.select("rep", "key").join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))

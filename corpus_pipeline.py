@@ -17,6 +17,7 @@ from docloom.llm.packing import pack
 from docloom.llm.quality import judged, measure, thresholds
 from docloom.llm.queries import TOKENIZER
 from docloom.llm.store import written
+from docloom.sources.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,6 @@
 """Quality rules with adaptive thresholds.
 
-Each document gets counts from one pass over its text. From them come four metrics, whose distribution in each
+Each document gets counts from one pass over its text. From them come five metrics, whose distribution in each
 (language, source) group is summarised by a quantile sketch: logarithmic buckets of relative width GAMMA with
 their counts. Sketches merge by adding counts, in any order and exactly, so the sketch of a language or of
 everything is the sum of its groups' sketches. A metric's fence is the median plus REACH times the distance from
@@ -26,12 +26,13 @@ from pyspark.sql import types as T
 from docloom.llm import kernels as K
 
 GAMMA, REACH, ZERO_BUCKET = 1.02, 6.0, -(1 << 20)
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
 #: Metric -> (numerator, denominator, least spread, whether low values fail too).
 METRICS = {
     "symbols": ("n_symbols", "word_chars", 0.01, False),
     "dup_lines": ("n_dup_lines", "n_lines", 0.08, False),
     "repeats": ("n_repeat_words", "n_words", 0.05, False),
+    "stutter": ("n_stutters", "n_words", 0.02, False),
     "word_length": ("word_chars", "n_words", 0.25, True),
 }
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -59,7 +60,10 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     symbols = K.per_row(_IS_SYMBOL[data], offsets)
 
     row_of = np.repeat(np.arange(rows), counts)
-    windows = K.gram_hashes(spans(starts, ends), REPEAT_WINDOW)
+    hashes = spans(starts, ends)
+    same = np.zeros(len(hashes), bool)
+    same[1:] = (hashes[1:] == hashes[:-1]) & (row_of[1:] == row_of[:-1])
+    windows = K.gram_hashes(hashes, REPEAT_WINDOW)
     own = np.flatnonzero(np.arange(len(windows)) + REPEAT_WINDOW <= at[1:][row_of[: len(windows)]])
     _, back, times = np.unique(K.mix(windows[own] ^ salt[row_of[own]]), return_inverse=True, return_counts=True)
     twice = own[times[back] > 1]
@@ -77,7 +81,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     keys = K.mix(spans(line_starts, line_ends)[filled] ^ salt[line_row[filled]])
     lines = np.bincount(line_row[filled], minlength=rows)
     dups = np.bincount(line_row[filled][~_first_seen(keys)], minlength=rows)
-    return [counts, chars, symbols, lines, dups, repeats]
+    return [counts, chars, symbols, lines, dups, repeats, K.per_row(same, at)]
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -147,6 +147,7 @@ def _quality_sql() -> str:
                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
                    coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters,
                    len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
             FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
         metrics AS ({metrics}),

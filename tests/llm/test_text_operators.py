@@ -113,7 +113,8 @@ def brute_measures(t):
     twice = Counter(grams)
     repeats = {j for k, g in enumerate(grams) if twice[g] > 1 for j in range(k, k + 8)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
-    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(repeats)]
+    stutters = sum(a == b for a, b in zip(w, w[1:]))
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(repeats), stutters]
 
 
 def test_quality_measures_equal_python():

@@ -7,14 +7,15 @@ into a few more buckets than that, the d + 1 fullest are its strong keys and the
 shares a key that is strong in one of the two. Sizes are handled in classes of ratio SIZE_RATIO; a set also emits
 the keys of the next larger class if a partner can be there. Keys of whole buckets are equal for near copies
 and hardly ever else; a Bloom filter of bounded size drops most keys that only one class has before any is shuffled.
-Connected groups of shared keys are the blocks.
+All classes that share some key of which one class is the smallest are that class's block, so any two classes that
+share a key share a block; a class can be in several.
 
 Each block is joined with itself by signature trees: leaves hold a set's token bitmap and size, inner nodes the
 OR of the bitmaps, the range of sizes and the most tokens that bits can hide. A dual traversal follows pairs of
 nodes and drops a pair if the largest overlap its bitmaps and sizes allow is below what the smallest sizes need,
 or if all its documents are in one component already; pairs of leaves are verified on the full sets. Blocks of
-more than CHUNK sets are dealt out in chunks that each also hold the block's first set. What has then been
-linked to that first set needs no more comparing within itself; the rest is compared with everything, by pairs
+more than CHUNK sets are dealt out in chunks that each also hold the block's smallest class. What has then been
+linked to that class needs no more comparing within itself; the rest is compared with everything, by pairs
 of chunks. So a huge group of near copies costs a pass, not all pairs, and no link is lost.
 
 Nulls: texts without words have the empty set and link with nothing. Rows with a null id are never linked. Rows
@@ -380,7 +381,9 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     hubs = bucket_keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other"), F.max("strong").alias("strong"))
     hubs = hubs.filter("hub < other AND strong").select("key", "hub")
     shared = bucket_keys.select("rep", "key").join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    blocks = written(components(written(shared.distinct())).select(F.col("node").alias("doc_id"), F.col("component").alias("block")))
+    stars = written(shared.distinct())
+    blocks = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("block")).union(stars.select("b", "b").distinct())
+    blocks = written(blocks)
 
     sizes = written(blocks.groupBy("block").agg(F.count("*").alias("in_block")))
     sized = written(docs.join(blocks, "doc_id")).join(sizes, "block")
@@ -395,8 +398,9 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     large = sized.filter(chunks > 1).select("block", "doc_id", "text", "in_block")
     if large.take(1):
         labels = components(links)
-        named = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-        with_first = F.col("label") == F.col("block")
+        named = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        named = named.join(labels.withColumnRenamed("node", "block"), "block", "left").withColumn("of_first", F.coalesce("component", "block")).drop("component")
+        with_first = F.col("label") == F.col("of_first")
         counts = written(named.groupBy("block", with_first.alias("first")).agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts")))
         firsts = counts.filter("first").select("block", F.col("parts").alias("firsts"))
         rests = counts.filter("NOT first").select("block", F.col("parts").alias("rests"))

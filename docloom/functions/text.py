@@ -150,3 +150,33 @@ def excerpt(name: Column, text: Column, chars: int = 300) -> Column:
     mark = F.length(F.regexp_extract(head, r"^(.*[.?!] )", 1))
     start = F.greatest(mark, found - 1 - chars // 2)
     return F.when(found > 0, F.trim(F.substring(flat, start + 1, F.lit(chars)))).otherwise(F.substring(flat, 1, chars))
+
+
+#: Words that mark running text.
+COMMON_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with",
+]
+
+
+def language_score(text: Column) -> Column:
+    """How much a text looks like running language: letters, vowels and common words for it, runs of symbols, tokens of
+    letters and digits and capitals without vowels against it; -100 for an empty text."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    words = F.regexp_extract_all(flat, F.lit("[A-Za-z]+"), F.lit(0))
+    per = lambda n, of: n / F.greatest(F.lit(1), of)
+    count = lambda pattern: F.regexp_count(flat, F.lit(pattern))
+    letters = count(r"\p{L}")
+    common = F.size(F.filter(words, lambda w: F.lower(w).isin(COMMON_WORDS)))
+    shouted = F.size(F.filter(words, lambda w: F.rlike(w, F.lit("^[B-DF-HJ-NP-TV-Z]{3,}$"))))
+    mixed = F.size(F.filter(F.regexp_extract_all(flat, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: F.rlike(t, F.lit("[A-Za-z]")) & F.rlike(t, F.lit("[0-9]"))))
+    runs = count(r"[^\p{L}\p{N}_\s.,:;!?%+\-/()]{2,}")
+    score = (
+        per(letters, F.length(flat)) + per(count("[aeiouAEIOU]"), letters) * 0.3 + per(common, F.size(words)) * 0.5 - runs * 0.3 - per(mixed, F.size(words)) * 0.5 - per(shouted, F.size(words)) * 0.4
+    )
+    return F.when(flat == "", -100.0).otherwise(score)
+
+
+def section(markdown: Column, heading: str) -> Column:
+    """The lines below a heading of level two or deeper, up to the next heading, without blanks around; null without it."""
+    body = F.regexp_extract(F.concat(markdown, F.lit("\n")), rf"(?is)(?:^|\n)##+[ \t]+{heading}[ \t]*\n(.*?)(?=\n##|\n#[ \t]|$)", 1)
+    return F.nullif(F.trim(F.regexp_replace(body, r"^\s+|\s+$", "")), F.lit(""))

@@ -109,6 +109,13 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
+def counter_of(path: str) -> Counter:
+    """This worker's counter for a tokenizer file; later tasks of the worker go on with it."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def count_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_pieces and n_unknown (long), which replace columns of the same names.
 
@@ -122,9 +129,7 @@ def count_pieces(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     at = given.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(path)
-        counter = _counters[path]
+        counter = counter_of(path)
         for batch in batches:
             parts = [np.zeros((3, 0), np.int64)]
             for _, _, data, offsets in K.text_chunks(batch.column(at)):

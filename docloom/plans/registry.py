@@ -1,7 +1,7 @@
 """All queries of the library's own operators, with their SQL twins."""
 
-from docloom.plans import corpus, ledger, more, ranking, texts, wiki
+from docloom.plans import corpus, ledger, more, names, ranking, texts, wiki
 
-MODULES = (ranking, texts, ledger, wiki, corpus, more)
+MODULES = (ranking, texts, ledger, wiki, corpus, more, names)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: q for m in MODULES for name, q in m.ORACLE_SQL.items()}

@@ -14,7 +14,7 @@ import numpy as np
 
 from docloom.llm import kernels as K
 
-PLACES, MEMO_IDS, MEMO_STEMS = 1 << 22, 1 << 24, 300_000
+PLACES, MEMO_IDS, MEMO_STEMS = 1 << 21, 1 << 23, 100_000
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: First bytes of the UTF-8 forms of white space outside ASCII, with two and with three bytes.
 _SPACE_2, _SPACE_3 = 0xC2, (0xE1, 0xE2, 0xE3)

@@ -38,8 +38,8 @@ from docloom.llm.components import components
 from docloom.llm.store import written
 
 SIZE_RATIO, SPARE, CHUNK, FANOUT, LEADERS = 1.3, 0.15, 1024, 8, 8
-#: Bits of the filter of shared keys, at most.
-KEY_BITS = 1 << 29
+#: Bits of the filter of shared keys, at most, and keys looked at together.
+KEY_BITS, KEY_SLICE = 1 << 28, 1 << 17
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,9 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     """Rows (rep, key, strong) of keys that more than one class may have."""
 
     def all_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column("keys").flatten().to_numpy().view(np.uint64)
+        values = batch.column("keys").flatten().to_numpy().view(np.uint64)
+        for lo in range(0, len(values), KEY_SLICE):
+            yield values[lo : lo + KEY_SLICE]
 
     n_keys = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
     sent = classes.sparkSession.sparkContext.broadcast(twice_seen(classes.select("keys"), all_keys, n_keys, KEY_BITS))
@@ -154,12 +156,14 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("keys")
-            values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            strong = place < batch.column("n_strong").to_numpy()[row]
-            hit = np.flatnonzero(may_repeat(sent.value, values.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row[hit])), pa.array(values[hit]), pa.array(strong[hit])], names=["rep", "key", "strong"])
+            values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            n_strong = batch.column("n_strong").to_numpy()
+            for lo in range(0, len(values), KEY_SLICE):
+                part = values[lo : lo + KEY_SLICE]
+                hit = np.flatnonzero(may_repeat(sent.value, part.view(np.uint64)))
+                row = np.searchsorted(at, hit + lo, side="right") - 1
+                strong = hit + lo - at[row] < n_strong[row]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(part[hit]), pa.array(strong)], names=["rep", "key", "strong"])
 
     return classes.select("rep", "keys", "n_strong").mapInArrow(run, "rep long, key long, strong boolean")
 

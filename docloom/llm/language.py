@@ -186,9 +186,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs:
     """Learns from documents that in_training picks; about sample_docs of each language, whole texts."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     rows = rows.filter(in_training("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(sample_docs)) / F.count("*")).alias("share"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    if not counts:
+        return Model({})
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, sample_docs / r.n)])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(share, F.col("lang") == F.col("of")).filter(draw < F.col("share")).select("lang", "text")
+    sample = rows.filter(draw < share[F.col("lang")]).select("lang", "text")
     sums = sample.mapInArrow(_count, "lang string, counts binary").repartition("lang").mapInArrow(_add, "lang string, counts binary")
     return Model({r.lang: np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64) for r in sums.collect()})  # a row a language
 

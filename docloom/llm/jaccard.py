@@ -37,7 +37,7 @@ from docloom.llm.bloom import may_repeat, twice_seen
 from docloom.llm.components import components
 from docloom.llm.store import written
 
-SIZE_RATIO, SPARE, CHUNK, FANOUT, LEADERS = 1.3, 0.15, 1024, 8, 8
+SIZE_RATIO, SPARE, CHUNK, FANOUT, LEADERS = 1.3, 0.15, 4096, 8, 8
 #: Bits of the filter of shared keys, at most, and keys looked at together.
 KEY_BITS, KEY_SLICE = 1 << 28, 1 << 17
 

@@ -5,7 +5,8 @@ trees: median splits on the widest side down to small leaves, every node with it
 score inside a box is q+ . high + q- . low, with the positive and negative parts of the query. A query first goes
 down to its most promising leaf, then nodes whose bound is below its k-th score so far are pruned level by level,
 and the remaining leaves are visited best first. The k-th score is carried from tree to tree. Equal vectors of a
-tree are one point with its k + 1 smallest ids. The best k of every task meet in a window over the query.
+tree are one point with its k + 1 smallest distinct ids, at most k rows of each: a query leaves out all rows of its own
+id, and k others remain. The best k of every task meet in a window over the query.
 
 Nulls: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id.
 Vectors only meet vectors of their length. Rows that share a query's id are its own rows, and a query id is one
@@ -26,14 +27,19 @@ NO_ID = (1 << 63) - 1
 
 
 class KdTree:
-    """A balanced tree over distinct points; levels[d] holds the boxes (low, high) of the nodes of depth d."""
+    """A balanced tree over distinct points, each with the rows of its keep smallest ids; levels[d] holds the boxes (low, high) of the nodes of depth d."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, keep: int):
         rows = np.ascontiguousarray(points).view(np.dtype((np.void, max(1, points.shape[1] * points.itemsize)))).ravel() if points.shape[1] else np.zeros(len(points), np.int8)
         _, first, group = np.unique(rows, return_index=True, return_inverse=True)
         by_id = np.lexsort((ids, group))
-        place = np.arange(len(ids)) - np.searchsorted(group[by_id], group[by_id])
-        by_id = by_id[place < keep]
+        groups, own = group[by_id], ids[by_id]
+        new = np.ones(len(own), bool)
+        new[1:] = (groups[1:] != groups[:-1]) | (own[1:] != own[:-1])
+        place = np.cumsum(new)
+        copy = np.arange(len(own)) - np.flatnonzero(new)[place - 1]
+        place = place - place[np.searchsorted(groups, groups)]
+        by_id = by_id[(place < keep) & (copy < keep - 1)]
         self.points = points[first]
         members, owner = ids[by_id], group[by_id]
 

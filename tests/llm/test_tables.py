@@ -48,6 +48,19 @@ def test_tree_search_over_many_leaves(copies):
         assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == want
 
 
+def test_repeated_rows_in_a_group_of_copies(spark):
+    """A query whose own rows are among more than k equal vectors, and a neighbour with more than k rows."""
+    from pyspark.sql import functions as F
+
+    own = [0.75, -0.5]
+    rows = [(0, own)] * 6 + [(i, own) for i in range(1, 31)] + [(40, [-0.5, 0.75])] * 3 + [(i, [-0.5, 0.75]) for i in range(41, 50)]
+    rows += [(51, [0.25, 0.25])] * 24 + [(i, [0.25, 0.25]) for i in range(52, 60)] + [(i, [-1.0, -1.0]) for i in range(61, 70)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (1, 5, 20):
+        got = top_k(vectors, F.col("vec_id") % 20 == 0, k=k).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, k)
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     """The targets by sharing out, stopping full sources and sharing their excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s))

@@ -1,6 +1,6 @@
 """Language identification of mixed text, by spans.
 
-A word's script, from the ranges of its first letter, narrows the languages it can be in; its byte trigrams and
+A word's script, that of its first letter, narrows the languages it can be in; its byte trigrams and
 tetragrams, hashed into tables learned from labelled documents, score each of those; Viterbi with a penalty for
 every switch labels the words, and runs of one label are spans. A document's language is the label of most of its
 words that have letters, and its score their share. All documents of a chunk go through Viterbi together, a step
@@ -15,6 +15,7 @@ from. Rows without a language, a text or an id are not learned from. Repeated ro
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -29,21 +30,22 @@ from docloom.llm import kernels as K
 SAMPLE_DOCS, SLOTS, SWITCH, TEMPER, RARE_SCRIPT, RULED_OUT = 3000, 1 << 15, 6.0, 0.5, 0.002, -30.0
 CHUNK_BYTES = 2 << 20
 UNKNOWN = "und"
-#: The first code point of each range and the script it starts ("" for characters that are no letters).
+#: The first code point of each range and the script of its letters ("" where there are hardly any).
 RANGES = [
     (0x00, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xAA, "latin"), (0xAB, ""), (0xB5, "latin"),
     (0xB6, ""), (0xBA, "latin"), (0xBB, ""), (0xC0, "latin"), (0xD7, ""), (0xD8, "latin"), (0xF7, ""), (0xF8, "latin"),
     (0x2B0, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"),
     (0x700, "other"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"), (0xE00, "thai"), (0xE80, "other"),
     (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""),
-    (0x2C00, "other"), (0x3000, ""), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"),
+    (0x2C00, "other"), (0x3000, ""), (0x3005, "han"), (0x3007, ""), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"),
     (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD800, ""), (0xF900, "han"), (0xFB00, "other"),
-    (0xFE00, ""), (0xFE70, "arabic"), (0xFF00, ""), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, ""), (0x10000, "other"),
+    (0xFE00, ""), (0xFE70, "arabic"), (0xFF00, ""), (0xFF21, "latin"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, ""), (0x10000, "other"),
 ]
 SCRIPTS = sorted({s for _, s in RANGES})
-_RANGE_STARTS = np.array([a for a, _ in RANGES])
-_RANGE_SCRIPT = np.array([SCRIPTS.index(s) for _, s in RANGES], np.int8)
 NO_SCRIPT = SCRIPTS.index("")
+#: The script of each code point. What is no letter, such as marks, digits and emoji inside a range, has none.
+_SCRIPT_OF = np.repeat(np.array([SCRIPTS.index(s or "other") for _, s in RANGES], np.int8), np.diff([a for a, _ in RANGES] + [sys.maxunicode + 1]))
+_SCRIPT_OF[~np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool)] = NO_SCRIPT
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
@@ -65,7 +67,7 @@ class Scored:
         script = np.full(len(data), NO_SCRIPT, np.int8)
         points = code_points(data)
         real = points >= 0
-        script[real] = _RANGE_SCRIPT[np.searchsorted(_RANGE_STARTS, points[real], side="right") - 1]
+        script[real] = _SCRIPT_OF[points[real]]
         letters = np.append(np.flatnonzero(script != NO_SCRIPT), len(data))
         first = letters[np.searchsorted(letters, self.starts)]
         self.script = np.where(first < self.ends, script[np.minimum(first, max(len(data) - 1, 0))] if len(data) else NO_SCRIPT, NO_SCRIPT)
@@ -217,20 +219,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", switch: floa
         votes = np.bincount(row[lettered] * n + labels[lettered], minlength=rows * n).reshape(rows, n)
         langs, shares, spans = [], [], []
         change = np.flatnonzero(np.diff(labels)) + 1
-        raw = None
         for i in range(rows):
             total = int(votes[i].sum())
             a, b = int(scored.at[i]), int(scored.at[i + 1])
             if not total:
-                raw = data.tobytes() if raw is None else raw
-                if not any(c.isalpha() for c in raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")):
-                    langs.append(UNKNOWN)
-                    shares.append(0.0)
-                    spans.append([])
-                    continue
+                langs.append(UNKNOWN)
+                shares.append(0.0)
+                spans.append([])
+                continue
             top = int(votes[i].argmax())
             langs.append(model.langs[top])
-            shares.append(float(votes[i][top]) / total if total else 0.0)
+            shares.append(float(votes[i][top]) / total)
             cuts = [a, *change[np.searchsorted(change, a, "right") : np.searchsorted(change, b, "left")].tolist(), b]
             spans.append([{"start": x - a, "end": y - a, "lang": model.langs[labels[x]]} for x, y in zip(cuts, cuts[1:])])
         return langs, shares, spans

@@ -201,6 +201,20 @@ def test_pieces_equal_greedy_longest_match(spark):
     assert sorted(((r.doc_id, r.n_words) for r in got), key=str) == sorted(((i, len(WORD.findall(t or ""))) for i, t, *_ in rows), key=str)
 
 
+def test_language_needs_a_letter(spark):
+    learned = [(i, "дом лес река" if i % 2 else "the wing thing", "zz" if i % 2 else "xx") for i in range(80)]
+    bare = ["\U0001f600 \U0001f680\U0001f600", "٣٤٥ ١٢", "१२३ ४५", "๑๒๓", "\u0300\u0301 \u0308", "،؛؟", "। ॥", "12 \U0001d7d8", "\u20ac \u2603", "\ufe0f"]
+    lettered = ["\U0001f600 the", "\u0301дом", "１２ ａ", "々", "ⁿ", "\U00020000", "ª"]
+    rows = learned + [(100 + i, t, None) for i, t in enumerate(bare)] + [(200 + i, t, None) for i, t in enumerate(lettered)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify(docs, fit(docs, "doc_id", "text", "lang")).collect()}
+    for i, t in enumerate(bare):
+        assert (got[100 + i].lang_pred, got[100 + i].score, got[100 + i].spans) == ("und", 0.0, []), t
+    for i, t in enumerate(lettered):
+        assert got[200 + i].lang_pred in ("xx", "zz") and got[200 + i].score == 1.0, t
+    assert [got[i].lang_pred for i in (200, 201)] == ["xx", "zz"]
+
+
 def test_language_spans(spark):
     rnd = random.Random(3)
     stems = {"xx": ["tion", "ing", "the", "wh"], "yy": ["schö", "ung", "lich", "keit"], "zz": ["дом", "лес", "рек", "мир"]}

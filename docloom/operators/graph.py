@@ -23,18 +23,25 @@ def active_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, rounds: int = 3, most: int = 200) -> DataFrame:
-    """Rows (query_id, page_id, depth): pages within so many steps of a query's seeds, either way along edges; each
-    round follows at most so many edges a query, the most confident first."""
-    ways = edges.select(F.col("from_page_id").alias("page_id"), F.col("to_page_id").alias("next"), "confidence")
-    ways = ways.union(edges.select(F.col("to_page_id"), F.col("from_page_id"), "confidence"))
+    """Rows (query_id, page_id, depth): pages within so many steps of a query's seeds, either way along edges. All
+    rounds together follow at most so many edges a query, in each round the most confident first; edges back to pages
+    seen before the frontier take no place, and an edge inside the frontier takes one."""
+    edges = edges.distinct()
+    rest = [c for c in edges.columns if c not in ("from_page_id", "to_page_id", "confidence")]
+    ways = edges.withColumns({"page_id": F.col("from_page_id"), "next": F.col("to_page_id")})
+    ways = ways.union(edges.withColumns({"page_id": F.col("to_page_id"), "next": F.col("from_page_id")}))
     seen = seeds.select("query_id", "page_id").distinct().withColumn("depth", F.lit(0))
+    used = seen.select("query_id").distinct().withColumn("used", F.lit(0))
     frontier = seen
     for depth in range(1, rounds + 1):
-        steps = frontier.select("query_id", "page_id").join(ways, "page_id")
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "page_id", "next"))
-        taken = steps.withColumn("k", place).filter(F.col("k") <= most)
-        new = taken.select("query_id", F.col("next").alias("page_id")).distinct().join(seen, ["query_id", "page_id"], "left_anti")
-        frontier = written(new.withColumn("depth", F.lit(depth)))
+        before = seen.filter(F.col("depth") < depth - 1).select("query_id", F.col("page_id").alias("next"))
+        steps = frontier.select("query_id", "page_id").join(ways, "page_id").join(before, ["query_id", "next"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "from_page_id", "to_page_id", *rest))
+        ranked = steps.select("query_id", *edges.columns).distinct().withColumn("k", place).filter(F.col("k") <= most)
+        taken = written(ranked.join(used, "query_id").filter(F.col("used") + F.col("k") <= most).select("query_id", "from_page_id", "to_page_id"))
+        used = used.union(taken.select("query_id", F.lit(1))).groupBy("query_id").agg(F.sum("used").alias("used"))
+        ends = taken.select("query_id", F.explode(F.array("from_page_id", "to_page_id")).alias("page_id")).distinct()
+        frontier = written(ends.join(seen, ["query_id", "page_id"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.union(frontier)
     return seen
 

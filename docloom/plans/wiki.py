@@ -38,7 +38,7 @@ def gr1_active_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gr3_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = _pages(spark, sf_dir).filter("page_id % 50 = 1").select(F.col("page_id").alias("query_id"), "page_id")
     edges = _links(spark, sf_dir).filter("relation <> 'r2'").dropDuplicates(["from_page_id", "to_page_id"]).withColumn("confidence", (F.col("from_page_id") * 13 + F.col("to_page_id")) % 1000 / 1000)
-    return graph.neighbourhood(seeds, edges, rounds=2, most=20)
+    return graph.neighbourhood(seeds, edges)
 
 
 def gr6_source_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,38 @@ def test_replayed_links(spark):
     assert sorted((r.target, r.entry_id) for r in replay.supported_links(events).collect()) == [("t", "e2"), ("v", "e1")]
 
 
+def brute_neighbourhood(seeds, edges, rounds, most):
+    """One query's expansion, link by link."""
+    seen, frontier, left = dict.fromkeys(seeds, 0), set(seeds), most
+    for depth in range(1, rounds + 1):
+        closed = set(seen) - frontier
+        near = [e for e in set(edges) if (e[0] in frontier and e[1] not in closed) or (e[1] in frontier and e[0] not in closed)]
+        taken = sorted(near, key=lambda e: (-e[2], e[0], e[1]))[:left]
+        left -= len(taken)
+        frontier = {p for e in taken for p in e[:2]} - set(seen)
+        seen |= dict.fromkeys(frontier, depth)
+    return seen
+
+
+def test_neighbourhood(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randint(0, 60), rnd.randint(0, 60), rnd.randint(0, 20) / 20) for _ in range(150)] + [(100 + i, 101 + i, 0.5) for i in range(6)]
+    starts = {"a": [1, 2, 3], "b": [4], "c": [100], "d": [999]}
+    table = spark.createDataFrame(edges + edges[:9], "from_page_id long, to_page_id long, confidence double")
+    seeds = spark.createDataFrame([(q, p) for q, pages in starts.items() for p in pages], "query_id string, page_id long")
+    for rounds, most in ((3, 12), (3, 25), (2, 6)):
+        want = sorted((q, p, d) for q, pages in starts.items() for p, d in brute_neighbourhood(pages, edges, rounds, most).items())
+        assert sorted(tuple(r) for r in graph.neighbourhood(seeds, table, rounds, most).collect()) == want
+
+
+def test_neighbourhood_query_reaches_depth_three(spark, tmp_path):
+    from docloom.plans import wiki
+
+    spark.createDataFrame([(i,) for i in range(1, 201)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([((i * 3 + i // 5) % 200 + 1, i) for i in range(1, 301)], "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.depth for r in wiki.gr3_neighbourhood(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+
+
 def test_descendants_stop_at_cycles(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "node long, parent long")
     got = sorted(tuple(r) for r in graph.descendants(tree, tree.filter("node IN (1, 4)").select("node")).collect())

@@ -127,7 +127,7 @@ def us7_without_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa6_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
     pages = table(spark, sf_dir, "orders").select((o % 2).alias("run"), F.col("o_custkey").alias("document_id"), o.alias("page_id"), (o % 3).alias("head"))
-    links = table(spark, sf_dir, "lineitem").filter("l_linenumber = 5").select((F.col("l_orderkey") % 2).alias("run"), F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
+    links = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2).alias("run"), F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
     return concepts.granularity(pages, links)
 
 

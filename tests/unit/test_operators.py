@@ -148,6 +148,19 @@ def test_judged_pairs(spark):
     assert got == {"a": ("merge", "y", []), "b": ("link", None, ["x", "y"]), "c": ("new", None, [])}
 
 
+def test_latest_state_query_applies_every_event(spark, tmp_path):
+    from docloom.plans import more, wiki
+
+    ts = "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id)"
+    spark.range(1, 13).selectExpr("id AS event_id", "(id - 1) DIV 3 AS user_id", "'view' AS event_type", f"{ts} AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.document_id: r.revision for r in wiki.st2_latest_state(spark, str(tmp_path)).collect()} == {0: 3, 1: 6, 2: 9, 3: 12}
+    spark.createDataFrame([(i, 1) for i in range(1, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    line = spark.createDataFrame([(i, i, i) for i in range(1, 8)], "l_orderkey long, l_partkey long, l_linenumber int")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {str(r.run): r.unlinked for r in more.qa6_granularity(spark, str(tmp_path)).collect()}
+    assert got == {"0": 1, "1": 0}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(3)
     event = lambda d, r: json.dumps({"document_id": d, "workspace_id": "w" + d[-1:], "revision": r, "content_hash": f"h{r}", "created_at": "2024-01-01T00:00:00Z"})

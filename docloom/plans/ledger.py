@@ -78,9 +78,10 @@ def qa2_rag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select("variant", "category", "runs", *[F.round(c, 6).alias(c) for c in summary.columns[3:]])
 
 
-def em3_newest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return usage.newest(rows, 20, "user_id", F.desc("ts"), F.col("event_id")).select("user_id", "event_id")
+def em3_newest_vectors(spark: SparkSession, sf_dir: str, n: int = 20_000) -> DataFrame:
+    """Events as cached vectors, users dealt to three workspaces."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("workspace_id"), "user_id", "event_id", "ts")
+    return usage.newest(rows, n, "workspace_id", F.desc("ts"), F.col("event_id")).select("user_id", "event_id")
 
 
 QUERIES = {

@@ -161,6 +161,15 @@ def test_latest_state_query_applies_every_event(spark, tmp_path):
     assert got == {"0": 1, "1": 0}
 
 
+def test_newest_vectors_of_a_workspace(spark, tmp_path):
+    from docloom.plans import ledger
+
+    spark.range(60).selectExpr("id AS event_id", "id % 2 * 3 AS user_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id DIV 4) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    keep = lambda *n: sorted(r.event_id for r in ledger.em3_newest_vectors(spark, str(tmp_path), *n).collect())
+    assert keep() == list(range(60))
+    assert keep(6) == [52, 53, 56, 57, 58, 59]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(3)
     event = lambda d, r: json.dumps({"document_id": d, "workspace_id": "w" + d[-1:], "revision": r, "content_hash": f"h{r}", "created_at": "2024-01-01T00:00:00Z"})

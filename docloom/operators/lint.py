@@ -103,10 +103,17 @@ def resolved_names(incoming: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def judged_pairs(pairs: DataFrame, related_at: float = 0.9) -> DataFrame:
-    """Decisions from pair judgements: the best `same` merges, else all `related` of enough probability link, else new."""
+    """Decisions from pair judgements: the best `same` merges, else all `related` of enough probability link, else new.
+    A merge into what is itself merged would make a chain or cycle and is dropped, which leaves a new one."""
     best = F.max_by("candidate_slug", F.when(F.col("choice") == "same", F.struct("probability", F.col("candidate_slug"))))
     links = F.collect_list(F.when((F.col("choice") == "related") & (F.col("probability") >= related_at), F.struct((-F.col("probability")).alias("p"), "candidate_slug")))
     sums = pairs.groupBy("incoming_slug").agg(best.alias("merge_into"), F.array_sort(links).alias("links"))
     decision = F.when(F.col("merge_into").isNotNull(), "merge").when(F.size("links") > 0, "link").otherwise("new")
     linked = F.when(decision == "link", F.transform("links", lambda x: x["candidate_slug"])).otherwise(F.array().cast("array<string>"))
-    return sums.select("incoming_slug", decision.alias("decision"), "merge_into", linked.alias("link_to"))
+    decided = sums.select("incoming_slug", decision.alias("decision"), "merge_into", linked.alias("link_to"))
+    merged = decided.filter("decision = 'merge'").select(F.col("incoming_slug").alias("merged"))
+    chained = F.col("merge_into").isNotNull() & F.col("merged").isNotNull()
+    key = F.coalesce("merge_into", "incoming_slug")  # nulls would all meet in one task
+    return decided.join(merged, key == F.col("merged"), "left").select(
+        "incoming_slug", F.when(chained, "new").otherwise(F.col("decision")).alias("decision"), F.when(~chained, F.col("merge_into")).alias("merge_into"), "link_to"
+    )

@@ -170,6 +170,15 @@ def test_newest_vectors_of_a_workspace(spark, tmp_path):
     assert keep(6) == [52, 53, 56, 57, 58, 59]
 
 
+def test_judged_pairs_drop_chained_merges(spark):
+    same = lambda a, b, p=0.9: (a, b, "same", p)
+    rows = [same("a", "b"), same("b", "c"), same("d", "e"), same("e", "d"), same("f", "g"), ("g", "h", "related", 0.95), same("i", "b", 0.5), same("i", "z", 0.6)]
+    pairs = spark.createDataFrame(rows, "incoming_slug string, candidate_slug string, choice string, probability double")
+    got = {r.incoming_slug: (r.decision, r.merge_into, r.link_to) for r in lint.judged_pairs(pairs).collect()}
+    new = ("new", None, [])
+    assert got == {"a": new, "b": ("merge", "c", []), "d": new, "e": new, "f": ("merge", "g", []), "g": ("link", None, ["h"]), "i": ("merge", "z", [])}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(3)
     event = lambda d, r: json.dumps({"document_id": d, "workspace_id": "w" + d[-1:], "revision": r, "content_hash": f"h{r}", "created_at": "2024-01-01T00:00:00Z"})

@@ -87,7 +87,7 @@ class WordMemo:
         """All rows' ids one after another, and the rows' offsets among them."""
         begins = chunk_starts(data, offsets)
         ends = np.append(begins[1:], len(data))
-        keys = K.byte_spans(data)(begins, ends)
+        keys = K.span_hashes(data, begins, ends)
         at, known = self._find(keys)
         starts, lengths = self.starts[at], self.lengths[at].astype(np.int64)
         if not known.all():

@@ -6,20 +6,22 @@ shingles, so of d + 1 buckets of the hash space at least one holds the same shin
 into a few more buckets than that, the d + 1 fullest are its strong keys and the rest its weak ones; a link
 shares a key that is strong in one of the two. Sizes are handled in classes of ratio SIZE_RATIO; a set also emits
 the keys of the next larger class if a partner can be there. Keys of whole buckets are equal for near copies
-and hardly ever else; a Bloom filter of bounded size drops most keys that only one class has before any is shuffled.
-All classes that share some key of which one class is the smallest are that class's block, so any two classes that
-share a key share a block; a class can be in several.
+and hardly ever else. Keys go, 39 bits of each, to the owner of their segment (see bloom), which names each shared
+key's smallest document, its hub: all classes with keys of one hub are that hub's block, so any two classes that
+share a key share a block; a class can be in several. Owners hold a bounded number of keys whatever the input, and
+a hot key reaches its owner once from every flush of a task.
 
 Each block is joined with itself by signature trees: leaves hold a set's token bitmap and size, inner nodes the
 OR of the bitmaps, the range of sizes and the most tokens that bits can hide. A dual traversal follows pairs of
 nodes and drops a pair if the largest overlap its bitmaps and sizes allow is below what the smallest sizes need,
 or if all its documents are in one component already; pairs of leaves are verified on the full sets. Blocks of
-more than CHUNK sets are dealt out in chunks that each also hold the block's smallest class. What has then been
+more than CHUNK shingles are dealt out in chunks that each also hold the block's smallest class. What has then been
 linked to that class needs no more comparing within itself; the rest is compared with everything, by pairs
 of chunks. So a huge group of near copies costs a pass, not all pairs, and no link is lost.
 
 Nulls: texts without words have the empty set and link with nothing. Rows with a null id are never linked. Rows
-that share an id are one document with the links of each. An empty table gives an empty result.
+that share an id are one document with the links of each. An empty table gives an empty result. Columns other than
+the id and the text are not looked at. A text is hashed as a whole, at about 40 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -33,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels as K
-from docloom.llm.bloom import may_repeat, twice_seen
+from docloom.llm.bloom import HEAD, KNOWN, SINGLE, dealt, unpacked
 from docloom.llm.components import components
-from docloom.llm.store import written
+from docloom.sources.store import forget, written
 
-SIZE_RATIO, SPARE, CHUNK, FANOUT, LEADERS = 1.3, 0.15, 4096, 8, 8
-#: Bits of the filter of shared keys, at most, and keys looked at together.
-KEY_BITS, KEY_SLICE = 1 << 28, 1 << 17
+SIZE_RATIO, SPARE, FANOUT, LEADERS = 1.3, 0.15, 8, 8
+#: Shingles of a chunk of a block, where each set counts SET_COST more for its bitmap.
+CHUNK, SET_COST = 1 << 20, 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +49,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     data = K.LOWER[data]
     starts, ends, at = K.words(data, offsets)
     counts = np.diff(at)
-    rows = np.arange(len(counts))
-    words = K.byte_spans(data)(starts, ends)
-    spans = K.Spans(words)
-    first = np.arange(len(words))
-    row_of = np.repeat(rows, counts)
-    first = first[first + n <= at[1:][row_of]]
-    short = rows[(counts > 0) & (counts < n)]
-    row = np.concatenate([row_of[first], short])
-    hashes = np.concatenate([spans(first, first + n), spans(at[:-1][short], at[1:][short])])
+    words = K.span_hashes(data, starts, ends)
+    row_of = np.repeat(np.arange(len(counts)), counts)
+    first = np.flatnonzero(np.arange(len(words)) + n <= at[1:][row_of])
+    row, hashes = row_of[first], K.gram_hashes(words, n)[first]
+    for k in range(1, n):
+        short = np.flatnonzero(counts == k)
+        if len(short):
+            own = K.gram_hashes(K.ragged(words, at[short], counts[short]), k)[::k]
+            row, hashes = np.concatenate([row, short]), np.concatenate([hashes, own])
     order = np.lexsort((hashes, row))
     row, hashes = row[order], hashes[order]
     new = np.ones(len(row), bool)
@@ -119,53 +121,99 @@ def keys(hashes: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarr
     return key[out], np.concatenate([[0], np.cumsum(n_keys)]), np.bincount(row[part][strong], minlength=len(sizes))
 
 
-def describe(docs: DataFrame, n: int, classes: Classes | None) -> DataFrame:
-    """Rows (doc_id, n_shingles, f1, f2), and with classes given keys and n_strong; f1 and f2 are a 128-bit fingerprint
-    of the set."""
-    names = ["doc_id", "n_shingles", "f1", "f2"] + ["keys", "n_strong"] * (classes is not None)
+def prints(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A 128-bit fingerprint of each set, as two numbers."""
+    out = []
+    for values in (hashes, K.mix(hashes ^ K.U(0xA5A5))):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values, out=sums[1:])
+        out.append(K.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
+    return out
+
+
+def describe(docs: DataFrame, n: int) -> DataFrame:
+    """Rows (doc_id, n_shingles, f1, f2); f1 and f2 are the fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
                 hashes, at = shingle_sets(data, offsets, n)
-                sums = np.zeros((2, len(hashes) + 1), np.uint64)
-                np.cumsum(hashes, out=sums[0, 1:])
-                np.cumsum(K.mix(hashes ^ K.U(0xA5A5)), out=sums[1, 1:])
-                prints = [K.mix(s[at[1:]] - s[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64) for s in sums]
-                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints)]
-                if classes is not None:
-                    key, key_at, n_strong = keys(hashes, at, classes)
-                    columns += [pa.ListArray.from_arrays(pa.array(key_at, pa.int32()), pa.array(key.view(np.int64))), pa.array(n_strong, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints(hashes, at))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2"])
 
-    kinds = "doc_id long, n_shingles long, f1 long, f2 long" + ", keys array<long>, n_strong int" * (classes is not None)
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """Rows (rep, key, strong) of keys that more than one class may have."""
+ENTRY = {"doc": "near", "tag": "tiny"}
 
-    def all_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        values = batch.column("keys").flatten().to_numpy().view(np.uint64)
-        for lo in range(0, len(values), KEY_SLICE):
-            yield values[lo : lo + KEY_SLICE]
 
-    n_keys = classes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    sent = classes.sparkSession.sparkContext.broadcast(twice_seen(classes.select("keys"), all_keys, n_keys, KEY_BITS))
+def _entries(n: int, classes: Classes):
+    """Finds (key, document, tag) for the keys of a batch's sets, each different set once; tags hold bits 32 to 38 of the key
+    and, lowest, whether it is strong."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("keys")
-            values, at = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            n_strong = batch.column("n_strong").to_numpy()
-            for lo in range(0, len(values), KEY_SLICE):
-                part = values[lo : lo + KEY_SLICE]
-                hit = np.flatnonzero(may_repeat(sent.value, part.view(np.uint64)))
-                row = np.searchsorted(at, hit + lo, side="right") - 1
-                strong = hit + lo - at[row] < n_strong[row]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(part[hit]), pa.array(strong)], names=["rep", "key", "strong"])
+    def find(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        seen: set[int] = set()
+        for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
+            hashes, at = shingle_sets(data, offsets, n)
+            sizes, fresh = np.diff(at), []
+            for i, f in enumerate(prints(hashes, at)[0].tolist()):
+                if sizes[i] and f not in seen:
+                    seen.add(f)
+                    fresh.append(i)
+            own = np.array(fresh, np.int64)
+            lengths = sizes[own]
+            key, key_at, n_strong = keys(K.ragged(hashes, at[own], lengths), np.concatenate([[0], np.cumsum(lengths)]), classes)
+            n_keys = np.diff(key_at)
+            strong = np.arange(len(key)) - np.repeat(key_at[:-1], n_keys) < np.repeat(n_strong, n_keys)
+            doc = batch.column("doc_id").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[own]
+            yield [key, np.repeat(doc, n_keys), ((key >> np.uint64(32) & np.uint64(127)) << np.uint64(1)).astype(np.uint8) | strong]
+
+    return find
+
+
+def _heads(columns: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+    """For each run of equal keys its smallest document, and strong if one of them is."""
+    return [columns[1][starts], np.bitwise_or.reduceat(columns[2], starts)]
 
-    return classes.select("rep", "keys", "n_strong").mapInArrow(run, "rep long, key long, strong boolean")
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, a, b): single documents and their hubs, keys with heads and their hubs, keys and known documents."""
+
+    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int8()), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+    for group in K.grouped(batches, ["deal"]):
+        kind, parts = group.column("kind").to_numpy(), []
+        for k in (SINGLE, HEAD, KNOWN):
+            segment, (low, doc, tag) = unpacked(group.filter(pa.array(kind == k)), ENTRY)
+            tag = tag.view(np.uint8).astype(np.int64)
+            parts.append(((segment.astype(np.int64) << 39) | (tag >> 1 << 32) | low.view(np.uint32).astype(np.int64), doc, tag & 1))
+        if len(parts[KNOWN][0]):
+            yield out(KNOWN, *parts[KNOWN][:2])
+        key, doc, strong = (np.concatenate(x) for x in zip(parts[SINGLE], parts[HEAD]))
+        if not len(key):
+            continue
+        is_head = np.arange(len(key)) >= len(parts[SINGLE][0])
+        order = np.lexsort((doc, key))
+        key, doc, strong, is_head = key[order], doc[order], strong[order], is_head[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.append(starts, len(key)))
+        headed = np.bitwise_or.reduceat(is_head, starts)
+        good = (np.bitwise_or.reduceat(strong, starts) > 0) & ((sizes > 1) | headed)
+        hub = np.repeat(doc[starts], sizes)
+        star = np.repeat(good, sizes) & ~is_head & (doc != hub)
+        ends = np.unique(np.stack([doc[star], hub[star]], axis=1), axis=0)
+        yield out(SINGLE, ends[:, 0], ends[:, 1])
+        yield out(HEAD, key[starts][good & headed], doc[starts][good & headed])
+
+
+def stars(docs: DataFrame, n: int, classes: Classes, n_keys: int) -> DataFrame:
+    """Rows (a, b): documents and the hubs of their shared keys."""
+    found = written(dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True, head=_heads).mapInArrow(_stars, "kind tinyint, a long, b long"))
+    single = found.filter(F.col("kind") == SINGLE).select("a", "b")
+    hubs = found.filter(F.col("kind") == HEAD).select(F.col("a").alias("key"), F.col("b").alias("hub"))
+    known = found.filter(F.col("kind") == KNOWN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
+    return single.union(known.join(hubs, "key").filter("doc <> hub").select("doc", "hub")).distinct()
 
 
 class Tree:
@@ -315,36 +363,13 @@ def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in the named columns, of batches that are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        change = np.zeros(batch.num_rows, bool)
-        for x in columns:
-            change[1:] |= x[1:] != x[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts, cuts[1:]):
-            key = tuple(x[lo] for x in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(lo, hi - lo))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _within(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["block", "chunk"]):
+        for group in K.grouped(batches, ["block", "chunk"]):
             ids = group.column("doc_id").to_numpy()
             sets = Sets(*_sets(group.column("text").combine_chunks(), n), np.arange(len(ids)))
             found = list(join(sets, None, num, den))
@@ -356,7 +381,7 @@ def _within(n: int, num: int, den: int):
 
 def _between(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["block", "left", "right"]):
+        for group in K.grouped(batches, ["block", "left", "right"]):
             side = group.column("side").to_numpy()
             ids, labels = group.column("doc_id").to_numpy(), group.column("label").to_numpy()
             _, labels = np.unique(labels, return_inverse=True)
@@ -377,51 +402,59 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     """Rows (doc_id, n_shingles, component_id): each row's number of distinct n-word shingles (A-Z lower-cased) and
     the smallest id reachable over links of similarity num / den or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(describe(docs, n, None))
-    sets = describe(docs, n, Classes(num, den)).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n_shingles")
-    classes = written(sets.agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_strong").alias("n_strong")))
-
-    bucket_keys = shared_keys(classes)
-    hubs = bucket_keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other"), F.max("strong").alias("strong"))
-    hubs = hubs.filter("hub < other AND strong").select("key", "hub")
-    shared = bucket_keys.select("rep", "key").join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    stars = written(shared.distinct())
-    blocks = stars.select(F.col("a").alias("doc_id"), F.col("b").alias("block")).union(stars.select("b", "b").distinct())
-    blocks = written(blocks)
-
-    sizes = written(blocks.groupBy("block").agg(F.count("*").alias("in_block")))
-    sized = written(docs.join(blocks, "doc_id")).join(sizes, "block")
-    chunks = F.ceil(F.col("in_block") / chunk).cast("long")
-    own = F.pmod(F.xxhash64("doc_id"), chunks)
-    dealt = sized.select("block", own.alias("chunk"), "doc_id", "text")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda x: x != own)
-    first = sized.filter((F.col("doc_id") == F.col("block")) & (chunks > 1)).select("block", F.explode(others).alias("chunk"), "doc_id", "text")
-    dealt = dealt.union(first).repartition("block", "chunk").sortWithinPartitions("block", "chunk")
-    links = written(dealt.mapInArrow(_within(n, num, den), "a long, b long"))
-
-    large = sized.filter(chunks > 1).select("block", "doc_id", "text", "in_block")
+    described = written(describe(docs, n))
+    linkable = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    same = ["f1", "f2", "n_shingles"]
+    classes = written(linkable.groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    # Documents that others stand for; one with several texts also stands for itself.
+    of_several = linkable.groupBy("doc_id").agg(F.countDistinct(*same).alias("texts"))
+    copies = linkable.join(classes, same).filter("doc_id <> rep").select("doc_id", "rep").distinct().join(of_several, "doc_id")
+    copies = written(copies.select("doc_id", "rep", (F.col("texts") > 1).alias("several")))
+
+    sizes = Classes(num, den)
+    rate = (1 + SPARE) * 2 * (den - num) / (den + num) * 2
+    n_keys = int(rate * (described.agg(F.sum("n_shingles")).first()[0] or 0))
+    found = written(stars(docs.filter("doc_id IS NOT NULL"), n, sizes, n_keys))
+    for end in ("a", "b"):
+        known = copies.withColumnsRenamed({"doc_id": "copy", "rep": "of"})
+        stood_for = F.when(F.col("of").isNull(), F.array(end)).when(F.col("several"), F.array("of", end)).otherwise(F.array("of"))
+        found = found.join(known, F.col(end) == F.col("copy"), "left").withColumn(end, F.explode(stood_for)).select("a", "b")
+    members = found.select(F.col("a").alias("doc_id"), F.col("b").alias("block")).filter("doc_id <> block").distinct()
+    members = written(members.union(members.select("block", "block").distinct()))
+    weights = linkable.groupBy("doc_id").agg(F.sum(F.col("n_shingles") + SET_COST).alias("weight"))
+    members = written(members.join(weights, "doc_id"))
+    totals = members.groupBy("block").agg(F.ceil(F.sum("weight") / chunk).cast("long").alias("chunks"))
+    members = written(members.join(totals, "block"))
+
+    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
+    all_chunks = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    places = members.select("doc_id", "block", F.explode(F.when(F.col("doc_id") == F.col("block"), all_chunks).otherwise(F.array(own))).alias("chunk"))
+    dealt_texts = docs.join(places.hint("shuffle_hash"), "doc_id").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+    links = written(dealt_texts.mapInArrow(_within(n, num, den), "a long, b long"))
+
+    large = members.filter("chunks > 1")
     if large.take(1):
-        labels = components(links)
+        labels = written(components(links))
         named = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         named = named.join(labels.withColumnRenamed("node", "block"), "block", "left").withColumn("of_first", F.coalesce("component", "block")).drop("component")
         with_first = F.col("label") == F.col("of_first")
-        counts = written(named.groupBy("block", with_first.alias("first")).agg(F.ceil(F.count("*") / chunk).cast("long").alias("parts")))
-        firsts = counts.filter("first").select("block", F.col("parts").alias("firsts"))
-        rests = counts.filter("NOT first").select("block", F.col("parts").alias("rests"))
+        named = written(named.withColumn("first", with_first))
+        counts = named.groupBy("block").agg(*[F.ceil(F.sum(F.when(c, F.col("weight")).otherwise(0)) / chunk).cast("long").alias(x) for x, c in (("firsts", F.col("first")), ("rests", ~F.col("first")))])
         deal = F.xxhash64("doc_id")
-        placed = named.join(rests, "block").join(firsts, "block").withColumn("part", F.when(with_first, F.col("rests") + F.pmod(deal, F.col("firsts"))).otherwise(F.pmod(deal, F.col("rests"))))
+        part = F.when(F.col("first"), F.col("rests") + F.pmod(deal, F.col("firsts"))).otherwise(F.pmod(deal, F.col("rests")))
+        placed = named.join(counts.filter("rests > 0"), "block").withColumn("part", part)
         # Parts below rests are compared with all parts, themselves included; the others only with those.
         lefts = F.transform(F.sequence(F.lit(0).cast("long"), F.least("part", F.col("rests") - 1)), lambda x: F.struct(x.alias("left"), F.col("part").alias("right"), (x != F.col("part")).cast("int").alias("side")))
         rights = F.transform(F.sequence(F.col("part"), F.col("rests") + F.col("firsts") - 1), lambda x: F.struct(F.col("part").alias("left"), x.alias("right"), F.lit(0).alias("side")))
         pairs = F.when(F.col("part") < F.col("rests"), F.array_distinct(F.concat(lefts, rights))).otherwise(lefts)
-        sides = placed.select("block", "doc_id", "label", "text", F.explode(pairs).alias("p"))
-        sides = sides.select("block", "p.*", "doc_id", "label", "text")
-        sides = sides.repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
+        sides = placed.select("block", "doc_id", "label", F.explode(pairs).alias("p")).select("block", "p.*", "doc_id", "label")
+        sides = docs.join(sides.hint("shuffle_hash"), "doc_id").repartition("block", "left", "right").sortWithinPartitions("block", "left", "right")
         links = written(links.union(sides.mapInArrow(_between(n, num, den), "a long, b long")))
+        forget(labels, named)
 
-    ends = components(links)
-    names = classes.select("f1", "f2", "n_shingles", "rep").join(ends.withColumnRenamed("node", "rep"), "rep", "left")
-    names = written(names.select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
-    rows = described.select("doc_id", "n_shingles", "f1", "f2")
-    joined = rows.join(names, ["f1", "f2", "n_shingles"], "left")
+    ends = components(links.union(copies.filter("several").select("doc_id", "rep")))
+    names = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left")
+    names = written(names.select(*same, F.coalesce("component", "rep").alias("component_id")))
+    forget(classes, copies, members, links)
+    joined = described.join(names, same, "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

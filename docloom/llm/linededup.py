@@ -1,12 +1,14 @@
-"""Line dedup: two Bloom filters find lines that may repeat; only those are shuffled and confirmed.
+"""Line dedup: two Bloom filters find lines that may repeat; only those are confirmed and looked up.
 
-A filter of once-seen and one of twice-seen keys (see bloom) are merged over all documents and the twice-seen
-one, bounded in size, is broadcast; lines that hit it are suspects. Suspects carry a 128-bit digest of the key;
-grouping by digest confirms repeats across documents and picks the smallest document. Lines found in more than
+The filters of once-seen and twice-seen keys are cut into segments (see bloom), each sized by its own keys and held by
+one owner; lines that hit a twice-seen filter are suspects. Lines carry a 128-bit digest of their key;
+grouping suspects by digest confirms repeats across documents and picks the smallest document. Lines found in more than
 one in HOT_SHARE of all suspects, HOT_SHARE at most, learn their first document by broadcast, the others by join.
 
 Nulls: a null or empty text is one empty line. A null id is one document that comes after all others; rows that
-share an id are one document. Lines whose key is shorter than min_chars stay. An empty table gives an empty result.
+share an id are one document, and rows with equal ids and texts look up their lines together. Lines whose key is
+shorter than min_chars stay. An empty table gives an empty result. Other columns are kept, whatever their names. A text
+is split as a whole, at about 150 bytes for each of its lines.
 """
 
 from __future__ import annotations
@@ -17,12 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.bloom import may_repeat, twice_seen
-from docloom.llm.store import written
+from docloom.llm.bloom import suspects
+from docloom.sources.store import written
 
 HOT_SHARE = 1000
 STRIP = b" \t\n\x0b\x0c\r"
@@ -44,44 +45,35 @@ def texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
-def key_hashes(text: bytes, min_chars: int) -> tuple[list[bytes], list[int]]:
-    """A document's distinct keys and their hashes."""
-    keys = list({k for k in line_keys(text, min_chars) if k})
-    return keys, [xxhash.xxh3_64_intdigest(k) for k in keys]
+def digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def repeated_lines(docs: DataFrame, text_col: str, doc: F.Column, min_chars: int) -> DataFrame:
-    """Rows (doc, digest): lines to drop, those of a key that a document with a smaller id holds."""
-    rows = docs.select(doc.alias("doc"), F.col(text_col).cast("binary").alias("text"))
+def repeated_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Rows (doc, h, key, check) for the documents (doc, h, text): lines to drop, those of a digest that a document with a
+    smaller id holds. key and check are the halves of the digest."""
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
-    lines = docs.select(F.col(text_col).alias("text")).agg(F.sum(breaks + 1)).first()[0] or 0
-
-    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield np.array([h for t in texts(batch.column("text")) for h in key_hashes(t, min_chars)[1]], np.uint64)
-
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(rows, hashes_of, lines))
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, keys, hashes = [], [], []
-            for i, text in enumerate(texts(batch.column("text"))):
-                own, found = key_hashes(text, min_chars)
-                at += [i] * len(own)
-                keys += own
-                hashes += found
-            hit = np.flatnonzero(may_repeat(sent.value, np.array(hashes, np.uint64)))
-            digests = [hashlib.blake2b(keys[j], digest_size=16).digest() for j in hit]
-            ids = batch.column("doc").take(pa.array(np.asarray(at, np.int64)[hit]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary())], names=["doc", "digest"])
-
-    found = written(rows.mapInArrow(suspects, "doc long, digest binary"))
-    counted = found.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    confirmed = written(counted.filter("first < last").select("digest", "first", "n"))
+    lines = docs.agg(F.sum(breaks + 1)).first()[0] or 0
+
+    def find(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        found, counts = [], []
+        for text in texts(batch.column("text")):
+            own = {k for k in line_keys(text, min_chars) if k}
+            found += map(digest, own)
+            counts.append(len(own))
+        halves = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+        doc, h = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc", "h"))
+        yield [halves[:, 0], doc, h, halves[:, 1].view(np.int64)]
+
+    found = written(suspects(docs, find, {"doc": "near", "h": "long", "check": "long"}, lines))
+    counted = found.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    confirmed = written(counted.filter("first < last").select("key", "check", "first", "n"))
+    same = ["key", "check"]
     is_hot = F.col("n") * HOT_SHARE > found.count()
     hot = F.broadcast(confirmed.filter(is_hot).drop("n"))
-    by_broadcast = found.join(hot, "digest")
-    by_shuffle = found.join(hot, "digest", "left_anti").join(confirmed.filter(~is_hot).drop("n"), "digest")
-    return by_broadcast.union(by_shuffle).filter("doc > first").select("doc", "digest")
+    by_broadcast = found.join(hot, same)
+    by_shuffle = found.join(hot, same, "left_anti").join(confirmed.filter(~is_hot).drop("n"), same)
+    return by_broadcast.union(by_shuffle).filter("doc > first").select("doc", "h", *same)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
@@ -90,23 +82,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Keys of at least min_chars code points that two documents hold lose all their lines but those in the
     document with the smallest id, which must be an integer.
     """
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    drops = repeated_lines(docs, text_col, doc, min_chars).groupBy("doc").agg(F.collect_set("digest").alias("__drops")).withColumnRenamed("doc", "__doc")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept).withColumn("__id", doc).join(drops.hint("shuffle_hash"), F.col("__id") == F.col("__doc"), "left").drop("__id", "__doc")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), F.struct(*kept).alias("given"))
+    drops = repeated_lines(keyed.select("doc", "h", "text"), min_chars).groupBy("doc", "h").agg(F.flatten(F.collect_set(F.array("key", "check"))).alias("drops"))
+    joined = keyed.drop("text").join(drops.hint("shuffle_hash"), ["doc", "h"], "left").select("given.*", F.col("drops").alias("n_dropped"))
     schema = docs.select(*kept).schema.add("n_lines", "long").add("n_dropped", "long")
     at = kept.index(text_col)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, dropped, out = [], [], []
-            for text, gone in zip(texts(batch.column(at)), batch.column("__drops").to_pylist()):
+            drops = batch.column("n_dropped")
+            cuts, halves = drops.offsets.to_numpy() * 8, drops.values.to_numpy().tobytes()
+            for i, text in enumerate(texts(batch.column(at))):
                 parts = text.split(b"\n")
                 lines.append(len(parts))
+                gone = {halves[k : k + 16] for k in range(cuts[i], cuts[i + 1], 16)}
                 if gone:
-                    gone = set(gone)
                     keys = line_keys(text, min_chars)
-                    parts = [p for p, k in zip(parts, keys) if not k or hashlib.blake2b(k, digest_size=16).digest() not in gone]
+                    parts = [p for p, k in zip(parts, keys) if not k or digest(k) not in gone]
                     text = b"\n".join(parts)
                 dropped.append(lines[-1] - len(parts))
                 out.append(text)

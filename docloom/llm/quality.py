@@ -52,7 +52,6 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """MEASURES of each row of a chunk. Lines and windows are compared by 64-bit hashes, row by row."""
     rows = len(offsets) - 1
     salt = K.mix(np.arange(1, rows + 1, dtype=np.uint64))
-    spans = K.byte_spans(data)
     starts, ends, at = K.words(data, offsets)
     counts = np.diff(at)
     solid = ~K.IS_SPACE[data]
@@ -60,7 +59,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     symbols = K.per_row(_IS_SYMBOL[data], offsets)
 
     row_of = np.repeat(np.arange(rows), counts)
-    hashes = spans(starts, ends)
+    hashes = K.span_hashes(data, starts, ends)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (row_of[1:] == row_of[:-1])
     windows = K.gram_hashes(hashes, REPEAT_WINDOW)
@@ -78,7 +77,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_row = np.repeat(np.arange(rows), K.per_row(data == 10, offsets) + 1)
     filled = np.concatenate([[0], np.cumsum(solid)])
     filled = filled[line_ends] > filled[line_starts]
-    keys = K.mix(spans(line_starts, line_ends)[filled] ^ salt[line_row[filled]])
+    keys = K.mix(K.span_hashes(data, line_starts[filled], line_ends[filled]) ^ salt[line_row[filled]])
     lines = np.bincount(line_row[filled], minlength=rows)
     dups = np.bincount(line_row[filled][~_first_seen(keys)], minlength=rows)
     return [counts, chars, symbols, lines, dups, repeats, K.per_row(same, at)]

@@ -3,19 +3,20 @@
 A window is `window` consecutive words. To compare windows everywhere without shuffling them all, each window has
 an anchor: the leftmost smallest hash among its GRAM-word grams. Equal windows have equal anchors at equal places,
 and neighbouring windows share theirs, so a document has one anchor for many windows: the anchor's context is all
-words of the windows that share it. Anchors that may repeat pass a Bloom filter; contexts are then compared
-anchor by anchor, which is how the corpus is cut into reference shards.
+words of the windows that share it. Anchors that may repeat are found by the owners of their segments (see bloom);
+contexts are then compared anchor by anchor, which is how the corpus is cut into reference shards.
 
 Where an anchor has one context only, that context repeats as a whole. Otherwise its different contexts, each
 with how often it occurs, are built into one suffix automaton, which is sent to the task that streams the
 contexts through it: for each end of a prefix, matching statistics give the longest suffix that occurs twice, and
 where it is at least a window long its words are covered. Anchors with more than MOST_CONTEXTS different contexts
-would make automata without bound; those of their windows that pass a second filter are counted by hash instead,
+would make automata without bound; those of their windows that may repeat are counted by hash instead,
 pre-aggregated.
 
 Words and windows are compared by 64-bit hashes. Nulls: a null text has no words; null ids are kept. Rows that
-share an id are documents of their own; equal rows count as occurrences of their own. An empty table gives an
-empty result.
+share an id are documents of their own, told apart by a 64-bit hash of their texts; equal rows count as occurrences of
+their own. An empty table gives an empty result. Other columns are kept, whatever their names. A text is hashed as a
+whole, at about 100 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import kernels as K
-from docloom.llm.bloom import may_repeat, twice_seen
-from docloom.llm.jaccard import grouped
-from docloom.llm.store import written
+from docloom.llm.bloom import suspects
+from docloom.sources.store import written
 
 GRAM, MOST_CONTEXTS = 8, 400
 LAST_ID = (1 << 63) - 1
@@ -55,16 +55,15 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends, self.at = K.words(data, offsets)
-        self.hashes = K.byte_spans(data)(self.starts, self.ends)
+        self.hashes = K.span_hashes(data, self.starts, self.ends)
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, ...]:
     """(row, first window start in the row, number of windows, anchor hash, context hash) of each anchor."""
     at, hashes = words.at, words.hashes
-    spans = K.Spans(hashes)
     if len(hashes) < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    grams = spans(np.arange(len(hashes) - GRAM + 1), np.arange(GRAM, len(hashes) + 1))
+    grams = K.gram_hashes(hashes, GRAM)
     best = sliding_argmin(grams, window - GRAM + 1)
     row_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
     start = np.flatnonzero(np.arange(len(best)) + window <= at[1:][row_of[: len(best)]])
@@ -74,7 +73,9 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(new)
     first, place = start[cut], place[cut]
     run = np.diff(np.append(cut, len(start)))
-    context = K.mix(spans(first, first + run + window - 1) + (place - first).astype(np.uint64))
+    # A context is shorter than two windows, so its first and its last one hold all its words.
+    windows = K.gram_hashes(hashes, window)
+    context = K.join_hashes(K.join_hashes(windows[first], windows[first + run - 1]), (run * window + place - first).astype(np.uint64))
     row = row_of[first]
     return row, first - at[row], run, grams[place], context
 
@@ -164,7 +165,7 @@ def repeated_spans(contexts: list[list[int]], times: list[int], window: int) ->
 
 def _shard(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["m"]):
+        for group in K.grouped(batches, ["m"]):
             contexts = [np.frombuffer(x, np.int64).tolist() for x in group.column("words").to_pylist()]
             spans = repeated_spans(contexts, group.column("n").to_pylist(), window)
             yield pa.RecordBatch.from_arrays(
@@ -178,25 +179,14 @@ def _shard(window: int):
 def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
     """Rows (doc, h, spans) for the documents (doc, h, text) with repeats; spans: array of (start, end) in words."""
 
-    def hashes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in K.text_chunks(batch.column("text")):
-            yield anchors(Words(data, offsets), window)[3]
+    def find(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
+            row, first, run, m, context = anchors(Words(data, offsets), window)
+            doc, h = (batch.column(c).slice(lo, hi - lo).to_numpy()[row] for c in ("doc", "h"))
+            yield [m, doc, h, first, run, context.view(np.int64)]
 
-    density = 2 / (window - GRAM + 2)
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs.select("text"), hashes_of, int(n_words * density)))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, data, offsets in K.text_chunks(batch.column("text")):
-                row, first, run, m, context = anchors(Words(data, offsets), window)
-                hit = np.flatnonzero(may_repeat(sent.value, m))
-                rows = pa.array(row[hit] + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(rows), batch.column("h").take(rows), pa.array(first[hit].astype(np.int32)), pa.array(run[hit].astype(np.int32)), pa.array(m[hit].view(np.int64)), pa.array(context[hit].view(np.int64))],
-                    names=["doc", "h", "first", "run", "m", "context"],
-                )
-
-    found = written(docs.mapInArrow(find, "doc long, h int, first int, run int, m long, context long"))
+    payload = {"doc": "near", "h": "long", "first": "int", "run": "int", "context": "long"}
+    found = written(suspects(docs, find, payload, int(n_words * 2 / (window - GRAM + 2))).withColumnRenamed("key", "m"))
     seen = found.groupBy("m").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
     seen = written(seen.filter("n > 1").select("m", (F.col("low") == F.col("high")).alias("alike")))
     repeats = written(found.join(seen, "m"))
@@ -223,9 +213,9 @@ def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
                 lengths = run.to_numpy() + window - 1
                 hashes = words.hashes.view(np.int64)
                 blobs = [hashes[s : s + k].tobytes() for s, k in zip(start, lengths)]
-                spans = K.Spans(words.hashes)
+                grams = K.gram_hashes(words.hashes, window).view(np.int64)
                 hot = many.to_numpy(zero_copy_only=False)
-                windows = [spans(np.arange(s, s + k), np.arange(s + window, s + k + window)).view(np.int64) if x else None for s, k, x in zip(start, run.to_numpy(), hot)]
+                windows = [grams[s : s + k] if x else None for s, k, x in zip(start, run.to_numpy(), hot)]
                 yield pa.RecordBatch.from_arrays(
                     [m, context, n, pa.array([None if x else b for b, x in zip(blobs, hot)], pa.binary()), pa.array(windows, pa.list_(pa.int64()))],
                     names=["m", "context", "n", "words", "windows"],
@@ -239,26 +229,19 @@ def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
     hot = read_back.filter("windows IS NOT NULL").select("m", "context", "n", "windows")
     n_windows = hot.agg(F.sum(F.size("windows"))).first()[0] or 0
 
-    def own_windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        windows, n = batch.column("windows"), batch.column("n").to_numpy()
-        yield np.repeat(windows.flatten().to_numpy().view(np.uint64), np.repeat(np.minimum(n, 2), np.diff(windows.offsets.to_numpy())))
-
-    passed = docs.sparkSession.sparkContext.broadcast(twice_seen(hot, own_windows, n_windows))
-
-    def may_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            windows = batch.column("windows")
-            sizes = np.diff(windows.offsets.to_numpy())
-            values = windows.flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            hit = np.flatnonzero(may_repeat(passed.value, values.view(np.uint64)))
-            rows = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(rows) for c in ("m", "context", "n")] + [pa.array(place[hit].astype(np.int32)), pa.array(values[hit])], names=["m", "context", "n", "k", "w"]
-            )
-
-    single = hot.mapInArrow(may_count, "m long, context long, n long, k int, w long")
+    def each_window(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        sizes = np.diff(batch.column("windows").offsets.to_numpy())
+        values = batch.column("windows").flatten().to_numpy().view(np.uint64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = [values, *(batch.column(c).to_numpy()[row] for c in ("m", "context", "n")), place]
+        yield columns
+        # A context that occurs twice brings each of its windows twice.
+        again = columns[3] > 1
+        yield [c[again] for c in columns[:4]] + [np.full(int(again.sum()), -1)]
+
+    kinds = {"m": "long", "context": "long", "n": "long", "k": "int"}
+    single = written(suspects(hot, each_window, kinds, n_windows).filter("k >= 0").withColumnRenamed("key", "w"))
     twice = written(single.groupBy("m", "w").agg(F.sum("n").alias("times")).filter("times > 1").select("m", "w"))
     by_hash = single.join(twice, ["m", "w"]).groupBy("m", "context").agg(F.collect_list(F.struct(F.col("k").alias("start"), (F.col("k") + window).alias("end"))).alias("spans"))
     covered = written(spans.union(by_hash))
@@ -272,14 +255,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     removed_spans (start, end in words); these replace columns of the same names. Words that a repeated window
     covers go, in all their occurrences."""
     given = [c for c in docs.columns if c not in ("n_words", "n_removed", "removed_spans")]
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    h = F.hash(text_col)
-    keyed = docs.select(doc.alias("doc"), h.alias("h"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), F.struct(*given).alias("given"))
     chars = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spans = repeated_words(keyed, window, chars // 5).withColumnsRenamed({"doc": "__doc", "h": "__h", "spans": "__spans"})
-    joined = docs.select(*given).withColumns({"__id": doc, "__hash": h})
-    joined = joined.join(spans.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__h")), "left")
-    joined = joined.select(*[F.col(c) for c in given], "__spans")
+    spans = repeated_words(keyed.select("doc", "h", "text"), window, chars // 5)
+    joined = keyed.drop("text").join(spans.hint("shuffle_hash"), ["doc", "h"], "left").select("given.*", F.col("spans").alias("removed_spans"))
     schema = docs.select(*given).schema.add("n_words", "long").add("n_removed", "long").add("removed_spans", SPANS)
     at = given.index(text_col)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -290,7 +269,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for lo, hi, data, offsets in K.text_chunks(batch.column(at)):
                 starts, ends, word_at = K.words(data, offsets)
                 raw = data.tobytes()
-                for i, spans in enumerate(batch.column("__spans").slice(lo, hi - lo).to_pylist()):
+                for i, spans in enumerate(batch.column("removed_spans").slice(lo, hi - lo).to_pylist()):
                     a, b = word_at[i], word_at[i + 1]
                     edges = np.zeros(b - a + 1, np.int64)
                     for s in spans or ():

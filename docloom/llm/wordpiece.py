@@ -90,7 +90,7 @@ class Counter:
         self.keys, self.values = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int32)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys = K.byte_spans(data)(starts, ends)
+        keys = K.span_hashes(data, starts, ends)
         place = (keys & K.U(PLACES - 1)).astype(np.int64)
         counts = self.values[place]
         missing = np.flatnonzero(self.keys[place] != keys)

@@ -49,8 +49,11 @@ def near_copies(seed, groups, copies, length, edits):
     return out
 
 
-@pytest.mark.parametrize("seed,n,num,den,chunk", [(1, 3, 90, 100, 1024), (2, 3, 90, 100, 8), (3, 5, 80, 100, 8)])
-def test_equals_all_pairs(spark, seed, n, num, den, chunk):
+@pytest.mark.parametrize("seed,n,num,den,chunk", [(1, 3, 90, 100, 1 << 20), (2, 3, 90, 100, 1500), (3, 5, 80, 100, 1500)])
+def test_equals_all_pairs(spark, seed, n, num, den, chunk, monkeypatch):
+    if seed > 1:  # many flushes and segments, so that keys meet at their owners
+        monkeypatch.setattr("docloom.llm.bloom.FLUSH", 50)
+        monkeypatch.setattr("docloom.llm.bloom.SEGMENT_KEYS", 300)
     texts = near_copies(seed, 12, 30, (8, 120), 6) + ["", " \n", "one", "one", "one two", "One  TWO", None, None, "x " * 5000]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(0, texts[0]), (3, "another text under one id"), (None, texts[4]), (None, None)]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component_id string")

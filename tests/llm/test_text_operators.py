@@ -50,7 +50,7 @@ def test_words_and_windows_equal_python():
     seen = {}
     for lo, hi, data, offsets in K.text_chunks(column, 4000):
         starts, ends, at = K.words(data, offsets)
-        hashes = K.byte_spans(data)(starts, ends)
+        hashes = K.span_hashes(data, starts, ends)
         raw = data.tobytes()
         for i in range(hi - lo):
             own = [raw[s:e].decode() for s, e in zip(starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])]

@@ -3,13 +3,16 @@
 Each document gets counts from one pass over its text. From them come five metrics, whose distribution in each
 (language, source) group is summarised by a quantile sketch: logarithmic buckets of relative width GAMMA with
 their counts. Sketches merge by adding counts, in any order and exactly, so the sketch of a language or of
-everything is the sum of its groups' sketches. A metric's fence is the median plus REACH times the distance from
-the 10 % quantile to the median, or at least times the metric's least spread; half of a group may be junk before
-its fence moves. Groups of fewer than min_docs documents use their language's fences, then everyone's. The fences
-join back to the documents, which fail beyond any of them.
+everything is the sum of its groups' sketches. A group's sketch is blended with its language's, which weighs as much as
+OF_LANGUAGE documents, and with everyone's, which weighs as much as OF_ALL: small groups lean on those, large ones stand alone,
+and there is no size at which that changes at once. A metric's upper fence is the median plus REACH times the distance to the
+80 % quantile, its lower fence the median minus REACH times that to the 20 % quantile; a fifth of a group may be junk before a
+fence moves. The distances are at least a bucket's width. A document fails if a count is beyond what its fence allows for its length by more
+than one and NOISE times that allowance's square root, the chance variation of a count, which matters in short texts only.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of their own. An
-empty table gives an empty result. Repeated rows are judged alike.
+empty table gives an empty result. Repeated rows are judged alike. Ties at a quantile take the lower bucket. Other columns are
+kept, whatever their names. A text is measured as a whole, at about 60 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -24,21 +27,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm import kernels as K
+from docloom.sources.store import written
 
-GAMMA, REACH, ZERO_BUCKET = 1.02, 6.0, -(1 << 20)
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
-#: Metric -> (numerator, denominator, least spread, whether low values fail too).
+GAMMA, REACH, NOISE, ZERO_BUCKET = 1.02, 6.0, 2.0, -(1 << 20)
+OF_LANGUAGE, OF_ALL = 50, 10
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_top", "n_distinct", "n_stutters")
+#: Metric -> (numerator, denominator, whether low values fail, whether high ones do). Marks are ASCII punctuation and symbols,
+#: n_top is how often the most frequent word stands there.
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 0.01, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.08, False),
-    "repeats": ("n_repeat_words", "n_words", 0.05, False),
-    "stutter": ("n_stutters", "n_words", 0.02, False),
-    "word_length": ("word_chars", "n_words", 0.25, True),
+    "marks": ("n_marks", "word_chars", False, True),
+    "common": ("n_top", "n_words", False, True),
+    "distinct": ("n_distinct", "n_words", True, False),
+    "stutter": ("n_stutters", "n_words", False, True),
+    "word_length": ("word_chars", "n_words", True, True),
 }
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def _first_seen(keys: np.ndarray) -> np.ndarray:
@@ -60,8 +68,12 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
     row_of = np.repeat(np.arange(rows), counts)
     hashes = K.span_hashes(data, starts, ends)
+    _, first, times = np.unique(K.mix(hashes ^ salt[row_of]), return_index=True, return_counts=True)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (row_of[1:] == row_of[:-1])
+    top = np.zeros(rows, np.int64)
+    np.maximum.at(top, row_of[first], times)
+    distinct = np.bincount(row_of[first], minlength=rows)
     windows = K.gram_hashes(hashes, REPEAT_WINDOW)
     own = np.flatnonzero(np.arange(len(windows)) + REPEAT_WINDOW <= at[1:][row_of[: len(windows)]])
     _, back, times = np.unique(K.mix(windows[own] ^ salt[row_of[own]]), return_inverse=True, return_counts=True)
@@ -78,9 +90,8 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     filled = np.concatenate([[0], np.cumsum(solid)])
     filled = filled[line_ends] > filled[line_starts]
     keys = K.mix(K.span_hashes(data, line_starts[filled], line_ends[filled]) ^ salt[line_row[filled]])
-    lines = np.bincount(line_row[filled], minlength=rows)
     dups = np.bincount(line_row[filled][~_first_seen(keys)], minlength=rows)
-    return [counts, chars, symbols, lines, dups, repeats, K.per_row(same, at)]
+    return [counts, chars, symbols, dups, repeats, K.per_row(_IS_MARK[data], offsets), top, distinct, K.per_row(same, at)]
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -117,50 +128,61 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "metric", bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def merged(sketch: DataFrame, *keys: str) -> DataFrame:
-    return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-
-
-def fences(sketch: DataFrame, *keys: str) -> DataFrame:
-    """Rows (keys, metric, docs, low, high) from a sketch's cumulated counts."""
-    place = Window.partitionBy(*keys, "metric")
-    upto = F.sum("n").over(place.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    placed = sketch.withColumn("upto", upto).withColumn("docs", F.sum("n").over(place))
+def blended(sketch: DataFrame) -> DataFrame:
+    """Rows (lang, source, metric, bucket, w): each group's sketch with its language's and everyone's. Weights are whole numbers,
+    the blend times the documents of the language times all documents."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    of = lambda keys, n: sketch.groupBy(*keys, "metric").agg(F.sum("n").alias(n))
+    groups = sketch.select("lang", "source", "metric").distinct()
+    groups = groups.join(of(["lang"], "n_lang").withColumnsRenamed({"lang": "l", "metric": "m"}), F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m"))).drop("l", "m")
+    groups = groups.join(of([], "n_all"), "metric").select(F.struct("lang", "source").alias("of"), "lang", "metric", whole(F.col("n_lang")).alias("n_lang"), whole(F.col("n_all")).alias("n_all"))
+    by_lang = sketch.groupBy(F.col("lang").alias("l"), F.col("metric").alias("m"), "bucket").agg(F.sum("n").alias("n"))
+    overall = sketch.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
+    own = sketch.select(F.struct("lang", "source").alias("o"), F.col("metric").alias("m"), "bucket", "n")
+    n = whole(F.col("n"))
+    parts = [
+        groups.join(own, F.col("of").eqNullSafe(F.col("o")) & (F.col("metric") == F.col("m"))).select("of", "metric", "bucket", (n * F.col("n_lang") * F.col("n_all")).alias("w")),
+        groups.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("m"))).select("of", "metric", "bucket", (n * F.lit(OF_LANGUAGE) * F.col("n_all")).alias("w")),
+        groups.join(overall, "metric").select("of", "metric", "bucket", (n * F.lit(OF_ALL) * F.col("n_lang")).alias("w")),
+    ]
+    weights = parts[0].union(parts[1]).union(parts[2])
+    return weights.groupBy("of", "metric", "bucket").agg(F.sum("w").alias("w"))
+
+
+def fences(blend: DataFrame) -> DataFrame:
+    """Rows (of, metric, low, high) from a blend's cumulated weights."""
+    place = Window.partitionBy("of", "metric")
+    upto = F.sum("w").over(place.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    placed = blend.withColumn("upto", upto).withColumn("total", F.sum("w").over(place))
     value = lambda b: F.when(b == ZERO_BUCKET, 0.0).otherwise(2 * F.pow(F.lit(GAMMA), b) / (GAMMA + 1))
-    quantile = lambda q: value(F.min(F.when(F.col("upto") >= q * F.col("docs"), F.col("bucket"))))
-    spread = F.element_at(F.create_map(*[F.lit(x) for m, d in METRICS.items() for x in (m, d[2])]), F.col("metric"))
-    two_sided = F.col("metric").isin([m for m, d in METRICS.items() if d[3]])
+    quantile = lambda q: value(F.min(F.when(F.col("upto") * 10 >= F.col("total") * q, F.col("bucket"))))
+    least = F.col("mid") * (GAMMA - 1)
     return (
-        placed.groupBy(*keys, "metric")
-        .agg(F.max("docs").alias("docs"), quantile(0.5).alias("mid"), quantile(0.1).alias("under"))
-        .withColumn("reach", REACH * F.greatest(F.col("mid") - F.col("under"), spread))
-        .select(*keys, "metric", "docs", F.when(two_sided, F.col("mid") - F.col("reach")).alias("low"), (F.col("mid") + F.col("reach")).alias("high"))
+        placed.groupBy("of", "metric")
+        .agg(quantile(2).alias("under"), quantile(5).alias("mid"), quantile(8).alias("over"))
+        .select("of", "metric", (F.col("mid") - REACH * F.greatest(F.col("mid") - F.col("under"), least)).alias("low"), (F.col("mid") + REACH * F.greatest(F.col("over") - F.col("mid"), least)).alias("high"))
     )
 
 
-def thresholds(measured: DataFrame, min_docs: int = 50) -> DataFrame:
-    """Rows (of_lang, of_source, <metric>_low, <metric>_high) for every group that has a document."""
-    by_group = sketches(measured)
-    by_lang = merged(by_group, "lang")
-    named = lambda df, tag, *keys: df.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("metric").alias(f"{tag}_metric"), F.struct("docs", "low", "high").alias(tag))
-    groups = named(fences(by_group, "lang", "source"), "g", "lang", "source")
-    langs = named(fences(by_lang, "lang"), "l", "lang")
-    everyone = named(fences(merged(by_lang)), "a")
-    picked = F.when(F.col("g.docs") >= min_docs, F.col("g")).when(F.col("l.docs") >= min_docs, F.col("l")).otherwise(F.col("a"))
-    chosen = (
-        groups.join(langs, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("g_metric") == F.col("l_metric")))
-        .join(everyone, F.col("g_metric") == F.col("a_metric"))
-        .select("g_lang", "g_source", "g_metric", picked.alias("f"))
-    )
-    wide = [F.max(F.when(F.col("g_metric") == m, F.col(f"f.{side}"))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
-    return chosen.groupBy(F.col("g_lang").alias("of_lang"), F.col("g_source").alias("of_source")).agg(*wide)
+def thresholds(measured: DataFrame) -> DataFrame:
+    """Rows (of, fences) for every (language, source) group that has a document; fences holds <metric>_low and <metric>_high."""
+    wide = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
+    limits = fences(blended(written(sketches(measured)))).groupBy("of").agg(*wide)
+    return limits.select("of", F.struct(*[f"{m}_{side}" for m in METRICS for side in ("low", "high")]).alias("fences"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """measured with base_failed and kept."""
+    """measured with base_failed and kept, which replace columns of the same names."""
     beyond = F.lit(False)
-    for m in METRICS:
-        beyond = beyond | F.coalesce(metric(m) > F.col(f"{m}_high"), F.lit(False)) | F.coalesce(metric(m) < F.col(f"{m}_low"), F.lit(False))
+    for m, (top, bottom, low, high) in METRICS.items():
+        count, of = F.col(f"given.{top}"), F.col(f"given.{bottom}")
+        most, least = F.col(f"fences.{m}_high") * of, F.greatest(F.col(f"fences.{m}_low") * of, F.lit(0.0))
+        noise = lambda x: 1 + NOISE * F.sqrt(F.greatest(x, F.lit(1.0)))
+        if high:
+            beyond = beyond | F.coalesce(count > most + noise(most), F.lit(False))
+        if low:
+            beyond = beyond | F.coalesce(count < least - noise(least), F.lit(False))
     columns = [c for c in measured.columns if c not in ("base_failed", "kept")]
-    on = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return measured.join(limits, on, "left").select(*columns, base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept"))
+    rows = measured.select(F.struct(*columns).alias("given"), F.struct("lang", "source").alias("group"), base_failed().alias("base_failed"))
+    joined = rows.join(limits, F.col("group").eqNullSafe(F.col("of")), "left")
+    return joined.select("given.*", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))

@@ -13,11 +13,11 @@ from docloom.llm.language import fit, identify, in_training
 from docloom.llm.linededup import dedup_lines
 from docloom.llm.mixing import mix_sources
 from docloom.llm.packing import pack
-from docloom.llm.quality import GAMMA, METRICS, REACH, ZERO_BUCKET, judged, measure, thresholds
+from docloom.llm.quality import GAMMA, METRICS, NOISE, OF_ALL, OF_LANGUAGE, REACH, ZERO_BUCKET, judged, measure, thresholds
 from docloom.llm.revisit import capture_log, resolve_revisits
-from docloom.sources.store import written
 from docloom.llm.substring import dedup_substrings
 from docloom.llm.wordpiece import count_pieces
+from docloom.sources.store import written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -99,32 +99,19 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-
 def _quality_sql() -> str:
     value = f"CASE WHEN {{b}} = {ZERO_BUCKET} THEN 0.0 ELSE 2 * pow({GAMMA}, {{b}}) / ({GAMMA} + 1) END"
-    level = lambda tag, keys: f"""
-        {tag}s AS (
-            SELECT {keys} metric, sum(n) AS n, bucket FROM sketch GROUP BY ALL),
-        {tag}c AS (
-            SELECT *, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS upto,
-                   sum(n) OVER (PARTITION BY {keys} metric) AS docs FROM {tag}s),
-        {tag}q AS (
-            SELECT {keys} metric, max(docs) AS docs, min(bucket) FILTER (upto >= 0.5 * docs) AS m,
-                   min(bucket) FILTER (upto >= 0.1 * docs) AS u FROM {tag}c GROUP BY ALL),
-        {tag} AS (
-            SELECT {keys} metric, docs, {value.format(b="m")} AS mid, {value.format(b="u")} AS under FROM {tag}q)"""
     metrics = " UNION ALL ".join(
         f"SELECT lang, source, '{m}' AS metric, CASE WHEN {d[1]} > 0 THEN {d[0]}::double / {d[1]} ELSE 0.0 END AS x FROM measured WHERE NOT base_failed"
         for m, d in METRICS.items()
     )
-    spread = " ".join(f"WHEN '{m}' THEN {d[2]}" for m, d in METRICS.items())
-    beyond = " OR ".join(
-        f"coalesce(CASE WHEN {d[1]} > 0 THEN {d[0]}::double / {d[1]} ELSE 0.0 END > {m}.mid + {m}.reach, false)"
-        + (f" OR coalesce(CASE WHEN {d[1]} > 0 THEN {d[0]}::double / {d[1]} ELSE 0.0 END < {m}.mid - {m}.reach, false)" if d[3] else "")
-        for m, d in METRICS.items()
-    )
+    most, least = "f_{m}.high * {d}", "greatest(f_{m}.low * {d}, 0.0)"
+    above = f"coalesce({{n}} > {most} + (1 + {NOISE} * sqrt(greatest({most}, 1.0))), false)"
+    below = f"coalesce({{n}} < {least} - (1 + {NOISE} * sqrt(greatest({least}, 1.0))), false)"
+    tests = [t.format(m=m, n=d[0], d=d[1]) for m, d in METRICS.items() for t, use in ((below, d[2]), (above, d[3])) if use]
+    beyond = " OR ".join(tests)
     joins = " ".join(
-        f"LEFT JOIN fences {m} ON {m}.metric = '{m}' AND {m}.lang IS NOT DISTINCT FROM d.lang AND {m}.source IS NOT DISTINCT FROM d.source"
+        f"LEFT JOIN fences f_{m} ON f_{m}.metric = '{m}' AND f_{m}.lang IS NOT DISTINCT FROM d.lang AND f_{m}.source IS NOT DISTINCT FROM d.source"
         for m in METRICS
     )
     return f"""
@@ -139,14 +126,15 @@ def _quality_sql() -> str:
             SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
             FROM grams JOIN twice USING (doc_id, g), range(8) AS r(k) GROUP BY doc_id),
         lines AS (
-            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
             FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM base)
             WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
         measured AS (
             SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-                   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
-                   coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   length(regexp_replace(t, '[^!-/:-@\\[-`{{-~]', '', 'g')) AS n_marks,
+                   coalesce(list_max(map_values(list_aggregate(w, 'histogram'))), 0)::bigint AS n_top, len(list_distinct(w)) AS n_distinct,
                    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters,
                    len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
             FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
@@ -155,14 +143,32 @@ def _quality_sql() -> str:
             SELECT lang, source, metric, count(*) AS n,
                    CASE WHEN x > 0 THEN ceil(ln(x) / ln({GAMMA}))::int ELSE {ZERO_BUCKET} END AS bucket
             FROM metrics GROUP BY ALL),
-        {level("by_group", "lang, source,")}, {level("by_lang", "lang,")}, {level("overall", "")},
+        by_lang AS (SELECT lang, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+        overall AS (SELECT metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+        groups AS (
+            SELECT DISTINCT s.lang, source, s.metric, n_lang, n_all FROM sketch s
+            JOIN (SELECT lang, metric, sum(n) AS n_lang FROM sketch GROUP BY ALL) l ON l.lang IS NOT DISTINCT FROM s.lang AND l.metric = s.metric
+            JOIN (SELECT metric, sum(n) AS n_all FROM sketch GROUP BY ALL) a ON a.metric = s.metric),
+        parts AS (
+            SELECT g.lang, g.source, g.metric, bucket, n * n_lang * n_all AS w FROM groups g
+            JOIN sketch s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.metric = g.metric
+            UNION ALL
+            SELECT g.lang, source, g.metric, bucket, n * {OF_LANGUAGE} * n_all FROM groups g
+            JOIN by_lang s ON s.lang IS NOT DISTINCT FROM g.lang AND s.metric = g.metric
+            UNION ALL
+            SELECT lang, source, g.metric, bucket, n * {OF_ALL} * n_lang FROM groups g JOIN overall s ON s.metric = g.metric),
+        weights AS (SELECT lang, source, metric, bucket, sum(w) AS w FROM parts GROUP BY ALL),
+        placed AS (
+            SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto,
+                   sum(w) OVER (PARTITION BY lang, source, metric) AS total FROM weights),
+        cuts AS (
+            SELECT lang, source, metric, min(bucket) FILTER (upto * 10 >= total * 2) AS b2,
+                   min(bucket) FILTER (upto * 10 >= total * 5) AS b5, min(bucket) FILTER (upto * 10 >= total * 8) AS b8 FROM placed GROUP BY ALL),
+        quantiles AS (
+            SELECT lang, source, metric, {value.format(b="b2")} AS under, {value.format(b="b5")} AS mid, {value.format(b="b8")} AS over_ FROM cuts),
         fences AS (
-            SELECT g.lang, g.source, g.metric,
-                   CASE WHEN g.docs >= 50 THEN g.mid WHEN l.docs >= 50 THEN l.mid ELSE a.mid END AS mid,
-                   {REACH} * greatest((CASE WHEN g.docs >= 50 THEN g.mid WHEN l.docs >= 50 THEN l.mid ELSE a.mid END) - CASE WHEN g.docs >= 50 THEN g.under WHEN l.docs >= 50 THEN l.under ELSE a.under END,
-                                      CASE g.metric {spread} END) AS reach
-            FROM by_group g JOIN by_lang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric
-            JOIN overall a ON g.metric = a.metric)
+            SELECT lang, source, metric, mid - {REACH} * greatest(mid - under, mid * ({GAMMA} - 1)) AS low,
+                   mid + {REACH} * greatest(over_ - mid, mid * ({GAMMA} - 1)) AS high FROM quantiles)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT ({beyond}) AS kept
         FROM measured d {joins}

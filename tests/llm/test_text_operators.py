@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -9,12 +10,12 @@ import pytest
 
 from docloom.llm import kernels as K
 from docloom.llm.bpe import WordMemo
-from docloom.llm.language import fit, identify
+from docloom.llm.language import fit, identify, viterbi
 from docloom.llm.linededup import dedup_lines
 from docloom.llm.packing import WINDOW, pack
 from docloom.llm.quality import judged, measure, measure_chunk, thresholds
 from docloom.llm.substring import dedup_substrings
-from docloom.llm.wordpiece import Automaton, count_pieces
+from docloom.llm.wordpiece import Automaton, count_pieces, vocabulary
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -113,8 +114,8 @@ def brute_measures(t):
     twice = Counter(grams)
     repeats = {j for k, g in enumerate(grams) if twice[g] > 1 for j in range(k, k + 8)}
     lines = [x for x in t.split("\n") if WORD.search(x)]
-    stutters = sum(a == b for a, b in zip(w, w[1:]))
-    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(repeats), stutters]
+    marks = re.findall(r"[!-/:-@\[-`{-~]", t)
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeats), len(marks), max(Counter(w).values(), default=0), len(set(w)), sum(a == b for a, b in zip(w, w[1:]))]
 
 
 def test_quality_measures_equal_python():
@@ -138,6 +139,52 @@ def test_quality_rules_keep_clean_and_drop_junk(spark):
     assert judged(empty, thresholds(empty)).collect() == []
 
 
+def test_fences_follow_the_source(spark):
+    """A text that is usual in one source is an outlier in another, for each metric."""
+    rnd = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "re") for b in ("na", "ti", "su", "ve") for c in ("r", "s", "nt", "la")]
+
+    def say(marks=0.1, common=0.05, stutter=0.01, long=False, n=200):
+        words = [rnd.choice(vocabulary) if rnd.random() > common else "the" for _ in range(n)]
+        words = [w * 3 if long and w != "the" else w for w in words]
+        for i in range(1, n):
+            if rnd.random() < stutter:
+                words[i] = words[i - 1]
+        return " ".join(w + ("," if rnd.random() < marks else "") for w in words)
+
+    odd = {"marks": dict(marks=0.9), "common": dict(common=0.6), "stutter": dict(stutter=0.4), "word_length": dict(long=True)}
+    rows = [(say(), "plain") for _ in range(400)] + [(say(**how), name) for name, how in odd.items() for _ in range(400)]
+    rows += [(say(n=2000), "plain") for _ in range(3)] + [(say(n=2000), "long") for _ in range(400)]  # many words, few of them distinct
+    rows += [(say(**how), "plain") for how in odd.values()]
+    docs = spark.createDataFrame([(i, t, "xx", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    measured = measure(docs)
+    limits = {r["of"].source: r.fences for r in thresholds(measured).collect()}
+    for name, metric in [("marks", "marks_high"), ("common", "common_high"), ("stutter", "stutter_high"), ("word_length", "word_length_high"), ("long", "distinct_low")]:
+        assert limits[name][metric] != limits["plain"][metric]
+    got = {r.doc_id: r for r in judged(measured, thresholds(measured)).collect()}
+    lost = Counter(r.source for r in got.values() if not r.kept and not r.base_failed and r.source not in ("plain", "long"))
+    assert all(n <= 8 for n in lost.values()), lost
+    failed = lambda ids: [not got[i].kept and not got[i].base_failed for i in ids]
+    assert all(failed(range(len(rows) - len(odd), len(rows)))) and all(failed(range(2000, 2003)))
+    assert sum(failed(range(400))) <= 8 and sum(failed(range(2003, 2403))) <= 8
+
+
+def test_words_that_a_polynomial_hash_takes_for_equal():
+    """A Thue-Morse word and its complement, and such sequences of words."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    pair = pa.array([one, other, " ".join(one), " ".join(other), one[:1024], other[:1024]])
+    (_, _, data, offsets), = K.text_chunks(pair)
+    starts, ends, at = K.words(data, offsets)
+    hashes = K.span_hashes(data, starts, ends)
+    assert len({*hashes[:2].tolist(), *hashes[-2:].tolist()}) == 4
+    grams = K.gram_hashes(hashes, 2048)
+    assert grams[at[2]] != grams[at[3]]
+    memo = WordMemo(P.path("byte_bpe_50k.json"))
+    ids, rows = memo.encode(data, offsets)
+    assert ids[rows[0] : rows[1]].tolist() != ids[rows[1] : rows[2]].tolist()
+
+
 def test_memo_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
@@ -198,7 +245,40 @@ def test_pieces_equal_greedy_longest_match(spark):
         assert automaton.count(word) == greedy(word), word
     rows, docs = docs_of(spark, 7)
     got = count_pieces(docs, P.path("byte_bpe_50k.json")).collect()
-    assert sorted(((r.doc_id, r.n_words) for r in got), key=str) == sorted(((i, len(WORD.findall(t or ""))) for i, t, *_ in rows), key=str)
+    known = set(vocabulary(P.path("byte_bpe_50k.json")))
+    longest = max(map(len, known))
+
+    def pieces(word):
+        rest, n = b" " + word.encode(), 0
+        while rest:
+            size = next((k for k in range(min(longest, len(rest)), 0, -1) if rest[:k] in known), 0)
+            if not size:
+                return None
+            rest, n = rest[size:], n + 1
+        return n
+
+    def counts(text):
+        own = [pieces(w) for w in WORD.findall(text or "")]
+        return len(own), sum(1 if n is None else n for n in own), own.count(None)
+
+    assert sorted(((r.doc_id, r.n_words, r.n_pieces, r.n_unknown) for r in got), key=str) == sorted(((i, *counts(t)) for i, t, *_ in rows), key=str)
+    assert count_pieces(docs.limit(0), P.path("byte_bpe_50k.json")).collect() == []
+
+
+def test_viterbi_equals_all_labellings():
+    rng = np.random.default_rng(4)
+    lengths = [0, 1, 5, 3, 6, 0, 2]
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    scores = rng.normal(size=(at[-1], 3)).astype(np.float32)
+    for switch in (0.0, 0.7, 3.0):
+        labels = viterbi(scores, at, switch)
+        for a, b in zip(at, at[1:]):
+            value = lambda way: sum(float(scores[a + i][x]) for i, x in enumerate(way)) - switch * sum(x != y for x, y in zip(way, way[1:]))  # noqa: B023, E731
+            best = max(map(value, itertools.product(range(3), repeat=b - a)))
+            assert abs(value(labels[a:b].tolist()) - best) < 1e-5
+    wide = np.zeros((4, 300), np.float32)
+    wide[:, 299] = 9
+    assert viterbi(wide, np.array([0, 4]), 1.0).tolist() == [299] * 4
 
 
 def test_language_needs_a_letter(spark):
@@ -229,3 +309,4 @@ def test_language_spans(spark):
     assert [(got[i].lang_pred, got[i].score) for i in (901, 902, 903)] == [("und", 0.0)] * 3
     nothing = identify(docs, fit(docs.limit(0), "doc_id", "text", "lang")).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
+    assert identify(docs.limit(0), fit(docs, "doc_id", "text", "lang")).collect() == []

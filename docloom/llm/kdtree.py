@@ -1,10 +1,10 @@
 """Exact top-k search by integer inner product with KD-trees per shard.
 
-Vectors are dealt to shards and queries to blocks; a task searches one shard for one block. A shard is a few
-trees: median splits on the widest side down to small leaves, every node with its tight bounding box. The largest
+Vectors are dealt to shards. Each query is first searched in its own shard; the k-th score found there goes with it to the
+other shards, where queries come in blocks, a task for each block and shard. A shard is a few trees: median splits on the widest side down to small leaves, every node with its tight bounding box. The largest
 score inside a box is q+ . high + q- . low, with the positive and negative parts of the query. A query first goes
 down to its most promising leaf, then nodes whose bound is below its k-th score so far are pruned level by level,
-and the remaining leaves are visited best first. The k-th score is carried from tree to tree. Equal vectors of a
+and the remaining leaves are visited best first. The k-th score is carried from tree to tree and from the own shard to all others. Equal vectors of a
 tree are one point with its k + 1 smallest distinct ids, at most k rows of each: a query leaves out all rows of its own
 id, and k others remain. The best k of every task meet in a window over the query.
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.store import written
+
 TREE_ROWS, LEAF, QUERY_BLOCK, LEAST_SHARD, MOST_SHARD = 8192, 256, 16384, 4096, 65536
 NO_ID = (1 << 63) - 1
 
@@ -73,14 +75,15 @@ class KdTree:
 class Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.queries, self.own, self.k = queries, ids, k
+        self.floor = np.full(len(ids), -np.inf) if floor is None else floor
         self.up, self.down = np.maximum(queries, 0), np.minimum(queries, 0)
         self.scores = np.full((len(ids), k), -np.inf)
         self.ids = np.full((len(ids), k), NO_ID, np.int64)
 
     def kth(self, who: np.ndarray) -> np.ndarray:
-        return self.scores[who, -1]
+        return np.maximum(self.scores[who, -1], self.floor[who])
 
     def bound(self, who: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The largest score that a point of each box can have with each query."""
@@ -148,7 +151,8 @@ def _search(k: int):
             return pa.table([pa.array([], pa.int64())] * 3, names=names)
         ids = vectors.column("vec_id").to_numpy()
         points = _matrix(vectors.column("v"), len(ids))
-        best = Best(_matrix(queries.column("v"), queries.num_rows), queries.column("vec_id").to_numpy(), k)
+        floor = queries.column("floor").fill_null(-np.inf).to_numpy()
+        best = Best(_matrix(queries.column("v"), queries.num_rows), queries.column("vec_id").to_numpy(), k, floor)
         for lo in range(0, len(ids), TREE_ROWS):
             best.search(KdTree(points[lo : lo + TREE_ROWS], ids[lo : lo + TREE_ROWS], k + 1))
         found = best.scores > -np.inf
@@ -170,10 +174,19 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
     shards = max(1, math.ceil(n / min(MOST_SHARD, max(LEAST_SHARD, n // (2 * slots)))))
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
     key = F.xxhash64("vec_id")
-    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    asked = rows.filter("q").dropDuplicates(["vec_id"]).select("dim", F.pmod(key, F.lit(blocks)).cast("int").alias("block"), every(shards, "shard"), "vec_id", "v")
-    searched = rows.select("dim", every(blocks, "block"), F.pmod(key, F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    tasks = ["dim", "block", "shard"]
-    found = asked.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    own = F.pmod(key, F.lit(shards)).cast("int")
+    tasks, out = ["dim", "block", "shard"], "query_id long, vec_id long, score long"
+    searched = rows.select("dim", F.lit(0).alias("block"), own.alias("shard"), "vec_id", "v")
+    asked = rows.filter("q").dropDuplicates(["vec_id"]).select("dim", own.alias("own"), "vec_id", "v")
+    first = asked.select("dim", F.lit(0).alias("block"), F.col("own").alias("shard"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
+    found = first.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out)
+    if shards > 1:
+        found = written(found)
+        floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("floor"))
+        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != F.col("own")))
+        block = F.pmod(key, F.lit(blocks)).cast("int").alias("block")
+        rest = asked.join(floors, "vec_id", "left").select("dim", block, others.alias("shard"), "vec_id", "v", "floor")
+        searched = searched.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = found.union(rest.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

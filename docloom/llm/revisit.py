@@ -4,7 +4,8 @@ A revisit is joined as of its time with the latest earlier full response of the
 agrees (the entity tag, else the modification date, else the payload digest, whichever the revisit has first), the
 response stands, with those headers of the revisit laid over its own that a not-modified answer may change.
 
-The as-of join is a running last value. A URL's records are cut into time buckets of bounded expected size: each
+The as-of join is a running last value. A URL's records are cut into time buckets: BINS quantiles of the times of all
+records, each cut evenly so that a bucket holds about bucket_rows; a few stray times change no other bin. Each
 bucket's last response is carried to the next ones over one row a bucket, and within buckets a window does the
 rest, so a URL with a third of all records is many tasks.
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Headers that a not-modified answer may change.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-BUCKET_ROWS = 10_000
+BUCKET_ROWS, BINS = 10_000, 128
 
 
 def canonical_url(url: Column) -> Column:
@@ -47,10 +48,16 @@ def resolve_revisits(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "time", "kind", "etag", "last_modified", "digest", "headers")
     usable = rows.filter("url_key IS NOT NULL AND time IS NOT NULL")
-    first, last, n = usable.agg(F.min("time"), F.max("time"), F.count("*")).first()
-    width = max(1, ((last or 0) - (first or 0) + 1) * bucket_rows // max(n, 1))
+    first, last, n, quantiles = usable.agg(F.min("time"), F.max("time"), F.count("*"), F.percentile_approx("time", [i / BINS for i in range(BINS)])).first()
+    lows = sorted({first or 0, *(quantiles or [])})
+    highs = [*lows[1:], (last or 0) + 1]
+    parts = max(1, n // (len(lows) * bucket_rows))
+    at = lambda values, i: F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), i)
+    bin_of = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda low: low <= F.col("time")))
+    share = (F.col("time") - at(lows, F.col("bin"))) / (at(highs, F.col("bin")) - at(lows, F.col("bin")))
+    bucket = F.col("bin") * F.lit(parts).cast("long") + F.floor(share * parts)
     full = F.when(F.col("kind") == "response", F.struct("time", "record_id", "etag", "last_modified", "digest", "headers"))
-    placed = usable.withColumn("bucket", F.floor((F.col("time") - F.lit(first or 0)) / F.lit(width))).withColumn("full", full)
+    placed = usable.withColumn("bin", bin_of).withColumn("bucket", bucket).drop("bin").withColumn("full", full)
     order = [F.col("time"), F.col("record_id")]
     latest = placed.groupBy("url_key", "bucket").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct(*order))).alias("latest"))
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

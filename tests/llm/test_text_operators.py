@@ -15,7 +15,8 @@ from docloom.llm.linededup import dedup_lines
 from docloom.llm.packing import WINDOW, pack
 from docloom.llm.quality import judged, measure, measure_chunk, thresholds
 from docloom.llm.substring import dedup_substrings
-from docloom.llm.wordpiece import Automaton, count_pieces, vocabulary
+from docloom.llm.wordpiece import Automaton, count_pieces
+from docloom.llm.wordpiece import vocabulary as pieces_in
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -245,7 +246,7 @@ def test_pieces_equal_greedy_longest_match(spark):
         assert automaton.count(word) == greedy(word), word
     rows, docs = docs_of(spark, 7)
     got = count_pieces(docs, P.path("byte_bpe_50k.json")).collect()
-    known = set(vocabulary(P.path("byte_bpe_50k.json")))
+    known = set(pieces_in(P.path("byte_bpe_50k.json")))
     longest = max(map(len, known))
 
     def pieces(word):

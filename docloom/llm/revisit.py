@@ -52,7 +52,7 @@ def resolve_revisits(records: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Data
     lows = sorted({first or 0, *(quantiles or [])})
     highs = [*lows[1:], (last or 0) + 1]
     parts = max(1, n // (len(lows) * bucket_rows))
-    at = lambda values, i: F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), i)
+    at = lambda values, i: F.get(F.array(*[F.lit(x).cast("long") for x in values]), i - 1)
     bin_of = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda low: low <= F.col("time")))
     share = (F.col("time") - at(lows, F.col("bin"))) / (at(highs, F.col("bin")) - at(lows, F.col("bin")))
     bucket = F.col("bin") * F.lit(parts).cast("long") + F.floor(share * parts)

@@ -7,9 +7,14 @@ into a few more buckets than that, the d + 1 fullest are its strong keys and the
 shares a key that is strong in one of the two. Sizes are handled in classes of ratio SIZE_RATIO; a set also emits
 the keys of the next larger class if a partner can be there. Keys of whole buckets are equal for near copies
 and hardly ever else. Keys go, 39 bits of each, to the owner of their segment (see bloom), which names each shared
-key's smallest document, its hub: all classes with keys of one hub are that hub's block, so any two classes that
-share a key share a block; a class can be in several. Owners hold a bounded number of keys whatever the input, and
-a hot key reaches its owner once from every flush of a task.
+key's smallest document, its hub: all classes with keys of one hub are that hub's block; a class can be in several.
+Owners hold a bounded number of keys whatever the input, and a hot key reaches its owner once from every flush of a task.
+
+A key of more than HOT documents is hot, such as one that holds shingles of a common passage only. A link shares not one key but
+at least T, as many as there are more buckets than d; so a document with fewer than T hot keys shares a key
+that is not hot with each of its links, and needs no block of a hot key. Only documents with T hot keys or more, as in large groups of
+near copies, are in blocks of their hot strong keys. Keys that are weak in all their documents count for documents with hot keys only: without
+one, the shared strong key is not hot. So no link is lost, and a common passage makes no block.
 
 Each block is joined with itself by signature trees: leaves hold a set's token bitmap and size, inner nodes the
 OR of the bitmaps, the range of sizes and the most tokens that bits can hide. A dual traversal follows pairs of
@@ -41,7 +46,9 @@ from docloom.sources.store import forget, written
 
 SIZE_RATIO, SPARE, FANOUT, LEADERS = 1.3, 0.15, 8, 8
 #: Shingles of a chunk of a block, where each set counts SET_COST more for its bitmap.
-CHUNK, SET_COST = 1 << 20, 128
+CHUNK, SET_COST = 1 << 21, 128
+#: A key of more documents is hot.
+HOT = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +87,8 @@ class Classes:
         differ = 2 * high * (den - num) // (den + num)
         self.strong = differ + 1
         self.buckets = np.where(differ > 0, self.strong + np.ceil(SPARE * self.strong).astype(np.int64) + (self.strong < 8), 0)
+        shared = np.where(self.buckets > 0, self.buckets - differ, 1 << 30)
+        self.shared = np.minimum(shared[:-1], shared[1:])  # least number of keys that a set of the class shares with a link
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -131,17 +140,18 @@ def prints(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, f1, f2); f1 and f2 are the fingerprint of the set."""
+def describe(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
+    """Rows (doc_id, n_shingles, f1, f2, shared); f1 and f2 are the fingerprint of the set, shared is how many keys a link shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
                 hashes, at = shingle_sets(data, offsets, n)
                 columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints(hashes, at))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2"])
+                columns.append(pa.array(classes.shared[classes.of(np.maximum(np.diff(at), 1))]))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "shared"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, shared long")
 
 
 ENTRY = {"doc": "near", "tag": "tiny"}
@@ -177,10 +187,12 @@ def _heads(columns: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, a, b): single documents and their hubs, keys with heads and their hubs, keys and known documents."""
+    """Rows (kind, a, b, hot, weak, n). SINGLE: document, hub, what kind of keys they share and how many; HEAD: key, hub, whether it is
+    weak; KNOWN: key, document. Keys with heads are left to a join, since only their rows tell how many documents they have."""
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int8()), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    def out(kind: int, a: np.ndarray, b: np.ndarray, hot: np.ndarray | bool = False, weak: np.ndarray | bool = False, n: np.ndarray | int = 1) -> pa.RecordBatch:
+        whole = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), len(a)).astype(t))
+        return pa.RecordBatch.from_arrays([whole(kind, np.int8), pa.array(a), pa.array(b), whole(hot, bool), whole(weak, bool), whole(n, np.int64)], names=["kind", "a", "b", "hot", "weak", "n"])
 
     for group in K.grouped(batches, ["deal"]):
         kind, parts = group.column("kind").to_numpy(), []
@@ -198,22 +210,31 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, strong, is_head = key[order], doc[order], strong[order], is_head[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.append(starts, len(key)))
-        headed = np.bitwise_or.reduceat(is_head, starts)
-        good = (np.bitwise_or.reduceat(strong, starts) > 0) & ((sizes > 1) | headed)
-        hub = np.repeat(doc[starts], sizes)
-        star = np.repeat(good, sizes) & ~is_head & (doc != hub)
-        ends = np.unique(np.stack([doc[star], hub[star]], axis=1), axis=0)
-        yield out(SINGLE, ends[:, 0], ends[:, 1])
-        yield out(HEAD, key[starts][good & headed], doc[starts][good & headed])
-
-
-def stars(docs: DataFrame, n: int, classes: Classes, n_keys: int) -> DataFrame:
-    """Rows (a, b): documents and the hubs of their shared keys."""
-    found = written(dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True, head=_heads).mapInArrow(_stars, "kind tinyint, a long, b long"))
-    single = found.filter(F.col("kind") == SINGLE).select("a", "b")
-    hubs = found.filter(F.col("kind") == HEAD).select(F.col("a").alias("key"), F.col("b").alias("hub"))
+        headed, weak = np.bitwise_or.reduceat(is_head, starts), np.bitwise_or.reduceat(strong, starts) == 0
+        yield out(HEAD, key[starts][headed], doc[starts][headed], weak=weak[headed])
+        loose = np.repeat(headed, sizes) & ~is_head
+        yield out(KNOWN, key[loose], doc[loose])
+        star = np.repeat(~headed & (sizes > 1), sizes)
+        rows = np.stack([doc, np.repeat(doc[starts], sizes), np.repeat(2 * (sizes > HOT) + weak, sizes)], axis=1)[star]
+        rows, n = np.unique(rows, axis=0, return_counts=True)
+        yield out(SINGLE, rows[:, 0], rows[:, 1], rows[:, 2] > 1, rows[:, 2] % 2 > 0, n)
+
+
+def stars(docs: DataFrame, shared: DataFrame, n: int, classes: Classes, n_keys: int) -> DataFrame:
+    """Rows (a, b): documents and the hubs of the shared keys that put them into blocks. shared: (doc, shared) of describe."""
+    sent = dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True, head=_heads)
+    found = written(sent.mapInArrow(_stars, "kind tinyint, a long, b long, hot boolean, weak boolean, n long"))
+    single = found.filter(F.col("kind") == SINGLE).select(F.col("a").alias("doc"), F.col("b").alias("hub"), "hot", "weak", "n")
     known = found.filter(F.col("kind") == KNOWN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
-    return single.union(known.join(hubs, "key").filter("doc <> hub").select("doc", "hub")).distinct()
+    hubs = found.filter(F.col("kind") == HEAD).select(F.col("a").alias("key"), F.col("b").alias("hub"), "weak")
+    hubs = hubs.join(known.groupBy("key").agg((F.count("*") > HOT).alias("hot")), "key")
+    pairs = single.union(known.join(hubs, "key").select("doc", "hub", "hot", "weak", F.lit(1).cast("long")))
+    pairs = written(pairs.groupBy("doc", "hub", "hot", "weak").agg(F.sum("n").alias("n")))
+    n_hot = pairs.filter("hot").groupBy("doc").agg(F.sum("n").alias("n_hot")).join(shared, "doc")
+    placed = pairs.join(n_hot, "doc", "left").filter("doc <> hub").filter("(NOT hot AND (NOT weak OR n_hot > 0)) OR (hot AND NOT weak AND n_hot >= shared)")
+    placed = written(placed.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
+    forget(found, pairs)
+    return placed
 
 
 class Tree:
@@ -402,7 +423,8 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     """Rows (doc_id, n_shingles, component_id): each row's number of distinct n-word shingles (A-Z lower-cased) and
     the smallest id reachable over links of similarity num / den or more."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(describe(docs, n))
+    sizes = Classes(num, den)
+    described = written(describe(docs, n, sizes))
     linkable = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["f1", "f2", "n_shingles"]
     classes = written(linkable.groupBy(*same).agg(F.min("doc_id").alias("rep")))
@@ -411,10 +433,10 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     copies = linkable.join(classes, same).filter("doc_id <> rep").select("doc_id", "rep").distinct().join(of_several, "doc_id")
     copies = written(copies.select("doc_id", "rep", (F.col("texts") > 1).alias("several")))
 
-    sizes = Classes(num, den)
     rate = (1 + SPARE) * 2 * (den - num) / (den + num) * 2
     n_keys = int(rate * (described.agg(F.sum("n_shingles")).first()[0] or 0))
-    found = written(stars(docs.filter("doc_id IS NOT NULL"), n, sizes, n_keys))
+    shared = linkable.groupBy(F.col("doc_id").alias("doc")).agg(F.min("shared").alias("shared"))
+    found = stars(docs.filter("doc_id IS NOT NULL"), shared, n, sizes, n_keys)
     for end in ("a", "b"):
         known = copies.withColumnsRenamed({"doc_id": "copy", "rep": "of"})
         stood_for = F.when(F.col("of").isNull(), F.array(end)).when(F.col("several"), F.array("of", end)).otherwise(F.array("of"))
@@ -456,5 +478,5 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     names = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left")
     names = written(names.select(*same, F.coalesce("component", "rep").alias("component_id")))
     forget(classes, copies, members, links)
-    joined = described.join(names, same, "left")
+    joined = described.drop("shared").join(names, same, "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -54,6 +54,7 @@ def test_equals_all_pairs(spark, seed, n, num, den, chunk, monkeypatch):
     if seed > 1:  # many flushes and segments, so that keys meet at their owners
         monkeypatch.setattr("docloom.llm.bloom.FLUSH", 50)
         monkeypatch.setattr("docloom.llm.bloom.SEGMENT_KEYS", 300)
+        monkeypatch.setattr("docloom.llm.jaccard.HOT", 3)
     texts = near_copies(seed, 12, 30, (8, 120), 6) + ["", " \n", "one", "one", "one two", "One  TWO", None, None, "x " * 5000]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(0, texts[0]), (3, "another text under one id"), (None, texts[4]), (None, None)]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component_id string")
@@ -61,6 +62,31 @@ def test_equals_all_pairs(spark, seed, n, num, den, chunk, monkeypatch):
     assert got == brute(rows, n, num, den)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_common_passages(spark, seed, monkeypatch):
+    """Texts that share passages, near copies among them: hot keys everywhere."""
+    monkeypatch.setattr("docloom.llm.jaccard.HOT", 4)
+    monkeypatch.setattr("docloom.llm.bloom.FLUSH", 200 if seed == 5 else 1 << 19)
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randint(0, 5000)}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        parts = [" ".join(word() for _ in range(rnd.randint(5, 80))), rnd.choice(passages), rnd.choice(passages)]
+        rnd.shuffle(parts)
+        texts.append(" ".join(parts))
+    for t in list(texts[:25]):
+        for _ in range(rnd.randint(1, 4)):
+            own = t.split()
+            for _ in range(rnd.randint(0, len(own) // 40)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, 5, 80, 100).collect()), key=str)
+    assert got == brute(rows, 5, 80, 100)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(docs, 3, 90, 100).collect() == []

@@ -2,19 +2,15 @@
 
 Documents with equal shingle sets are one class, kept by its smallest id. Classes that can link are brought
 together without loss: two sets of at most u shingles with similarity t differ in at most d = 2u(1-t)/(1+t)
-shingles, so of d + 1 buckets of the hash space at least one holds the same shingles of both. Each set is cut
-into a few more buckets than that, the d + 1 fullest are its strong keys and the rest its weak ones; a link
-shares a key that is strong in one of the two. Sizes are handled in classes of ratio SIZE_RATIO; a set also emits
-the keys of the next larger class if a partner can be there. Keys of whole buckets are equal for near copies
-and hardly ever else. Keys go, 39 bits of each, to the owner of their segment (see bloom), which names each shared
-key's smallest document, its hub: all classes with keys of one hub are that hub's block; a class can be in several.
-Owners hold a bounded number of keys whatever the input, and a hot key reaches its owner once from every flush of a task.
-
-A key of more than HOT documents is hot, such as one that holds shingles of a common passage only. A link shares not one key but
-at least T, as many as there are more buckets than d; so a document with fewer than T hot keys shares a key
-that is not hot with each of its links, and needs no block of a hot key. Only documents with T hot keys or more, as in large groups of
-near copies, are in blocks of their hot strong keys. Keys that are weak in all their documents count for documents with hot keys only: without
-one, the shared strong key is not hot. So no link is lost, and a common passage makes no block.
+shingles, so when the hash space is cut into d + 1 + r buckets, at least r + 1 buckets hold the same shingles of both. The
+content of a bucket is a key. Sizes are handled in classes of ratio SIZE_RATIO; a set also emits the keys of the next
+larger class if a partner can be there. Keys of whole buckets are equal for near copies and rarely else. They go, 39
+bits of each, to the owner of their segment (see bloom), which counts each key's documents and names the smallest, its
+hub. Owners hold a bounded number of keys whatever the input, and a hot key reaches its owner once from every flush of a task.
+
+Of its d + 1 + r keys each set leaves out the r most frequent (ties by key). As frequency is one order for all, the d + 1
+others of two sets that link still share a key. So a document with r shared keys or fewer is in no block at all, and keys of common
+passages fall away first. All classes that have kept keys of one hub are that hub's block; a class can be in several.
 
 Each block is joined with itself by signature trees: leaves hold a set's token bitmap and size, inner nodes the
 OR of the bitmaps, the range of sizes and the most tokens that bits can hide. A dual traversal follows pairs of
@@ -36,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels as K
@@ -47,8 +43,6 @@ from docloom.sources.store import forget, written
 SIZE_RATIO, SPARE, FANOUT, LEADERS = 1.3, 0.15, 8, 8
 #: Shingles of a chunk of a block, where each set counts SET_COST more for its bitmap.
 CHUNK, SET_COST = 1 << 21, 128
-#: A key of more documents is hot.
-HOT = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +79,8 @@ class Classes:
         self.low = np.array(edges, np.int64)
         high = self.low[1:] - 1
         differ = 2 * high * (den - num) // (den + num)
-        self.strong = differ + 1
-        self.buckets = np.where(differ > 0, self.strong + np.ceil(SPARE * self.strong).astype(np.int64) + (self.strong < 8), 0)
-        shared = np.where(self.buckets > 0, self.buckets - differ, 1 << 30)
-        self.shared = np.minimum(shared[:-1], shared[1:])  # least number of keys that a set of the class shares with a link
+        self.spare = np.ceil(SPARE * (differ + 1)).astype(np.int64) + (differ < 7)
+        self.buckets = np.where(differ > 0, differ + 1 + self.spare, 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -99,7 +91,7 @@ class Classes:
 
 
 def keys(hashes: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its bucket keys, strong ones first: (keys, offsets, number of strong keys)."""
+    """(keys, each one's row, each one's size class)."""
     sizes = np.diff(at)
     rows = np.flatnonzero(sizes)
     own = classes.of(sizes[rows])
@@ -114,7 +106,6 @@ def keys(hashes: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarr
     values = K.ragged(hashes, at[row], lengths)
     segment = np.repeat(base, lengths) + ((values >> np.uint64(32)) * np.repeat(buckets, lengths).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     total = int(buckets.sum())
-    count = np.bincount(segment, minlength=total)
     content = np.zeros(total, np.uint64)
     if len(segment):
         edges = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
@@ -122,12 +113,7 @@ def keys(hashes: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarr
     part = np.repeat(np.arange(len(row)), buckets)
     place = (np.arange(total) - base[part]).astype(np.uint64)
     key = K.mix(content ^ K.mix((klass[part].astype(np.uint64) << np.uint64(48)) + place * np.uint64(64) + np.uint64(1)))
-    order = np.lexsort((-count, part))
-    strong = np.empty(total, bool)
-    strong[order] = np.arange(total) - base[part[order]] < classes.strong[klass][part[order]]
-    out = np.lexsort((~strong, row[part]))
-    n_keys = np.bincount(row[part], minlength=len(sizes))
-    return key[out], np.concatenate([[0], np.cumsum(n_keys)]), np.bincount(row[part][strong], minlength=len(sizes))
+    return key, row[part], klass[part]
 
 
 def prints(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -141,17 +127,20 @@ def prints(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def describe(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
-    """Rows (doc_id, n_shingles, f1, f2, shared); f1 and f2 are the fingerprint of the set, shared is how many keys a link shares."""
+    """Rows (doc_id, n_shingles, f1, f2, spare); f1 and f2 are the fingerprint of the set, spare is how many keys of an even and of
+    an odd size class it leaves out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
                 hashes, at = shingle_sets(data, offsets, n)
                 columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints(hashes, at))]
-                columns.append(pa.array(classes.shared[classes.of(np.maximum(np.diff(at), 1))]))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "shared"])
+                own = classes.of(np.maximum(np.diff(at), 1))
+                spare = classes.spare[np.stack([own + own % 2, own + (own + 1) % 2], axis=1)]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * 2, pa.int32()), pa.array(spare.ravel())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "spare"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, shared long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, spare array<long>")
 
 
 ENTRY = {"doc": "near", "tag": "tiny"}
@@ -159,7 +148,7 @@ ENTRY = {"doc": "near", "tag": "tiny"}
 
 def _entries(n: int, classes: Classes):
     """Finds (key, document, tag) for the keys of a batch's sets, each different set once; tags hold bits 32 to 38 of the key
-    and, lowest, whether it is strong."""
+    and, lowest, whether its size class is odd."""
 
     def find(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         seen: set[int] = set()
@@ -172,68 +161,59 @@ def _entries(n: int, classes: Classes):
                     fresh.append(i)
             own = np.array(fresh, np.int64)
             lengths = sizes[own]
-            key, key_at, n_strong = keys(K.ragged(hashes, at[own], lengths), np.concatenate([[0], np.cumsum(lengths)]), classes)
-            n_keys = np.diff(key_at)
-            strong = np.arange(len(key)) - np.repeat(key_at[:-1], n_keys) < np.repeat(n_strong, n_keys)
-            doc = batch.column("doc_id").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[own]
-            yield [key, np.repeat(doc, n_keys), ((key >> np.uint64(32) & np.uint64(127)) << np.uint64(1)).astype(np.uint8) | strong]
+            key, row, klass = keys(K.ragged(hashes, at[own], lengths), np.concatenate([[0], np.cumsum(lengths)]), classes)
+            doc = batch.column("doc_id").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[own][row]
+            yield [key, doc, ((key >> np.uint64(32) & np.uint64(127)) << np.uint64(1)).astype(np.uint8) | (klass % 2).astype(np.uint8)]
 
     return find
 
 
-def _heads(columns: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
-    """For each run of equal keys its smallest document, and strong if one of them is."""
-    return [columns[1][starts], np.bitwise_or.reduceat(columns[2], starts)]
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, a, b, hot, weak, n). SINGLE: document, hub, what kind of keys they share and how many; HEAD: key, hub, whether it is
-    weak; KNOWN: key, document. Keys with heads are left to a join, since only their rows tell how many documents they have."""
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, doc, key, odd, hub, n) of keys that several documents have. SINGLE: a document's key with its hub and number of
+    documents; HEAD: a key and its hub; KNOWN: a document's key. Keys with heads are left to a join, as only their rows tell how
+    many documents they have."""
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray, hot: np.ndarray | bool = False, weak: np.ndarray | bool = False, n: np.ndarray | int = 1) -> pa.RecordBatch:
-        whole = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), len(a)).astype(t))
-        return pa.RecordBatch.from_arrays([whole(kind, np.int8), pa.array(a), pa.array(b), whole(hot, bool), whole(weak, bool), whole(n, np.int64)], names=["kind", "a", "b", "hot", "weak", "n"])
+    def out(kind: int, doc: np.ndarray, key: np.ndarray, hub: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(doc), kind), pa.int8()), pa.array(doc), pa.array(key >> 1), pa.array((key & 1).astype(np.int8)), pa.array(hub), pa.array(n, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "doc", "key", "odd", "hub", "n"])
 
     for group in K.grouped(batches, ["deal"]):
         kind, parts = group.column("kind").to_numpy(), []
         for k in (SINGLE, HEAD, KNOWN):
             segment, (low, doc, tag) = unpacked(group.filter(pa.array(kind == k)), ENTRY)
             tag = tag.view(np.uint8).astype(np.int64)
-            parts.append(((segment.astype(np.int64) << 39) | (tag >> 1 << 32) | low.view(np.uint32).astype(np.int64), doc, tag & 1))
-        if len(parts[KNOWN][0]):
-            yield out(KNOWN, *parts[KNOWN][:2])
-        key, doc, strong = (np.concatenate(x) for x in zip(parts[SINGLE], parts[HEAD]))
+            parts.append((((segment.astype(np.int64) << 39 | tag >> 1 << 32 | low.view(np.uint32).astype(np.int64)) << 1) | (tag & 1), doc))
+        known, docs = parts[KNOWN]
+        if len(known):
+            yield out(KNOWN, docs, known, docs, np.zeros(len(known)))
+        key, doc = (np.concatenate(x) for x in zip(parts[SINGLE], parts[HEAD]))
         if not len(key):
             continue
         is_head = np.arange(len(key)) >= len(parts[SINGLE][0])
         order = np.lexsort((doc, key))
-        key, doc, strong, is_head = key[order], doc[order], strong[order], is_head[order]
+        key, doc, is_head = key[order], doc[order], is_head[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.append(starts, len(key)))
-        headed, weak = np.bitwise_or.reduceat(is_head, starts), np.bitwise_or.reduceat(strong, starts) == 0
-        yield out(HEAD, key[starts][headed], doc[starts][headed], weak=weak[headed])
+        headed = np.bitwise_or.reduceat(is_head, starts)
+        first = starts[headed]
+        yield out(HEAD, doc[first], key[first], doc[first], np.zeros(len(first)))
         loose = np.repeat(headed, sizes) & ~is_head
-        yield out(KNOWN, key[loose], doc[loose])
-        star = np.repeat(~headed & (sizes > 1), sizes)
-        rows = np.stack([doc, np.repeat(doc[starts], sizes), np.repeat(2 * (sizes > HOT) + weak, sizes)], axis=1)[star]
-        rows, n = np.unique(rows, axis=0, return_counts=True)
-        yield out(SINGLE, rows[:, 0], rows[:, 1], rows[:, 2] > 1, rows[:, 2] % 2 > 0, n)
-
-
-def stars(docs: DataFrame, shared: DataFrame, n: int, classes: Classes, n_keys: int) -> DataFrame:
-    """Rows (a, b): documents and the hubs of the shared keys that put them into blocks. shared: (doc, shared) of describe."""
-    sent = dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True, head=_heads)
-    found = written(sent.mapInArrow(_stars, "kind tinyint, a long, b long, hot boolean, weak boolean, n long"))
-    single = found.filter(F.col("kind") == SINGLE).select(F.col("a").alias("doc"), F.col("b").alias("hub"), "hot", "weak", "n")
-    known = found.filter(F.col("kind") == KNOWN).select(F.col("a").alias("key"), F.col("b").alias("doc"))
-    hubs = found.filter(F.col("kind") == HEAD).select(F.col("a").alias("key"), F.col("b").alias("hub"), "weak")
-    hubs = hubs.join(known.groupBy("key").agg((F.count("*") > HOT).alias("hot")), "key")
-    pairs = single.union(known.join(hubs, "key").select("doc", "hub", "hot", "weak", F.lit(1).cast("long")))
-    pairs = written(pairs.groupBy("doc", "hub", "hot", "weak").agg(F.sum("n").alias("n")))
-    n_hot = pairs.filter("hot").groupBy("doc").agg(F.sum("n").alias("n_hot")).join(shared, "doc")
-    placed = pairs.join(n_hot, "doc", "left").filter("doc <> hub").filter("(NOT hot AND (NOT weak OR n_hot > 0)) OR (hot AND NOT weak AND n_hot >= shared)")
-    placed = written(placed.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
-    forget(found, pairs)
+        yield out(KNOWN, doc[loose], key[loose], doc[loose], np.zeros(int(loose.sum())))
+        shared = np.repeat(~headed & (sizes > 1), sizes)
+        yield out(SINGLE, doc[shared], key[shared], np.repeat(doc[starts], sizes)[shared], np.repeat(sizes, sizes)[shared])
+
+
+def stars(docs: DataFrame, spare: DataFrame, n: int, classes: Classes, n_keys: int) -> DataFrame:
+    """Rows (a, b): documents and the hubs of the shared keys that they keep. spare: (doc, spare) of describe."""
+    found = written(dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True).mapInArrow(_owners, "kind tinyint, doc long, key long, odd tinyint, hub long, n int"))
+    single = found.filter(F.col("kind") == SINGLE).select("doc", "key", "odd", "hub", "n")
+    known = found.filter(F.col("kind") == KNOWN).select("doc", "key", "odd")
+    hubs = found.filter(F.col("kind") == HEAD).select("key", "hub").join(known.groupBy("key").agg(F.count("*").cast("int").alias("n")), "key")
+    rows = single.union(known.join(hubs, "key").select("doc", "key", "odd", "hub", "n"))
+    place = F.row_number().over(Window.partitionBy("doc", "odd").orderBy(F.desc("n"), "key"))
+    kept = rows.withColumn("place", place).join(spare, "doc").filter(F.col("place") > F.get("spare", F.col("odd")))
+    placed = written(kept.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
+    forget(found)
     return placed
 
 
@@ -435,8 +415,9 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
 
     rate = (1 + SPARE) * 2 * (den - num) / (den + num) * 2
     n_keys = int(rate * (described.agg(F.sum("n_shingles")).first()[0] or 0))
-    shared = linkable.groupBy(F.col("doc_id").alias("doc")).agg(F.min("shared").alias("shared"))
-    found = stars(docs.filter("doc_id IS NOT NULL"), shared, n, sizes, n_keys)
+    # A document of several texts has the keys of all and leaves none out.
+    spare = linkable.groupBy(F.col("doc_id").alias("doc")).agg(F.array(*[F.when(F.count("*") > 1, 0).otherwise(F.min(F.col("spare")[k])).alias("s") for k in (0, 1)]).alias("spare"))
+    found = stars(docs.filter("doc_id IS NOT NULL"), spare, n, sizes, n_keys)
     for end in ("a", "b"):
         known = copies.withColumnsRenamed({"doc_id": "copy", "rep": "of"})
         stood_for = F.when(F.col("of").isNull(), F.array(end)).when(F.col("several"), F.array("of", end)).otherwise(F.array("of"))
@@ -478,5 +459,5 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     names = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left")
     names = written(names.select(*same, F.coalesce("component", "rep").alias("component_id")))
     forget(classes, copies, members, links)
-    joined = described.drop("shared").join(names, same, "left")
+    joined = described.drop("spare").join(names, same, "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

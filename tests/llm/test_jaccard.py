@@ -54,7 +54,6 @@ def test_equals_all_pairs(spark, seed, n, num, den, chunk, monkeypatch):
     if seed > 1:  # many flushes and segments, so that keys meet at their owners
         monkeypatch.setattr("docloom.llm.bloom.FLUSH", 50)
         monkeypatch.setattr("docloom.llm.bloom.SEGMENT_KEYS", 300)
-        monkeypatch.setattr("docloom.llm.jaccard.HOT", 3)
     texts = near_copies(seed, 12, 30, (8, 120), 6) + ["", " \n", "one", "one", "one two", "One  TWO", None, None, "x " * 5000]
     rows = [(i * 3, t) for i, t in enumerate(texts)] + [(0, texts[0]), (3, "another text under one id"), (None, texts[4]), (None, None)]
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component_id string")
@@ -65,7 +64,6 @@ def test_equals_all_pairs(spark, seed, n, num, den, chunk, monkeypatch):
 @pytest.mark.parametrize("seed", [4, 5])
 def test_common_passages(spark, seed, monkeypatch):
     """Texts that share passages, near copies among them: hot keys everywhere."""
-    monkeypatch.setattr("docloom.llm.jaccard.HOT", 4)
     monkeypatch.setattr("docloom.llm.bloom.FLUSH", 200 if seed == 5 else 1 << 19)
     rnd = random.Random(seed)
     word = lambda: f"w{rnd.randint(0, 5000)}"

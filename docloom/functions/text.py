@@ -23,11 +23,12 @@ STOPWORDS = [
 #: The form of a reference to a block.
 REF = "(?:[A-Za-z0-9_.-]+:)?B[0-9]{4}"
 REF_GROUP = rf"\[({REF}(?:[ \t\n\r\f\x0b]*,[ \t\n\r\f\x0b]*{REF})*)\]"
-#: Weights of sections in evidence scores.
-SECTION_WEIGHTS = {
-    "key points": 1.35, "observations": 1.30, "observation": 1.30, "core concepts": 1.20,
-    "section candidates": 1.15, "mentions": 1.05, "categories": 0.95,
+#: The type of units below a heading, and the weight of each type.
+UNIT_TYPES = {
+    "key points": "key_point", "observations": "observation", "observation": "observation", "categories": "category",
+    "core concepts": "core_concept", "section candidates": "section_candidate", "mentions": "mention",
 }
+UNIT_WEIGHTS = {"key_point": 1.35, "observation": 1.30, "core_concept": 1.20, "section_candidate": 1.15, "category": 0.95}
 #: Numeric personal data, in the order they are masked.
 NUMERIC_PERSONAL_DATA = [
     r"(?<![0-9])[0-9]{6}[- ]?[1-4][0-9]{6}(?![0-9])",
@@ -58,9 +59,9 @@ def tokens(text: Column) -> Column:
 
 
 def keywords(question: Column, most: int = 8) -> Column:
-    """The first distinct tokens that are neither stopwords nor single characters."""
-    plain = F.filter(raw_tokens(question), lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
-    return F.slice(F.array_distinct(plain), 1, most)
+    """The first distinct tokens that are neither stopwords nor single characters, Hangul ones without their ending."""
+    plain = F.transform(raw_tokens(question), lambda t: F.when(F.rlike(t, F.lit("[가-힣]")), without_particle(t)).otherwise(t))
+    return F.slice(F.array_distinct(F.filter(plain, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))), 1, most)
 
 
 def retrieval_query(question: Column, most: int = 8) -> Column:
@@ -74,22 +75,30 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
+#: Patterns of a specific statement and their weights, their sum's limit, words of definition, their weight, the limit.
+SPECIFIC = {
+    r"\b[A-Z]\s*[:(]": 0.08,
+    r"[0-9]+(?:\.[0-9]+)?\s*[-–]\s*[0-9]+(?:\.[0-9]+)?": 0.08,
+    r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:mm|°|%|rpm|kw|v)\b": 0.04,
+    "[;,]": 0.01,
+}
+SPECIFIC_MOST, DEFINING, DEFINING_WEIGHT, SPECIFICITY_MOST = 0.6, r"(?i)\b(example|table|수준|범위|정의|조합)\b", 0.15, 0.8
+#: The form of a number with its unit.
+NUMBER = r"(?<![A-Za-z0-9.,])(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:\s*[만천억])?"
+
+
 def specificity(text: Column) -> Column:
     """A bonus for variables, ranges, measures and lists, at most 0.6, and 0.15 for words of definition; 0.8 in all."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    variables = count(r"\b[A-Z]\s*[:(]")
-    ranges = count(r"[0-9]+(?:\.[0-9]+)?\s*[-–]\s*[0-9]+(?:\.[0-9]+)?")
-    measures = count(r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:mm|°|%|rpm|kw|v)\b")
-    separators = count("[;,]")
-    base = F.least(F.lit(0.6), variables * 0.08 + ranges * 0.08 + measures * 0.04 + separators * 0.01)
-    named = F.when(F.rlike(text, F.lit(r"(?i)\b(example|table|수준|범위|정의|조합)\b")), 0.15).otherwise(0.0)
-    return F.least(F.lit(0.8), base + named)
+    base = F.lit(0.0)
+    for pattern, weight in SPECIFIC.items():
+        base = base + F.regexp_count(text, F.lit(pattern)) * weight
+    named = F.when(F.rlike(text, F.lit(DEFINING)), DEFINING_WEIGHT).otherwise(0.0)
+    return F.least(F.lit(SPECIFICITY_MOST), F.least(F.lit(SPECIFIC_MOST), base) + named)
 
 
 def number_tokens(text: Column) -> Column:
     """Distinct numbers without thousands separators and with their unit; single digits only with a unit."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9.,])(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:\s*[만천억])?"), F.lit(0))
-    plain = F.transform(found, lambda n: F.regexp_replace(n, r"[,\s]", ""))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda n: F.regexp_replace(n, r"[,\s]", ""))
     return F.array_distinct(F.filter(plain, lambda n: F.length(n) > 1))
 
 
@@ -108,18 +117,17 @@ def without_refs(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t]*" + REF_GROUP, ""))
 
 
-def section_weight(section: Column) -> Column:
-    out = F.lit(1.0)
-    for name, weight in SECTION_WEIGHTS.items():
-        out = F.when(F.lower(F.trim(section)) == name, weight).otherwise(out)
-    return out
-
-
-def redact_numbers(text: Column) -> Column:
-    """The text with numeric personal data masked."""
+def redact_numbers(text: Column, trusted: Column | None = None) -> Column:
+    """The text with numeric personal data masked, but for what stands inside one of the trusted identifiers (an array)."""
+    names = F.array().cast("array<string>") if trusted is None else F.array_distinct(F.filter(trusted, lambda x: x.isNotNull() & (x != "")))
+    names = F.reverse(F.array_sort(F.transform(names, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))))  # the longest first
+    kept = lambda i: F.concat(F.lit("\x00"), F.translate(i.cast("string"), "0123456789", "abcdefghij"), F.lit("\x00"))
+    pairs = F.transform(names, lambda p, i: F.struct(p["x"].alias("name"), kept(i).alias("mark")))
+    if trusted is not None:
+        text = F.aggregate(pairs, text, lambda t, p: F.replace(t, p["name"], p["mark"]))
     for pattern in NUMERIC_PERSONAL_DATA:
         text = F.regexp_replace(text, pattern, MASK)
-    return text
+    return text if trusted is None else F.aggregate(pairs, text, lambda t, p: F.replace(t, p["mark"], p["name"]))
 
 
 def clean_tags(tags: Column, title: Column, aliases: Column, most: int = 3) -> Column:
@@ -180,3 +188,22 @@ def section(markdown: Column, heading: str) -> Column:
     """The lines below a heading of level two or deeper, up to the next heading, without blanks around; null without it."""
     body = F.regexp_extract(F.concat(markdown, F.lit("\n")), rf"(?is)(?:^|\n)##+[ \t]+{heading}[ \t]*\n(.*?)(?=\n##|\n#[ \t]|$)", 1)
     return F.nullif(F.trim(F.regexp_replace(body, r"^\s+|\s+$", "")), F.lit(""))
+
+
+def section_items(markdown: Column, heading: str) -> Column:
+    """The bulleted items of a section, without empty ones and lone hyphens."""
+    lines = F.transform(F.split(F.coalesce(section(markdown, heading), F.lit("")), "\n"), lambda x: F.trim(x))
+    items = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("- "))), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x))))
+    return F.filter(items, lambda x: ~x.isin("", "-"))
+
+
+def without_section(markdown: Column, heading: str) -> Column:
+    """The text without a section, its heading included."""
+    return F.regexp_replace(markdown, rf"(?is)(?:^|(?<=\n))##+[ \t]+{heading}[ \t]*(?:\n.*?)?(?=\n##|\n#[ \t]|$)\n?", "")
+
+
+def frontmatter(markdown: Column, key: str) -> Column:
+    """A value between the two lines of three hyphens that open a text, without quotes around; null without it."""
+    head = F.regexp_extract(markdown, r"(?s)^---[ \t]*\n(.*?)\n---", 1)
+    value = F.trim(F.regexp_extract(head, rf"(?m)^{key}[ \t]*:[ \t]*(.*)$", 1))
+    return F.nullif(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit(""))

@@ -7,58 +7,41 @@ batches, one document at a time; everything around them is built-in.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate, groupby, pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "block_id string, text string, position int, line_start int, line_end int, block_type string, section_path array<string>"
 
 
 def split_blocks(text: str) -> list[tuple[str, str, int, int]]:
-    """(type, text, first line, last line) of each block: fenced code as a whole, a heading alone, else up to a blank line."""
-    found: list[tuple[str, str, int, int]] = []
-    lines, kept, first, fenced = text.split("\n"), [], 1, False
-
-    def close(last: int) -> None:
-        raw = "\n".join(kept).strip("\n")
-        bare = raw.strip()
-        if bare:
-            if bare.startswith("#") and "\n" not in bare:
-                kind = "heading"
-            elif bare.startswith(("- ", "* ", "1. ")):
-                kind = "list"
-            else:
-                kind = "code" if bare.startswith("```") else "paragraph"
-            found.append((kind, raw, first, last))
-        kept.clear()
-
-    for number, line in enumerate(lines, 1):
-        bare = line.strip()
-        fence = bare.startswith("```")
-        if fence and not fenced:
-            close(number - 1)
-            first, fenced = number, True
-            kept.append(line)
-        elif fenced:
-            kept.append(line)
-            if fence:
-                close(number)
-                fenced = False
-        elif not bare:
-            close(number - 1)
-        elif bare.startswith("#"):
-            close(number - 1)
-            first = number
-            kept.append(line)
-            close(number)
-        else:
-            if not kept:
-                first = number
-            kept.append(line)
-    close(len(lines))
+    """(type, text, first line, last line) of each block: fenced code as a whole, a heading alone, else up to a blank line.
+
+    Every line gets a label from the number of fences before it; runs of one label are blocks.
+    """
+    lines = text.split("\n")
+    bare = [line.strip() for line in lines]
+    fences = list(accumulate(line.startswith("```") for line in bare))
+
+    def label(i: int) -> tuple[str, int]:
+        if bare[i].startswith("```") or fences[i] % 2:
+            return "code", (fences[i] + 1) // 2
+        if bare[i].startswith("#"):
+            return "heading", i
+        return ("text" if bare[i] else "blank"), 0
+
+    found = []
+    for (kind, _), run in groupby(range(len(lines)), label):
+        own = list(run)
+        if kind != "blank":
+            if kind == "text":
+                kind = "list" if bare[own[0]].startswith(("- ", "* ", "1. ")) else "paragraph"
+            found.append((kind, "\n".join(lines[own[0] : own[-1] + 1]).strip("\n"), own[0] + 1, own[-1] + 1))
     return found
 
 
@@ -97,60 +80,73 @@ def greedy_runs(sizes: list[int], budget: int, overlap: int = 0, most: int | Non
     return runs
 
 
+def _runs(blocks: DataFrame, size: F.Column, budget: int, overlap: int) -> DataFrame:
+    """Rows (document_id, k, items): the runs of a document's blocks in order; items: block_id, text. One Arrow pass over grouped rows."""
+    items = F.array_sort(F.collect_list(F.struct("position", "block_id", "text", size.cast("int").alias("size"))))
+    listed = blocks.groupBy("document_id").agg(items.alias("items"))
+
+    def cut(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: [[a, b] for a, b in greedy_runs(x.tolist(), budget, overlap)])
+
+    cuts = F.pandas_udf(cut, "array<array<int>>")(F.transform("items", lambda x: x["size"]))
+    runs = listed.select("document_id", "items", F.posexplode(cuts).alias("k", "cut"))
+    return runs.select("document_id", "k", F.slice("items", F.col("cut")[0] + 1, F.col("cut")[1] - F.col("cut")[0]).alias("items"))
+
+
 def packets(blocks: DataFrame, budget: int = 7000, overlap: int = 1) -> DataFrame:
     """Rows (document_id, chunk_id, block_ids) of budgeted runs of a document's blocks; a block's size is its text, its
     id and 4."""
+    runs = _runs(blocks, F.length("text") + F.length("block_id") + 4, budget, overlap)
+    return runs.select("document_id", F.format_string("chunk_%04d", F.col("k") + 1).alias("chunk_id"), F.transform("items", lambda x: x["block_id"]).alias("block_ids"))
 
-    def run(document: pd.DataFrame) -> pd.DataFrame:
-        document = document.sort_values("position")
-        ids = document["block_id"].tolist()
-        runs = greedy_runs((document["size"]).tolist(), budget, overlap)
-        return pd.DataFrame({"document_id": document["document_id"].iloc[0], "chunk_id": [f"chunk_{k:04d}" for k in range(1, len(runs) + 1)], "block_ids": [ids[a:b] for a, b in runs]})
 
-    sized = blocks.select("document_id", "block_id", "position", (F.length("text") + F.length("block_id") + 4).alias("size"))
-    kind = sized.schema["document_id"].dataType.simpleString()
-    return sized.groupBy("document_id").applyInPandas(run, f"document_id {kind}, chunk_id string, block_ids array<string>")
+def retrieval_chunks(blocks: DataFrame, most: int = 900) -> DataFrame:
+    """Rows (document_id, chunk, text, block_ids): consecutive blocks joined by line feeds up to so many characters; longer blocks are cut."""
+    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / most).cast("int") - 1, F.lit(0)))).alias("part")
+    cut = blocks.select("document_id", "block_id", "position", "text", parts)
+    place = F.struct("position", "part")
+    cut = cut.select("document_id", "block_id", place.alias("position"), F.substring("text", F.col("part") * most + 1, F.lit(most)).alias("text"))
+    runs = _runs(cut, F.length("text") + 1, most + 1, 0)
+    texts, ids = F.transform("items", lambda x: x["text"]), F.transform("items", lambda x: x["block_id"])
+    return runs.select("document_id", F.col("k").alias("chunk"), F.array_join(texts, "\n").alias("text"), F.array_distinct(ids).alias("block_ids"))
 
 
-def diff(old: list[tuple[str, str]], new: list[str]) -> list[tuple[str, str | None, int | None]]:
-    """(state, old id, place in new) of blocks (id, text) against new texts.
+def diff(old: list[tuple[str, str]], new: list[str], last: int = 0) -> list[tuple[str, str | None, int | None]]:
+    """(state, id, place in new) of blocks (id, text) against new texts.
 
-    Longest common runs are unchanged; of the rest a text that is there once on both sides moved; gaps of as many old
-    as new blocks are modified one by one; what is left is deleted or added.
+    Longest common runs match, then of the rest each text that is there once on both sides. A match that changed its
+    place moved, else it is unchanged. Where one old and one new block alone lie between two neighbouring matches, the block
+    was modified. What is left is deleted or added; added blocks are numbered on from the largest number used or last.
     """
     before = [t for _, t in old]
-    match = SequenceMatcher(None, before, new, autojunk=False)
-    pair: dict[int, int] = {}
-    state: dict[int, str] = {}
-    gaps = []
-    for tag, a, b, c, d in match.get_opcodes():
-        if tag == "equal":
-            pair |= {c + k: a + k for k in range(b - a)}
-            state |= {c + k: "unchanged" for k in range(b - a)}
+    runs = SequenceMatcher(None, before, new, autojunk=False).get_matching_blocks()
+    pair = {j + k: i + k for i, j, size in runs for k in range(size)}
+    free_old = [i for i in range(len(before)) if i not in set(pair.values())]
+    free_new = [j for j in range(len(new)) if j not in pair]
+    times_old, times_new = Counter(before[i] for i in free_old), Counter(new[j] for j in free_new)
+    place = {before[i]: i for i in free_old}
+    pair |= {j: place[new[j]] for j in free_new if times_new[new[j]] == 1 and times_old[new[j]] == 1}
+    marks = [(-1, -1), *sorted((i, j) for j, i in pair.items()), (len(before), len(new))]
+    modified = {d - 1: b - 1 for (a, c), (b, d) in pairwise(marks) if b - a == 2 and d - c == 2}
+    number = max([last, *(int(name[1:]) for name, _ in old if re.fullmatch(r"B\d+", name))])
+    out: list[tuple[str, str | None, int | None]] = []
+    for j in range(len(new)):
+        if j in modified:
+            out.append(("modified", old[modified[j]][0], j))
+        elif j in pair:
+            out.append(("unchanged" if pair[j] == j else "moved", old[pair[j]][0], j))
         else:
-            gaps.append((range(a, b), range(c, d)))
-    left_old = [i for olds, _ in gaps for i in olds]
-    left_new = [j for _, news in gaps for j in news]
-    count = lambda places, texts: {t: [i for i in places if texts[i] == t] for t in {texts[i] for i in places}}
-    olds_by, news_by = count(left_old, before), count(left_new, new)
-    for text, places in news_by.items():
-        if len(places) == 1 and len(olds_by.get(text, ())) == 1:
-            pair[places[0]], state[places[0]] = olds_by[text][0], "moved"
-    used = set(pair.values())
-    for olds, news in gaps:
-        olds, news = [i for i in olds if i not in used], [j for j in news if j not in pair]
-        if len(olds) == len(news):
-            for i, j in zip(olds, news):
-                pair[j], state[j] = i, "modified"
-    used = set(pair.values())
-    out = [(state.get(j, "added"), old[pair[j]][0] if j in pair else None, j) for j in range(len(new))]
+            number += 1
+            out.append(("added", f"B{number:04d}", j))
+    used = {*pair.values(), *modified.values()}
     return out + [("deleted", old[i][0], None) for i in range(len(old)) if i not in used]
 
 
 def block_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows (document_id, state, block_id, position): the new version's blocks with the ids they keep, and deleted ones.
 
-    Documents whose blocks are all equal are settled by a hash and never compared. Added blocks get no id here.
+    Documents whose blocks are all equal are settled by a hash and never compared. Added blocks get numbers that were not used
+    before, if old has a column last_number for those of blocks that are gone.
     """
     digest = lambda df, name: df.groupBy("document_id").agg(F.sha2(F.concat_ws("\x01", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda b: b["text"])), 256).alias(name))
     same = digest(old, "x").join(digest(new, "y"), "document_id").filter("x = y").select("document_id")
@@ -160,10 +156,14 @@ def block_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
     def run(key: tuple, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
         before, after = before.sort_values("position"), after.sort_values("position")
-        rows = diff(list(zip(before["block_id"], before["text"])), after["text"].tolist())
+        last = 0 if before.empty or before["last_number"].isna().all() else int(before["last_number"].max())
+        rows = diff(list(zip(before["block_id"], before["text"])), after["text"].tolist(), last)
         return pd.DataFrame([(key[0], s, b, None if j is None else j + 1) for s, b, j in rows], columns=["document_id", "state", "block_id", "position"])
 
-    rest = lambda df: df.join(same, "document_id", "left_anti").select("document_id", "block_id", "text", "position").groupBy("document_id")
+    last_number = F.col("last_number") if "last_number" in old.columns else F.lit(None)
+    old = old.withColumn("last_number", last_number.cast("long"))
+    columns = ("document_id", "block_id", "text", "position")
+    rest = lambda df: df.join(same, "document_id", "left_anti").select(*columns, *[c for c in df.columns if c == "last_number"]).groupBy("document_id")
     changed = rest(old).cogroup(rest(new)).applyInPandas(run, f"document_id {kind}, state string, block_id string, position int")
     return settled.union(changed)
 
@@ -176,20 +176,15 @@ def stale_documents(derived: DataFrame) -> DataFrame:
 def cover(ranked: DataFrame, most: int) -> DataFrame:
     """Of each query's units (query_id, unit_id, probability, blocks), the most probable first, those that add a block
     to what is covered, at most so many: (query_id, unit_id, rank). A query's candidates are bounded by its ranking."""
-
-    def run(query: pd.DataFrame) -> pd.DataFrame:
-        query = query.sort_values(["probability", "unit_id"], ascending=[False, True])
-        covered: set = set()
-        taken = []
-        for unit, blocks in zip(query["unit_id"], query["blocks"]):
-            if len(taken) < most and not set(blocks) <= covered:
-                taken.append(unit)
-                covered |= set(blocks)
-        return pd.DataFrame({"query_id": query["query_id"].iloc[0], "unit_id": taken, "rank": range(1, len(taken) + 1)})
-
+    unit = F.struct((-F.col("probability")).alias("p"), "unit_id", "blocks")
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(unit)).alias("units"))
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    return ranked.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, unit_id {kinds['unit_id']}, rank int")
+    start = F.struct(F.array().cast(f"array<{kinds['unit_id']}>").alias("taken"), F.array().cast(kinds["blocks"]).alias("covered"))
 
+    def step(state: F.Column, u: F.Column) -> F.Column:
+        adds = (F.size(state["taken"]) < most) & (F.size(F.array_except(u["blocks"], state["covered"])) > 0)
+        more = F.struct(F.array_append(state["taken"], u["unit_id"]).alias("taken"), F.array_union(state["covered"], u["blocks"]).alias("covered"))
+        return F.when(adds, more).otherwise(state)
 
-def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    taken = listed.select("query_id", F.aggregate("units", start, step)["taken"].alias("taken"))
+    return taken.select("query_id", F.posexplode("taken").alias("k", "unit_id")).select("query_id", "unit_id", (F.col("k") + 1).alias("rank"))

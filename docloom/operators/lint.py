@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.helpers import folded
+
 
 def orphan_refs(cited: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows (document_id, block_id, ...) of cited that name no block."""
@@ -70,8 +72,8 @@ def merged_evaluations(windows: DataFrame) -> DataFrame:
 
 
 def same_names(items: DataFrame) -> DataFrame:
-    """Items of one parent and type whose names are equal but for case, blanks around and a closing .md of documents."""
-    trimmed = F.lower(F.trim("name"))
+    """Items of one parent and type whose names are equal but for case, composition, blanks around and a closing .md of documents."""
+    trimmed = folded(F.trim("name"))
     name = F.when(F.col("type") == "document", F.regexp_replace(trimmed, "[.]md$", "")).otherwise(trimmed)
     groups = items.groupBy("parent_id", "type", name.alias("same_name")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     return groups.filter("n > 1")

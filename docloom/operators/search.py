@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import tokens
+from docloom.functions.text import raw_tokens, tokens
 
 HANGUL = "[가-힣ㄱ-ㆎ]"
 
@@ -38,10 +38,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
 
 
 def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (query_id, doc_id, score): the share of a query's distinct terms that a document of its workspace has."""
-    asked = _terms(queries).drop("uses")
+    """Rows (query_id, doc_id, score): the share of a query's distinct terms that a document of its workspace has.
+    Terms keep their endings here."""
+    asked = queries.select("query_id", "workspace_id", F.explode(F.array_distinct(raw_tokens(F.col("question")))).alias("term")).distinct()
     size = asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    has = docs.select("workspace_id", "doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    has = docs.select("workspace_id", "doc_id", F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"))
     hits = has.join(asked, ["workspace_id", "term"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
     return hits.join(size, "query_id").select("query_id", "doc_id", (F.col("hits") / F.col("n_terms")).alias("score"))
 

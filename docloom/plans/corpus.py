@@ -140,7 +140,7 @@ ORACLE_SQL = {
     "tx5_stale": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0",
     "lq18_near_duplicates": """
         WITH RECURSIVE n AS (
-            SELECT doc_id, doc_id * 7 % 1000 AS created, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\p{M}]', '', 'g') AS t FROM documents),
+            SELECT doc_id, doc_id * 7 % 1000 AS created, regexp_replace(nfc_normalize(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss')), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
         c AS (SELECT * FROM n WHERE length(t) >= 20),
         g AS (SELECT DISTINCT doc_id, substring(t, i, 3) AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM c)),
         s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY ALL),

@@ -137,5 +137,5 @@ ORACLE_SQL = {
                round(count(*) FILTER (a AND c <> 'correct' AND s <> 'sufficient') / nullif(count(*) FILTER (a), 0), 6) AS fail_retrieval, round(avg(t), 6) AS seconds
         FROM r GROUP BY GROUPING SETS ((variant), (variant, category))""",
     "em3_newest_vectors": """
-        SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 20""",
+        SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 20000""",
 }

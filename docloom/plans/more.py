@@ -208,7 +208,7 @@ ORACLE_SQL = {
         SELECT w AS workspace_id, c AS cluster_id, count(*) AS claims, sum(n)::bigint AS refs FROM c WHERE n > 0 GROUP BY ALL""",
     "qa6_granularity": """
         WITH p AS (SELECT o_orderkey % 2 AS run, o_custkey AS d, o_orderkey AS page, o_orderkey % 3 AS head FROM orders),
-        l AS (SELECT l_orderkey % 2 AS run, unnest([l_orderkey, l_partkey]) AS page FROM lineitem WHERE l_linenumber = 5),
+        l AS (SELECT l_orderkey % 2 AS run, unnest([l_orderkey, l_partkey]) AS page FROM lineitem),
         h AS (SELECT run, d, count(*) FILTER (k > 1) AS head_groups FROM (SELECT run, d, head, count(*) AS k FROM p GROUP BY ALL) GROUP BY ALL)
         SELECT run, d AS document_id, count(*) AS pages, count(*) FILTER ((run, page) NOT IN (SELECT run, page FROM l)) AS unlinked, any_value(head_groups) AS head_groups
         FROM p JOIN h USING (run, d) GROUP BY ALL""",

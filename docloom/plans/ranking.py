@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import search
-from docloom.plans.common import SQL_BM25, SQL_DOCS, SQL_QUERIES, queries_from_benchmark, sql_tokens, unit_vectors, workspace_docs
+from docloom.plans.common import SQL_BM25, SQL_DOCS, SQL_QUERIES, queries_from_benchmark, sql_raw_tokens, unit_vectors, workspace_docs
 from docloom.sources.tables import table
 
 
@@ -93,8 +93,8 @@ ORACLE_SQL = {
     "sr1_top_documents": f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25} {_BEST('bm25', 10)}",
     "sr2_overlap": f"""
         WITH {SQL_QUERIES}, {SQL_DOCS},
-        asked AS (SELECT DISTINCT query_id, workspace_id, unnest({sql_tokens('question')}) AS term FROM queries),
-        has AS (SELECT DISTINCT workspace_id, doc_id, unnest({sql_tokens('text')}) AS term FROM docs)
+        asked AS (SELECT DISTINCT query_id, workspace_id, unnest({sql_raw_tokens('question')}) AS term FROM queries),
+        has AS (SELECT DISTINCT workspace_id, doc_id, unnest({sql_raw_tokens('text')}) AS term FROM docs)
         SELECT query_id, doc_id, round(count(*) / max(n), 6) AS score
         FROM asked JOIN has USING (workspace_id, term) JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY ALL) USING (query_id) GROUP BY query_id, doc_id""",
     "sr3_dense": f"WITH {SQL_QUERIES}, {SQL_DOCS}, {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score FROM dense",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.plans.common import sql_raw_tokens, sql_tokens
+from docloom.plans.common import sql_raw_tokens, sql_tokens, sql_without_particle
 from docloom.sources.tables import blocks_from_records, described, replaced, table, upserted
 
 
@@ -109,7 +109,7 @@ ORACLE_SQL = {
         WITH t AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents)
         SELECT doc_id, len(w)::int AS n_tokens, len(list_distinct(w))::int AS n_distinct, md5(array_to_string(w, ' ')) AS digest FROM t""",
     "sc4_query_rewrite": f"""
-        WITH t AS (SELECT doc_id, text, list_filter({sql_raw_tokens('text')}, lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS w FROM documents),
+        WITH t AS (SELECT doc_id, text, list_filter(list_transform({sql_raw_tokens('text')}, lambda t: CASE WHEN regexp_matches(t, '[가-힣]') THEN {sql_without_particle('t')} ELSE t END), lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS w FROM documents),
         first AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t) GROUP BY ALL),
         ranked AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM first),
         joined AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS q FROM ranked WHERE k <= 8 GROUP BY doc_id)
@@ -127,10 +127,10 @@ ORACLE_SQL = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM fresh WHERE dup = 1)
         SELECT page_id, coalesce(string_agg(tag, '/' ORDER BY k) FILTER (k <= 3), '') AS tags FROM pages LEFT JOIN ranked USING (page_id) GROUP BY page_id""",
     "sc7_specificity": f"""
-        SELECT doc_id, round(least(0.8, least(0.6, {_COUNT('[A-Z]')} * 0 + {_COUNT(r'\b[A-Z]\s*[:(]')} * 0.08
+        SELECT doc_id, round((least(0.8, least(0.6, {_COUNT(r'\b[A-Z]\s*[:(]')} * 0.08
             + {_COUNT(r'[0-9]+(?:\.[0-9]+)?\s*[-–]\s*[0-9]+(?:\.[0-9]+)?')} * 0.08
             + {_COUNT(r'(?i)[0-9]+(?:\.[0-9]+)?\s*(?:mm|°|%|rpm|kw|v)\b')} * 0.04 + {_COUNT('[;,]')} * 0.01)
-            + CASE WHEN regexp_matches(text, '(?i)\\b(example|table|수준|범위|정의|조합)\\b') THEN 0.15 ELSE 0 END), 6) AS bonus FROM documents""",
+            + CASE WHEN regexp_matches(text, '(?i)\\b(example|table|수준|범위|정의|조합)\\b') THEN 0.15 ELSE 0 END))::double, 6) AS bonus FROM documents""",
     "sc11_tables": """
         SELECT c_nationkey, c_nationkey % 3 <> 0 AND count(DISTINCT c_mktsegment) >= 1 AS is_table FROM customer GROUP BY c_nationkey""",
     "tx10_refs": """

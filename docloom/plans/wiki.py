@@ -234,15 +234,37 @@ ORACLE_SQL = {
         SELECT relation, count(*) AS n, round(sum(confidence), 4) AS confidence FROM links WHERE f IN (SELECT * FROM a) AND t IN (SELECT * FROM a) GROUP BY relation""",
     "gr3_neighbourhood": f"""
         WITH {_LINKS}, edges AS (SELECT DISTINCT f, t, (f * 13 + t) % 1000 / 1000 AS c FROM links WHERE relation <> 'r2'),
-        ways AS (SELECT f AS p, t AS q, c FROM edges UNION ALL SELECT t, f, c FROM edges),
+        ways AS (SELECT f AS p, t AS q, f, t, c FROM edges UNION SELECT t, f, f, t, c FROM edges),
         s0 AS (SELECT c_custkey AS query_id, c_custkey AS page_id, 0 AS depth FROM customer WHERE c_custkey % 50 = 1),
-        k1 AS (SELECT query_id, q, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, p, q) AS k FROM s0 JOIN ways ON p = page_id),
-        s1 AS (SELECT DISTINCT query_id, q AS page_id, 1 AS depth FROM k1 WHERE k <= 20 AND (query_id, q) NOT IN (SELECT query_id, page_id FROM s0)),
-        k2 AS (SELECT query_id, q, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, p, q) AS k FROM s1 JOIN ways ON p = page_id),
+        u0 AS (SELECT query_id, 0 AS used FROM s0),
+        k1 AS (
+            SELECT query_id, f, t, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, f, t) AS k
+            FROM (SELECT DISTINCT x.query_id, f, t, c FROM s0 x JOIN ways w ON w.p = x.page_id
+                  WHERE NOT EXISTS (SELECT 1 FROM (SELECT NULL, NULL WHERE false) b(query_id, page_id) WHERE b.query_id = x.query_id AND b.page_id = w.q))),
+        t1 AS (SELECT query_id, f, t FROM k1 JOIN u0 USING (query_id) WHERE k + used <= 200),
+        u1 AS (SELECT u.query_id, any_value(used) + count(t.f) AS used FROM u0 u LEFT JOIN t1 t USING (query_id) GROUP BY u.query_id),
+        s1 AS (
+            SELECT DISTINCT query_id, page_id, 1 AS depth FROM (SELECT query_id, unnest([f, t]) AS page_id FROM t1) e
+            WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, page_id FROM s0) b WHERE b.query_id = e.query_id AND b.page_id = e.page_id)),
+        k2 AS (
+            SELECT query_id, f, t, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, f, t) AS k
+            FROM (SELECT DISTINCT x.query_id, f, t, c FROM s1 x JOIN ways w ON w.p = x.page_id
+                  WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, page_id FROM s0) b(query_id, page_id) WHERE b.query_id = x.query_id AND b.page_id = w.q))),
+        t2 AS (SELECT query_id, f, t FROM k2 JOIN u1 USING (query_id) WHERE k + used <= 200),
+        u2 AS (SELECT u.query_id, any_value(used) + count(t.f) AS used FROM u1 u LEFT JOIN t2 t USING (query_id) GROUP BY u.query_id),
         s2 AS (
-            SELECT DISTINCT query_id, q AS page_id, 2 AS depth FROM k2
-            WHERE k <= 20 AND (query_id, q) NOT IN (SELECT query_id, page_id FROM s0 UNION ALL SELECT query_id, page_id FROM s1))
-        SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2""",
+            SELECT DISTINCT query_id, page_id, 2 AS depth FROM (SELECT query_id, unnest([f, t]) AS page_id FROM t2) e
+            WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, page_id FROM s0 UNION ALL SELECT query_id, page_id FROM s1) b WHERE b.query_id = e.query_id AND b.page_id = e.page_id)),
+        k3 AS (
+            SELECT query_id, f, t, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, f, t) AS k
+            FROM (SELECT DISTINCT x.query_id, f, t, c FROM s2 x JOIN ways w ON w.p = x.page_id
+                  WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, page_id FROM s0 UNION ALL SELECT query_id, page_id FROM s1) b(query_id, page_id) WHERE b.query_id = x.query_id AND b.page_id = w.q))),
+        t3 AS (SELECT query_id, f, t FROM k3 JOIN u2 USING (query_id) WHERE k + used <= 200),
+        u3 AS (SELECT u.query_id, any_value(used) + count(t.f) AS used FROM u2 u LEFT JOIN t3 t USING (query_id) GROUP BY u.query_id),
+        s3 AS (
+            SELECT DISTINCT query_id, page_id, 3 AS depth FROM (SELECT query_id, unnest([f, t]) AS page_id FROM t3) e
+            WHERE NOT EXISTS (SELECT 1 FROM (SELECT query_id, page_id FROM s0 UNION ALL SELECT query_id, page_id FROM s1 UNION ALL SELECT query_id, page_id FROM s2) b WHERE b.query_id = e.query_id AND b.page_id = e.page_id))
+        SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3""",
     "gr6_source_links": """
         WITH derived AS (SELECT DISTINCT l_orderkey % 500 AS f, l_partkey % 40 AS t FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 6 = 0)),
         manual AS (SELECT p_partkey % 500 AS f, p_partkey % 41 AS t, bool_and(p_partkey % 2 = 0) AS present FROM part GROUP BY ALL)
@@ -298,9 +320,8 @@ ORACLE_SQL = {
         j AS (SELECT page_id, string_agg(x::varchar, ',' ORDER BY k) AS refs FROM r GROUP BY ALL)
         SELECT page_id, arg_max(title, s) FILTER (title IS NOT NULL) AS title, refs, max(value) AS importance, count(*) AS n FROM e JOIN j USING (page_id) GROUP BY page_id, refs""",
     "st2_latest_state": """
-        WITH e AS (SELECT * FROM events WHERE event_id % 2 = 0 OR event_id % 3 <> 0)
         SELECT user_id AS document_id, 'w' || user_id % 3 AS workspace_id, max(event_id) AS revision, sha256(arg_max(event_type, event_id)) AS content_hash,
-               regexp_replace(arg_max(ts, event_id)::varchar, '\\.?0+$', '') AS created_at FROM e GROUP BY user_id""",
+               regexp_replace(arg_max(ts, event_id)::varchar, '\\.?0+$', '') AS created_at FROM events GROUP BY user_id""",
     "lq3_promoted": """
         WITH t AS (SELECT p_partkey % 4 AS workspace_id, p_partkey % 20 AS cluster_id, 'term ' || p_partkey % 6 AS own, 'term ' || (p_partkey // 3) % 12 AS key FROM part WHERE p_partkey % 7 <> 0)
         SELECT workspace_id, cluster_id, count(DISTINCT key) AS n FROM t WHERE key <> own GROUP BY ALL HAVING count(DISTINCT key) >= 5""",

@@ -1,18 +1,30 @@
-from docloom.functions.helpers import name_key_of, sentences_of, slug_of
+from pyspark.sql import functions as F
 
+from docloom.functions.helpers import name_key, sentences, slugify
 
-def test_names():
-    assert name_key_of("  Ｆｕｌｌ-Width_name\tStraße ") == "full width name strasse"
-    assert slug_of(' "Deep" (Learning)! 모델 ') == "deep-learning-모델"
-    assert slug_of("!!") == "untitled"
-    long = slug_of("ab " * 200)
-    assert len(long) == 255 and long[246] == "-"
 
+def all_of(spark, function, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.x for r in rows.select("i", function("v").alias("x")).orderBy("i").collect()]
 
-def test_sentences():
-    assert sentences_of("One two. Three! Four? five") == ["One two.", "Three!", "Four?", "five"]
-    assert sentences_of("Claim one. [B0001, d:B0002]") == ["Claim one. [B0001, d:B0002]"]
-    assert sentences_of("Claim one. [B0001] Next") == ["Claim one.", "Next"]
-    assert sentences_of("- Summary the text.\n* more") == ["the text.", "more"]
-    assert sentences_of("문장이다.다음 문장이에요. 끝") == ["문장이다.", "다음 문장이에요.", "끝"]
-    assert sentences_of("  \n ") == []
+
+def test_names(spark):
+    assert all_of(spark, name_key, ["  Ｆｕｌｌ-Width_name\tStraße ", None, ""]) == ["full width name strasse", None, ""]
+    got = all_of(spark, slugify, [' "Deep" (Learning)! 모델 ', "!!", "ab " * 200, None])
+    assert got[:2] == ["deep-learning-모델", "untitled"] and got[3] is None
+    assert len(got[2]) == 255 and got[2][246] == "-"
+
+
+def test_sentences(spark):
+    cases = {
+        "One two. Three! Four? five": ["One two.", "Three!", "Four?", "five"],
+        "Claim one. [B0001, d:B0002]": ["Claim one. [B0001, d:B0002]"],
+        "Claim one. [B0001] Next": ["Claim one.", "Next"],
+        "- Summary the text.\n* more": ["the text.", "more"],
+        "문장이다.다음 문장이에요. 끝": ["문장이다.", "다음 문장이에요.", "끝"],
+        "문장이다.[B0001]": ["문장이다. [B0001]"],
+        "## Terms: one. two": ["one.", "two"],
+        "  \n ": [],
+    }
+    assert all_of(spark, sentences, list(cases)) == list(cases.values())
+    assert all_of(spark, sentences, [None]) == [None]

@@ -47,10 +47,12 @@ def test_greedy_runs():
 def test_block_diff():
     old = [("B0001", "a"), ("B0002", "b"), ("B0003", "c"), ("B0004", "d")]
     assert bl.diff(old, ["a", "b", "c", "d"]) == [("unchanged", f"B000{k + 1}", k) for k in range(4)]
-    assert ("moved", "B0001", 3) in bl.diff(old, ["b", "c", "d", "a"])
+    assert bl.diff(old, ["b", "c", "d", "a"]) == [("moved", f"B000{k}", j) for j, k in enumerate((2, 3, 4, 1))]
+    assert [s for s, *_ in bl.diff(old, ["a", "x", "y", "d"])] == ["unchanged", "added", "added", "unchanged", "deleted", "deleted"]
     assert bl.diff(old, ["a", "B", "c", "d"])[1] == ("modified", "B0002", 1)
     assert bl.diff(old, ["a", "c", "d"])[-1] == ("deleted", "B0002", None)
-    assert bl.diff(old, ["a", "b", "new", "c", "d"])[2] == ("added", None, 2)
+    assert bl.diff(old, ["a", "b", "new", "c", "d"])[2] == ("added", "B0005", 2)
+    assert bl.diff(old, ["a", "b", "c", "d", "e"], last=9)[-1] == ("added", "B0010", 4)
 
 
 def test_cover(spark):

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from docloom.llm import kernels as K
+from docloom.llm.bloom import suspects
 from docloom.llm.bpe import WordMemo
 from docloom.llm.language import fit, identify, viterbi
 from docloom.llm.linededup import dedup_lines
@@ -311,3 +312,46 @@ def test_language_spans(spark):
     nothing = identify(docs, fit(docs.limit(0), "doc_id", "text", "lang")).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert identify(docs.limit(0), fit(docs, "doc_id", "text", "lang")).collect() == []
+
+
+@pytest.mark.parametrize("flush,segment", [(40, 60), (1 << 19, 1 << 19)])
+def test_suspects_are_all_repeats(spark, flush, segment, monkeypatch):
+    """Keys that occur twice pass with all their rows, whether they meet in a flush or at their owner."""
+    monkeypatch.setattr("docloom.llm.bloom.FLUSH", flush)
+    monkeypatch.setattr("docloom.llm.bloom.SEGMENT_KEYS", segment)
+    rnd = np.random.default_rng(6)
+    keys = np.concatenate([rnd.integers(0, 400, 500), np.full(300, 7), np.arange(1000, 1500)])
+    rows = [(i, int(K.mix(np.array([k], np.uint64))[0].view(np.int64)), i if i % 50 else 1 << 62) for i, k in enumerate(rnd.permutation(keys))]
+    given = spark.createDataFrame(rows, "i int, k long, doc long").repartition(5)
+
+    def find(batch):
+        yield [batch.column("k").to_numpy().view(np.uint64), batch.column("doc").to_numpy(), batch.column("i").to_numpy()]
+
+    got = [(r.key, r.doc, r.i) for r in suspects(given, find, {"doc": "near", "i": "int"}, len(rows)).collect()]
+    times = Counter(k for _, k, _ in rows)
+    wanted = {(k, doc, i) for i, k, doc in rows if times[k] > 1}
+    assert len(got) == len(set(got)) and wanted <= set(got) <= {(k, doc, i) for i, k, doc in rows}
+    assert len(got) - len(wanted) < 20
+    assert suspects(given.limit(0), find, {"doc": "near", "i": "int"}, 0).collect() == []
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    """Columns named like an operator's own, and a table of one row repeated."""
+    line = "a line that is long enough"
+    names = ["doc_id", "text", "doc", "h", "given", "spans", "drops", "group", "of", "fences", "base_failed", "marks_low", "n_words", "removed_spans", "n_pieces", "lang", "source"]
+    schema = ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)
+    same = spark.createDataFrame([(None, " ".join([line] * 12), *"x" * 15)] * 40, schema)
+    assert {(r.n_dropped, r.doc, r.h, r.drops) for r in dedup_lines(same).collect()} == {(0, "x", "x", "x")}
+    assert {(r.n_removed, r.n_words, r.spans, r.text) for r in dedup_substrings(same).collect()} == {(72, 72, "x", "")}
+    measured = measure(same)
+    got = judged(measured, thresholds(measured)).collect()
+    assert len(got) == 40 and {(r.of, r.fences, r.group, r.base_failed) for r in got} == {("x", "x", "x", True)}
+    assert {(r.n_words, r.h) for r in count_pieces(same, P.path("byte_bpe_50k.json")).collect()} == {(72, "x")}
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000} x{i}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, "short one here", "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.n_words for r in measure(docs).collect()} == {1: 800_000, 2: 3, 3: 0}
+    assert {r.doc_id: r.n_removed for r in dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: r.n_dropped for r in dedup_lines(docs).collect()} == {1: 0, 2: 0, 3: 0}

@@ -185,7 +185,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
         floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("floor"))
         others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != F.col("own")))
         block = F.pmod(key, F.lit(blocks)).cast("int").alias("block")
-        rest = asked.join(floors, "vec_id", "left").select("dim", block, others.alias("shard"), "vec_id", "v", "floor")
+        bounded = written(asked.join(floors, "vec_id", "left").select("dim", "own", "vec_id", "v", "floor"))
+        rest = bounded.select("dim", block, others.alias("shard"), "vec_id", "v", "floor")
         searched = searched.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         found = found.union(rest.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

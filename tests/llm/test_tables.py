@@ -158,3 +158,21 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in links)}
+
+
+def test_the_bound_goes_from_shard_to_shard(spark, monkeypatch):
+    monkeypatch.setattr("docloom.llm.kdtree.LEAST_SHARD", 30)
+    monkeypatch.setattr("docloom.llm.kdtree.MOST_SHARD", 60)
+    monkeypatch.setattr("docloom.llm.kdtree.QUERY_BLOCK", 20)
+    rng = np.random.default_rng(9)
+    points = rng.integers(-8, 8, (400, 5)) / 64
+    points[300:340] = points[0]
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_k(vectors, F.col("vec_id") % 4 == 0, k=7).select("query_id", "rank", "vec_id", "score").collect())
+    whole = np.floor(points * 64).astype(int)
+    want = []
+    for q in range(0, 400, 4):
+        best = sorted((-int(whole[q] @ whole[j]), j) for j in range(400) if j != q)[:7]
+        want += [(q, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)

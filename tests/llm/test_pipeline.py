@@ -10,6 +10,8 @@ from test_text_operators import WORD, brute_lines, brute_measures
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as cp  # noqa: E402
 
+from docloom.llm.quality import MEASURES  # noqa: E402
+
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -42,7 +44,7 @@ def test_stages(spark, tmp_path):
     kept = cp.quality_rules(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     got = rows_of(kept)
-    base = {r[0] for r in corpus() if len(WORD.findall(r[1] or "")) >= 20 and 100 * brute_measures(r[1])[5] <= 30 * len(WORD.findall(r[1]))}
+    base = {r[0] for r in corpus() if len(WORD.findall(r[1] or "")) >= 20 and 100 * brute_measures(r[1])[MEASURES.index("n_repeat_words")] <= 30 * len(WORD.findall(r[1]))}
     junk = {r[0] for r in corpus() if "%%%" in (r[1] or "")}
     assert {r[0] for r in got} == base - junk
 

@@ -119,3 +119,54 @@ def judged_pairs(pairs: DataFrame, related_at: float = 0.9) -> DataFrame:
     return decided.join(merged, key == F.col("merged"), "left").select(
         "incoming_slug", F.when(chained, "new").otherwise(F.col("decision")).alias("decision"), F.when(~chained, F.col("merge_into")).alias("merge_into"), "link_to"
     )
+
+
+def workspace_report(clusters: DataFrame, claims: DataFrame, stale: DataFrame, restated: DataFrame, least: int = 5) -> DataFrame:
+    """Rows (workspace_id, cluster_id, finding): promote, needs_review, no_refs and too_few_details.
+
+    clusters: workspace_id, cluster_id, promotion, promotion_refs, n_details; claims: workspace_id, cluster_id, claim_id, text, decision, refs;
+    stale: workspace_id, ref; restated: workspace_id, cluster_id, claim_id, text. A claim that cites a stale reference and was not stated
+    again blocks its cluster, which is then reviewed rather than promoted.
+    """
+    key = ["workspace_id", "cluster_id"]
+    cites = claims.select(*key, "claim_id", "text", F.explode("refs").alias("ref")).join(stale.distinct(), ["workspace_id", "ref"], "left_semi")
+    blocked = cites.join(restated, [*key, "claim_id", "text"], "left_anti").select(*key).distinct().withColumn("blocked", F.lit(True))
+    doubted = claims.filter("decision = 'needs_review'").select(*key).distinct().withColumn("doubted", F.lit(True))
+    c = clusters.join(blocked, key, "left").join(doubted, key, "left")
+    is_candidate, has_refs, reaches = F.col("promotion") == "candidate", F.coalesce(F.size("promotion_refs"), F.lit(0)) > 0, F.col("n_details") >= least
+    findings = F.array(
+        F.when(is_candidate & ~has_refs, "no_refs"), F.when(is_candidate & has_refs & ~reaches, "too_few_details"),
+        F.when(is_candidate & has_refs & reaches & F.col("blocked").isNull(), "promote"),
+        F.when((F.col("promotion") == "needs_review") | F.col("blocked") | F.col("doubted"), "needs_review"),
+    )
+    return c.select(*key, F.explode(F.array_compact(findings)).alias("finding"))
+
+
+#: The share of recall and of alignment that a good answer has.
+LEAST_QUALITY = 0.75
+
+
+def quality_failures(evaluations: DataFrame, trashed: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows (document_id, question, failure): why an evaluation of a living document failed; those without a reason are left out.
+
+    evaluations: document_id, question, passed, question_ok, n_contradictions, gold_hit, missing_claims, answerable, recall, alignment,
+    source_document_id, block_ids; units: source_document_id, block_refs of active pages, global (document:block) or of the
+    unit's document. Nulls count as false and 0.
+    """
+    source = F.coalesce("source_document_id", "document_id")
+    failed = evaluations.filter(~F.coalesce("passed", F.lit(False))).join(trashed.select("document_id").distinct(), "document_id", "left_anti")
+    failed = failed.withColumn("gold", F.transform("block_ids", lambda b: F.concat_ws(":", source, b)))
+    ref = F.col("ref")
+    whole = F.when(F.contains(ref, F.lit(":")), ref).otherwise(F.concat_ws(":", "source_document_id", ref))
+    indexed = units.select("source_document_id", F.explode("block_refs").alias("ref")).select(whole.alias("ref")).distinct()
+    found = failed.select("document_id", "question", F.explode("gold").alias("ref")).join(indexed, "ref", "left_semi")
+    found = found.select("document_id", "question").distinct().withColumn("indexed", F.lit(True))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    incomplete = (F.coalesce(F.size("missing_claims"), F.lit(0)) > 0) | ~yes("answerable") | (number("recall") < LEAST_QUALITY)
+    failure = (
+        F.when(~yes("question_ok"), "question").when(number("n_contradictions") > 0, "contradictory")
+        .when(~yes("gold_hit"), F.when(F.col("indexed"), "retrieval").otherwise("not_in_wiki"))
+        .when(incomplete, "incomplete").when(number("alignment") < LEAST_QUALITY, "imprecise")
+    )
+    return failed.join(found, ["document_id", "question"], "left").select("document_id", "question", failure.alias("failure")).filter("failure IS NOT NULL")

@@ -207,3 +207,43 @@ def frontmatter(markdown: Column, key: str) -> Column:
     head = F.regexp_extract(markdown, r"(?s)^---[ \t]*\n(.*?)\n---", 1)
     value = F.trim(F.regexp_extract(head, rf"(?m)^{key}[ \t]*:[ \t]*(.*)$", 1))
     return F.nullif(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit(""))
+
+
+#: What a text reads like whose glyphs were taken for characters: shifted by so many code points, and these signs.
+GLYPH_SHIFT, GLYPH_LAST, GLYPH_SIGNS = 29, 93, r"$%&*/;<=>@\[\\\]^_`{|}~"
+
+
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def unshifted(text: Column) -> Column:
+    """The text with all code points up to 93 moved up by 29."""
+    source = "".join(map(chr, range(GLYPH_LAST + 1)))
+    return _flat(F.translate(_flat(text), source, "".join(chr(ord(c) + GLYPH_SHIFT) for c in source)))
+
+
+def is_glyph_encoded(text: Column) -> Column:
+    """Whether a text seems to hold glyph numbers instead of characters; false below six characters, null for null."""
+    flat, moved = _flat(text), unshifted(text)
+    words = F.regexp_extract_all(flat, F.lit("[A-Za-z]+"), F.lit(0))
+    n = F.greatest(F.size(words), F.lit(1))
+    hard = F.size(F.filter(words, lambda w: F.rlike(w, F.lit("^[B-DF-HJ-NP-TV-Z]{3,}$")))) / n
+    upper = F.size(F.filter(words, lambda w: w == F.upper(w))) / n
+    common = F.size(F.filter(F.regexp_extract_all(moved, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w).isin(COMMON_WORDS)))
+    better = language_score(moved) - language_score(flat) >= 0.2
+    solid = F.regexp_replace(flat, " ", "")
+    noise = F.length(solid) - F.length(F.regexp_replace(solid, rf"[\p{{Nd}}{GLYPH_SIGNS}]", ""))
+    signs = F.rlike(flat, F.lit(rf"[,'{GLYPH_SIGNS}]{{3,}}"))
+    moves = better & ((common >= 2) | ((F.size(words) >= 3) & (upper >= 0.8)))
+    noisy = (noise / F.greatest(F.length(solid), F.lit(1)) > 0.35) & ~F.rlike(solid, F.lit("[aeiouAEIOU]"))
+    return (F.length(flat) >= 6) & (signs | moves | ((F.size(words) >= 4) & (hard >= 0.5)) | noisy)
+
+
+def is_suspicious(text: Column) -> Column:
+    """Whether a text has replacement or control characters, a letter four times in a row, a long word of mixed cases, or
+    is glyph-encoded and reads badly. Null for null."""
+    long = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]{16,}"), F.lit(0)), lambda w: (
+        (F.length(F.regexp_replace(w, "[a-z]", "")) >= 6) & (F.length(F.regexp_replace(w, "[A-Z]", "")) >= 4) & (F.regexp_count(w, F.lit("[A-Z](?=[a-z])|[a-z](?=[A-Z])")) >= 4)))
+    odd = F.rlike(text, F.lit(r"\x{FFFD}|[\p{Cc}\p{Cs}\p{Co}&&[^\x09-\x0D\x1C-\x1F\x85]]|([A-Za-z])\1{3,}"))
+    return odd | (F.size(long) > 0) | (is_glyph_encoded(text) & (language_score(_flat(text)) < 0.5))

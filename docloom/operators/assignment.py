@@ -225,3 +225,22 @@ def replayed_entries(changes: DataFrame) -> DataFrame:
     schema = f"page_id {kinds['page_id']}, entry_id {kinds['entry_id']}, name string, parent_entry_id {kinds['entry_id']}, refs array<string>, operations array<{kinds['operation_id']}>"
     columns = ["page_id", "sequence", "op", "operation_id", "entry_id", "parent_entry_id", "name", "refs"]
     return changes.filter("entry_id IS NOT NULL").select(*columns).groupBy("page_id").applyInPandas(_replayed, schema)
+
+
+def anchored_items(items: DataFrame, blocks: DataFrame, most: int = 3) -> DataFrame:
+    """Rows (document_id, kind, number, text, anchors, unknown) of items of notes (document_id, kind, note, place, text, refs).
+
+    Items of a document and kind are numbered from 1 in reading order (note, place, then text). Anchors are the first most different
+    references that are blocks (document_id, block_id) of the document, in the order cited; unknown are those that are not.
+    """
+    order = F.row_number().over(Window.partitionBy("document_id", "kind").orderBy("note", "place", "text"))
+    numbered = items.withColumn("number", order)
+    key = ["document_id", "kind", "number"]
+    cited = numbered.select(*key, F.posexplode(F.array_distinct("refs")).alias("at", "block_id"))
+    known = blocks.select("document_id", "block_id").distinct().withColumn("known", F.lit(True))
+    at = F.struct("at", "block_id")
+    checked = cited.join(known, ["document_id", "block_id"], "left").groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.when(F.col("known"), at))).alias("good"), F.array_sort(F.collect_list(F.when(F.col("known").isNull(), at))).alias("bad")
+    )
+    ids = lambda c: F.coalesce(F.transform(c, lambda x: x["block_id"]), F.array().cast("array<string>"))
+    return numbered.join(checked, key, "left").select(*key, "text", F.slice(ids("good"), 1, most).alias("anchors"), ids("bad").alias("unknown"))

@@ -111,10 +111,27 @@ def lq17_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.quality_failures(rows, trashed, units)
 
 
-QUERIES = {f.__name__: f for f in (er12_slugs, er14_heads, er15_entries, er15_mentions, er17_key_points, er17_of_concepts, ev1_contributions, ev3_entries, lq4_report, lq17_failures)}
+def er1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as items of notes that cite up to six blocks, some twice and some unknown."""
+    n = C("l_orderkey") * 31 + C("l_partkey") * 7 + C("l_linenumber")
+    refs = F.transform(F.sequence(F.lit(0), (n % 6).cast("int")), lambda k: F.concat(F.lit("B"), (n * (k + 1)) % 60))
+    items = table(spark, sf_dir, "lineitem").select((C("l_orderkey") % 40).alias("document_id"), (C("l_partkey") % 3).alias("kind"), C("l_orderkey").alias("note"), C("l_linenumber").alias("place"),
+                                                    F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("text"), refs.alias("refs"))
+    blocks = table(spark, sf_dir, "customer").select((C("c_custkey") % 40).alias("document_id"), F.concat(F.lit("B"), C("c_custkey") % 57).alias("block_id"))
+    return ag.anchored_items(items.distinct(), blocks).select("document_id", "kind", "number", "text", _joined("anchors"), _joined("unknown"))
+
+
+QUERIES = {f.__name__: f for f in (er1_items, er12_slugs, er14_heads, er15_entries, er15_mentions, er17_key_points, er17_of_concepts, ev1_contributions, ev3_entries, lq4_report, lq17_failures)}
 
 _NOTES = "notes AS (SELECT o_custkey % 30 AS d, o_orderkey AS place, 'point ' || o_orderkey % 211 AS text, ['B' || o_orderkey % 40, 'B' || o_orderkey % 7] AS refs FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 30, o_orderkey % 211 ORDER BY o_orderkey) = 1)"
 ORACLE_SQL = {
+    "er1_items": """
+        WITH l AS (SELECT DISTINCT l_orderkey AS o, l_linenumber AS p, l_partkey % 3 AS kind, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS text, l_orderkey * 31 + l_partkey * 7 + l_linenumber AS n FROM lineitem),
+        i AS (SELECT o % 40 AS d, kind, text, n, row_number() OVER (PARTITION BY o % 40, kind ORDER BY o, p, text)::int AS number FROM l),
+        r AS (SELECT d, kind, number, 'B' || (n * (k + 1)) % 60 AS b, min(k) AS k FROM (SELECT *, unnest(range(0, n % 6 + 1)) AS k FROM i) GROUP BY ALL),
+        m AS (SELECT r.*, EXISTS (SELECT 1 FROM customer WHERE c_custkey % 40 = d AND 'B' || c_custkey % 57 = b) AS known FROM r),
+        a AS (SELECT d, kind, number, coalesce(array_to_string(list(b ORDER BY k) FILTER (known)[1:3], ','), '') AS anchors, coalesce(string_agg(b, ',' ORDER BY k) FILTER (NOT known), '') AS unknown FROM m GROUP BY ALL)
+        SELECT d AS document_id, kind, number, text, anchors, unknown FROM i JOIN a USING (d, kind, number)""",
     "er12_slugs": """
         WITH n AS (SELECT o_orderkey // 40 % 50 AS w, 't' || o_orderkey % 3 AS slug, o_orderkey AS place, unnest(list_distinct([o_orderkey % 17, o_orderkey % 400])) AS key FROM orders),
         x AS (SELECT c_custkey % 50 AS w, CASE WHEN c_custkey % 4 = 0 THEN 't' || c_custkey % 3 || '-' || 2 + c_custkey % 5 ELSE 'x' || c_custkey END AS slug, CASE WHEN c_custkey % 3 = 0 THEN 'deleted' ELSE 'active' END AS status, c_custkey % 400 AS key FROM customer),

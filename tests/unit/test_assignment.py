@@ -101,3 +101,13 @@ def test_report_and_failures_of_nulls(spark):
     units = spark.createDataFrame([("e", ["B1"]), ("f", None)], "source_document_id string, block_refs array<string>")
     got = lint.quality_failures(spark.createDataFrame(rows, schema), spark.createDataFrame([("t",)], "document_id string"), units)
     assert {r.question: r.failure for r in got.collect()} == {"q1": "question", "q2": "not_in_wiki", "q3": "retrieval", "q4": "imprecise"}
+
+
+def test_anchored_items(spark):
+    items = spark.createDataFrame(
+        [(1, "e", 1, 1, "b", ["B3", "B9", "B1", "B3", "B2", "B4"]), (1, "e", 0, 5, "a", None), (1, "o", 1, 1, "c", []), (2, "e", 0, 0, None, ["B1", None])],
+        "document_id int, kind string, note int, place int, text string, refs array<string>",
+    )
+    blocks = spark.createDataFrame([(1, f"B{i}") for i in (1, 2, 3, 4, 4)], "document_id int, block_id string")
+    got = {(r.document_id, r.kind, r.number): (r.text, r.anchors, r.unknown) for r in ag.anchored_items(items, blocks).collect()}
+    assert got == {(1, "e", 1): ("a", [], []), (1, "e", 2): ("b", ["B3", "B1", "B2"], ["B9"]), (1, "o", 1): ("c", [], []), (2, "e", 1): (None, [], ["B1", None])}

@@ -37,6 +37,20 @@ def attached_evidence(evidence: DataFrame, concepts: DataFrame) -> DataFrame:
     return evidence.join(by_key, ["document_id", "hint"], "left").join(by_slug, ["document_id", "hint"], "left").withColumn("slug", F.coalesce("by_key", "by_slug")).drop("by_key", "by_slug")
 
 
+def evidence_importance(concepts: DataFrame, attached: DataFrame) -> DataFrame:
+    """concepts with importance plus twice the confidence, between 0 and 1, of each evidence attached to them."""
+    gain = attached.filter("slug IS NOT NULL").groupBy("document_id", "slug").agg(F.sum(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))).alias("gain"))
+    return concepts.join(gain, ["document_id", "slug"], "left").withColumn("importance", F.col("importance") + 2 * F.coalesce("gain", F.lit(0.0))).drop("gain")
+
+
+def unmatched_hints(attached: DataFrame, most: int = 2) -> DataFrame:
+    """Hints that named no concept: how often, the first claims by evidence id, and the largest confidence."""
+    place = F.row_number().over(Window.partitionBy("document_id", "hint").orderBy("evidence_id"))
+    placed = attached.filter("slug IS NULL").withColumn("k", place)
+    samples = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", "claim")))), lambda x: x["claim"])
+    return placed.groupBy("document_id", "hint").agg(F.count("*").alias("n"), samples.alias("samples"), F.greatest(F.lit(0.0), F.max("confidence")).alias("max_confidence"))
+
+
 def split_aliases(aliases: DataFrame, titles: DataFrame) -> DataFrame:
     """Aliases (slug, key) that are another concept's title, unless each is the other's: dropped, a link instead."""
     other = titles.select(F.col("slug").alias("title_slug"), F.col("key"))
@@ -101,6 +115,46 @@ def ungrounded_numbers(items: DataFrame, blocks: DataFrame) -> DataFrame:
     return items.join(given, ["document_id", "item_id"], "left").select("document_id", "item_id", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
+def without_ungrounded(items: DataFrame, ungrounded: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items without the ungrounded ones, and concepts (document_id, slug, evidence_ids) without what points to none that stays."""
+    kept = items.join(ungrounded.select("document_id", "item_id").distinct(), ["document_id", "item_id"], "left_anti")
+    links = concepts.select("document_id", "slug", F.posexplode("evidence_ids").alias("i", "item_id")).join(kept.select("document_id", "item_id").distinct(), ["document_id", "item_id"], "left_semi")
+    left = F.transform(F.array_sort(F.collect_list(F.struct("i", "item_id"))), lambda x: x["item_id"])
+    joined = concepts.join(links.groupBy("document_id", "slug").agg(left.alias("left")), ["document_id", "slug"], "left")
+    return kept, joined.withColumn("evidence_ids", F.coalesce("left", F.slice("evidence_ids", 1, 0))).drop("left")
+
+
+#: What stands for an absent summary, and signs that must be closed.
+PLACEHOLDERS, PAIRED = ["-", "없음", "N/A"], ["()", "[]", "{}", "“”", '""', "''"]
+
+
+def broken(text: Column) -> Column:
+    """Whether a summary is a placeholder, ends in an opening sign or closes fewer than it opens; an empty or null one is not."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    count = lambda sign: F.length(bare) - F.length(F.replace(bare, F.lit(sign), F.lit("")))
+    found = bare.isin(PLACEHOLDERS)
+    for opener, closer in PAIRED:
+        found = found | F.endswith(bare, F.lit(opener)) | (count(opener) > count(closer))
+    return found
+
+
+def observation_findings(observations: DataFrame) -> DataFrame:
+    """Rows (document_id, observation_id, finding) of observations (title, summary, claims, anchors): missing_ref without anchors; broken if the
+    summary is broken, or neither summary nor claims say anything."""
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    claimed = F.exists(F.coalesce("claims", F.array().cast("array<string>")), lambda c: F.trim(c) != "")
+    no_anchor = F.coalesce(F.size("anchors"), F.lit(0)) < 1
+    findings = F.array(F.when(no_anchor, "missing_ref"), F.when(broken(F.col("summary")) | (~said("summary") & ~claimed), "broken"))
+    return observations.select("document_id", "observation_id", F.explode(F.array_compact(findings)).alias("finding"))
+
+
+def observation_signature(query: Column, summary: Column, title: Column) -> Column:
+    """By what observations are alike: the query, else 80 characters of the summary, else the title; null if all are empty."""
+    compact = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " ")), "[^0-9a-z가-힣 ]+", "")
+    named = lambda kind, c: F.when(c != "", F.concat(F.lit(kind), c))
+    return F.coalesce(named("q:", compact(query)), named("s:", F.substring(compact(summary), 1, 80)), named("t:", compact(title)))
+
+
 def kept_observations(observations: DataFrame) -> DataFrame:
     """One observation for each document and signature: most anchors, longest summary, most claims; anchors united."""
     rank = F.struct(F.size("anchors").alias("a"), F.length("summary").alias("b"), F.size("claims").alias("c"), (-F.col("position")).alias("d"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.helpers import folded
+from docloom.sources.store import written
 
 
 def orphan_refs(cited: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -64,11 +67,14 @@ def entry_decisions(entries: DataFrame, references: DataFrame, split_at: int = 5
 
 
 def merged_evaluations(windows: DataFrame) -> DataFrame:
-    """A document's windows as one evaluation: all passed, any retry, scores weighted by blocks."""
+    """A document's windows (document_id, position, passed, retry, score, n_blocks, issues) as one evaluation: all passed, any retry, scores
+    weighted by blocks, issues one after another."""
     weight = F.greatest(F.col("n_blocks"), F.lit(1))
+    issues = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "issues"))), lambda w: w["issues"]))
     return windows.groupBy("document_id").agg(
-        F.every("passed").alias("passed"), F.some("retry").alias("retry"), (F.sum(F.col("score") * weight) / F.sum(weight)).alias("score"), F.count("*").alias("windows")
-    )
+        F.every("passed").alias("passed"), F.some("retry").alias("retry"), (F.sum(F.col("score") * weight) / F.sum(weight)).alias("score"), F.count("*").alias("windows"),
+        issues.alias("issues"),
+    )
 
 
 def same_names(items: DataFrame) -> DataFrame:
@@ -97,11 +103,44 @@ def box_matches(boxes: DataFrame, candidates: DataFrame, least: float = 0.25) ->
     return met.groupBy("candidate_id").agg(F.max_by("id", F.struct(F.round("ratio", 9), -F.col("id"))).alias("box_id"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 
-def resolved_names(incoming: DataFrame, known: DataFrame) -> DataFrame:
-    """incoming (workspace_id, slug, key) with the known concept of the same name key where exactly one has it."""
-    matches = known.groupBy("workspace_id", "key").agg(F.countDistinct("slug").alias("n"), F.min("slug").alias("target"))
-    found = incoming.join(matches, ["workspace_id", "key"], "left")
-    return found.select("workspace_id", "slug", F.when(F.col("n") == 1, F.col("target")).alias("merge_into"), F.coalesce("n", F.lit(0)).alias("matches"))
+def resolved_names(incoming: DataFrame, known: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """What the incoming concepts' names decide: rows (workspace_id, slug, decision, merge_into).
+
+    incoming, known: workspace_id, slug, key, a row for each name; judged: workspace_id, slug, target, merges decided otherwise. A concept that
+    shares a key with exactly one other, known or incoming, merges into it, but into an incoming one only if that one's smallest key, then
+    slug, comes first. With several others it is created; without any it is left to judgement. A merge goes on through merges of its target, its
+    own or judged ones, as long as they lead to concepts that exist, and stops where it would come round.
+    """
+    own = ["workspace_id", "slug"]
+    both = incoming.select(*own, "key").withColumn("old", F.lit(False)).unionByName(known.select(*own, "key").withColumn("old", F.lit(True))).distinct()
+    facts = both.groupBy(*own).agg(F.min("key").alias("first_key"), F.some(~F.col("old")).alias("fresh"))
+    # Two entries may be the concept's own, and two others settle that it is no unique match.
+    place = F.row_number().over(Window.partitionBy("workspace_id", "key").orderBy("slug", "old"))
+    few = both.withColumn("k", place).filter("k <= 4").select("workspace_id", "key", F.col("slug").alias("other"), "old")
+    met = incoming.select(*own, "key").distinct().join(few, ["workspace_id", "key"]).filter("slug <> other").select(*own, "other", "old").distinct()
+    unique = met.groupBy(*own).agg(F.count("*").alias("n"), F.min("other").alias("target"))
+    target = facts.select("workspace_id", F.col("slug").alias("target"), F.col("first_key").alias("target_key"), F.col("fresh").alias("target_fresh"))
+    placed = incoming.select(*own).distinct().join(facts.drop("fresh"), own).join(unique, own, "left").join(target, ["workspace_id", "target"], "left")
+    earlier = ~F.col("target_fresh") | (F.struct("target_key", "target") < F.struct("first_key", "slug"))
+    decision = F.when(F.col("n") > 1, "create").when((F.col("n") == 1) & earlier, "merge").otherwise("judge")
+    decided = written(placed.select(*own, decision.alias("decision"), F.when(decision == "merge", F.col("target")).alias("merge_into")))
+
+    steps = decided.filter("decision = 'merge'").select(*own, F.col("merge_into").alias("next"))
+    if judged is not None:
+        open_ones = judged.join(decided.filter("decision = 'judge'"), own, "left_semi").groupBy(*own).agg(F.min("target").alias("next"))
+        exists = facts.select("workspace_id", F.col("slug").alias("next"))
+        steps = steps.unionByName(open_ones.join(exists, ["workspace_id", "next"], "left_semi").select(*own, "next"))
+    steps = steps.select("workspace_id", F.col("slug").alias("merge_into"), "next")
+    walk = written(decided.filter("decision = 'merge'").select(*own, "merge_into", F.array("slug").alias("seen")))
+    ends = [walk.limit(0).select(*own, "merge_into")]
+    while walk.take(1):  # a round for each merge of the longest chain
+        joined = walk.join(steps, ["workspace_id", "merge_into"], "left")
+        goes_on = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("merge_into"))
+        marked = written(joined.withColumn("goes_on", goes_on))
+        ends.append(marked.filter("NOT goes_on").select(*own, "merge_into"))
+        walk = marked.filter("goes_on").select(*own, F.col("next").alias("merge_into"), F.array_append("seen", F.col("merge_into")).alias("seen"))
+    final = reduce(DataFrame.unionByName, ends)
+    return decided.drop("merge_into").join(final, own, "left")
 
 
 def judged_pairs(pairs: DataFrame, related_at: float = 0.9) -> DataFrame:

@@ -38,6 +38,22 @@ def calls_finished(calls: DataFrame, start: Column, end: Column) -> DataFrame:
     return calls.filter((F.col("finished_at") >= start) & (F.col("finished_at") < end))
 
 
+def calls_of_run(calls: DataFrame, run: Column) -> DataFrame:
+    return calls.filter(F.col("run_id") == run)
+
+
+def finished(calls: DataFrame, ends: DataFrame) -> DataFrame:
+    """calls with what their ends (id, status, finished_at, counts) report; one that was closed as abandoned keeps status and time and only
+    takes the counts, so that it stays in one period."""
+    counts = [c for c in ends.columns if c not in ("id", "status", "finished_at")]
+    late = ends.select("id", F.lit(True).alias("__ended"), F.col("status").alias("__status"), F.col("finished_at").alias("__at"), *[F.col(c).alias(f"__{c}") for c in counts])
+    ended, open_ = F.col("__ended").isNotNull(), F.col("status") != "abandoned"
+    new = {c: F.when(ended, F.col(f"__{c}")).otherwise(F.col(c)) for c in counts}
+    new["status"] = F.when(ended & open_, F.col("__status")).otherwise(F.col("status"))
+    new["finished_at"] = F.when(ended & open_, F.col("__at")).otherwise(F.col("finished_at"))
+    return calls.join(late, "id", "left").withColumns(new).select(*calls.columns)
+
+
 def token_count(text: Column) -> Column:
     """A count as a whole number of at least 0, else null."""
     n = F.when(F.rlike(text, F.lit("^[0-9]{1,18}$")), text.try_cast("long"))

@@ -174,9 +174,12 @@ def lq10_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lq16_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_quantity") > 5).alias("passed"), (F.col("l_discount") > 0.08).alias("retry"), F.col("l_quantity").cast("double").alias("score"), "l_linenumber")
-    merged = lint.merged_evaluations(windows.withColumnRenamed("l_linenumber", "n_blocks"))
-    return merged.withColumn("score", F.round("score", 6))
+    windows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("document_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position"), (F.col("l_quantity") > 5).alias("passed"),
+        (F.col("l_discount") > 0.08).alias("retry"), F.col("l_quantity").cast("double").alias("score"), F.col("l_linenumber").alias("n_blocks"),
+        F.when(F.col("l_quantity") > 5, F.array().cast("array<string>")).otherwise(F.array(F.col("l_partkey").cast("string"), F.col("l_returnflag"))).alias("issues"),
+    )
+    return lint.merged_evaluations(windows).withColumns({"score": F.round("score", 6), "issues": F.array_join("issues", ",")})
 
 
 def lq19_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,10 +198,16 @@ def lq20_same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def er7_resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as incoming concepts, every fourth under a second name that another has; suppliers as known ones."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    known = table(spark, sf_dir, "supplier").select((s % 3).alias("workspace_id"), F.concat(F.lit("k"), s).alias("slug"), F.concat(F.lit("n"), s % 60).alias("key"))
-    incoming = table(spark, sf_dir, "customer").select((c % 3).alias("workspace_id"), F.concat(F.lit("i"), c).alias("slug"), F.concat(F.lit("n"), c % 90).alias("key"))
-    return lint.resolved_names(incoming, known)
+    slug = lambda n: F.concat(F.lit("i"), n)
+    name = lambda n: F.concat(F.lit("n"), n)
+    known = table(spark, sf_dir, "supplier").select((s % 3).alias("workspace_id"), F.concat(F.lit("k"), s).alias("slug"), name(s * 10).alias("key"))
+    customers = table(spark, sf_dir, "customer").withColumn("workspace_id", c % 3)
+    incoming = customers.select("workspace_id", slug(c).alias("slug"), F.explode(F.when(c % 4 == 0, F.array(name(c), name(c + 3))).otherwise(F.array(name(c)))).alias("key"))
+    on = F.when(c % 8 == 3, c + 6).when(c % 8 == 1, c + 3).otherwise(c + 12)
+    judged = customers.filter("c_custkey % 8 IN (1, 3, 5)").select("workspace_id", slug(c).alias("slug"), slug(on).alias("target"))
+    return lint.resolved_names(incoming, known, judged)
 
 
 def er9_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +364,8 @@ ORACLE_SQL = {
         SELECT cid AS candidate_id, arg_max(bid, (round(r, 9), -bid)) AS box_id, round(max(r), 6) AS ratio FROM m WHERE r >= 0.25 OR inside GROUP BY cid""",
     "lq16_evaluations": """
         SELECT l_orderkey AS document_id, bool_and(l_quantity > 5) AS passed, bool_or(l_discount > 0.08) AS retry,
-               round(sum(l_quantity * l_linenumber) / sum(l_linenumber), 6) AS score, count(*) AS windows FROM lineitem GROUP BY ALL""",
+               round(sum(l_quantity * l_linenumber) / sum(l_linenumber), 6) AS score, count(*) AS windows,
+               coalesce(string_agg(l_partkey || ',' || l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_quantity <= 5), '') AS issues FROM lineitem GROUP BY ALL""",
     "lq19_quotes": """
         WITH q AS (SELECT doc_id, text, replace(substring(text, 20, 60), ' ', '  ') || CASE WHEN doc_id % 3 = 0 THEN '@@' ELSE '' END AS quote FROM documents)
         SELECT doc_id, 1 AS quote_id, contains(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), trim(regexp_replace(quote, '[ \\t\\n\\r]+', ' ', 'g'))) AS found FROM q""",
@@ -365,9 +375,22 @@ ORACLE_SQL = {
                    'part' || p_partkey % 50 || CASE WHEN p_partkey % 3 = 0 AND p_partkey % 4 = 0 THEN '.md' ELSE '' END AS same_name FROM part)
         SELECT parent_id, type, same_name, count(*) AS n, min(id) AS first_id FROM i GROUP BY ALL HAVING count(*) > 1""",
     "er7_resolved_names": """
-        WITH m AS (SELECT s_suppkey % 3 AS w, 'n' || s_suppkey % 60 AS key, count(DISTINCT s_suppkey) AS n, min('k' || s_suppkey) AS target FROM supplier GROUP BY ALL)
-        SELECT c_custkey % 3 AS workspace_id, 'i' || c_custkey AS slug, CASE WHEN n = 1 THEN target END AS merge_into, coalesce(n, 0) AS matches
-        FROM customer LEFT JOIN m ON w = c_custkey % 3 AND key = 'n' || c_custkey % 90""",
+        WITH RECURSIVE i AS (
+            SELECT c_custkey % 3 AS w, 'i' || c_custkey AS slug, unnest(CASE WHEN c_custkey % 4 = 0 THEN ['n' || c_custkey, 'n' || c_custkey + 3] ELSE ['n' || c_custkey] END) AS key FROM customer),
+        p AS (SELECT *, 0 AS old FROM i UNION ALL SELECT s_suppkey % 3, 'k' || s_suppkey, 'n' || s_suppkey * 10, 1 FROM supplier),
+        f AS (SELECT w, slug, min(key) AS f FROM p GROUP BY ALL),
+        m AS (SELECT i.w, i.slug, count(DISTINCT p.slug) AS n, min(p.slug) AS t, min(old) AS old FROM i JOIN p ON p.w = i.w AND p.key = i.key AND p.slug <> i.slug GROUP BY ALL),
+        d AS (
+            SELECT o.w, o.slug, m.t, CASE WHEN n > 1 THEN 'create' WHEN n = 1 AND (old = 1 OR (g.f, m.t) < (f.f, o.slug)) THEN 'merge' ELSE 'judge' END AS decision
+            FROM (SELECT DISTINCT w, slug FROM i) o JOIN f USING (w, slug) LEFT JOIN m USING (w, slug) LEFT JOIN f g ON g.w = o.w AND g.slug = m.t),
+        j AS (
+            SELECT c_custkey % 3 AS w, 'i' || c_custkey AS slug, 'i' || c_custkey + CASE c_custkey % 8 WHEN 3 THEN 6 WHEN 1 THEN 3 ELSE 12 END AS t
+            FROM customer WHERE c_custkey % 8 IN (1, 3, 5)),
+        s AS (SELECT w, slug, t FROM d WHERE decision = 'merge' UNION ALL SELECT j.* FROM j JOIN d USING (w, slug) WHERE decision = 'judge' AND (j.w, j.t) IN (SELECT w, slug FROM p)),
+        k AS (
+            SELECT w, slug, t, [slug] AS seen FROM d WHERE decision = 'merge'
+            UNION ALL SELECT k.w, k.slug, s.t, list_append(seen, k.t) FROM k JOIN s ON s.w = k.w AND s.slug = k.t WHERE NOT list_contains(seen, k.t))
+        SELECT d.w AS workspace_id, d.slug, any_value(decision) AS decision, arg_max(k.t, len(seen)) AS merge_into FROM d LEFT JOIN k ON k.w = d.w AND k.slug = d.slug GROUP BY ALL""",
     "er9_judgements": """
         WITH p AS (
             SELECT DISTINCT 'i' || l_orderkey AS i, 'c' || l_partkey AS c, ['same', 'related', 'none', 'none'][(l_suppkey % 4 + 1)::int] AS choice, l_partkey % 101 / 100 AS pr FROM lineitem),

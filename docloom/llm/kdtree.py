@@ -1,7 +1,12 @@
 """Exact top-k search by integer inner product with KD-trees per shard.
 
-Vectors are dealt to shards. Each query is first searched in its own shard; the k-th score found there goes with it to the
-other shards, where queries come in blocks, a task for each block and shard. A shard is a few trees: median splits on the widest side down to small leaves, every node with its tight bounding box. The largest
+Vectors are dealt to shards by the top splits of one KD-tree, medians of a bounded sample (SAMPLE rows) on its widest sides; a cell of that tree
+that holds more rows than a shard is dealt on by a hash of the id, so copies of one vector share no shard beyond its size. All rows of a cell
+give it a tight bounding box. Each query is first searched in its own shard; the k-th score found there is its bound: it only goes to shards of cells
+whose box can hold such a score, in blocks of queries from neighbouring shards, a task for each block and shard, and vectors
+only go to blocks that ask for their shard. The sample decides where rows lie, never what is found.
+
+A shard is a few trees: median splits on the widest side down to small leaves, every node with its tight bounding box. The largest
 score inside a box is q+ . high + q- . low, with the positive and negative parts of the query. A query first goes
 down to its most promising leaf, then nodes whose bound is below its k-th score so far are pruned level by level,
 and the remaining leaves are visited best first. The k-th score is carried from tree to tree and from the own shard to all others. Equal vectors of a
@@ -16,6 +21,7 @@ query. Ties go to the smaller id; an empty table gives an empty result. Scores a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 from docloom.sources.store import written
 
 TREE_ROWS, LEAF, QUERY_BLOCK, LEAST_SHARD, MOST_SHARD = 8192, 256, 16384, 4096, 65536
+SAMPLE, MOST_DEPTH = 8192, 10
 NO_ID = (1 << 63) - 1
 
 
@@ -72,6 +79,92 @@ class KdTree:
         return np.array([self.points[p].min(axis=0) for p in parts]), np.array([self.points[p].max(axis=0) for p in parts])
 
 
+class Cells:
+    """The top splits of a KD-tree by medians of a sample, and the rows and boxes of its cells; vectors of another
+    length are in one cell more, without a box."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.dim, self.levels = sample.shape[1], []
+        parts = [sample]
+        for _ in range(depth):
+            axes = np.array([int(np.argmax(np.ptp(p, axis=0))) if p.size else 0 for p in parts])
+            cuts = np.array([np.median(p[:, a]) if p.size else 0.0 for p, a in zip(parts, axes)])
+            parts = [half for p, a, c in zip(parts, axes, cuts) for half in (p[p[:, a] < c] if p.size else p, p[p[:, a] >= c] if p.size else p)]
+            self.levels.append((axes, cuts))
+        self.n = len(parts)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        cell = np.zeros(len(points), np.int64)
+        for axes, cuts in self.levels:
+            cell = 2 * cell + (points[np.arange(len(points)), axes[cell]] >= cuts[cell])
+        return cell
+
+    def of_rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cells of a batch's rows, which rows have the tree's length, and their points."""
+        fits = batch.column("dim").to_numpy() == self.dim
+        vectors = batch.column("v").filter(pa.array(fits))
+        points = np.floor(vectors.flatten().to_numpy(zero_copy_only=False)).reshape(len(vectors), self.dim)
+        cell = np.full(len(fits), self.n, np.int64)
+        cell[fits] = self.of(points)
+        return cell, fits, points
+
+    def summarize(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a partition's rows: how many each cell has, and their box."""
+        counts = np.zeros(self.n + 1, np.int64)
+        low, high = np.full((self.n + 1, self.dim), np.inf), np.full((self.n + 1, self.dim), -np.inf)
+        for batch in batches:
+            cell, fits, points = self.of_rows(batch)
+            counts += np.bincount(cell, minlength=self.n + 1)
+            if len(points):
+                order = np.argsort(cell[fits], kind="stable")
+                own, at = np.unique(cell[fits][order], return_index=True)
+                low[own] = np.minimum(low[own], np.minimum.reduceat(points[order], at, axis=0))
+                high[own] = np.maximum(high[own], np.maximum.reduceat(points[order], at, axis=0))
+        some = np.flatnonzero(counts)
+        box = [pa.array(list(x[some]), pa.list_(pa.float64())) for x in (low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some]), *box], names=["cell", "n", "low", "high"])
+
+    def take(self, summaries: DataFrame, shard_rows: int) -> None:
+        """Adds up the partitions' summaries: boxes, and the shards first .. first + parts - 1 of each cell."""
+        counts = np.zeros(self.n + 1, np.int64)
+        for cell, n in summaries.groupBy("cell").agg(F.sum("n")).collect():
+            counts[cell] = n
+        self.low, self.high = np.full((self.n, self.dim), np.inf), np.full((self.n, self.dim), -np.inf)
+        sides = summaries.filter(F.col("cell") < self.n).select("cell", F.posexplode(F.arrays_zip("low", "high")).alias("i", "s"))
+        sides = sides.groupBy("cell", "i").agg(F.min("s.low").alias("low"), F.max("s.high").alias("high"))
+        for cell, box in sides.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high")))).collect():
+            self.low[cell], self.high[cell] = [s["low"] for s in box], [s["high"] for s in box]
+        self.parts = -(-counts // shard_rows)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.shards = int(self.parts.sum())
+
+    def deal(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (dim, key, vec_id, v, q) with their shard in place of the key."""
+        for batch in batches:
+            cell, _, _ = self.of_rows(batch)
+            key = batch.column("key").to_numpy().view(np.uint64)
+            shard = self.first[cell] + (key % self.parts[cell].astype(np.uint64)).astype(np.int64)
+            columns = [batch.column("dim"), pa.array(shard.astype(np.int32)), *(batch.column(c) for c in ("vec_id", "v", "q"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["dim", "shard", "vec_id", "v", "q"])
+
+    def route(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries (dim, own, vec_id, v, floor) with the shards, besides their own, that may hold a score of at least their floor."""
+        for batch in batches:
+            _, fits, points = self.of_rows(batch)
+            floor = batch.column("floor").fill_null(-np.inf).to_numpy()[fits]
+            some = np.flatnonzero(self.parts[: self.n])
+            bounds = np.maximum(points, 0) @ self.high[some].T + np.minimum(points, 0) @ self.low[some].T
+            open_cells = np.zeros((len(fits), self.n + 1), bool)
+            open_cells[np.flatnonzero(fits)[:, None], some[None, :]] = bounds >= floor[:, None]
+            open_cells[~fits, self.n] = True
+            open_shards = np.repeat(open_cells, self.parts, axis=1)
+            open_shards[np.arange(len(fits)), batch.column("own").to_numpy()] = False
+            who, shard = np.nonzero(open_shards)
+            at = np.searchsorted(who, np.arange(len(fits) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(shard.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "shards"])
+
+
 class Best:
     """The k best (score, id) of each query so far."""
 
@@ -162,6 +255,19 @@ def _search(k: int):
     return run
 
 
+def _cells(keyed: DataFrame, n: int, shard_rows: int) -> Cells:
+    """The cells of the rows (dim, vec_id, v): at most 2 ** MOST_DEPTH for vectors of the sample's most frequent length."""
+    depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, n / shard_rows)))))
+    drawn = keyed.select("v").sample(min(1.0, SAMPLE / max(1, n)), 1).collect() if depth else []
+    lengths = [len(v) for (v,) in drawn]
+    dim = max(set(lengths), key=lambda d: (lengths.count(d), d)) if lengths else 0
+    chosen = [v for (v,) in drawn if len(v) == dim]
+    sample = np.floor(np.array(chosen, np.float64)).reshape(len(chosen), dim)
+    cells = Cells(sample, depth if dim else 0)
+    cells.take(written(keyed.mapInArrow(cells.summarize, "cell int, n long, low array<double>, high array<double>")), shard_rows)
+    return cells
+
+
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k highest integer inner products of each row that is_query picks with
     every other row, components taken as floor(scale * x)."""
@@ -171,23 +277,26 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"), F.size(vector_col).alias("dim"), is_query.alias("q"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     slots = vectors.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, math.ceil(n / min(MOST_SHARD, max(LEAST_SHARD, n // (2 * slots)))))
+    shard_rows = min(MOST_SHARD, max(LEAST_SHARD, n // (2 * slots)))
     blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    key = F.xxhash64("vec_id")
-    own = F.pmod(key, F.lit(shards)).cast("int")
+    keyed = rows.select("dim", F.xxhash64("vec_id").alias("key"), "vec_id", "v", "q")
+    cells = _cells(keyed, n, shard_rows)
     tasks, out = ["dim", "block", "shard"], "query_id long, vec_id long, score long"
-    searched = rows.select("dim", F.lit(0).alias("block"), own.alias("shard"), "vec_id", "v")
-    asked = rows.filter("q").dropDuplicates(["vec_id"]).select("dim", own.alias("own"), "vec_id", "v")
+    dealt = keyed.mapInArrow(cells.deal, "dim int, shard int, vec_id long, v array<double>, q boolean")
+    searched = dealt.select("dim", F.lit(0).alias("block"), "shard", "vec_id", "v")
+    asked = dealt.filter("q").dropDuplicates(["vec_id"]).select("dim", F.col("shard").alias("own"), "vec_id", "v")
     first = asked.select("dim", F.lit(0).alias("block"), F.col("own").alias("shard"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
     found = first.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out)
-    if shards > 1:
+    if cells.shards > 1:
         found = written(found)
         floors = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).cast("double").alias("floor"))
-        others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != F.col("own")))
-        block = F.pmod(key, F.lit(blocks)).cast("int").alias("block")
-        bounded = written(asked.join(floors, "vec_id", "left").select("dim", "own", "vec_id", "v", "floor"))
-        rest = bounded.select("dim", block, others.alias("shard"), "vec_id", "v", "floor")
-        searched = searched.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        bounded = asked.join(floors, "vec_id", "left").select("dim", "own", "vec_id", "v", "floor")
+        routed = written(bounded.mapInArrow(cells.route, "dim int, own int, vec_id long, v array<double>, floor double, shards array<int>"))
+        within = F.col("own") + F.pmod(F.xxhash64("vec_id"), F.lit(1024)) / 1024
+        block = F.floor(within * F.lit(blocks) / F.lit(cells.shards)).cast("int").alias("block")
+        rest = routed.select("dim", block, F.explode("shards").alias("shard"), "vec_id", "v", "floor")
+        wanted = rest.select(*tasks).distinct().groupBy("dim", "shard").agg(F.collect_list("block").alias("blocks"))
+        searched = searched.join(wanted, ["dim", "shard"]).select("dim", F.explode("blocks").alias("block"), "shard", "vec_id", "v")
         found = found.union(rest.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

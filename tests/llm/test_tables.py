@@ -177,3 +177,29 @@ def test_the_bound_goes_from_shard_to_shard(spark, monkeypatch):
         best = sorted((-int(whole[q] @ whole[j]), j) for j in range(400) if j != q)[:7]
         want += [(q, k, j, -s) for k, (s, j) in enumerate(best, 1)]
     assert got == sorted(want)
+
+
+def test_shards_are_pruned_by_their_boxes(spark, monkeypatch):
+    """Clustered vectors in many shards, a third of them copies of one, some of another length: whole results, fewer shards asked."""
+    from docloom.llm import kdtree
+
+    monkeypatch.setattr(kdtree, "LEAST_SHARD", 40)
+    rnd = np.random.default_rng(4)
+    centres = rnd.uniform(-4, 4, (12, 5))
+    points = centres[rnd.integers(0, 12, 900)] + rnd.normal(0, 0.05, (900, 5))
+    points[600:] = points[0]
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(points)]
+    rows += [(1000 + i, [0.5 * i, -1.0]) for i in range(50)] + [(2000, []), (2001, [])] + rows[20:60]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(vectors, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 20)
+
+    keyed = vectors.select(F.size("embedding").alias("dim"), F.xxhash64("vec_id").alias("key"), "vec_id", F.transform("embedding", lambda x: 64 * x).alias("v"), F.lit(True).alias("q"))
+    cells = kdtree._cells(keyed, len(rows), 120)
+    dealt = keyed.mapInArrow(cells.deal, "dim int, shard int, vec_id long, v array<double>, q boolean")
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert len(sizes) > 4 and sum(sizes) == len(rows) and max(sizes) < 300
+    best = F.lit(64.0 * 64 * 40)
+    asked = dealt.select("dim", F.col("shard").alias("own"), "vec_id", "v", best.alias("floor"))
+    routed = asked.mapInArrow(cells.route, "dim int, own int, vec_id long, v array<double>, floor double, shards array<int>")
+    assert 0 < routed.filter("dim = 5").agg(F.avg(F.size("shards"))).first()[0] < 0.7 * (cells.shards - 1)

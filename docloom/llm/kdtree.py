@@ -295,7 +295,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
         within = F.col("own") + F.pmod(F.xxhash64("vec_id"), F.lit(1024)) / 1024
         block = F.floor(within * F.lit(blocks) / F.lit(cells.shards)).cast("int").alias("block")
         rest = routed.select("dim", block, F.explode("shards").alias("shard"), "vec_id", "v", "floor")
-        wanted = rest.select(*tasks).distinct().groupBy("dim", "shard").agg(F.collect_list("block").alias("blocks"))
+        # Written, so that its size is known before the vectors move: a small one is broadcast by Spark's own threshold.
+        wanted = written(rest.select(*tasks).distinct().groupBy("dim", "shard").agg(F.collect_list("block").alias("blocks")))
         searched = searched.join(wanted, ["dim", "shard"]).select("dim", F.explode("blocks").alias("block"), "shard", "vec_id", "v")
         found = found.union(rest.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

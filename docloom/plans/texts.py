@@ -131,6 +131,12 @@ ORACLE_SQL = {
             + {_COUNT(r'[0-9]+(?:\.[0-9]+)?\s*[-–]\s*[0-9]+(?:\.[0-9]+)?')} * 0.08
             + {_COUNT(r'(?i)[0-9]+(?:\.[0-9]+)?\s*(?:mm|°|%|rpm|kw|v)\b')} * 0.04 + {_COUNT('[;,]')} * 0.01)
             + CASE WHEN regexp_matches(text, '(?i)\\b(example|table|수준|범위|정의|조합)\\b') THEN 0.15 ELSE 0 END))::double, 6) AS bonus FROM documents""",
+    "sc8_numbers": r"""
+        WITH t AS (
+            SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(
+                regexp_extract_all(text, '(?:^|[^A-Za-z0-9.,])((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:\s*[만천억])?)', 1),
+                lambda n: regexp_replace(n, '[,\s]', '', 'g')), lambda n: length(n) > 1))) AS w FROM documents)
+        SELECT doc_id, len(w)::int AS n_numbers, array_to_string(w, ' ') AS numbers FROM t""",
     "sc11_tables": """
         SELECT c_nationkey, c_nationkey % 3 <> 0 AND count(DISTINCT c_mktsegment) >= 1 AS is_table FROM customer GROUP BY c_nationkey""",
     "tx10_refs": """

@@ -1,9 +1,8 @@
 """Token ids of whole texts with a byte-level BPE tokenizer file, memoised by word.
 
 A byte-level pre-tokenizer always splits before a lone blank or line feed that stands between two characters that
-are not white space, so texts are cut there and each distinct chunk is encoded once in a worker's life. Chunks are
-keyed by 64-bit hashes in a table of fixed size with two places for each key; a key that finds both taken is
-encoded anew each time, and a full store of ids starts anew. Neither changes a result.
+are not white space, so texts are cut there and each distinct chunk is encoded once while a worker remembers it (see
+memo; chunks are compared by all their bytes).
 """
 
 from __future__ import annotations
@@ -13,8 +12,9 @@ import os
 import numpy as np
 
 from docloom.llm import kernels as K
+from docloom.llm.memo import SpanMemo
 
-PLACES, MEMO_IDS, MEMO_STEMS = 1 << 21, 1 << 23, 100_000
+MEMO_STEMS = 100_000
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: First bytes of the UTF-8 forms of white space outside ASCII, with two and with three bytes.
 _SPACE_2, _SPACE_3 = 0xC2, (0xE1, 0xE2, 0xE3)
@@ -49,20 +49,7 @@ class WordMemo:
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.stems: dict[str, list[int]] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.keys, self.starts, self.lengths = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int64), np.zeros(PLACES, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (keys & K.U(PLACES - 1)).astype(np.int64), (keys >> K.U(40)).astype(np.int64) & (PLACES - 1)
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each key's place, and whether it is known."""
-        one, two = self._places(keys)
-        at = np.where(self.keys[one] == keys, one, two)
-        return at, self.keys[at] == keys
+        self.memo = SpanMemo(lambda chunk: self._chunk(chunk.decode("utf-8", "replace")))
 
     def _piece(self, text: str) -> list[int]:
         """Ids of one pre-token, straight from the tokenizer's model."""
@@ -86,36 +73,8 @@ class WordMemo:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another, and the rows' offsets among them."""
         begins = chunk_starts(data, offsets)
-        ends = np.append(begins[1:], len(data))
-        keys = K.span_hashes(data, begins, ends)
-        at, known = self._find(keys)
-        starts, lengths = self.starts[at], self.lengths[at].astype(np.int64)
-        if not known.all():
-            missing = np.flatnonzero(~known)
-            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            found = [self._chunk(raw[begins[i] : ends[i]].decode("utf-8", "replace")) for i in missing[first].tolist()]
-            sizes = np.array([len(x) for x in found], np.int64)
-            ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-            if self.used + len(ids) > MEMO_IDS and self.used:
-                self._reset()
-                return self.encode(data, offsets)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            places = self.used + np.cumsum(sizes) - sizes
-            self.used += len(ids)
-            starts[missing], lengths[missing] = places[back], sizes[back]
-            for k in (0, 1):
-                slot = self._places(new)[k]
-                free = self.keys[slot] == 0
-                self.keys[slot[free]] = new[free]
-                mine = self.keys[slot] == new
-                self.starts[slot[mine]], self.lengths[slot[mine]] = places[mine], sizes[mine]
-                new, places, sizes = new[~mine], places[~mine], sizes[~mine]
-                if not len(new):
-                    break
-        ids = K.ragged(self.ids, starts, lengths)
+        starts, lengths = self.memo.lookup(data, begins, np.append(begins[1:], len(data)))
+        ids = K.ragged(self.memo.values, starts, lengths).view(np.uint32)
         sums = np.concatenate([[0], np.cumsum(lengths)])
         return ids, sums[np.searchsorted(begins, offsets)]
 

@@ -21,8 +21,7 @@ from pyspark.sql import types as T
 
 from docloom.llm import kernels as K
 from docloom.llm.bpe import byte_letters
-
-PLACES = 1 << 21
+from docloom.llm.memo import SpanMemo
 
 
 class Automaton:
@@ -83,27 +82,15 @@ def vocabulary(path: str) -> list[bytes]:
 
 
 class Counter:
-    """An automaton and a table of fixed size of the words counted so far."""
+    """An automaton and a memo of the words counted so far."""
 
     def __init__(self, path: str):
-        self.automaton = Automaton(vocabulary(path))
-        self.keys, self.values = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.int32)
+        automaton = Automaton(vocabulary(path))
+        self.memo = SpanMemo(lambda word: (automaton.count(b" " + word),))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        keys = K.span_hashes(data, starts, ends)
-        place = (keys & K.U(PLACES - 1)).astype(np.int64)
-        counts = self.values[place]
-        missing = np.flatnonzero(self.keys[place] != keys)
-        if len(missing):
-            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            raw, count = data.tobytes(), self.automaton.count
-            found = np.array([count(b" " + raw[starts[i] : ends[i]]) for i in missing[first].tolist()], np.int32)
-            counts[missing] = found[back]
-            place = (new & K.U(PLACES - 1)).astype(np.int64)
-            self.keys[place] = new
-            kept = self.keys[place] == new
-            self.values[place[kept]] = found[kept]
-        return counts
+        places, _ = self.memo.lookup(data, starts, ends)
+        return self.memo.values[places]
 
 
 _counters: dict[str, Counter] = {}

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,6 +33,8 @@ from docloom.llm.memo import SpanMemo
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
 #: Symbols; those from ROW on are the same at the start of a text.
 IN_LETTER, IN_NUMBER, IN_OTHER, TWO, THREE, IN_SPACE, LAST_BLANK, LAST_SPACE, ROW = range(9)
+#: Texts are encoded in chunks of about so many bytes, ids decoded so many at a time; a longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_IDS = 1 << 18, 1 << 17
 #: States: between tokens, inside a run of one kind, after a blank that the next token takes in, and with characters of a contraction to come.
 FRESH, LETTERS, NUMBERS, OTHERS, SPACES, TAKEN, ONE_MORE, TWO_MORE = range(8)
 
@@ -41,12 +44,14 @@ def class_table() -> np.ndarray:
     """The class of every code point, by the Unicode tables of the library whose results are to be met."""
     import tiktoken
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text, single = "".join(map(chr, points)), {bytes([b]): b for b in range(256)}
+    single = {bytes([b]): b for b in range(256)}
     table = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-        table[[ord(c) for c in bytes(probe.encode_ordinary(text)).decode()]] = kind
+        for lo in range(0, 0x110000, 0x800):
+            if not 0xD800 <= lo < 0xE000:
+                found = bytes(probe.encode_ordinary("".join(map(chr, range(lo, lo + 0x800)))))
+                table[[ord(c) for c in found.decode()]] = kind
     table[0x20] = BLANK
     return table
 
@@ -170,7 +175,14 @@ class Coder:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.scanner, self.memo = Scanner(), SpanMemo(self.merged)
+
+    @functools.cached_property
+    def scanner(self) -> Scanner:
+        return Scanner()
+
+    @functools.cached_property
+    def memo(self) -> SpanMemo:
+        return SpanMemo(self.merged)
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a pre-token: adjacent parts are merged by lowest rank, leftmost first, while any pair has one."""
@@ -236,7 +248,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for batch in batches:
-            for lo, hi, data, offsets in K.text_chunks(batch.column(at)):
+            for lo, hi, data, offsets in K.text_chunks(batch.column(at), CHUNK_BYTES):
                 ids, places, rows = own.encode(data, offsets)
                 lists = [pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, places)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *lists], names=schema.names)
@@ -252,16 +264,24 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch in batches:
-            column = batch.column(at)
-            ids = column.flatten()
-            if ids.null_count:
-                raise ValueError("ids that are null")
-            data, sizes = own.decode(ids.to_numpy(zero_copy_only=False).astype(np.int64))
-            counts = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
-            cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-            flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-            out = pa.array([x if ok else None for x, ok in zip(flat.to_pylist(), column.is_valid().to_pylist())], pa.binary()) if column.null_count else flat.cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=schema.names)
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False))
+            row = 0
+            while row < whole.num_rows:
+                upto = (ends[row - 1] if row else 0) + CHUNK_IDS
+                stop = max(row + 1, int(np.searchsorted(ends, upto, side="right")))
+                batch = whole.slice(row, stop - row)
+                row = stop
+                column = batch.column(at)
+                ids = column.flatten()
+                if ids.null_count:
+                    raise ValueError("ids that are null")
+                data, sizes = own.decode(ids.to_numpy(zero_copy_only=False).astype(np.int64))
+                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+                buffers = [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+                out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), buffers).cast(pa.binary())
+                out = pc.if_else(column.is_valid(), out, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], names=schema.names)
 
     return encoded.select(*given).mapInArrow(run, schema)

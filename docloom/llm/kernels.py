@@ -78,9 +78,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the offsets of each row's words among them."""
-    solid = ~IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the offsets of each row's words among them; inside: which bytes words are made of."""
+    solid = inside[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = solid
     inner = offsets[(offsets > 0) & (offsets < len(data))]

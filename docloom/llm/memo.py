@@ -21,7 +21,7 @@ class SpanMemo:
     store of numbers or of long strings starts anew. None of this changes a result.
     """
 
-    def __init__(self, make: Callable[[bytes], Sequence[int]], places: int = 1 << 21, most_values: int = 1 << 23, most_long: int = 1 << 17):
+    def __init__(self, make: Callable[[bytes], Sequence[int]], places: int = 1 << 20, most_values: int = 1 << 23, most_long: int = 1 << 17):
         self.make, self.places, self.most_values, self.most_long = make, places, most_values, most_long
         self._reset()
 

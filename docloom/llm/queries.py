@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.bytebpe import decode, encode
+from docloom.llm.divergence import divergence
 from docloom.llm.jaccard import jaccard_components
 from docloom.llm.kdtree import top_k
 from docloom.llm.language import fit, identify, in_training
@@ -15,6 +16,7 @@ from docloom.llm.linededup import dedup_lines
 from docloom.llm.mixing import mix_sources
 from docloom.llm.packing import pack
 from docloom.llm.quality import GAMMA, METRICS, NOISE, OF_ALL, OF_LANGUAGE, REACH, ZERO_BUCKET, judged, measure, thresholds
+from docloom.llm.resampling import importance_resample
 from docloom.llm.revisit import capture_log, resolve_revisits
 from docloom.llm.substring import dedup_substrings
 from docloom.llm.wordpiece import count_pieces
@@ -92,6 +94,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(encoded, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
@@ -104,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -289,4 +302,68 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op12_importance_resampling": f"""
+        WITH RECURSIVE steps AS (
+            SELECT i::bigint AS i, i::bigint AS c, 0 AS k FROM range(256) t(i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+        crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+        texts AS (
+            SELECT 'own' AS side, doc_id, row_number() OVER () AS r, text FROM documents
+            UNION ALL SELECT 'target', NULL, NULL, text FROM benchmark),
+        words AS (SELECT side, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+        features AS (
+            SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+        named AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM features)),
+        bytes AS (
+            SELECT f, list_transform(range(1, length(x), 2), lambda i:
+                16 * (instr('0123456789ABCDEF', substr(x, i, 1)) - 1) + instr('0123456789ABCDEF', substr(x, i + 1, 1)) - 1) AS b FROM named),
+        buckets AS (
+            SELECT f, xor(list_reduce(b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM bytes, crc_table),
+        counts AS (
+            SELECT bucket, (count(*) FILTER (side = 'own'))::double AS s, (count(*) FILTER (side = 'target'))::double AS t
+            FROM features JOIN buckets USING (f) GROUP BY bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint AS gain
+            FROM counts, (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts)),
+        weights AS (
+            SELECT r, count(*) AS n_features, floor(sum(gain) / count(*))::bigint AS weight
+            FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE side = 'own' GROUP BY r),
+        scored AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint AS h
+            FROM words LEFT JOIN weights USING (r) WHERE side = 'own'),
+        noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint AS score FROM scored),
+        ranked AS (
+            SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k,
+                   count(*) OVER (PARTITION BY n_words >= 20) AS n FROM noisy)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 25 * n // 100 THEN k END AS rank FROM ranked
+    """,
+    "op13_source_divergence": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        terms AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        langs AS (SELECT lang, sum(n)::hugeint + 5 * count(*) AS m, count(*) AS v FROM kept GROUP BY lang),
+        sizes AS (
+            SELECT g.lang, g.source, (SELECT coalesce(sum(n), 0) FROM counts c WHERE c.lang = g.lang AND c.source = g.source)::hugeint + 5 * v AS m
+            FROM groups g JOIN langs USING (lang)),
+        cells AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // s.m AS p,
+                   1 + (1000000000::hugeint * (k.n + 5)) // l.m AS q
+            FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::bigint FROM cells WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }

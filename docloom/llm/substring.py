@@ -221,7 +221,9 @@ def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
                     names=["m", "context", "n", "words", "windows"],
                 )
 
-    read_back = written(texts.mapInArrow(read, "m long, context long, n long, words binary, windows array<long>"))
+    # Rows with equal ids and texts are all read; what they bring is the same.
+    contexts_read = texts.mapInArrow(read, "m long, context long, n long, words binary, windows array<long>")
+    read_back = written(contexts_read.dropDuplicates(["m", "context"]))
     shards = read_back.filter("words IS NOT NULL").select("m", "context", "n", "words").repartition("m").sortWithinPartitions("m")
     spans = shards.mapInArrow(_shard(window), "m long, context long, spans array<int>")
     pairs = "transform(sequence(0, size(spans) div 2 - 1), k -> named_struct('start', spans[2 * k], 'end', spans[2 * k + 1]))"
@@ -246,8 +248,9 @@ def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
     by_hash = single.join(twice, ["m", "w"]).groupBy("m", "context").agg(F.collect_list(F.struct(F.col("k").alias("start"), (F.col("k") + window).alias("end"))).alias("spans"))
     covered = written(spans.union(by_hash))
     shifted = F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))
-    unlike = differ.join(covered, ["m", "context"]).select("doc", "h", F.explode(shifted).alias("span"))
-    return alike.union(unlike).groupBy("doc", "h").agg(F.collect_list("span").alias("spans"))
+    places = differ.select("m", "context", "doc", "h", "first").distinct()
+    unlike = places.join(covered, ["m", "context"]).select("doc", "h", F.explode(shifted).alias("span"))
+    return alike.union(unlike).groupBy("doc", "h").agg(F.collect_set("span").alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:

@@ -355,3 +355,16 @@ def test_a_very_long_text(spark):
     assert {r.doc_id: r.n_words for r in measure(docs).collect()} == {1: 800_000, 2: 3, 3: 0}
     assert {r.doc_id: r.n_removed for r in dedup_substrings(docs).collect()} == {1: 0, 2: 0, 3: 0}
     assert {r.doc_id: r.n_dropped for r in dedup_lines(docs).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_substring_dedup_of_many_equal_rows(spark):
+    """Rows equal in id and text, null ids with one text, and a near copy whose contexts differ."""
+    rnd = random.Random(9)
+    own = [f"v{rnd.randint(0, 10**6)}" for _ in range(400)]
+    near = own[:150] + ["other"] + own[151:330] + ["last"]
+    rows = [(7, " ".join(own))] * 2000 + [(None, " ".join(own[:90] + own[:90]))] * 300 + [(8, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dedup_substrings(docs, window=35)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in found.collect())
+    assert got == Counter(brute_windows(rows, 35))
+    assert max(len(r.removed_spans) for r in found.collect()) <= 2

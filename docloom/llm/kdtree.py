@@ -15,7 +15,7 @@ id, and k others remain. The best k of every task meet in a window over the quer
 
 Nulls: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id.
 Vectors only meet vectors of their length. Rows that share a query's id are its own rows, and a query id is one
-query. Ties go to the smaller id; an empty table gives an empty result. Scores are exact below 2**53.
+query: that of its smallest vector, arrays compared component by component. Shards and blocks of queries are bounded in rows and in bytes. Ties go to the smaller id; an empty table gives an empty result. Scores are exact below 2**53.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from docloom.sources.store import written
 
 TREE_ROWS, LEAF, QUERY_BLOCK, LEAST_SHARD, MOST_SHARD = 8192, 256, 16384, 4096, 65536
-SAMPLE, MOST_DEPTH = 8192, 10
+SAMPLE, MOST_DEPTH, MOST_BYTES = 8192, 10, 64 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -275,16 +275,18 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = 64
     scaled = F.transform(vector_col, lambda x: F.lit(scale) * x.cast("double"))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"), F.size(vector_col).alias("dim"), is_query.alias("q"))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
+    n, n_queries, dim = rows.agg(F.count("*"), F.count_if("q"), F.max("dim")).first()
     slots = vectors.sparkSession.sparkContext.defaultParallelism
-    shard_rows = min(MOST_SHARD, max(LEAST_SHARD, n // (2 * slots)))
-    blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    fit = max(1, MOST_BYTES // (8 * max(1, dim or 0)))
+    shard_rows = min(fit, MOST_SHARD, max(LEAST_SHARD, n // (2 * slots)))
+    blocks = max(1, math.ceil(n_queries / min(fit, QUERY_BLOCK)))
     keyed = rows.select("dim", F.xxhash64("vec_id").alias("key"), "vec_id", "v", "q")
     cells = _cells(keyed, n, shard_rows)
     tasks, out = ["dim", "block", "shard"], "query_id long, vec_id long, score long"
     dealt = keyed.mapInArrow(cells.deal, "dim int, shard int, vec_id long, v array<double>, q boolean")
     searched = dealt.select("dim", F.lit(0).alias("block"), "shard", "vec_id", "v")
-    asked = dealt.filter("q").dropDuplicates(["vec_id"]).select("dim", F.col("shard").alias("own"), "vec_id", "v")
+    smallest = dealt.filter("q").groupBy("vec_id").agg(F.min(F.struct("v", "dim", "shard")).alias("of"))
+    asked = smallest.select("of.dim", F.col("of.shard").alias("own"), "vec_id", "of.v")
     first = asked.select("dim", F.lit(0).alias("block"), F.col("own").alias("shard"), "vec_id", "v", F.lit(None).cast("double").alias("floor"))
     found = first.groupBy(*tasks).cogroup(searched.groupBy(*tasks)).applyInArrow(_search(k), out)
     if cells.shards > 1:

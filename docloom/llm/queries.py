@@ -281,11 +281,12 @@ ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": _quality_sql(),
     "op8_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS e FROM embeddings
+            SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS e FROM embeddings
             WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        asked AS (SELECT vec_id, arg_min(e, embedding) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint AS score
-            FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+            FROM asked q, v c WHERE c.vec_id <> q.vec_id),
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20

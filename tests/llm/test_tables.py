@@ -13,9 +13,11 @@ from docloom.llm.revisit import resolve_revisits
 
 
 def brute_top(rows, k):
-    sound = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    sound = [(i, [math.floor(64 * x) for x in v]) for i, v in usable]
     out = []
-    for q, v in {i: v for i, v in sound if i % 20 == 0}.items():
+    asked = {i: min((list(w), v) for (j, v), (_, w) in zip(sound, usable) if j == i)[1] for i, _ in sound if i % 20 == 0}
+    for q, v in asked.items():
         scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v)))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
@@ -62,6 +64,19 @@ def test_repeated_rows_in_a_group_of_copies(spark):
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, k)
 
 
+def test_a_query_id_with_unlike_vectors(spark, monkeypatch):
+    """Its smallest vector asks, whatever the order of rows; shards and blocks hold a bounded number of bytes."""
+    monkeypatch.setattr("docloom.llm.kdtree.MOST_BYTES", 8 * 3 * 40)
+    rnd = random.Random(3)
+    rows = [(20 * (i % 7), [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(60)] + [(i, [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(1, 90)]
+    rows += [(40, [-9.0, 0.0]), (41, [1.0, 1.0])]  # the smallest vector of 40 is of another length
+    for _ in range(3):
+        rnd.shuffle(rows)
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = top_k(vectors, F.col("vec_id") % 20 == 0, k=5).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows, 5)
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     """The targets by sharing out, stopping full sources and sharing their excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s))

@@ -40,13 +40,14 @@ NUMERIC_PERSONAL_DATA = [
 MASK = "[NUMERIC_PERSONAL_DATA]"
 
 
+#: A token with its longest particle, where more than one character stands before that.
+_WITH_PARTICLE = f"^(?!.?(?:{'|'.join(PARTICLES)})$)(.+?)(?:{'|'.join(PARTICLES)})$"
+
+
 def without_particle(token: Column) -> Column:
-    """The token without its first matching particle, if more than one character stays."""
-    out = token
-    for p in reversed(PARTICLES):
-        cut = F.when(F.length(token) > len(p) + 1, F.substring(token, F.lit(1), F.length(token) - len(p))).otherwise(token)
-        out = F.when(F.endswith(token, F.lit(p)), cut).otherwise(out)
-    return out
+    """The token without its particle, if more than one character stays. No particle of the list ends in a later, longer one,
+    so the first match is the longest."""
+    return F.regexp_replace(token, _WITH_PARTICLE, "$1")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -54,8 +55,9 @@ def raw_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """All tokens in order, repeats included."""
-    return F.transform(raw_tokens(text), without_particle)
+    """All tokens in order, repeats included. Only texts with Hangul can have particles."""
+    raw = raw_tokens(text)
+    return F.when(F.rlike(text, F.lit("[가-힣]")), F.transform(raw, without_particle)).otherwise(raw)
 
 
 def keywords(question: Column, most: int = 8) -> Column:

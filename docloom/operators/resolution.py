@@ -22,13 +22,6 @@ def expanded_mentions(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.select("document_id", "slug", refs.alias("block_refs"), F.size(refs).alias("mention_count"), (F.col("importance") + 0.25 * F.size(refs)).alias("importance"))
 
 
-def blocked_candidates(scored: DataFrame, most: int = 100, weight: float = 0.75) -> DataFrame:
-    """The best candidates of each incoming concept (slug, candidate, dense, text), by weight * dense + (1 - weight) * text, with their rank."""
-    mixed = scored.withColumn("score", F.round(weight * F.coalesce("dense", F.lit(0.0)) + (1 - weight) * F.coalesce("text", F.lit(0.0)), 6))
-    place = Window.partitionBy("slug").orderBy(F.desc("score"), "candidate")
-    return mixed.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).select("slug", "candidate", "score", "rank")
-
-
 def valid_decisions(decisions: DataFrame, known: DataFrame) -> DataFrame:
     """decisions (slug, action, target, links) against known slugs: a merge into an unknown target creates, with a warning; links to the
     concept itself, or to unknown ones, go."""

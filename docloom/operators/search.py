@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import raw_tokens, tokens
+from docloom.sources.store import written
 
 HANGUL = "[가-힣ㄱ-ㆎ]"
+#: Stands for a document's length among its terms; no token has a blank.
+LENGTH = " "
 
 
 def _terms(queries: DataFrame) -> DataFrame:
@@ -19,15 +22,20 @@ def _terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Rows (query_id, doc_id, score) for the documents that share a term with a query of their workspace.
 
-    Scores are divided by the query's best one. A term counts as often as the query has it. Tokens are counted in
-    a document before anything is shuffled by term, and only terms that some query of the workspace has go on.
+    Scores are divided by the query's best one. A term counts as often as the query has it. Texts are cut into tokens once: a
+    document leaves a row of its length and a row for each term that some query of its workspace has.
     """
-    listed = docs.select("workspace_id", "doc_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    scope = listed.groupBy("workspace_id").agg(F.count("*").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
     asked = _terms(queries)
-    wanted = asked.select("workspace_id", "term").distinct()
-    counts = listed.select("workspace_id", "doc_id", "length", F.explode("terms").alias("term")).groupBy("workspace_id", "doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    postings = counts.join(wanted, ["workspace_id", "term"], "left_semi")
+    # Written, so that its size is known: a small one is broadcast by Spark's own threshold, and no other token is shuffled.
+    wanted = written(asked.select("workspace_id", "term").distinct())
+    listed = docs.select("workspace_id", "doc_id", tokens(F.col("text")).alias("terms"))
+    every = F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(LENGTH))
+    held = listed.select("workspace_id", "doc_id", F.when(F.col("terms").isNotNull(), F.size("terms")).alias("length"), F.explode(every).alias("term"))
+    lengths = docs.select("workspace_id").distinct().select("workspace_id", F.lit(LENGTH).alias("term"))
+    own = held.join(wanted.union(lengths), ["workspace_id", "term"], "left_semi")
+    counts = written(own.groupBy("workspace_id", "doc_id", "length", "term").agg(F.count("*").alias("tf")))
+    scope = counts.filter(F.col("term") == LENGTH).groupBy("workspace_id").agg(F.sum("tf").alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
+    postings = counts.filter(F.col("term") != LENGTH)
     frequency = postings.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
     weighted = frequency.join(scope, "workspace_id").withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

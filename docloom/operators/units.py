@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import UNIT_TYPES, UNIT_WEIGHTS, block_refs, without_refs
-from docloom.operators.search import similarity
 
 
 def _looked_up(table: dict, key: F.Column, default: object) -> F.Column:
@@ -44,15 +43,6 @@ def attached_units(units: DataFrame, entries: DataFrame) -> DataFrame:
     return units.join(single, ["page_id", "unit_id"], "left")
 
 
-def semantic_pages(queries: DataFrame, units: DataFrame, most: int) -> DataFrame:
-    """Rows (query_id, page_type, page_id, score, rank): for each query (query_id, workspace_id, asked) and page type the pages whose
-    best unit (workspace_id, page_id, page_type, embedding) is nearest. A page's units are reduced to the best before ranking."""
-    scored = queries.join(units, "workspace_id").withColumn("score", F.round(similarity(F.col("asked"), F.col("embedding")), 6))
-    pages = scored.groupBy("query_id", "page_type", "page_id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id", "page_type").orderBy(F.desc("score"), "page_id")
-    return pages.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most)
-
-
 #: Weights of evidence scores.
 TOKEN_WEIGHT, ROLE_BONUS = 0.20, 0.25
 

@@ -33,9 +33,10 @@ def queries_from_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_QUERIES = """queries AS (
-    SELECT item_id AS query_id, 'src' || item_id % 20 AS workspace_id,
+SQL_QUERIES_AS = """queries AS (
+    SELECT item_id AS query_id, {} AS workspace_id,
            array_to_string(regexp_split_to_array(text, '[ \\n]+')[1:8], ' ') AS question FROM benchmark)"""
+SQL_QUERIES = SQL_QUERIES_AS.format("'src' || item_id % 20")
 
 
 def workspace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

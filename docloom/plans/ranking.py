@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import search
-from docloom.plans.common import SQL_BM25, SQL_DOCS, SQL_QUERIES, queries_from_benchmark, sql_raw_tokens, unit_vectors, workspace_docs
+from docloom.operators import retrieval, search
+from docloom.operators.vectors import VectorIndex, hybrid_top
+from docloom.plans.common import SQL_BM25, SQL_QUERIES_AS, SQL_DOCS, SQL_QUERIES, queries_from_benchmark, sql_raw_tokens, unit_vectors, workspace_docs
 from docloom.sources.tables import table
 
 
@@ -37,13 +38,56 @@ def sr3_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries.join(docs, "workspace_id").select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries_from_benchmark(spark, sf_dir).join(_query_vectors(spark, sf_dir), "query_id", "left")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(workspace_id, item, text, v): every document, with its vector where it has one."""
+    return workspace_docs(spark, sf_dir).join(unit_vectors(spark, sf_dir), "doc_id", "left").select("workspace_id", F.col("doc_id").alias("item"), "text", F.col("embedding").alias("v"))
+
+
+def sr3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = VectorIndex(_items(spark, sf_dir).drop("text"), ["workspace_id"])
+    found, _ = index.search(_asked(spark, sf_dir).drop("question"), 10)
+    return found.select("query_id", "rank", F.col("item").alias("doc_id"), "score")
+
+
 def sr4_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = queries_from_benchmark(spark, sf_dir)
-    text = search.bm25(queries, workspace_docs(spark, sf_dir))
-    dense = sr3_dense(spark, sf_dir).withColumnRenamed("score", "dense")
-    both = dense.join(text.withColumnRenamed("score", "text"), ["query_id", "doc_id"], "left").join(queries, "query_id")
-    mixed = both.withColumn("score", search.hybrid(F.col("dense"), F.col("text"), search.dense_weight(F.col("question"))))
-    return search.best(mixed, 20, "query_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    queries, items = _asked(spark, sf_dir).withColumn("weight", search.dense_weight(F.col("question"))), _items(spark, sf_dir)
+    text = search.bm25(queries, items.withColumnRenamed("item", "doc_id")).select("query_id", F.col("doc_id").alias("item"), F.col("score").alias("text"))
+    index = VectorIndex(items.drop("text"), ["workspace_id"])
+    return hybrid_top(queries.drop("question"), text, items.drop("text"), index, 20).select("query_id", "rank", F.col("item").alias("doc_id"), "score")
+
+
+def sr6_semantic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _items(spark, sf_dir).filter("v IS NOT NULL")
+    page = F.col("item") % 50
+    units = units.select("workspace_id", page.alias("page_id"), F.when(page < 20, "source").otherwise("concept").alias("page_type"), F.col("v").alias("embedding"))
+    return retrieval.semantic_pages(_asked(spark, sf_dir).filter("asked IS NOT NULL"), units, 5)
+
+
+def sr10_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language is a workspace here; each document is two units on two pages, one of them with white space around its text."""
+    langs = F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])
+    queries = _asked(spark, sf_dir).withColumn("workspace_id", langs[(F.col("query_id") % 4).cast("int")])
+    docs = table(spark, sf_dir, "documents").join(unit_vectors(spark, sf_dir), "doc_id", "left").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    text = F.when(F.col("copy") == 1, F.concat(F.lit("  "), F.col("text"), F.lit(" "))).otherwise(F.col("text"))
+    units = docs.select(
+        F.col("lang").alias("workspace_id"), (F.col("doc_id") * 2 + F.col("copy")).alias("unit_id"), text.alias("text"), F.array(F.lit("B0002"), F.lit("B0001")).alias("block_refs"),
+        F.col("doc_id").alias("document_id"), F.col("source").alias("title"), (F.col("doc_id") % 7 + F.col("copy")).alias("page_id"), F.col("embedding").alias("v"),
+    )
+    found = retrieval.evidence_candidates(queries, units)
+    return found.select("query_id", "rank", "unit_id", "score", F.array_join("titles", ",").alias("titles"), F.array_join("page_ids", ",").alias("pages"))
+
+
+def er8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as concepts: every fiftieth is new, all are known."""
+    known = table(spark, sf_dir, "documents").join(unit_vectors(spark, sf_dir), "doc_id", "left").select(
+        F.col("source").alias("workspace_id"), F.col("doc_id").alias("slug"), F.concat(F.lit("Title"), F.col("doc_id") % 97).alias("title"), F.array(F.col("source"), F.lit("")).alias("aliases"),
+        F.array("lang").alias("tags"), F.col("text").alias("definition"), F.col("embedding").alias("v"),
+    )
+    return retrieval.concept_candidates(known.filter("slug % 50 = 0"), known, 10)
 
 
 def sr9_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +123,8 @@ def sr16_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "sr1_bm25": sr1_bm25, "sr1_top_documents": sr1_top_documents, "sr2_overlap": sr2_overlap, "sr3_dense": sr3_dense, "sr4_hybrid": sr4_hybrid,
+    "sr1_bm25": sr1_bm25, "sr1_top_documents": sr1_top_documents, "sr2_overlap": sr2_overlap, "sr3_dense": sr3_dense, "sr3_top": sr3_top, "sr4_hybrid": sr4_hybrid,
+    "sr6_semantic_pages": sr6_semantic_pages, "sr10_candidates": sr10_candidates, "er8_candidates": er8_candidates,
     "sr9_seeds": sr9_seeds, "sr10_grouped_units": sr10_grouped_units, "sr12_page_hits": sr12_page_hits, "sr16_context": sr16_context,
 }
 
@@ -98,6 +143,28 @@ ORACLE_SQL = {
         SELECT query_id, doc_id, round(count(*) / max(n), 6) AS score
         FROM asked JOIN has USING (workspace_id, term) JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY ALL) USING (query_id) GROUP BY query_id, doc_id""",
     "sr3_dense": f"WITH {SQL_QUERIES}, {SQL_DOCS}, {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score FROM dense",
+    "sr3_top": f"""
+        WITH {SQL_QUERIES}, {SQL_DOCS}, {_DENSE},
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::int AS rank FROM dense)
+        SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+    "sr10_candidates": f"""
+        WITH {SQL_QUERIES_AS.format("['en', 'de', 'fr', 'es'][item_id % 4 + 1]")}, docs AS (SELECT lang AS workspace_id, doc_id, trim(text, ' ') AS text FROM documents WHERE trim(text, ' ') <> ''), {SQL_BM25}, {_DENSE},
+        mixed AS (SELECT query_id, d.doc_id, 0.75::double * round(d.score, 6) + 0.25::double * coalesce(b.score, 0.0) AS score FROM dense d LEFT JOIN bm25 b USING (query_id, doc_id))
+        SELECT query_id, rank, doc_id * 2 AS unit_id, score, source AS titles, doc_id % 7 || ',' || (doc_id % 7 + 1) AS pages
+        FROM ({_BEST('mixed', 200)}) JOIN documents USING (doc_id)""",
+    "er8_candidates": f"""
+        WITH docs AS (
+            SELECT source AS workspace_id, doc_id, 'Title' || doc_id % 97 || ' ' || source || ' ' || lang || ' ' || text AS text FROM documents WHERE trim(text, ' ') <> ''),
+        queries AS (SELECT doc_id AS query_id, workspace_id, text AS question FROM docs WHERE doc_id % 50 = 0), {SQL_BM25}, {_DENSE.replace('JOIN embeddings q', 'LEFT JOIN embeddings q')},
+        mixed AS (SELECT query_id, d.doc_id, 0.75::double * round(d.score, 6) + 0.25::double * coalesce(b.score, 0.0) AS score FROM dense d LEFT JOIN bm25 b USING (query_id, doc_id) WHERE query_id <> d.doc_id)
+        SELECT query_id AS slug, doc_id AS candidate, score, rank FROM ({_BEST('mixed', 10)})""",
+    "sr6_semantic_pages": f"""
+        WITH {SQL_QUERIES}, {SQL_DOCS},
+        s AS (
+            SELECT query_id, CASE WHEN d.doc_id % 50 < 20 THEN 'source' ELSE 'concept' END AS page_type, d.doc_id % 50 AS page_id,
+                   max(round(least(1.0, greatest(0.0, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::double * p[2]::double)))), 6)) AS score
+            FROM queries JOIN embeddings q ON q.vec_id = query_id JOIN docs d USING (workspace_id) JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page_type ORDER BY score DESC, page_id)::int AS rank FROM s) WHERE rank <= 5""",
     "sr4_hybrid": f"""
         WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25}, {_DENSE},
         mixed AS (

@@ -53,14 +53,6 @@ def tx9_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", tx.frontmatter(C("markdown"), "title").alias("title"), F.size(tx.section_items(C("markdown"), "Observations")).alias("n_items"), F.length(tx.without_section(F.substring("markdown", 1, 100), "Key Points")).alias("rest"))
 
 
-def sr6_semantic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = unit_vectors(spark, sf_dir).select(C("doc_id").alias("query_id"), C("embedding").alias("asked"))
-    queries = queries_from_benchmark(spark, sf_dir).join(asked, "query_id")
-    units = workspace_docs(spark, sf_dir).join(unit_vectors(spark, sf_dir), "doc_id")
-    units = units.select("workspace_id", (C("doc_id") % 50).alias("page_id"), F.when(C("doc_id") % 50 < 20, "source").otherwise("concept").alias("page_type"), "embedding")
-    return un.semantic_pages(queries, units, 5)
-
-
 def sr13_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.split(c, " ")
     rows = table(spark, sf_dir, "part").select(
@@ -90,12 +82,6 @@ def er5_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.expanded_mentions(concepts, blocks).select("document_id", "slug", _joined("block_refs"), "mention_count", "importance")
 
 
-def er8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("slug"), C("l_partkey").alias("candidate"), F.when(C("l_suppkey") % 3 > 0, C("l_suppkey") % 11 / 11).alias("dense"), (C("l_linenumber") / 7).alias("text"))
-    rows = rows.groupBy("slug", "candidate").agg(F.max("dense").alias("dense"), F.max("text").alias("text"))
-    return rs.blocked_candidates(rows, 3)
-
-
 def er10_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C("c_custkey")
     rows = table(spark, sf_dir, "customer").select(c.alias("slug"), F.when(c % 3 == 0, "merge").otherwise("create").alias("action"), F.when(c % 3 == 0, c * 2 % 200).alias("target"), F.array(c, c + 1, c + 1, c * 5 % 900).cast("array<string>").alias("links"))
@@ -187,8 +173,8 @@ def qa5_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "tx3_chunks": tx3_chunks, "tx6_units": tx6_units, "tx7_attached": tx7_attached, "tx9_sections": tx9_sections, "sr6_semantic_pages": sr6_semantic_pages, "sr13_evidence": sr13_evidence,
-    "sr15_paragraphs": sr15_paragraphs, "sr17_budget": sr17_budget, "er5_mentions": er5_mentions, "er8_candidates": er8_candidates, "er10_decisions": er10_decisions, "er11_ledger": er11_ledger,
+    "tx3_chunks": tx3_chunks, "tx6_units": tx6_units, "tx7_attached": tx7_attached, "tx9_sections": tx9_sections, "sr13_evidence": sr13_evidence,
+    "sr15_paragraphs": sr15_paragraphs, "sr17_budget": sr17_budget, "er5_mentions": er5_mentions, "er10_decisions": er10_decisions, "er11_ledger": er11_ledger,
     "er13_items": er13_items, "er16_index": er16_index, "er18_updates": er18_updates, "lq1_cluster_claims": lq1_cluster_claims, "lq2_merged_clusters": lq2_merged_clusters,
     "lq7_concept_sources": lq7_concept_sources, "lq12_guards": lq12_guards, "lq14_demoted": lq14_demoted, "qa5_decisions": qa5_decisions,
 }
@@ -206,13 +192,6 @@ ORACLE_SQL = {
         e AS (SELECT s_suppkey % 50 AS page_id, s_suppkey AS entry_id, s_suppkey % 6 AS top FROM supplier),
         f AS (SELECT page_id, unit_id, count(*) AS m, min(entry_id) AS entry_id FROM (SELECT DISTINCT * FROM u) JOIN e USING (page_id) WHERE list_max(r) <= top GROUP BY ALL HAVING count(*) = 1)
         SELECT page_id, f.entry_id, count(*) AS n FROM u LEFT JOIN f USING (page_id, unit_id) GROUP BY ALL""",
-    "sr6_semantic_pages": f"""
-        WITH {SQL_QUERIES}, {SQL_DOCS},
-        s AS (
-            SELECT query_id, CASE WHEN d.doc_id % 50 < 20 THEN 'source' ELSE 'concept' END AS page_type, d.doc_id % 50 AS page_id,
-                   max(round(least(1.0, greatest(0.0, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::double * p[2]::double)))), 6)) AS score
-            FROM queries JOIN embeddings q ON q.vec_id = query_id JOIN docs d USING (workspace_id) JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, page_type ORDER BY score DESC, page_id)::int AS rank FROM s) WHERE rank <= 5""",
     "sr13_evidence": """
         WITH t AS (SELECT *, string_split(p_type, ' ') AS q, string_split(p_name, ' ') AS u FROM part)
         SELECT p_partkey AS unit_id, round(p_partkey % 10 / 10 + p_partkey % 10 / 10 * 1.3::double + p_partkey % 7 / 7
@@ -234,10 +213,6 @@ ORACLE_SQL = {
         m AS (SELECT DISTINCT n.conv_id, n.turn, 'B' || b.turn AS block_id FROM n JOIN conversations b USING (conv_id) WHERE trim(name) <> '' AND contains(lower(b.text), lower(trim(name))))
         SELECT c.conv_id AS document_id, 'c' || c.turn AS slug, coalesce(string_agg(block_id, ',' ORDER BY block_id), '') AS block_refs, count(block_id)::int AS mention_count,
                (c.turn % 3 + 0.25 * count(block_id))::double AS importance FROM c LEFT JOIN m USING (conv_id, turn) GROUP BY c.conv_id, c.turn""",
-    "er8_candidates": """
-        WITH r AS (SELECT l_orderkey AS slug, l_partkey AS candidate, max(CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 11 / 11 END) AS d, max(l_linenumber / 7) AS t FROM lineitem GROUP BY ALL),
-        s AS (SELECT slug, candidate, round(0.75::double * coalesce(d, 0) + 0.25::double * t, 6) AS score FROM r)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, candidate)::int AS rank FROM s) WHERE rank <= 3""",
     "er10_decisions": """
         WITH k AS (SELECT c_custkey AS s FROM customer WHERE c_nationkey % 4 <> 0),
         d AS (SELECT c_custkey AS c, c_custkey % 3 = 0 AS merge, c_custkey * 2 % 200 AS target FROM customer),

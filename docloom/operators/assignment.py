@@ -172,59 +172,112 @@ def contributions(concepts: DataFrame, evidence: DataFrame, blocks: DataFrame, p
     return out.select(*keys, *[F.coalesce(name, F.array().cast(kinds[name])).alias(name) for name in ("evidence", "blocks", "points", "links")])
 
 
-def _under(parents: dict, top: object) -> set:
-    """top and everything whose chain of parents leads to it; nothing if top is not there."""
-    if top not in parents:
-        return set()
-    children = defaultdict(list)
-    for x, p in parents.items():
-        children[p].append(x)
-    found, todo = {top}, [top]
-    while todo:
-        new = [x for x in children[todo.pop()] if x not in found]
-        found.update(new)
-        todo += new
-    return found
-
-
-def _replayed(changes: pd.DataFrame) -> pd.DataFrame:
-    here: dict[object, dict] = {}
-    gone: dict[object, dict] = {}
-    parents = lambda *states: {x: e["parent"] for state in states for x, e in state.items()}
-    for c in changes.sort_values("sequence", kind="stable").to_dict("records"):
-        x, parent = c["entry_id"], c["parent_entry_id"] or None
-        if c["op"] == "add":
-            e = here.setdefault(x, {"name": c["name"] or "", "parent": parent, "refs": {}, "operations": {}})
-            e["refs"].update(dict.fromkeys([] if c["refs"] is None else c["refs"]))
-            e["operations"][c["operation_id"]] = None
-        elif c["op"] == "move" and x in here and parent not in _under(parents(here), x):
-            here[x]["parent"] = parent
-        elif c["op"] == "remove":
-            lost = _under(parents(here), x)
-            gone |= {y: here.pop(y) for y in list(here) if y in lost}
-        elif c["op"] == "revive" and x in gone and x not in here:
-            found = _under(parents(gone, here), x)
-            here |= {y: gone.pop(y) for y in list(gone) if y in found}
-    for x, e in here.items():
-        if e["parent"] not in here or e["parent"] in _under(parents(here), x):
-            e["parent"] = None
+class Outline:
+    """Which entries of a page stand, and below what: structure alone. An entry is (parent, the sequence numbers of its adds)."""
+
+    def __init__(self):
+        self.standing: dict[object, tuple[object, list]] = {}
+        self.cut: dict[object, tuple[object, list]] = {}
+        self.beneath: dict[object, set] = defaultdict(set)  # parent -> entries that ever stood below it
+
+    def tree(self, top: object, *layers: dict) -> list:
+        """top and what stands below it, by the first of the layers that has an entry."""
+        seen = lambda x: next((layer[x] for layer in layers if x in layer), None)
+        found = [top] if seen(top) else []
+        known = set(found)
+        for x in found:  # grows while it is read
+            more = [y for y in self.beneath[x] if y not in known and (e := seen(y)) and e[0] == x]
+            known.update(more)
+            found += more
+        return found
+
+    def put(self, x: object, parent: object, adds: list) -> None:
+        self.standing[x] = parent, adds
+        self.beneath[parent].add(x)
+
+    def add(self, x: object, parent: object, sequence: object) -> None:
+        if x not in self.standing:
+            self.put(x, parent, [])
+        self.standing[x][1].append(sequence)
+
+    def move(self, x: object, parent: object, sequence: object) -> None:
+        if x in self.standing and parent not in self.tree(x, self.standing):
+            self.put(x, parent, self.standing[x][1])
+
+    def remove(self, x: object, parent: object, sequence: object) -> None:
+        lost = set(self.tree(x, self.standing))
+        for y in [y for y in self.standing if y in lost]:
+            self.cut[y] = self.standing.pop(y)
+
+    def revive(self, x: object, parent: object, sequence: object) -> None:
+        if x in self.cut and x not in self.standing:
+            back = set(self.tree(x, self.standing, self.cut))
+            for y in [y for y in self.cut if y in back]:
+                self.put(y, *self.cut.pop(y))
+
+    def risen(self) -> list[tuple[object, object, list]]:
+        """(entry, parent, adds) in order; who stands below nothing, or below itself, stands on the page."""
+        out = []
+        for x, (parent, adds) in list(self.standing.items()):
+            up, chain = parent, {x}
+            while up in self.standing and up not in chain:
+                chain.add(up)
+                up = self.standing[up][0]
+            if parent not in self.standing or up == x:
+                parent = None
+                self.standing[x] = None, adds
+            out.append((x, parent, adds))
+        return out
+
+
+def _outlined(changes: pd.DataFrame) -> pd.DataFrame:
+    outline = Outline()
+    steps = {op: getattr(outline, op) for op in ("add", "move", "remove", "revive")}
+    for op, x, parent, sequence in changes.sort_values("sequence", kind="stable")[["op", "entry_id", "parent_entry_id", "sequence"]].itertuples(index=False):
+        if op in steps:
+            steps[op](x, parent or None, sequence)
     page = changes["page_id"].iloc[0] if len(changes) else None
-    rows = [(page, x, e["name"], e["parent"], list(e["refs"]), list(e["operations"])) for x, e in here.items()]
-    return pd.DataFrame(rows, columns=["page_id", "entry_id", "name", "parent_entry_id", "refs", "operations"])
+    return pd.DataFrame([(page, *row) for row in outline.risen()], columns=["page_id", "entry_id", "parent_entry_id", "adds"])
+
+
+#: What adds of an entry bring: arrays of values.
+BROUGHT = ("refs", "evidence_claim_ids", "aliases", "tags")
 
 
 def replayed_entries(changes: DataFrame) -> DataFrame:
-    """Rows (page_id, entry_id, name, parent_entry_id, refs, operations): what is left of each page's sub-entries.
+    """Rows (page_id, entry_id, name, definition, parent_entry_id, refs, evidence_claim_ids, slugs, aliases, tags, operations): what is left of
+    each page's sub-entries.
 
-    changes: page_id, sequence, op, operation_id, entry_id, parent_entry_id, name, refs. add makes an entry or adds its references; move
+    changes: page_id, sequence, op, operation_id, entry_id, parent_entry_id, name, and, where there are any, definition, slug, refs,
+    evidence_claim_ids, aliases, tags. The first add of an entry names and defines it, later ones add to its lists; move
     changes the parent unless that lies below; remove takes everything below along; revive brings back what is removed, with what lies
-    below. Entries whose parent is not left, or lies below them, rise to the page. Without an entry_id a change is none. A page's changes
-    are one group: an ordered log of a single page.
+    below. Entries whose parent is not left, or lies below them, rise to the page. Without an entry_id a change is none. Sequence numbers
+    are unique on a page. Only a page's structure (who, below whom, when) is replayed as one group; what the adds bring is joined by
+    sequence and united by value, first place first.
     """
     kinds = dict(changes.dtypes)
-    schema = f"page_id {kinds['page_id']}, entry_id {kinds['entry_id']}, name string, parent_entry_id {kinds['entry_id']}, refs array<string>, operations array<{kinds['operation_id']}>"
-    columns = ["page_id", "sequence", "op", "operation_id", "entry_id", "parent_entry_id", "name", "refs"]
-    return changes.filter("entry_id IS NOT NULL").select(*columns).groupBy("page_id").applyInPandas(_replayed, schema)
+    known = changes.filter("entry_id IS NOT NULL")
+    for name, kind in {"definition": "string", "slug": "string", **dict.fromkeys(BROUGHT, "array<string>")}.items():
+        if name not in kinds:
+            known = known.withColumn(name, F.lit(None).cast(kind))
+    schema = f"page_id {kinds['page_id']}, entry_id {kinds['entry_id']}, parent_entry_id {kinds['entry_id']}, adds array<{kinds['sequence']}>"
+    left = known.select("page_id", "sequence", "op", "entry_id", "parent_entry_id").groupBy("page_id").applyInPandas(_outlined, schema)
+    key = ["page_id", "entry_id"]
+    adds = left.select(*key, F.explode("adds").alias("sequence")).join(known.drop("op", "parent_entry_id"), [*key, "sequence"])
+    text = lambda c: F.coalesce(F.min_by(c, "sequence"), F.lit("")).alias(c)
+    named = adds.groupBy(*key).agg(text("name"), text("definition"))
+    out = left.drop("adds").join(named, key)
+    lists = {**{c: F.col(c) for c in BROUGHT}, "slugs": F.array("slug"), "operations": F.array("operation_id")}
+    for name, column in lists.items():
+        each = adds.select(*key, "sequence", F.posexplode(column).alias("at", "value")).filter(F.col("value").isNotNull())
+        if name in ("slugs", "operations"):
+            each = each.filter(F.col("value").cast("string") != "")
+        first = each.groupBy(*key, "value").agg(F.min(F.struct("sequence", "at")).alias("first"))
+        ordered = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "value"))).alias("x"))
+        out = out.join(ordered.select(*key, F.transform("x", lambda x: x["value"]).alias(name)), key, "left")
+    kinds = dict(out.dtypes)
+    arrays = [F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("refs", "evidence_claim_ids", "slugs", "aliases", "tags", "operations")]
+    return out.select(*key, "name", "definition", "parent_entry_id", *arrays)
 
 
 def anchored_items(items: DataFrame, blocks: DataFrame, most: int = 3) -> DataFrame:

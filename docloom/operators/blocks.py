@@ -1,21 +1,22 @@
 """Markdown documents as addressable blocks, packets of blocks, and differences between versions.
 
-Splitting and packing keep state from line to line or block to block, so they run as small functions over Arrow
-batches, one document at a time; everything around them is built-in.
+Splitting and packing keep state from line to line or block to block, and versions are aligned by longest runs, so these are small
+functions, one document at a time; everything around them is built-in.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import accumulate, groupby, pairwise
+from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.store import written
+
 BLOCK = "block_id string, text string, position int, line_start int, line_end int, block_type string, section_path array<string>"
 
 
@@ -111,61 +112,58 @@ def retrieval_chunks(blocks: DataFrame, most: int = 900) -> DataFrame:
     return runs.select("document_id", F.col("k").alias("chunk"), F.array_join(texts, "\n").alias("text"), F.array_distinct(ids).alias("block_ids"))
 
 
-def diff(old: list[tuple[str, str]], new: list[str], last: int = 0) -> list[tuple[str, str | None, int | None]]:
-    """(state, id, place in new) of blocks (id, text) against new texts.
-
-    Longest common runs match, then of the rest each text that is there once on both sides. A match that changed its
-    place moved, else it is unchanged. Where one old and one new block alone lie between two neighbouring matches, the block
-    was modified. What is left is deleted or added; added blocks are numbered on from the largest number used or last.
-    """
-    before = [t for _, t in old]
-    runs = SequenceMatcher(None, before, new, autojunk=False).get_matching_blocks()
-    pair = {j + k: i + k for i, j, size in runs for k in range(size)}
-    free_old = [i for i in range(len(before)) if i not in set(pair.values())]
-    free_new = [j for j in range(len(new)) if j not in pair]
-    times_old, times_new = Counter(before[i] for i in free_old), Counter(new[j] for j in free_new)
-    place = {before[i]: i for i in free_old}
-    pair |= {j: place[new[j]] for j in free_new if times_new[new[j]] == 1 and times_old[new[j]] == 1}
-    marks = [(-1, -1), *sorted((i, j) for j, i in pair.items()), (len(before), len(new))]
-    modified = {d - 1: b - 1 for (a, c), (b, d) in pairwise(marks) if b - a == 2 and d - c == 2}
-    number = max([last, *(int(name[1:]) for name, _ in old if re.fullmatch(r"B\d+", name))])
-    out: list[tuple[str, str | None, int | None]] = []
-    for j in range(len(new)):
-        if j in modified:
-            out.append(("modified", old[modified[j]][0], j))
-        elif j in pair:
-            out.append(("unchanged" if pair[j] == j else "moved", old[pair[j]][0], j))
-        else:
-            number += 1
-            out.append(("added", f"B{number:04d}", j))
-    used = {*pair.values(), *modified.values()}
-    return out + [("deleted", old[i][0], None) for i in range(len(old)) if i not in used]
+def _aligned(key: tuple, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of places (i, j) of the longest common runs of two versions' block hashes."""
+    before, after = (x.sort_values("place")["h"].tolist() for x in (before, after))
+    runs = SequenceMatcher(None, before, after, autojunk=False).get_matching_blocks()
+    return pd.DataFrame([(key[0], i + k, j + k) for i, j, size in runs for k in range(size)], columns=["document_id", "i", "j"])
 
 
 def block_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows (document_id, state, block_id, position): the new version's blocks with the ids they keep, and deleted ones.
 
-    Documents whose blocks are all equal are settled by a hash and never compared. Added blocks get numbers that were not used
-    before, if old has a column last_number for those of blocks that are gone.
+    Longest common runs match, then of the rest each text that is there once on both sides. A match that changed its
+    place moved, else it is unchanged. Where one old and one new block alone lie between two matches that are next to each other in the
+    old version, the block was modified. What is left is deleted or added; added blocks are numbered on from the largest number in use, or
+    from the document's last_number, if old has such a column for numbers of blocks that are gone.
+
+    Documents whose blocks are all equal are settled by a hash. For the others only hashes of blocks are aligned, a document
+    at a time; moves, modifications and numbers are joins, windows and counts.
     """
-    digest = lambda df, name: df.groupBy("document_id").agg(F.sha2(F.concat_ws("\x01", F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda b: b["text"])), 256).alias(name))
-    same = digest(old, "x").join(digest(new, "y"), "document_id").filter("x = y").select("document_id")
-    settled = new.join(same, "document_id", "left_semi").join(old.select("document_id", "position", F.col("block_id").alias("kept")), ["document_id", "position"])
-    settled = settled.select("document_id", F.lit("unchanged").alias("state"), F.col("kept").alias("block_id"), F.col("position").cast("int").alias("position"))
-    kind = old.schema["document_id"].dataType.simpleString()
+    doc = ["document_id"]
+    order = Window.partitionBy("document_id").orderBy("position")
+    last = F.col("last_number") if "last_number" in old.columns else F.lit(None)
+    numbered = lambda df, *more: df.select(*doc, (F.row_number().over(order) - 1).alias("place"), F.md5("text").alias("h"), *more)
+    was, now = numbered(old, "block_id", last.cast("long").alias("last_number")), numbered(new, "position")
+    digest = lambda df, name: df.groupBy(*doc).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda b: b["h"]), "")).alias(name))
+    same = digest(was, "x").join(digest(now, "y"), doc).filter("x = y").select(*doc)
+    settled = now.join(same, doc, "left_semi").join(was.select(*doc, "place", "block_id"), [*doc, "place"])
+    settled = settled.select(*doc, F.lit("unchanged").alias("state"), "block_id", F.col("position").cast("int").alias("position"))
 
-    def run(key: tuple, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-        before, after = before.sort_values("position"), after.sort_values("position")
-        last = 0 if before.empty or before["last_number"].isna().all() else int(before["last_number"].max())
-        rows = diff(list(zip(before["block_id"], before["text"])), after["text"].tolist(), last)
-        return pd.DataFrame([(key[0], s, b, None if j is None else j + 1) for s, b, j in rows], columns=["document_id", "state", "block_id", "position"])
-
-    last_number = F.col("last_number") if "last_number" in old.columns else F.lit(None)
-    old = old.withColumn("last_number", last_number.cast("long"))
-    columns = ("document_id", "block_id", "text", "position")
-    rest = lambda df: df.join(same, "document_id", "left_anti").select(*columns, *[c for c in df.columns if c == "last_number"]).groupBy("document_id")
-    changed = rest(old).cogroup(rest(new)).applyInPandas(run, f"document_id {kind}, state string, block_id string, position int")
-    return settled.union(changed)
+    kind = old.schema["document_id"].dataType.simpleString()
+    was, now = (written(x.join(same, doc, "left_anti")) for x in (was, now))
+    places = lambda x: x.select(*doc, "place", "h").groupBy(*doc)
+    runs = written(places(was).cogroup(places(now)).applyInPandas(_aligned, f"document_id {kind}, i int, j int"))
+    single = lambda x, at, name: x.join(runs.select(*doc, F.col(at).alias("place")), [*doc, "place"], "left_anti").groupBy(*doc, "h").agg(F.min("place").alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
+    moves = single(was, "i", "i").join(single(now, "j", "j"), [*doc, "h"]).select(*doc, "i", "j")
+    pairs = written(runs.union(moves))
+    ends = was.groupBy(*doc).agg(F.count("*").alias("i")).join(now.groupBy(*doc).agg(F.count("*").alias("j")), doc, "full")
+    ends = ends.select(*doc, F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j"))
+    by_old = Window.partitionBy("document_id").orderBy("i")
+    gaps = pairs.union(ends).withColumn("a", F.lag("i", 1, -1).over(by_old)).withColumn("b", F.lag("j", 1, -1).over(by_old))
+    modified = gaps.filter("i - a = 2 AND j - b = 2").select(*doc, (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.lit("modified").alias("state"))
+    # A modified block takes the place of a move to where it stands now.
+    moved = pairs.join(modified.select(*doc, "j"), [*doc, "j"], "left_anti").select(*doc, "i", "j", F.when(F.col("i") == F.col("j"), "unchanged").otherwise("moved").alias("state"))
+    kept = written(moved.union(modified))
+    of_old = was.select(*doc, F.col("place").alias("i"), "block_id")
+    number = F.when(F.rlike("block_id", F.lit("^B[0-9]+$")), F.substring("block_id", 2, 30).cast("long"))
+    numbers = was.groupBy(*doc).agg(F.greatest(F.max(number), F.max("last_number"), F.lit(0)).alias("last"))
+    added = now.join(kept.select(*doc, F.col("j").alias("place")), [*doc, "place"], "left_anti").join(numbers, doc, "left")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("place"))
+    added = added.select(*doc, F.lit("added").alias("state"), F.format_string("B%04d", F.coalesce("last", F.lit(0)) + place).alias("block_id"), F.col("position").cast("int"))
+    stay = kept.join(of_old, [*doc, "i"]).join(now.select(*doc, F.col("place").alias("j"), "position"), [*doc, "j"]).select(*doc, "state", "block_id", F.col("position").cast("int"))
+    gone = of_old.join(kept.select(*doc, "i"), [*doc, "i"], "left_anti").select(*doc, F.lit("deleted").alias("state"), "block_id", F.lit(None).cast("int").alias("position"))
+    return settled.union(stay).union(added).union(gone)
 
 
 def stale_documents(derived: DataFrame) -> DataFrame:

@@ -65,6 +65,22 @@ def test_replayed_entries(spark):
     }
 
 
+def test_replayed_lists_and_older_entries(spark):
+    cols = "page_id string, sequence int, op string, operation_id string, entry_id string, parent_entry_id string, name string, definition string, slug string, refs array<string>, evidence_claim_ids array<string>, aliases array<string>, tags array<string>"
+    add = lambda n, x, parent, name, d, slug, refs, tags: ("p", n, "add", f"o{n}", x, parent, name, d, slug, refs, [f"c{n}"], [name.lower()], tags)
+    step = lambda n, op, x: ("p", n, op, f"o{n}", x, None, None, None, None, None, None, None, None)
+    rows = [
+        add(1, "a", "", "A", "first", "sa", ["B1"], ["t"]), add(2, "b", "a", "B", None, "", ["B2"], None), add(3, "a", None, "Z", "second", "sa", ["B3", "B1"], ["u", "t"]), add(4, "b", "x", "C", "late", "sb", [], ["t"]),
+        step(5, "remove", "a"), add(6, "b", "a", "new", "new", "sn", ["B9"], None), step(7, "revive", "a"), step(8, "unknown", "a"),
+    ]
+    got = {r.entry_id: r for r in ag.replayed_entries(spark.createDataFrame(rows, cols)).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.name, a.definition, a.parent_entry_id, a.refs, a.evidence_claim_ids) == ("A", "first", None, ["B1", "B3"], ["c1", "c3"])
+    assert (a.slugs, a.aliases, a.tags, a.operations) == (["sa"], ["a", "z"], ["t", "u"], ["o1", "o3"])
+    # b comes back with a as it was removed, in place of the one that was added meanwhile.
+    assert (b.name, b.definition, b.parent_entry_id, b.refs, b.slugs, b.operations) == ("B", "", "a", ["B2"], ["sb"], ["o2", "o4"])
+
+
 def test_concept_key_points(spark):
     notes = spark.createDataFrame(
         [(1, 1, " x ", ["B1", "B2"]), (1, 2, "y", ["B2", "B3"]), (1, 3, "x", ["B4"]), (1, 4, "z", ["B3"]), (1, 5, "  ", ["B1"]), (1, 6, "w", []), (2, 1, None, ["B1"])],

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from collections import defaultdict
 import re
 from itertools import combinations
 
@@ -44,15 +45,35 @@ def test_greedy_runs():
     assert bl.greedy_runs([], 10) == []
 
 
-def test_block_diff():
+def changes_of(spark, cases):
+    """(state, block id, place) by case, new blocks first in order; cases: name -> (old (id, text) pairs, new texts, last number)."""
+    old = spark.createDataFrame([(k, b, t, i, n) for k, (blocks, _, n) in cases.items() for i, (b, t) in enumerate(blocks)], "document_id string, block_id string, text string, position int, last_number int")
+    new = spark.createDataFrame([(k, t, i) for k, (_, texts, _) in cases.items() for i, t in enumerate(texts)], "document_id string, text string, position int")
+    got = defaultdict(list)
+    for r in sorted(bl.block_changes(old, new).collect(), key=lambda r: (r.position is None, r.position, r.block_id)):
+        got[r.document_id].append((r.state, r.block_id, r.position))
+    return got
+
+
+def test_block_changes(spark):
     old = [("B0001", "a"), ("B0002", "b"), ("B0003", "c"), ("B0004", "d")]
-    assert bl.diff(old, ["a", "b", "c", "d"]) == [("unchanged", f"B000{k + 1}", k) for k in range(4)]
-    assert bl.diff(old, ["b", "c", "d", "a"]) == [("moved", f"B000{k}", j) for j, k in enumerate((2, 3, 4, 1))]
-    assert [s for s, *_ in bl.diff(old, ["a", "x", "y", "d"])] == ["unchanged", "added", "added", "unchanged", "deleted", "deleted"]
-    assert bl.diff(old, ["a", "B", "c", "d"])[1] == ("modified", "B0002", 1)
-    assert bl.diff(old, ["a", "c", "d"])[-1] == ("deleted", "B0002", None)
-    assert bl.diff(old, ["a", "b", "new", "c", "d"])[2] == ("added", "B0005", 2)
-    assert bl.diff(old, ["a", "b", "c", "d", "e"], last=9)[-1] == ("added", "B0010", 4)
+    cases = {
+        "same": (old, ["a", "b", "c", "d"], None), "turned": (old, ["b", "c", "d", "a"], None), "two": (old, ["a", "x", "y", "d"], None), "one": (old, ["a", "B", "c", "d"], None),
+        "less": (old, ["a", "c", "d"], None), "more": (old, ["a", "b", "new", "c", "d"], None), "last": (old, ["a", "b", "c", "d", "e"], 9), "new": ([], ["p", "q"], None), "gone": (old, [], None),
+        "crossed": (old, ["a", "d", "c", "e"], None), "twice": ([("B0001", "a"), ("B0002", "x"), ("x7", "a")], ["a", "y", "a", "a"], None),
+    }
+    got = changes_of(spark, cases)
+    assert got["same"] == [("unchanged", f"B000{k + 1}", k) for k in range(4)]
+    assert got["turned"] == [("moved", f"B000{k}", j) for j, k in enumerate((2, 3, 4, 1))]
+    assert got["two"] == [("unchanged", "B0001", 0), ("added", "B0005", 1), ("added", "B0006", 2), ("unchanged", "B0004", 3), ("deleted", "B0002", None), ("deleted", "B0003", None)]
+    assert got["one"][1] == ("modified", "B0002", 1) and len(got["one"]) == 4
+    assert got["less"] == [("unchanged", "B0001", 0), ("moved", "B0003", 1), ("moved", "B0004", 2), ("deleted", "B0002", None)]
+    assert got["more"][2] == ("added", "B0005", 2) and got["last"][-1] == ("added", "B0010", 4)
+    assert got["new"] == [("added", "B0001", 0), ("added", "B0002", 1)]
+    assert got["gone"] == [("deleted", f"B000{k}", None) for k in range(1, 5)]
+    # Between a and c one block stood and one stands: b became what d moved to, and d itself is gone.
+    assert got["crossed"] == [("unchanged", "B0001", 0), ("modified", "B0002", 1), ("unchanged", "B0003", 2), ("added", "B0005", 3), ("deleted", "B0004", None)]
+    assert got["twice"] == [("unchanged", "B0001", 0), ("modified", "B0002", 1), ("unchanged", "x7", 2), ("added", "B0003", 3)]
 
 
 def test_cover(spark):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.plans.common import sql_raw_tokens, sql_tokens, sql_without_particle
-from docloom.sources.tables import blocks_from_records, described, replaced, table, upserted
+from docloom.sources import keyed
+from docloom.sources.store import shared_dir
+from docloom.sources.tables import blocks_from_records, described, table
 
 
 def sc3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,25 @@ def io2_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def io5_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), "value")
-    return upserted(rows.filter("version % 3 = 0"), rows.filter("version % 3 <> 0"), ["key"], "version")
+    """Events as versions of entries by user, merged into a folder in three loads: the newest value stays, tags are united."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), e.alias("version"), "value", F.array(F.col("event_type"), F.concat(F.lit("t"), e % 5), F.lit(None).cast("string")).alias("tags"))
+    path = f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}"
+    for k in (2, 0, 1):
+        keyed.upsert(path, rows.filter(F.col("version") % 3 == k), ["key"], "version", ("tags",), buckets=16)
+    return keyed.current(spark, path).select("key", "version", "value", F.array_join("tags", ",").alias("tags"))
 
 
 def io6_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' blocks, loaded whole and then a fourth of the documents anew; every tenth is empty by then."""
     blocks = blocks_from_records(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("document_id", "block_id", "text")
-    new = blocks.filter("cast(document_id AS bigint) % 4 = 0 AND block_id <> 'B0002'").withColumn("text", F.concat(F.lit("new "), "text"))
-    return replaced(blocks, new, "document_id").groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("chars"))
+    number = F.col("document_id").cast("bigint")
+    loaded = blocks.filter(number % 4 == 0).select("document_id").distinct()
+    new = blocks.filter((number % 4 == 0) & (number % 10 != 0) & (F.col("block_id") != "B0002")).withColumn("text", F.concat(F.lit("new "), "text"))
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    keyed.replace_documents(path, blocks.select("document_id"), blocks, buckets=16)
+    keyed.replace_documents(path, loaded, new, buckets=16)
+    return keyed.current(spark, path).groupBy("document_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("chars"))
 
 
 QUERIES = {
@@ -163,11 +178,14 @@ ORACLE_SQL = {
         WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::int AS position FROM conversations WHERE trim(coalesce(text, '')) <> '')
         SELECT conv_id::varchar AS document_id, printf('B%04d', position) AS block_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS text,
                position, position AS line_start, position AS line_end FROM t""",
-    "io5_upsert": "SELECT user_id AS key, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+    "io5_upsert": """
+        WITH t AS (SELECT user_id, unnest([event_type, 't' || event_id % 5]) AS tag FROM events),
+        u AS (SELECT user_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM t WHERE tag IS NOT NULL GROUP BY user_id)
+        SELECT user_id AS key, max(event_id) AS version, arg_max(value, event_id) AS value, any_value(tags) AS tags FROM events JOIN u USING (user_id) GROUP BY user_id""",
     "io6_replace": """
         WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE trim(coalesce(text, '')) <> ''),
         b AS (SELECT conv_id, p, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM t),
-        r AS (SELECT conv_id % 4 = 0 AND conv_id IN (SELECT conv_id FROM b WHERE p <> 2) AS again, * FROM b)
+        r AS (SELECT conv_id % 4 = 0 AS again, * FROM b WHERE NOT (conv_id % 4 = 0 AND conv_id % 10 = 0))
         SELECT conv_id::varchar AS document_id, count(*) AS n_blocks, sum(length(text) + CASE WHEN again THEN 4 ELSE 0 END)::bigint AS chars
         FROM r WHERE NOT again OR p <> 2 GROUP BY conv_id""",
 }

@@ -1,4 +1,4 @@
-"""Readers of documents, records and payloads, and keyed sinks."""
+"""Readers of documents, records and payloads."""
 
 from __future__ import annotations
 
@@ -46,15 +46,3 @@ def blocks_from_records(records: DataFrame, document: str, order: str, text: str
 def json_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
     """df with the JSON column parsed by an explicit schema; what does not parse is null."""
     return df.withColumn(column, F.from_json(column, schema))
-
-
-def upserted(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The rows of old and new, of each key that with the largest version, new before old among equals."""
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc_nulls_last(), F.desc("__new")))
-    return both.withColumn("__k", place).filter("__k = 1").drop("__k", "__new")
-
-
-def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old without the keys that new has, and new: replacing all rows of a document at once."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

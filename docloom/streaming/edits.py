@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.replay import latest_state
+from docloom.sources.keyed import BUCKETS, current, merge  # noqa: F401 (current reads the state)
 
 EVENT = "document_id string, workspace_id string, revision string, content_hash string, created_at string"
 
@@ -30,32 +31,20 @@ def rejected(raw: DataFrame) -> DataFrame:
     return parsed(raw).filter("NOT valid").select("value")
 
 
-def follow(raw: DataFrame, purged: DataFrame, state_path: str, checkpoint: str):
-    """Starts the stream that keeps the state table at state_path, a folder of versions of which the last is valid.
+def follow(raw: DataFrame, purged: DataFrame, state_path: str, checkpoint: str, rejected_path: str | None = None, buckets: int = BUCKETS):
+    """Starts the stream that keeps the state table at state_path (see sources.keyed) and, if a path is given, what was rejected.
 
-    Each micro-batch merges into the newest version and writes the next, named by its batch: a batch that is run
-    again writes the same version again, so late, repeated and retried events leave one state.
+    Each micro-batch reads the buckets of its documents and rewrites those that it changes, so what is written is bounded by
+    the batch's keys. A batch that is run again leaves the same state: a revision never goes back. What a batch
+    rejects is a folder named by the batch, which a retry overwrites.
     """
-    spark = raw.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = current(spark, state_path, before=number)
-        latest_state(old if old is not None else batch.limit(0), batch).write.mode("overwrite").parquet(f"{state_path}/version={number:012d}")
-
-    stream = accepted(raw, purged)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(spark, state_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the state (before a batch), or None."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    versions = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{n}/_SUCCESS"))]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{state_path}/version={max(versions):012d}") if versions else None
+
+    def merge_batch(batch: DataFrame, number: int) -> None:
+        if rejected_path:
+            rejected(batch).write.mode("overwrite").parquet(f"{rejected_path}/batch={number:012d}")
+        merge(state_path, accepted(batch, purged), ["document_id"], latest_state, buckets)
+
+    return raw.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def mark_ingested(state: DataFrame, ingested: DataFrame) -> DataFrame:

@@ -214,9 +214,25 @@ def test_stream_equals_batch(spark, tmp_path):
         (source / f"{k}.json").write_text("\n".join(messages[k::6]))
     purged = spark.createDataFrame([("w3",)], "workspace_id string")
     raw = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source))
-    edits.follow(raw, purged, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    places = [str(tmp_path / x) for x in ("state", "checkpoint", "rejected")]
+    edits.follow(raw, purged, *places, buckets=5).awaitTermination(120)
     batch = edits.accepted(spark.read.text(str(source)), purged)
     want = replay.latest_state(batch.limit(0), batch)
     key = lambda df: sorted((r.document_id, r.workspace_id, r.revision, r.content_hash) for r in df.collect())
     assert key(edits.current(spark, str(tmp_path / "state"))) == key(want)
     assert edits.rejected(spark.read.text(str(source))).count() == sum("document_id" not in m or '"document_id": ""' in m or m == '{"document_id": "d1"}' for m in messages)
+    bad = spark.read.parquet(places[2])
+    assert sorted(r.value for r in bad.collect()) == sorted(r.value for r in edits.rejected(spark.read.text(str(source))).collect())
+
+    # The stream goes on where it was: one document's event changes one bucket, and an old one changes none.
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("*.parquet")}
+    before = files()
+    (source / "late.json").write_text(event("d1", 99))
+    edits.follow(raw, purged, *places, buckets=5).awaitTermination(120)
+    new = set(files()) - set(before)
+    assert {p.parent.name for p in new} == {p.parent.name for p in set(before) - set(files())} and len({p.parent.name for p in new}) == 1
+    assert {r.document_id: r.revision for r in edits.current(spark, places[0]).collect()}["d1"] == 99
+    before = files()
+    (source / "older.json").write_text(event("d1", 98) + "\n" + event("d2", 0))
+    edits.follow(raw, purged, *places, buckets=5).awaitTermination(120)
+    assert files() == before

@@ -59,22 +59,6 @@ def split_aliases(aliases: DataFrame, titles: DataFrame) -> DataFrame:
     return taken.join(back, ["slug", "title_slug"], "left_anti").select("slug", "key", F.col("title_slug").alias("link_to")).distinct()
 
 
-def name_match(tokens: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows (query_id, page_id, score): 1 where a query's token is a name of the page, 0.85 where one holds the other
-    and both have two characters or more (concepts only).
-
-    names: workspace_id, page_id, page_type, name; tokens: workspace_id, query_id, token. Exact names are an equi-join;
-    only distinct pairs of names and tokens of a workspace are tried for containment.
-    """
-    exact = tokens.join(names, (tokens["workspace_id"] == names["workspace_id"]) & (tokens["token"] == names["name"])).select("query_id", "page_id", F.lit(1.0).alias("score"))
-    t = tokens.filter(F.length("token") >= 2).select(F.col("workspace_id").alias("w"), "token").distinct()
-    n = names.filter((F.col("page_type") == "concept") & (F.length("name") >= 2)).select("workspace_id", "name").distinct()
-    holds = F.contains("name", F.col("token")) | F.contains("token", F.col("name"))
-    pairs = t.join(n, (F.col("w") == F.col("workspace_id")) & holds).select("workspace_id", "token", "name")
-    part = pairs.join(tokens, ["workspace_id", "token"]).join(names.filter("page_type = 'concept'"), ["workspace_id", "name"]).select("query_id", "page_id", F.lit(0.85).alias("score"))
-    return exact.union(part).groupBy("query_id", "page_id").agg(F.max("score").alias("score"))
-
-
 def evidence_band(scored: DataFrame, share: float = 0.85, most: int = 8) -> DataFrame:
     """Of each query the best evidence, at most so much, of what is within a share of its page's best score."""
     top = F.max("score").over(Window.partitionBy("query_id", "page_id"))

@@ -11,17 +11,6 @@ def ordered_union(lists: str, *order: str) -> F.Column:
     return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(lists).alias("own")))), lambda r: r["own"])))
 
 
-def expanded_mentions(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows (document_id, slug, block_refs, mention_count, importance): the blocks of a concept's document that hold its title or an alias,
-    without regard to case; each adds a quarter to the importance. concepts: document_id, slug, names, importance."""
-    names = concepts.select("document_id", "slug", "importance", F.explode("names").alias("name")).filter("trim(name) <> ''")
-    met = names.join(blocks.select("document_id", "block_id", F.lower("text").alias("text")), "document_id").filter(F.contains("text", F.lower(F.trim("name"))))
-    found = met.groupBy("document_id", "slug").agg(F.array_sort(F.collect_set("block_id")).alias("block_refs"))
-    joined = concepts.select("document_id", "slug", "importance").join(found, ["document_id", "slug"], "left")
-    refs = F.coalesce("block_refs", F.array().cast("array<string>"))
-    return joined.select("document_id", "slug", refs.alias("block_refs"), F.size(refs).alias("mention_count"), (F.col("importance") + 0.25 * F.size(refs)).alias("importance"))
-
-
 def valid_decisions(decisions: DataFrame, known: DataFrame) -> DataFrame:
     """decisions (slug, action, target, links) against known slugs: a merge into an unknown target creates, with a warning; links to the
     concept itself, or to unknown ones, go."""

@@ -54,13 +54,6 @@ def er6_split_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.split_aliases(aliases, titles)
 
 
-def sr7_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = F.col("c_custkey"), F.col("s_suppkey")
-    tokens = table(spark, sf_dir, "supplier").select((s % 5).alias("workspace_id"), s.alias("query_id"), (s * 3).cast("string").alias("token"))
-    names = table(spark, sf_dir, "customer").select((c % 5).alias("workspace_id"), c.alias("page_id"), F.when(c % 2 == 0, "concept").otherwise("source").alias("page_type"), c.cast("string").alias("name"))
-    return concepts.name_match(tokens, names)
-
-
 def sr14_evidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _line(spark, sf_dir).select(
         (F.col("l_orderkey") % 300).alias("query_id"), (F.col("l_suppkey") % 6).alias("page_id"), F.col("pos").alias("unit_id"), (F.col("l_partkey") % 97).alias("text"),
@@ -133,7 +126,7 @@ def qa6_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "sc9_language_score": sc9_language_score, "er2_merged_terms": er2_merged_terms, "er3_merged_concepts": er3_merged_concepts, "er4_attached_evidence": er4_attached_evidence,
-    "er6_split_aliases": er6_split_aliases, "sr7_name_match": sr7_name_match, "sr14_evidence_band": sr14_evidence_band, "gr2_page_view": gr2_page_view, "ev8_living_pages": ev8_living_pages,
+    "er6_split_aliases": er6_split_aliases, "sr14_evidence_band": sr14_evidence_band, "gr2_page_view": gr2_page_view, "ev8_living_pages": ev8_living_pages,
     "lq11_dangling": lq11_dangling, "lq13_ungrounded": lq13_ungrounded, "lq15_observations": lq15_observations, "us6_purge_counts": us6_purge_counts,
     "us7_without_document": us7_without_document, "qa6_granularity": qa6_granularity,
 }
@@ -171,10 +164,6 @@ ORACLE_SQL = {
         WITH a AS (SELECT c_custkey AS s, c_custkey * 7 % 200 AS k FROM customer), t AS (SELECT c_custkey AS s, c_custkey % 300 AS k FROM customer),
         x AS (SELECT a.s, a.k, t.s AS o FROM a JOIN t ON a.k = t.k AND a.s <> t.s)
         SELECT DISTINCT s AS slug, k AS key, o AS link_to FROM x WHERE (o, s) NOT IN (SELECT s, o FROM x)""",
-    "sr7_name_match": """
-        WITH t AS (SELECT s_suppkey % 5 AS w, s_suppkey AS q, (s_suppkey * 3)::varchar AS t FROM supplier), n AS (SELECT c_custkey % 5 AS w, c_custkey AS p, c_custkey::varchar AS n FROM customer)
-        SELECT q AS query_id, p AS page_id, max(CASE WHEN t = n THEN 1.0::double ELSE 0.85::double END) AS score FROM t JOIN n USING (w)
-        WHERE t = n OR (p % 2 = 0 AND length(t) >= 2 AND length(n) >= 2 AND (contains(n, t) OR contains(t, n))) GROUP BY ALL""",
     "sr14_evidence_band": f"""
         WITH s AS (SELECT l_orderkey % 300 AS q, l_suppkey % 6 AS p, {_POS} AS u, l_partkey % 97 AS t, (l_quantity * 7 + l_partkey) % 100 / 100 AS s FROM lineitem),
         b AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY q, p) AS top FROM s) WHERE s >= 0.85 * top),

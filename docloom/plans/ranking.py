@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval, search
+from docloom.operators import names, retrieval, search
 from docloom.operators.vectors import VectorIndex, hybrid_top
 from docloom.plans.common import SQL_BM25, SQL_QUERIES_AS, SQL_DOCS, SQL_QUERIES, queries_from_benchmark, sql_raw_tokens, unit_vectors, workspace_docs
 from docloom.sources.tables import table
@@ -90,6 +90,38 @@ def er8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.concept_candidates(known.filter("slug % 50 = 0"), known, 10)
 
 
+def _named_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: words of the text are title and aliases, a third are sources."""
+    word = lambda k: F.coalesce(F.get(F.split("text", "[ \n]+"), F.lit(k)), F.lit(""))
+    aliases = F.concat(F.lit("# Page\n## Aliases\n- "), word(2), F.lit(", -, "), word(4), F.lit("\n\n## Notes\n- "), word(6))
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("workspace_id"), F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "source").otherwise("concept").alias("page_type"),
+        F.concat(word(0), F.lit(" ("), F.col("lang"), F.lit(")")).alias("title"), F.concat(F.lit("doc-"), F.col("doc_id") % 200).alias("slug"), aliases.alias("markdown"),
+    )
+
+
+def _name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_match(names.query_names(queries_from_benchmark(spark, sf_dir)), names.page_names(_named_pages(spark, sf_dir)))
+
+
+def sr7_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_matches(spark, sf_dir)
+
+
+def sr7_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = search.bm25(queries_from_benchmark(spark, sf_dir), workspace_docs(spark, sf_dir)).withColumnRenamed("doc_id", "page_id")
+    return names.with_name_floors(scored, _name_matches(spark, sf_dir)).select("query_id", "page_id", F.round("score", 6).alias("score"))
+
+
+def sr9_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concepts that a query is about by score, and those that it names."""
+    concepts = _named_pages(spark, sf_dir).filter("page_type = 'concept'")
+    scored = search.bm25(queries_from_benchmark(spark, sf_dir), workspace_docs(spark, sf_dir)).withColumnRenamed("doc_id", "page_id").withColumn("score", F.round("score", 6))
+    focus = names.focus_concepts(scored.join(concepts.select("page_id"), "page_id", "left_semi"))
+    direct = names.direct_matches(_name_matches(spark, sf_dir), concepts)
+    return focus.withColumn("kind", F.lit("focus")).union(direct.withColumn("kind", F.lit("direct")))
+
+
 def sr9_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = search.bm25(queries_from_benchmark(spark, sf_dir), workspace_docs(spark, sf_dir))
     return search.near_best(scored, "query_id", "score", 0.02, 15).select("query_id", "rank", "doc_id")
@@ -125,7 +157,7 @@ def sr16_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "sr1_bm25": sr1_bm25, "sr1_top_documents": sr1_top_documents, "sr2_overlap": sr2_overlap, "sr3_dense": sr3_dense, "sr3_top": sr3_top, "sr4_hybrid": sr4_hybrid,
     "sr6_semantic_pages": sr6_semantic_pages, "sr10_candidates": sr10_candidates, "er8_candidates": er8_candidates,
-    "sr9_seeds": sr9_seeds, "sr10_grouped_units": sr10_grouped_units, "sr12_page_hits": sr12_page_hits, "sr16_context": sr16_context,
+    "sr7_name_match": sr7_name_match, "sr7_lifted": sr7_lifted, "sr9_concepts": sr9_concepts, "sr9_seeds": sr9_seeds, "sr10_grouped_units": sr10_grouped_units, "sr12_page_hits": sr12_page_hits, "sr16_context": sr16_context,
 }
 
 _DENSE = """dense AS (
@@ -133,7 +165,33 @@ _DENSE = """dense AS (
     FROM queries JOIN embeddings q ON q.vec_id = query_id JOIN docs d USING (workspace_id) LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 _BEST = lambda source, n: f"SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::int AS rank FROM {source}) WHERE rank <= {n}"
 
+_PLAIN = lambda x: f"regexp_replace(regexp_replace(lower(trim({x})), '\\([^)]*\\)', '', 'g'), '[^a-z0-9가-힣]+', '', 'g')"
+_QUESTION_WORDS = ", ".join(f"'{w}'" for w in names.QUESTION_WORDS)
+#: Keywords of a question are among its tokens, so its names come from the tokens alone (no Hangul here).
+_NAMES = f"""named AS (SELECT DISTINCT workspace_id, query_id, {_PLAIN('t')} AS name FROM (SELECT *, unnest({sql_raw_tokens('question')}) AS t FROM queries)),
+    q AS (SELECT * FROM named WHERE name <> '' AND name NOT IN ({_QUESTION_WORDS})),
+    pages_ AS (SELECT source AS workspace_id, doc_id AS page_id, doc_id % 3 <> 0 AS concept, lang, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents),
+    parted AS (
+        SELECT workspace_id, page_id, concept, unnest([coalesce(w[1], '') || ' (' || lang || ')', 'doc-' || page_id % 200]) AS name FROM pages_
+        UNION ALL SELECT workspace_id, page_id, concept, unnest(string_split(coalesce(w[3], '') || ',' || coalesce(w[5], ''), ',')) FROM pages_),
+    n AS (SELECT DISTINCT workspace_id, page_id, concept, {_PLAIN('name')} AS name FROM parted WHERE name <> ''),
+    matches AS (
+        SELECT query_id, page_id, max(CASE WHEN q.name = n.name THEN 1.0::double ELSE 0.85::double END) AS score FROM q JOIN n USING (workspace_id)
+        WHERE n.name <> '' AND (q.name = n.name OR (concept AND length(q.name) >= 2 AND length(n.name) >= 2 AND (contains(n.name, q.name) OR contains(q.name, n.name)))) GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "sr7_name_match": f"WITH {SQL_QUERIES}, {_NAMES} SELECT * FROM matches",
+    "sr7_lifted": f"""
+        WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25}, {_NAMES}
+        SELECT b.query_id, doc_id AS page_id, round(CASE WHEN m.score = 1 THEN greatest(b.score, 0.95) WHEN m.score = 0.85 THEN greatest(b.score, 0.88) ELSE b.score END, 6) AS score
+        FROM bm25 b LEFT JOIN matches m ON m.query_id = b.query_id AND m.page_id = doc_id""",
+    "sr9_concepts": f"""
+        WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25}, {_NAMES},
+        scored AS (SELECT query_id, doc_id AS page_id, round(score, 6) AS score FROM bm25 WHERE doc_id % 3 <> 0),
+        near AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM scored) WHERE top + 1e-9 >= 0.45 AND score >= top - 0.001),
+        f AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id)::int AS rank, 'focus' AS kind FROM near),
+        d AS (SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY page_id)::int AS rank, 'direct' AS kind FROM matches WHERE score = 1 AND page_id % 3 <> 0)
+        SELECT * FROM f WHERE rank <= 10 UNION ALL SELECT * FROM d WHERE rank <= 10""",
     "sr1_bm25": f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm25",
     "sr1_top_documents": f"WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25} {_BEST('bm25', 10)}",
     "sr2_overlap": f"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 from docloom.operators import blocks as bl
+from docloom.operators import names
 from docloom.operators import resolution as rs
 from docloom.operators import units as un
-from docloom.plans.common import SQL_DOCS, SQL_QUERIES, queries_from_benchmark, unit_vectors, workspace_docs
 from docloom.sources.tables import table
 
 C = F.col
@@ -79,7 +79,7 @@ def er5_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = turns.select(C("conv_id").alias("document_id"), F.concat(F.lit("B"), "turn").alias("block_id"), "text")
     word = lambda k: F.coalesce(F.get(F.split("text", " "), F.lit(k)), F.lit(""))
     concepts = turns.select(C("conv_id").alias("document_id"), F.concat(F.lit("c"), "turn").alias("slug"), F.array(F.upper(word(0)), word(3)).alias("names"), (C("turn") % 3).cast("double").alias("importance"))
-    return rs.expanded_mentions(concepts, blocks).select("document_id", "slug", _joined("block_refs"), "mention_count", "importance")
+    return names.expanded_mentions(concepts, blocks).select("document_id", "slug", _joined("block_refs"), "mention_count", "importance")
 
 
 def er10_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("row_hash"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col)).alias("row_hash"),
         )
     )
     targets = written(source_targets(sized, weights, share, cap)).withColumnRenamed("source", "of")
@@ -172,9 +172,16 @@ def mix_sources(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of docs as often as mix_sources takes them, with the columns of docs."""
+    """The documents of docs as often as mix_sources takes them, with the columns of docs.
+
+    Rows that are equal in id, source and text share their copies, those that are equal in all columns as one row; others in equal parts.
+    """
     seed = options.get("seed", 7)
-    key = F.xxhash64(F.lit(seed), F.col(options.get("id_col", "doc_id")), F.col(options.get("text_col", "text")))
-    plan = mix_sources(docs, **options).filter("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("__copies")).withColumnRenamed("row_hash", "__key")
-    once = docs.withColumn("__row", key).dropDuplicates(["__row"])
-    return once.join(plan, F.col("__row") == F.col("__key")).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[once[c] for c in docs.columns])
+    key = F.xxhash64(F.lit(seed), *[F.col(options.get(f"{c}_col", d)) for c, d in (("id", "doc_id"), ("source", "source"), ("text", "text"))])
+    rows = docs.withColumn("__row", key).withColumn("__whole", F.xxhash64(F.lit(seed + 1), *docs.columns))
+    plan = mix_sources(docs, **options).groupBy(F.col("row_hash").alias("__row")).agg(F.sum("copies").alias("c"), F.count("*").alias("n")).filter("c > 0")
+    # Of a hash's n rows those numbered from upto - k to upto - 1 are equal in all columns.
+    kinds = rows.groupBy("__row", "__whole").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("__row").orderBy("__whole")))
+    shares = kinds.join(plan, "__row").select("__row", "__whole", F.expr("int(c * upto div n - c * (upto - k) div n)").alias("__copies")).filter("__copies > 0")
+    once = rows.dropDuplicates(["__row", "__whole"])
+    return once.join(shares, ["__row", "__whole"]).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[once[c] for c in docs.columns])

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import kernels as K
 from docloom.llm.bloom import HEAD, KNOWN, SINGLE, dealt, unpacked
-from docloom.llm.components import components
+from docloom.operators.components import components
 from docloom.sources.store import forget, written
 
 SIZE_RATIO, SPARE, FANOUT, LEADERS = 1.3, 0.15, 8, 8
@@ -45,12 +45,12 @@ SIZE_RATIO, SPARE, FANOUT, LEADERS = 1.3, 0.15, 8, 8
 CHUNK, SET_COST = 1 << 21, 128
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingle hashes in rising order, and the rows' offsets among them."""
     data = K.LOWER[data]
     starts, ends, at = K.words(data, offsets)
     counts = np.diff(at)
-    words = K.span_hashes(data, starts, ends)
+    words = K.span_hashes(data, starts, ends, seed)
     row_of = np.repeat(np.arange(len(counts)), counts)
     first = np.flatnonzero(np.arange(len(words)) + n <= at[1:][row_of])
     row, hashes = row_of[first], K.gram_hashes(words, n)[first]
@@ -130,10 +130,12 @@ def describe(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
     """Rows (doc_id, n_shingles, f1, f2, spare); f1 and f2 are the fingerprint of the set, spare is how many keys of an even and of
     an odd size class it leaves out."""
 
+    seed = K.new_seed()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
-                hashes, at = shingle_sets(data, offsets, n)
+                hashes, at = shingle_sets(data, offsets, n, seed)
                 columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, prints(hashes, at))]
                 own = classes.of(np.maximum(np.diff(at), 1))
                 spare = classes.spare[np.stack([own + own % 2, own + (own + 1) % 2], axis=1)]
@@ -150,10 +152,12 @@ def _entries(n: int, classes: Classes):
     """Finds (key, document, tag) for the keys of a batch's sets, each different set once; tags hold bits 32 to 38 of the key
     and, lowest, whether its size class is odd."""
 
+    seed = K.new_seed()
+
     def find(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         seen: set[int] = set()
         for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
-            hashes, at = shingle_sets(data, offsets, n)
+            hashes, at = shingle_sets(data, offsets, n, seed)
             sizes, fresh = np.diff(at), []
             for i, f in enumerate(prints(hashes, at)[0].tolist()):
                 if sizes[i] and f not in seen:
@@ -358,8 +362,8 @@ def join(a: Sets, b: Sets | None, num: int, den: int) -> Iterator[tuple[int, int
                     unite(a.labels[i], b.labels[j])
 
 
-def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [shingle_sets(data, offsets, n) for _, _, data, offsets in K.text_chunks(texts)]
+def _sets(texts: pa.Array, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [shingle_sets(data, offsets, n, seed) for _, _, data, offsets in K.text_chunks(texts)]
     sizes = np.concatenate([np.diff(at) for _, at in parts])
     return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
 
@@ -369,10 +373,12 @@ def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _within(n: int, num: int, den: int):
+    seed = K.new_seed()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in K.grouped(batches, ["block", "chunk"]):
             ids = group.column("doc_id").to_numpy()
-            sets = Sets(*_sets(group.column("text").combine_chunks(), n), np.arange(len(ids)))
+            sets = Sets(*_sets(group.column("text").combine_chunks(), n, seed), np.arange(len(ids)))
             found = list(join(sets, None, num, den))
             if found:
                 yield _links([int(ids[i]) for i, _ in found], [int(ids[j]) for _, j in found])
@@ -381,6 +387,8 @@ def _within(n: int, num: int, den: int):
 
 
 def _between(n: int, num: int, den: int):
+    seed = K.new_seed()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in K.grouped(batches, ["block", "left", "right"]):
             side = group.column("side").to_numpy()
@@ -388,7 +396,7 @@ def _between(n: int, num: int, den: int):
             _, labels = np.unique(labels, return_inverse=True)
             texts = group.column("text").combine_chunks()
             own = [np.flatnonzero(side == s) for s in (0, 1)]
-            left, right = (Sets(*_sets(texts.take(pa.array(k)), n), labels[k]) if len(k) else None for k in own)
+            left, right = (Sets(*_sets(texts.take(pa.array(k)), n, seed), labels[k]) if len(k) else None for k in own)
             if left is None or (right is None and group.column("left")[0] != group.column("right")[0]):
                 continue
             found = list(join(left, right, num, den))

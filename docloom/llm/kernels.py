@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,17 +43,22 @@ def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix((left ^ U(0xA0761D6478BD642F)) * U(0xE7037ED1A0B428DB) + right)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans: eight bytes at a time, each step mixed before the next, so that no structure of a text
-    makes two spans meet."""
+def new_seed() -> int:
+    """A seed that the driver draws for a job and hands to its tasks, so that nobody can write words whose hashes meet."""
+    return secrets.randbits(64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of byte spans: eight bytes at a time, each step mixed before the next. For a known seed words can be made
+    whose hashes meet; for one that was drawn at random they meet by chance alone."""
     left = ends - starts
-    out = mix(left.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(1))
+    out = mix(left.astype(np.uint64) * U(0xD6E8FEB86659FD93) + mix(np.array([seed ^ 1], np.uint64)))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     rows = np.arange(len(starts))
     if left.max(initial=0) > LONG_SPAN:
         for i in np.flatnonzero(left > LONG_SPAN).tolist():
-            out[i] ^= U(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes()))
+            out[i] ^= U(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed))
         rows = np.flatnonzero(left <= LONG_SPAN)
     at, left = starts[rows], left[rows]
     while len(rows):

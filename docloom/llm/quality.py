@@ -56,7 +56,7 @@ def _first_seen(keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+def measure_chunk(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     """MEASURES of each row of a chunk. Lines and windows are compared by 64-bit hashes, row by row."""
     rows = len(offsets) - 1
     salt = K.mix(np.arange(1, rows + 1, dtype=np.uint64))
@@ -67,7 +67,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     symbols = K.per_row(_IS_SYMBOL[data], offsets)
 
     row_of = np.repeat(np.arange(rows), counts)
-    hashes = K.span_hashes(data, starts, ends)
+    hashes = K.span_hashes(data, starts, ends, seed)
     _, first, times = np.unique(K.mix(hashes ^ salt[row_of]), return_index=True, return_counts=True)
     same = np.zeros(len(hashes), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (row_of[1:] == row_of[:-1])
@@ -89,7 +89,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_row = np.repeat(np.arange(rows), K.per_row(data == 10, offsets) + 1)
     filled = np.concatenate([[0], np.cumsum(solid)])
     filled = filled[line_ends] > filled[line_starts]
-    keys = K.mix(K.span_hashes(data, line_starts[filled], line_ends[filled]) ^ salt[line_row[filled]])
+    keys = K.mix(K.span_hashes(data, line_starts[filled], line_ends[filled], seed) ^ salt[line_row[filled]])
     dups = np.bincount(line_row[filled][~_first_seen(keys)], minlength=rows)
     return [counts, chars, symbols, dups, repeats, K.per_row(_IS_MARK[data], offsets), top, distinct, K.per_row(same, at)]
 
@@ -100,11 +100,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = T.StructType(docs.select(*kept).schema.fields)
     for name in MEASURES:
         schema = schema.add(name, "long")
-    at = kept.index(text_col)
+    at, seed = kept.index(text_col), K.new_seed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [measure_chunk(data, offsets) for _, _, data, offsets in K.text_chunks(batch.column(at))]
+            parts = [measure_chunk(data, offsets, seed) for _, _, data, offsets in K.text_chunks(batch.column(at))]
             found = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=schema.names)
 

@@ -13,7 +13,7 @@ where it is at least a window long its words are covered. Anchors with more than
 would make automata without bound; those of their windows that may repeat are counted by hash instead,
 pre-aggregated.
 
-Words and windows are compared by 64-bit hashes. Nulls: a null text has no words; null ids are kept. Rows that
+Words and windows are compared by 64-bit hashes with a seed that is drawn for each job. Nulls: a null text has no words; null ids are kept. Rows that
 share an id are documents of their own, told apart by a 64-bit hash of their texts; equal rows count as occurrences of
 their own. An empty table gives an empty result. Other columns are kept, whatever their names. A text is hashed as a
 whole, at about 100 bytes for each of its words.
@@ -53,9 +53,9 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 class Words:
     """Word hashes of a chunk of texts and the offsets of its rows among them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, seed: int = 0):
         self.starts, self.ends, self.at = K.words(data, offsets)
-        self.hashes = K.span_hashes(data, self.starts, self.ends)
+        self.hashes = K.span_hashes(data, self.starts, self.ends, seed)
 
 
 def anchors(words: Words, window: int) -> tuple[np.ndarray, ...]:
@@ -178,10 +178,11 @@ def _shard(window: int):
 
 def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
     """Rows (doc, h, spans) for the documents (doc, h, text) with repeats; spans: array of (start, end) in words."""
+    seed = K.new_seed()
 
     def find(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
-            row, first, run, m, context = anchors(Words(data, offsets), window)
+            row, first, run, m, context = anchors(Words(data, offsets, seed), window)
             doc, h = (batch.column(c).slice(lo, hi - lo).to_numpy()[row] for c in ("doc", "h"))
             yield [m, doc, h, first, run, context.view(np.int64)]
 
@@ -204,7 +205,7 @@ def repeated_words(docs: DataFrame, window: int, n_words: int) -> DataFrame:
         for batch in batches:
             wanted = batch.column("wanted")
             for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
-                words = Words(data, offsets)
+                words = Words(data, offsets, seed)
                 part = wanted.slice(lo, hi - lo)
                 items = part.flatten()
                 m, context, n, first, run, many = (items.field(k) for k in range(6))

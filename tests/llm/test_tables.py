@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm.components import components
 from docloom.llm.kdtree import Best, KdTree, top_k
 from docloom.llm.mixing import mix_sources, mixed
 from docloom.llm.revisit import resolve_revisits
+from docloom.operators.components import components
 
 
 def brute_top(rows, k):
@@ -120,6 +120,20 @@ def test_mixing(spark, group):
     assert mix_sources(docs.limit(0)).collect() == []
 
 
+def test_copies_of_rows_that_differ_elsewhere(spark):
+    """Rows equal in id, source and text keep their other columns, and share their copies."""
+    rows = [(1, "w " * 50, "a", lang) for lang in ("en", "en", "de", None)] * 3 + [(1, "w " * 50, "b", "fr"), (2, "x", "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    plan, out = mix_sources(docs).collect(), mixed(docs).collect()
+    assert len(out) == sum(r.copies for r in plan)
+    found = defaultdict(int)
+    for r in out:
+        found[r.source, r.lang] += 1
+    share = sum(r.copies for r in plan if r.doc_id == 1 and r.source_size == 601) / 12
+    assert {k for k in found if k[0] == "a"} == {("a", "en"), ("a", "de"), ("a", None)}
+    assert abs(found["a", "de"] - 3 * share) < 1 and abs(found["a", None] - 3 * share) < 1
+
+
 def test_copies_keep_their_expectation(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "s" if i % 2 else "t") for i in range(200)], "doc_id long, text string, source string")
     shares = [mix_sources(docs, weights=(1.0,), share=0.5, seed=k).groupBy().avg("copies").first()[0] for k in range(4)]

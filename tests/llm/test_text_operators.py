@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import kernels as K
 from docloom.llm.bloom import suspects
 from docloom.llm.bpe import WordMemo
+from docloom.llm.jaccard import jaccard_components
 from docloom.llm.language import fit, identify, viterbi
 from docloom.llm.linededup import dedup_lines
 from docloom.llm.packing import WINDOW, pack
@@ -187,6 +189,25 @@ def test_words_that_a_polynomial_hash_takes_for_equal():
     assert ids[rows[0] : rows[1]].tolist() != ids[rows[1] : rows[2]].tolist()
 
 
+#: Two words that the unseeded hash does not tell apart, and a text for each that is equal but for them.
+MEETING = ("abcdefghijklmnop", "yjFIl3TF9blIgmFq")
+
+
+def test_words_that_an_unseeded_hash_takes_for_equal(spark):
+    text = " ".join(MEETING)
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]))
+    hashes = [K.span_hashes(data, starts, ends, K.new_seed()) for _ in range(3)]
+    assert all(len(set(h.tolist())) == 2 for h in hashes) and len({h[0] for h in hashes}) == 3
+    filler = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*filler[:30], w, *filler[30:]]), "en", "s") for i, w in enumerate(MEETING)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.n_removed for r in dedup_substrings(docs, window=35).collect()} == {0}
+    assert {r.component_id for r in jaccard_components(docs, n=3, num=99, den=100).collect()} == {0, 1}
+    twice = docs.withColumn("text", F.lit(" ".join([*filler[:7], MEETING[0], *filler[:7], MEETING[1]])))
+    assert {r.n_repeat_words for r in measure(twice).collect()} == {0}
+
+
 def test_memo_equals_the_tokenizer():
     from tokenizers import Tokenizer
 

@@ -16,7 +16,7 @@ from docloom.llm.mixing import mixed
 from docloom.llm.packing import pack
 from docloom.llm.quality import judged, measure, thresholds
 from docloom.llm.queries import TOKENIZER
-from docloom.sources.store import written
+from docloom.sources.store import forget, written
 from docloom.sources.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -66,6 +66,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if k:  # nothing reads the stage before last any more
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

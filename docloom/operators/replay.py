@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.invalidation import first_places
+
 
 def supported_links(events: DataFrame) -> DataFrame:
     """Links that the log leaves in place.
@@ -39,21 +41,38 @@ def surviving_evidence(evidence: DataFrame, invalidations: DataFrame, deletes: D
     return alive.join(stale, ["page_id", "evidence_id", "sequence"], "left_anti")
 
 
-def with_pending(ledger: DataFrame, pending: DataFrame) -> DataFrame:
-    """Rows (page_id, operation_id, payload, state): the ledger with what has not arrived in it yet.
+def with_pending(ledger: DataFrame, pending: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Rows (page_id, operation_id, document_id, payload, sequence, active, state): the ledger with what has not arrived in it yet.
 
-    A row on both sides must agree or is a conflict; a pending one without a sequence is unresolved.
+    ledger: page_id, operation_id, document_id, payload, sequence, active, linked_by, source_removed; pending: the same without source_removed, with
+    kind, rejected, created_at and superseded_at; tombstones: document_id, deleted_at. Superseded rows do not count. A document that was deleted after a
+    pending row was made leaves it inactive. A pending row that is in the ledger too must agree with it (document, payload, whether active,
+    link, and sequence if it has one) or is a conflict, as is one that the receiver rejected; one without a sequence that is not
+    there is unresolved.
     """
-    a = ledger.select("page_id", "operation_id", F.col("payload").alias("ours"), F.lit(True).alias("stored"))
-    b = pending.select("page_id", "operation_id", F.col("payload").alias("theirs"), "sequence", F.lit(True).alias("waiting"))
-    both = a.join(b, ["page_id", "operation_id"], "full")
+    key = ["page_id", "operation_id"]
+    waiting = pending.filter("superseded_at IS NULL")
+    deleted = tombstones.groupBy("document_id").agg(F.max("deleted_at").alias("deleted_at"))
+    waiting = waiting.join(deleted, "document_id", "left").withColumn("live", F.coalesce("active", F.lit(False)) & ~F.coalesce(F.col("deleted_at") > F.col("created_at"), F.lit(False)))
+    fields = ("document_id", "payload", "sequence", "linked_by")
+    a = ledger.select(*key, *fields, F.coalesce("active", F.lit(False)).alias("active"), F.coalesce("source_removed", F.lit(False)).alias("removed"), F.lit(True).alias("stored"))
+    b = waiting.select(*key, *[F.col(c).alias(f"p_{c}") for c in fields], "live", "kind", F.coalesce("rejected", F.lit(False)).alias("rejected"), F.lit(True).alias("waiting"))
+    both = a.join(b, key, "full")
+    linked = F.col("linked_by").eqNullSafe(F.col("p_linked_by")) | (F.col("kind").eqNullSafe(F.lit("RESTORE")) & F.col("p_linked_by").isNull() & F.col("p_sequence").isNotNull())
+    removed = F.col("p_document_id").isNotNull() & F.col("removed")
+    agrees = (
+        F.col("document_id").eqNullSafe(F.col("p_document_id")) & F.col("payload").eqNullSafe(F.col("p_payload")) & linked
+        & (F.col("active") == (F.col("live") & ~removed)) & (F.col("p_sequence").isNull() | F.col("sequence").eqNullSafe(F.col("p_sequence")))
+    )
     state = (
-        F.when(F.col("stored") & F.col("waiting"), F.when(F.col("ours").eqNullSafe(F.col("theirs")), "stored").otherwise("conflict"))
+        F.when(F.col("rejected"), "conflict")
+        .when(F.col("stored") & F.col("waiting"), F.when((F.col("sequence") > 0) & agrees, "stored").otherwise("conflict"))
         .when(F.col("stored"), "stored")
-        .when(F.col("sequence").isNull(), "unresolved")
+        .when(F.col("p_sequence").isNull(), "unresolved")
         .otherwise("pending")
     )
-    return both.select("page_id", "operation_id", F.coalesce("ours", "theirs").alias("payload"), state.alias("state"))
+    either = lambda c: F.when(F.col("stored"), F.col(c)).otherwise(F.col(f"p_{c}")).alias(c)
+    return both.select(*key, either("document_id"), either("payload"), either("sequence"), F.when(F.col("stored"), F.col("active")).otherwise(F.col("live")).alias("active"), state.alias("state"))
 
 
 def undo_plan(log: DataFrame, current: DataFrame) -> DataFrame:
@@ -75,16 +94,17 @@ def undo_plan(log: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def merged_pages(contributions: DataFrame) -> DataFrame:
-    """A page's surviving contributions as one: the last title that is not empty, references in order without
-    repeats, the largest importance."""
-    given = F.when(F.trim("title") != "", F.col("title"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("sequence", "refs"))), lambda x: x["refs"])
-    return contributions.groupBy("page_id").agg(
-        F.max_by(given, F.when(given.isNotNull(), F.col("sequence"))).alias("title"),
-        F.array_distinct(F.flatten(ordered)).alias("refs"),
-        F.max("importance").alias("importance"),
-        F.count("*").alias("n"),
-    )
+    """A page's surviving contributions (page_id, sequence, title, definition, refs, mention_refs, aliases, mention_count, importance) as one: the last
+    title and definition that are not empty, lists in order without repeats, the largest importance. Mentions are counted by
+    their references, or else the largest count that was recorded stays."""
+    given = lambda c: F.when(F.trim(c) != "", F.col(c))
+    last = lambda c: F.max_by(given(c), F.when(given(c).isNotNull(), F.col("sequence"))).alias(c)
+    pages = contributions.groupBy("page_id").agg(last("title"), last("definition"), F.max("importance").alias("importance"), F.max("mention_count").alias("most"), F.count("*").alias("n"))
+    kinds = dict(contributions.dtypes)
+    for name in ("refs", "mention_refs", "aliases"):
+        pages = pages.join(first_places(contributions, ["page_id"], name, name), "page_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kinds[name])))
+    count = F.when(F.size("mention_refs") > 0, F.size("mention_refs")).otherwise(F.coalesce("most", F.lit(0)))
+    return pages.withColumn("mention_count", count.cast("long")).drop("most")
 
 
 def latest_state(old: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import graph, lint, replay
+from docloom.operators.invalidation import Invalidation, merged_evidence, merged_points
 from docloom.sources.tables import table
 
 
@@ -92,11 +93,44 @@ def ev4_surviving_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.surviving_evidence(evidence, invalid, deletes).select("page_id", "evidence_id")
 
 
+def ev4_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of users' events as records of pages after the references and claims that later ones invalidated: a row for each part that stays."""
+    e, t = F.col("sequence"), F.array().cast("array<bigint>")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("sequence"), "event_type")
+    claim = lambda n: F.concat(F.lit("c"), e % n)
+    records = rows.select(
+        "page_id", "sequence", F.when(e % 11 == 0, "manual").otherwise("ingest").alias("artifact_type"), F.when(F.col("event_type") == "error", F.array(e % 31, e % 19)).otherwise(t).alias("invalidated_refs"),
+        F.when(e % 50 == 0, F.array(claim(97), claim(41))).otherwise(F.array().cast("array<string>")).alias("invalidated_claims"),
+    )
+    units = rows.select("page_id", "sequence", claim(97).alias("evidence_id"), F.concat(F.lit("t"), e % 13).alias("claim"), F.array(e % 31, e % 37).alias("refs"))
+    left = Invalidation(records, units)
+    cited = rows.select("page_id", "sequence", F.explode(F.array(e % 31, e % 29)).alias("ref")).distinct()
+    claims = rows.select("page_id", "sequence", F.explode(F.array(claim(97), claim(89))).alias("evidence_id")).distinct()
+    points = rows.select("page_id", "sequence", F.lit(0).alias("place"), F.concat(F.lit("t"), e % 13).alias("text"), F.when(e % 2 == 0, F.array(e % 37, e % 31)).otherwise(F.array(e % 23)).alias("refs"))
+    changes = rows.select("page_id", "sequence", F.lit(0).alias("place"), F.when(e % 3 < 2, "add").otherwise("move").alias("op"), F.array(e % 31, e % 43).alias("refs"), F.when(e % 4 == 0, F.array(claim(89))).otherwise(F.array().cast("array<string>")).alias("claims"))
+    part = lambda df, kind, item: df.select(F.lit(kind).alias("kind"), "page_id", "sequence", item.alias("item"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    out = part(left.left_units(), "unit", F.col("evidence_id")).union(part(left.left_refs(cited), "ref", F.col("ref").cast("string"))).union(part(left.left_claims(claims), "claim", F.col("evidence_id")))
+    out = out.union(part(left.left_points(points), "point", F.concat_ws("|", "text", listed(F.col("refs")))))
+    return out.union(part(left.left_changes(changes), "change", F.concat_ws("|", "op", listed(F.col("refs")), listed(F.col("claims")))))
+
+
 def ev5_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("page_id"), F.col("o_orderkey").alias("operation_id"), F.col("o_totalprice").cast("string").alias("payload"))
-    pending = rows.filter("operation_id % 3 <> 0").select("page_id", "operation_id", F.when(F.col("operation_id") % 10 == 1, "other").otherwise(F.col("payload")).alias("payload"), F.when(F.col("operation_id") % 7 != 0, F.col("operation_id")).alias("sequence"))
-    out = replay.with_pending(rows.filter("operation_id % 2 = 0"), pending)
-    return out.groupBy("state").agg(F.count("*").alias("n"), F.sum("operation_id").alias("ids"))
+    """Orders as contributions: half of them are in the ledger, two thirds are pending, some with another payload, sequence or link."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 100).alias("page_id"), k.alias("operation_id"), (F.col("o_custkey") % 90).alias("document_id"), F.col("o_totalprice").cast("string").alias("payload"), k.alias("sequence"),
+        (k % 4 < 3).alias("active"), F.when(k % 5 == 0, k % 9).alias("linked_by"), (k % 13 == 0).alias("source_removed"), F.col("o_orderdate").alias("created_at"),
+    )
+    other = lambda n, value, c: F.when(k_ % n == 1, value).otherwise(F.col(c)).alias(c)
+    k_ = F.col("operation_id")
+    pending = rows.filter(k_ % 3 != 0).select(
+        "page_id", "operation_id", "document_id", other(10, F.lit("other"), "payload"), F.when(k_ % 7 != 0, other(17, k_ + 1, "sequence")).alias("sequence"), "active", F.when(k_ % 6 != 0, F.col("linked_by")).alias("linked_by"),
+        F.when(k_ % 12 == 2, "RESTORE").alias("kind"), (k_ % 101 == 0).alias("rejected"), "created_at", F.when(k_ % 19 == 0, F.col("created_at")).alias("superseded_at"),
+    )
+    tombstones = table(spark, sf_dir, "customer").filter("c_custkey % 9 = 0").select((F.col("c_custkey") % 90).alias("document_id"), F.to_date(F.lit("1995-06-17")).alias("deleted_at"))
+    out = replay.with_pending(rows.filter("operation_id % 2 = 0").drop("created_at"), pending, tombstones)
+    return out.groupBy("state", "active").agg(F.count("*").alias("n"), F.sum("operation_id").alias("ids"))
 
 
 def ev6_undo_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +146,20 @@ def ev6_undo_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ev7_merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 80).alias("page_id"), e.alias("sequence"), F.when(e % 3 == 0, " ").otherwise(F.concat(F.lit("t"), e)).alias("title"),
-        F.array(e % 5, e % 7).alias("refs"), "value",
+        (F.col("user_id") % 80).alias("page_id"), e.alias("sequence"), F.when(e % 3 == 0, " ").otherwise(F.concat(F.lit("t"), e)).alias("title"), F.when(e % 4 == 0, F.concat(F.lit("d"), e)).alias("definition"),
+        F.array(e % 5, e % 7).alias("refs"), F.when((F.col("user_id") % 2 == 0) & (e % 3 == 1), F.array(e % 11)).otherwise(F.array().cast("array<bigint>")).alias("mention_refs"),
+        F.array(F.concat(F.lit("a"), e % 3)).alias("aliases"), (e % 17).alias("mention_count"), F.col("value").alias("importance"),
     )
-    merged = replay.merged_pages(rows.withColumnRenamed("value", "importance"))
-    return merged.select("page_id", "title", F.array_join("refs", ",").alias("refs"), "importance", "n")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return replay.merged_pages(rows).select("page_id", "title", "definition", listed("refs"), listed("aliases"), "mention_count", "importance", "n")
+
+
+def ev7_merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of pages in its last version, and their distinct key points."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 80).alias("page_id"), e.alias("sequence"), (e % 3).alias("place"), (e % 23).cast("string").alias("evidence_id"), F.concat(F.lit("v"), e % 29).alias("text"), F.array(e % 2).alias("refs"))
+    first = lambda df, kind, item: df.select("page_id", F.lit(kind).alias("kind"), item.alias("item"), "first.sequence", "first.place", F.col("text"))
+    return first(merged_evidence(rows), "evidence", F.col("evidence_id")).union(first(merged_points(rows.drop("evidence_id")), "point", F.col("refs")[0].cast("string")))
 
 
 def st2_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +266,7 @@ def er9_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "gr1_active_nodes": gr1_active_nodes, "gr1_active_edges": gr1_active_edges, "gr3_neighbourhood": gr3_neighbourhood, "gr6_source_links": gr6_source_links,
     "gr7_unordered_links": gr7_unordered_links, "gr8_descendants": gr8_descendants, "gr9_related_pairs": gr9_related_pairs, "ev2_supported_links": ev2_supported_links,
-    "ev4_surviving_evidence": ev4_surviving_evidence, "ev5_pending": ev5_pending, "ev6_undo_plan": ev6_undo_plan, "ev7_merged_pages": ev7_merged_pages,
+    "ev4_surviving_evidence": ev4_surviving_evidence, "ev4_invalidated": ev4_invalidated, "ev5_pending": ev5_pending, "ev6_undo_plan": ev6_undo_plan, "ev7_merged_pages": ev7_merged_pages, "ev7_merged_evidence": ev7_merged_evidence,
     "st2_latest_state": st2_latest_state, "lq3_promoted": lq3_promoted, "lq5_orphan_refs": lq5_orphan_refs, "lq6_orphan_links": lq6_orphan_links,
     "lq8_invalidated_refs": lq8_invalidated_refs, "lq9_decisions": lq9_decisions, "lq10_boxes": lq10_boxes, "lq16_evaluations": lq16_evaluations,
     "lq19_quotes": lq19_quotes, "lq20_same_names": lq20_same_names, "er7_resolved_names": er7_resolved_names, "er9_judgements": er9_judgements,
@@ -311,11 +354,43 @@ ORACLE_SQL = {
         SELECT page_id, s AS evidence_id FROM e LEFT JOIN cut USING (page_id)
         WHERE event_type = 'view' AND s > coalesce(d, -1) AND NOT EXISTS (
             SELECT 1 FROM e i WHERE i.event_type = 'error' AND i.page_id = e.page_id AND i.s > e.s AND i.s % 31 IN (e.s % 31, e.s % 37))""",
+    "ev4_invalidated": """
+        WITH e AS (SELECT user_id AS p, event_id AS s, event_type, event_id % 11 = 0 AS manual FROM events),
+        inv AS (SELECT p, ref, max(s) AS last FROM (SELECT p, s, unnest([s % 31, s % 19]) AS ref FROM e WHERE event_type = 'error') GROUP BY ALL),
+        stale AS (SELECT e.p, e.s, ref FROM e JOIN inv ON inv.p = e.p AND last > e.s WHERE NOT manual),
+        u AS (SELECT p, s, manual, 'c' || s % 97 AS c, unnest([s % 31, s % 37]) AS ref FROM e),
+        dropped AS (
+            SELECT p, c FROM u JOIN stale USING (p, s, ref)
+            UNION SELECT i.p, i.c FROM (SELECT p, s, unnest(['c' || s % 97, 'c' || s % 41]) AS c FROM e WHERE s % 50 = 0) i JOIN e ON e.p = i.p AND e.s < i.s AND NOT e.manual),
+        gone AS (SELECT DISTINCT p, s FROM u JOIN dropped USING (p, c) WHERE NOT manual),
+        refs AS (SELECT DISTINCT p, s, unnest([s % 31, s % 29]) AS ref FROM e),
+        claims AS (SELECT DISTINCT p, s, manual, unnest(['c' || s % 97, 'c' || s % 89]) AS c FROM e),
+        points AS (SELECT p, s, unnest(CASE WHEN s % 2 = 0 THEN [s % 37, s % 31] ELSE [s % 23] END) AS ref FROM e),
+        adds AS (SELECT p, s, unnest([s % 31, s % 43]) AS ref, unnest([1, 2]) AS place FROM e WHERE s % 3 < 2),
+        add_refs AS (SELECT p, s, string_agg(ref::varchar, ',' ORDER BY place) AS refs FROM adds ANTI JOIN stale USING (p, s, ref) GROUP BY ALL),
+        add_claims AS (SELECT p, s, c FROM (SELECT p, s, manual, 'c' || s % 89 AS c FROM e WHERE s % 3 < 2 AND s % 4 = 0) WHERE manual OR (p, c) NOT IN (SELECT p, c FROM dropped))
+        SELECT 'unit' AS kind, p AS page_id, s AS sequence, 'c' || s % 97 AS item FROM e ANTI JOIN gone USING (p, s)
+        UNION ALL SELECT 'ref', p, s, ref::varchar FROM refs WHERE (p, s, ref) NOT IN (SELECT p, s, ref FROM stale)
+            AND NOT ((p, s) IN (SELECT p, s FROM gone) AND ref IN (s % 31, s % 37))
+        UNION ALL SELECT 'claim', p, s, c FROM claims WHERE manual OR (p, c) NOT IN (SELECT p, c FROM dropped)
+        UNION ALL SELECT 'point', p, s, 't' || s % 13 || '|' || CASE WHEN s % 2 = 0 THEN s % 37 || ',' || s % 31 ELSE (s % 23)::varchar END FROM e
+            WHERE (p, s) NOT IN (SELECT p, s FROM points JOIN stale USING (p, s, ref))
+              AND NOT ((p, s) IN (SELECT p, s FROM gone) AND (s % 2 = 0 OR (s % 31 = s % 37 AND s % 23 = s % 31)))
+        UNION ALL SELECT 'change', p, s, 'add|' || coalesce(refs, '') || '|' || coalesce(c, '') FROM add_refs FULL JOIN add_claims USING (p, s)
+        UNION ALL SELECT 'change', p, s, 'move|' || s % 31 || ',' || s % 43 || '|' || CASE WHEN s % 4 = 0 THEN 'c' || s % 89 ELSE '' END FROM e WHERE s % 3 = 2""",
     "ev5_pending": """
-        WITH r AS (SELECT o_orderkey AS k FROM orders)
-        SELECT CASE WHEN k % 2 = 0 AND k % 3 <> 0 THEN CASE WHEN k % 10 = 1 THEN 'conflict' ELSE 'stored' END WHEN k % 2 = 0 THEN 'stored'
-                    WHEN k % 7 = 0 THEN 'unresolved' ELSE 'pending' END AS state, count(*) AS n, sum(k)::bigint AS ids
-        FROM r WHERE k % 2 = 0 OR k % 3 <> 0 GROUP BY ALL""",
+        WITH r AS (
+            SELECT o_orderkey AS k, o_custkey % 90 AS doc, o_orderkey % 4 < 3 AS active, o_orderdate < DATE '1995-06-17' AND o_custkey % 9 = 0 AS trashed,
+                   CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 9 END AS link FROM orders),
+        w AS (
+            SELECT *, k % 2 = 0 AS stored, k % 3 <> 0 AND k % 19 <> 0 AS waiting, active AND NOT trashed AS live,
+                   CASE WHEN k % 7 <> 0 THEN CASE WHEN k % 17 = 1 THEN k + 1 ELSE k END END AS ps, CASE WHEN k % 6 <> 0 THEN link END AS pl FROM r),
+        j AS (
+            SELECT *, k % 10 <> 1 AND (link IS NOT DISTINCT FROM pl OR (k % 12 = 2 AND pl IS NULL AND ps IS NOT NULL))
+                      AND active = (live AND k % 13 <> 0) AND (ps IS NULL OR ps = k) AS agrees FROM w WHERE stored OR waiting)
+        SELECT CASE WHEN waiting AND k % 101 = 0 THEN 'conflict' WHEN stored AND waiting THEN CASE WHEN agrees THEN 'stored' ELSE 'conflict' END WHEN stored THEN 'stored'
+                    WHEN ps IS NULL THEN 'unresolved' ELSE 'pending' END AS state, CASE WHEN stored THEN active ELSE live END AS active, count(*) AS n, sum(k)::bigint AS ids
+        FROM j GROUP BY ALL""",
     "ev6_undo_plan": """
         WITH l AS (
             SELECT event_id % 700 AS row_key, event_id AS id, CASE WHEN event_id % 6 <> 0 THEN 'v' || event_id % 11 END AS b, CASE WHEN event_id % 5 <> 0 THEN 'v' || event_id % 13 END AS a FROM events),
@@ -324,10 +399,19 @@ ORACLE_SQL = {
         SELECT row_key, CASE WHEN v IS DISTINCT FROM a THEN 'conflict' WHEN b IS NOT DISTINCT FROM a THEN 'nothing' WHEN b IS NULL THEN 'delete'
                              WHEN a IS NULL THEN 'insert' ELSE 'update' END AS action, b AS value FROM now""",
     "ev7_merged_pages": """
-        WITH e AS (SELECT user_id % 80 AS page_id, event_id AS s, CASE WHEN event_id % 3 <> 0 THEN 't' || event_id END AS title, value FROM events),
+        WITH e AS (
+            SELECT user_id % 80 AS page_id, user_id % 2 = 0 AS even, event_id AS s, CASE WHEN event_id % 3 <> 0 THEN 't' || event_id END AS title, CASE WHEN event_id % 4 = 0 THEN 'd' || event_id END AS definition, value FROM events),
         r AS (SELECT page_id, x, min(k) AS k FROM (SELECT page_id, s % 5 AS x, 2 * s AS k FROM e UNION ALL SELECT page_id, s % 7, 2 * s + 1 FROM e) GROUP BY ALL),
-        j AS (SELECT page_id, string_agg(x::varchar, ',' ORDER BY k) AS refs FROM r GROUP BY ALL)
-        SELECT page_id, arg_max(title, s) FILTER (title IS NOT NULL) AS title, refs, max(value) AS importance, count(*) AS n FROM e JOIN j USING (page_id) GROUP BY page_id, refs""",
+        j AS (SELECT page_id, string_agg(x::varchar, ',' ORDER BY k) AS refs FROM r GROUP BY ALL),
+        a AS (SELECT page_id, string_agg(x, ',' ORDER BY k) AS aliases FROM (SELECT page_id, 'a' || s % 3 AS x, min(s) AS k FROM e GROUP BY ALL) GROUP BY ALL),
+        m AS (SELECT page_id, count(DISTINCT s % 11) AS mentions FROM e WHERE even AND s % 3 = 1 GROUP BY ALL)
+        SELECT page_id, arg_max(title, s) FILTER (title IS NOT NULL) AS title, arg_max(definition, s) FILTER (definition IS NOT NULL) AS definition, any_value(refs) AS refs, any_value(aliases) AS aliases,
+               coalesce(any_value(mentions), max(s % 17))::bigint AS mention_count, max(value) AS importance, count(*) AS n
+        FROM e JOIN j USING (page_id) JOIN a USING (page_id) LEFT JOIN m USING (page_id) GROUP BY page_id""",
+    "ev7_merged_evidence": """
+        WITH e AS (SELECT user_id % 80 AS page_id, event_id AS s FROM events)
+        SELECT page_id, 'evidence' AS kind, (s % 23)::varchar AS item, min(s) AS sequence, min(s) % 3 AS place, 'v' || max(s) % 29 AS text FROM e GROUP BY page_id, s % 23
+        UNION ALL SELECT page_id, 'point', (s % 2)::varchar, min(s), min(s) % 3, 'v' || s % 29 FROM e GROUP BY page_id, s % 2, s % 29""",
     "st2_latest_state": """
         SELECT user_id AS document_id, 'w' || user_id % 3 AS workspace_id, max(event_id) AS revision, sha256(arg_max(event_type, event_id)) AS content_hash,
                regexp_replace(arg_max(ts, event_id)::varchar, '\\.?0+$', '') AS created_at FROM events GROUP BY user_id""",

@@ -44,6 +44,35 @@ def invalidated_refs(runs: DataFrame) -> DataFrame:
     return marked.filter("id <> latest").select("document_id", "ref").distinct().join(now, ["document_id", "ref"], "left_anti")
 
 
+def reconciled(runs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (document_id, kind, key, removable): what the latest succeeded run of each document takes back, unless that run is reconciled already.
+
+    runs: document_id, workspace_id, id, status, finished_at, created_at, reconciled, invalidated (block ids), concepts (slugs) and relations (source, target,
+    relation); linked: document_id, slug of the pages that a document supports now. Invalidated blocks are named under their
+    document; a linked concept that the latest run has not is stale, as is a relation of an earlier run that it has not, which
+    can only be removed if no other document's latest run of the workspace has it. All kinds are items of one exploded list.
+    """
+    text = lambda *parts: F.array_join(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), "\x1f")
+    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    lists = [
+        F.transform("invalidated", lambda b: item("ref", F.concat(F.col("document_id").cast("string"), F.lit(":"), b.cast("string")))),
+        F.transform("concepts", lambda c: item("concept", c.cast("string"))),
+        F.transform("relations", lambda r: item("relation", text(r["source"].cast("string"), r["target"].cast("string"), r["relation"].cast("string")))),
+    ]
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    last = latest_runs(runs).select("document_id", F.col("id").alias("latest"), F.coalesce("reconciled", F.lit(False)).alias("done"))
+    items = runs.filter("status = 'succeeded'").join(last, "document_id").select("document_id", "workspace_id", "done", (F.col("id") == F.col("latest")).alias("now"), F.explode(F.concat(*[F.coalesce(x, none) for x in lists])).alias("x"))
+    items = items.select("document_id", "workspace_id", "done", "now", "x.*").distinct()
+    now = items.filter("now").select("document_id", "workspace_id", "kind", "key")
+    before = items.filter("NOT now AND NOT done AND kind = 'relation'").select("document_id", "workspace_id", "kind", "key")
+    open_docs = last.filter("NOT done").join(runs.select("document_id", "workspace_id").distinct(), "document_id").select("document_id", "workspace_id")
+    concepts = linked.join(open_docs, "document_id").select("document_id", "workspace_id", F.lit("concept").alias("kind"), F.col("slug").cast("string").alias("key")).distinct()
+    stale = before.union(concepts).join(now.drop("workspace_id"), ["document_id", "kind", "key"], "left_anti")
+    held = now.filter("kind = 'relation'").select("workspace_id", "kind", "key").distinct().withColumn("held", F.lit(True))
+    gone = items.filter("now AND NOT done AND kind = 'ref'").select("document_id", "kind", "key", F.lit(True).alias("removable"))
+    return stale.join(held, ["workspace_id", "kind", "key"], "left").select("document_id", "kind", "key", F.col("held").isNull().alias("removable")).union(gone)
+
+
 def promoted_clusters(items: DataFrame, least: int = 5) -> DataFrame:
     """Clusters with at least so many distinct detail terms besides their own name: (workspace_id, cluster_id, n)."""
     key = F.regexp_replace(F.lower(F.trim(F.get(F.split("line", " - "), F.lit(0)))), "[-_ ]+", " ")
@@ -91,16 +120,37 @@ def quoted(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return quotes.join(docs, "doc_id").select("doc_id", "quote_id", F.contains(flat("text"), flat("quote")).alias("found"))
 
 
+#: A page's grid has at most so many columns and rows.
+GRID = 64
+
+
 def box_matches(boxes: DataFrame, candidates: DataFrame, least: float = 0.25) -> DataFrame:
-    """Each candidate's best box of its page: overlap of at least so much, or its centre inside."""
+    """Each candidate's best box of its page: overlap of at least so much, or its centre inside.
+
+    A page is cut into a grid of about the mean box's size; boxes and candidates are dealt to the cells that they touch and meet
+    there, a pair only in the first cell that both touch. So a page costs what its boxes and their neighbours are, not all pairs.
+    """
     from docloom.operators.graph import overlap_ratio
 
-    a, b = ("x0", "y0", "x1", "y1"), ("cx0", "cy0", "cx1", "cy1")
-    named = candidates.select("document_id", "page", F.col("id").alias("candidate_id"), *[F.col(x).alias(y) for x, y in zip(a, b)])
+    a, b, page = ("x0", "y0", "x1", "y1"), ("cx0", "cy0", "cx1", "cy1"), ["document_id", "page"]
+    both = boxes.select(*page, *a).union(candidates.select(*page, *a))
+    side = lambda lo, hi: F.greatest(F.avg(F.col(hi) - F.col(lo)), (F.max(hi) - F.min(lo)) / GRID, F.lit(1e-9))
+    grid = both.groupBy(*page).agg(F.min("x0").alias("left"), F.min("y0").alias("top"), side("x0", "x1").alias("wide"), side("y0", "y1").alias("high"))
+    cell = lambda x, origin, size: F.floor((F.col(x) - F.col(origin)) / F.col(size)).cast("int")
+
+    def placed(rows: DataFrame, names: tuple[str, ...], mark: str) -> DataFrame:
+        x0, y0, x1, y1 = names
+        ends = rows.join(grid, page).select(*rows.columns, cell(x0, "left", "wide").alias(f"{mark}i"), cell(y0, "top", "high").alias(f"{mark}j"), cell(x1, "left", "wide").alias("i1"), cell(y1, "top", "high").alias("j1"))
+        down = ends.withColumn("i", F.explode(F.sequence(F.col(f"{mark}i"), F.greatest("i1", f"{mark}i"))))
+        return down.withColumn("j", F.explode(F.sequence(F.col(f"{mark}j"), F.greatest("j1", f"{mark}j")))).drop("i1", "j1")
+
+    named = candidates.select(*page, F.col("id").alias("candidate_id"), *[F.col(x).alias(y) for x, y in zip(a, b)])
     middle = lambda p, q: (F.col(p) + F.col(q)) / 2
     inside = middle("cx0", "cx1").between(F.col("x0"), F.col("x1")) & middle("cy0", "cy1").between(F.col("y0"), F.col("y1"))
-    met = boxes.join(named, ["document_id", "page"]).withColumn("ratio", overlap_ratio(a, b)).filter((F.col("ratio") >= least) | inside)
-    return met.groupBy("candidate_id").agg(F.max_by("id", F.struct(F.round("ratio", 9), -F.col("id"))).alias("box_id"), F.round(F.max("ratio"), 6).alias("ratio"))
+    met = placed(boxes.select(*page, "id", *a), a, "b").join(placed(named, b, "c"), [*page, "i", "j"])
+    once = met.filter((F.col("i") == F.greatest("bi", "ci")) & (F.col("j") == F.greatest("bj", "cj")))
+    near = once.withColumn("ratio", overlap_ratio(a, b)).filter((F.col("ratio") >= least) | inside)
+    return near.groupBy("candidate_id").agg(F.max_by("id", F.struct(F.round("ratio", 9), -F.col("id"))).alias("box_id"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 
 def resolved_names(incoming: DataFrame, known: DataFrame, judged: DataFrame | None = None) -> DataFrame:

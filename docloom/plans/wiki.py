@@ -193,6 +193,19 @@ def lq8_invalidated_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.invalidated_refs(runs)
 
 
+def lq8_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs over customers as documents."""
+    o = F.col("o_orderkey")
+    relation = lambda n, m: F.struct(F.concat(F.lit("s"), o % n).alias("source"), F.concat(F.lit("t"), o % m).alias("target"), F.when(o % 4 > 0, "related_to").alias("relation"))
+    runs = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("document_id"), (F.col("o_custkey") % 6).alias("workspace_id"), o.alias("id"), F.when(o % 6 == 0, "failed").otherwise("succeeded").alias("status"),
+        F.when(o % 5 != 0, F.col("o_orderdate")).alias("finished_at"), F.col("o_orderdate").alias("created_at"), (o % 8 == 1).alias("reconciled"), F.array((o % 9).cast("string")).alias("invalidated"),
+        F.when(o % 3 > 0, F.array(F.concat(F.lit("c"), o % 13), F.concat(F.lit("c"), o % 17))).alias("concepts"), F.array(relation(7, 11), relation(5, 3)).alias("relations"),
+    )
+    linked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.concat(F.lit("c"), o % 13).alias("slug"))
+    return lint.reconciled(runs, linked).withColumn("key", F.replace("key", F.lit("\x1f"), F.lit("|")))
+
+
 def lq3_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
     items = table(spark, sf_dir, "part").select(
@@ -268,7 +281,7 @@ QUERIES = {
     "gr7_unordered_links": gr7_unordered_links, "gr8_descendants": gr8_descendants, "gr9_related_pairs": gr9_related_pairs, "ev2_supported_links": ev2_supported_links,
     "ev4_surviving_evidence": ev4_surviving_evidence, "ev4_invalidated": ev4_invalidated, "ev5_pending": ev5_pending, "ev6_undo_plan": ev6_undo_plan, "ev7_merged_pages": ev7_merged_pages, "ev7_merged_evidence": ev7_merged_evidence,
     "st2_latest_state": st2_latest_state, "lq3_promoted": lq3_promoted, "lq5_orphan_refs": lq5_orphan_refs, "lq6_orphan_links": lq6_orphan_links,
-    "lq8_invalidated_refs": lq8_invalidated_refs, "lq9_decisions": lq9_decisions, "lq10_boxes": lq10_boxes, "lq16_evaluations": lq16_evaluations,
+    "lq8_invalidated_refs": lq8_invalidated_refs, "lq8_reconciled": lq8_reconciled, "lq9_decisions": lq9_decisions, "lq10_boxes": lq10_boxes, "lq16_evaluations": lq16_evaluations,
     "lq19_quotes": lq19_quotes, "lq20_same_names": lq20_same_names, "er7_resolved_names": er7_resolved_names, "er9_judgements": er9_judgements,
 }
 
@@ -430,6 +443,18 @@ ORACLE_SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY fin DESC NULLS LAST, cre DESC, id DESC) AS k FROM r),
         x AS (SELECT d, k, unnest([id % 4, id % 9, id % 11]) AS ref FROM k)
         SELECT DISTINCT d AS document_id, ref FROM x WHERE k > 1 AND (d, ref) NOT IN (SELECT d, ref FROM x WHERE k = 1)""",
+    "lq8_reconciled": """
+        WITH r AS (SELECT o_custkey AS d, o_custkey % 6 AS w, o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS fin, o_orderdate AS cre FROM orders WHERE o_orderkey % 6 <> 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY fin DESC NULLS LAST, cre DESC, id DESC) = 1 AS now FROM r),
+        l AS (SELECT d, id % 8 = 1 AS done FROM k WHERE now),
+        rel AS (SELECT d, w, now, unnest(['s' || id % 7 || '|t' || id % 11, 's' || id % 5 || '|t' || id % 3]) || '|' || CASE WHEN id % 4 > 0 THEN 'related_to' ELSE '' END AS key FROM k),
+        con AS (SELECT d, unnest(['c' || id % 13, 'c' || id % 17]) AS key FROM k WHERE now AND id % 3 > 0)
+        SELECT d AS document_id, 'ref' AS kind, d || ':' || id % 9 AS key, true AS removable FROM k JOIN l USING (d) WHERE now AND NOT done
+        UNION ALL
+        SELECT DISTINCT o_custkey, 'concept', 'c' || o_orderkey % 13, true FROM orders JOIN l ON d = o_custkey WHERE NOT done AND (o_custkey, 'c' || o_orderkey % 13) NOT IN (SELECT d, key FROM con)
+        UNION ALL
+        SELECT DISTINCT x.d, 'relation', x.key, (x.w, x.key) NOT IN (SELECT w, key FROM rel WHERE now) FROM rel x JOIN l USING (d)
+        WHERE NOT x.now AND NOT done AND (x.d, x.key) NOT IN (SELECT d, key FROM rel WHERE now)""",
     "lq9_decisions": """
         WITH e AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * c_custkey % 97 + 1 END AS p, c_custkey % 4 = 0 AS h FROM customer),
         k AS (SELECT p, count(*) AS n FROM e WHERE p IS NOT NULL GROUP BY p), g AS (SELECT o_custkey % 90 AS c, count(DISTINCT o_orderkey % 4) AS n FROM orders GROUP BY ALL),

@@ -24,6 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the base rules and the fences of their language and source."""
+    ship(spark)
     limits = thresholds(written(measure(docs.select(*COLUMNS)).drop("text")))
     return judged(measure(docs.select(*COLUMNS)), limits).filter("kept").select(*COLUMNS)
 

@@ -50,6 +50,7 @@ FIELDS = {
 #: Weights of the digits of a resident number.
 RESIDENT_WEIGHTS = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)
 _FORMS = [(category, re.compile(form)) for category, form in FORMS]
+#: The form of a line that gives a field's value, and of the line below a table's head.
 _FIELD = re.compile(rf"(?im)^[ \t]*(?:>[ \t]*)*(?:(?:[-+*]|\d+[.)])\s+)?({'|'.join(map(re.escape, sorted(FIELDS, key=len, reverse=True)))})[ \t]*[:：][ \t]*([^\r\n]*)")
 _RULE = re.compile(r"\s*\|?(?:\s*:?-+:?\s*\|)*\s*:?-+:?\s*\|?\s*")
 

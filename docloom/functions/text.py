@@ -168,22 +168,26 @@ COMMON_WORDS = [
 ]
 
 
+#: What speaks for running language and what against it, by pattern, with its weight; the score of an empty text.
+VOWEL, VOWEL_WEIGHT, COMMON_WEIGHT = "[aeiouAEIOU]", 0.3, 0.5
+SIGN_RUN, SIGN_WEIGHT = r"[^\p{L}\p{N}_\s.,:;!?%+\-/()]{2,}", 0.3
+SHOUTED, SHOUTED_WEIGHT, MIXED_WEIGHT, EMPTY_SCORE = "^[B-DF-HJ-NP-TV-Z]{3,}$", 0.4, 0.5, -100.0
+
+
 def language_score(text: Column) -> Column:
     """How much a text looks like running language: letters, vowels and common words for it, runs of symbols, tokens of
-    letters and digits and capitals without vowels against it; -100 for an empty text."""
+    letters and digits and capitals without vowels against it; EMPTY_SCORE for an empty text."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     words = F.regexp_extract_all(flat, F.lit("[A-Za-z]+"), F.lit(0))
     per = lambda n, of: n / F.greatest(F.lit(1), of)
     count = lambda pattern: F.regexp_count(flat, F.lit(pattern))
     letters = count(r"\p{L}")
     common = F.size(F.filter(words, lambda w: F.lower(w).isin(COMMON_WORDS)))
-    shouted = F.size(F.filter(words, lambda w: F.rlike(w, F.lit("^[B-DF-HJ-NP-TV-Z]{3,}$"))))
+    shouted = F.size(F.filter(words, lambda w: F.rlike(w, F.lit(SHOUTED))))
     mixed = F.size(F.filter(F.regexp_extract_all(flat, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda t: F.rlike(t, F.lit("[A-Za-z]")) & F.rlike(t, F.lit("[0-9]"))))
-    runs = count(r"[^\p{L}\p{N}_\s.,:;!?%+\-/()]{2,}")
-    score = (
-        per(letters, F.length(flat)) + per(count("[aeiouAEIOU]"), letters) * 0.3 + per(common, F.size(words)) * 0.5 - runs * 0.3 - per(mixed, F.size(words)) * 0.5 - per(shouted, F.size(words)) * 0.4
-    )
-    return F.when(flat == "", -100.0).otherwise(score)
+    speaks = per(letters, F.length(flat)) + per(count(VOWEL), letters) * VOWEL_WEIGHT + per(common, F.size(words)) * COMMON_WEIGHT
+    score = speaks - count(SIGN_RUN) * SIGN_WEIGHT - per(mixed, F.size(words)) * MIXED_WEIGHT - per(shouted, F.size(words)) * SHOUTED_WEIGHT
+    return F.when(flat == "", EMPTY_SCORE).otherwise(score)
 
 
 def section(markdown: Column, heading: str) -> Column:
@@ -213,6 +217,11 @@ def frontmatter(markdown: Column, key: str) -> Column:
 
 #: What a text reads like whose glyphs were taken for characters: shifted by so many code points, and these signs.
 GLYPH_SHIFT, GLYPH_LAST, GLYPH_SIGNS = 29, 93, r"$%&*/;<=>@\[\\\]^_`{|}~"
+#: The least length; how much better a moved text reads, its common words, or words and share of capitals; words and share of hard words; share of signs.
+GLYPH_CHARS, GLYPH_BETTER, GLYPH_COMMON, GLYPH_WORDS, GLYPH_UPPER, HARD_WORDS, HARD_SHARE, NOISE_SHARE = 6, 0.2, 2, 3, 0.8, 4, 0.5, 0.35
+#: Letters of a long word, its capitals, small letters and changes between them; odd characters; the score below which a text reads badly.
+LONG_WORD, LONG_UPPER, LONG_LOWER, LONG_TURNS, BAD_SCORE = "[A-Za-z]{16,}", 6, 4, 4, 0.5
+ODD = r"\x{FFFD}|[\p{Cc}\p{Cs}\p{Co}&&[^\x09-\x0D\x1C-\x1F\x85]]|([A-Za-z])\1{3,}"
 
 
 def _flat(text: Column) -> Column:
@@ -230,22 +239,22 @@ def is_glyph_encoded(text: Column) -> Column:
     flat, moved = _flat(text), unshifted(text)
     words = F.regexp_extract_all(flat, F.lit("[A-Za-z]+"), F.lit(0))
     n = F.greatest(F.size(words), F.lit(1))
-    hard = F.size(F.filter(words, lambda w: F.rlike(w, F.lit("^[B-DF-HJ-NP-TV-Z]{3,}$")))) / n
+    hard = F.size(F.filter(words, lambda w: F.rlike(w, F.lit(SHOUTED)))) / n
     upper = F.size(F.filter(words, lambda w: w == F.upper(w))) / n
     common = F.size(F.filter(F.regexp_extract_all(moved, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.lower(w).isin(COMMON_WORDS)))
-    better = language_score(moved) - language_score(flat) >= 0.2
+    better = language_score(moved) - language_score(flat) >= GLYPH_BETTER
     solid = F.regexp_replace(flat, " ", "")
     noise = F.length(solid) - F.length(F.regexp_replace(solid, rf"[\p{{Nd}}{GLYPH_SIGNS}]", ""))
     signs = F.rlike(flat, F.lit(rf"[,'{GLYPH_SIGNS}]{{3,}}"))
-    moves = better & ((common >= 2) | ((F.size(words) >= 3) & (upper >= 0.8)))
-    noisy = (noise / F.greatest(F.length(solid), F.lit(1)) > 0.35) & ~F.rlike(solid, F.lit("[aeiouAEIOU]"))
-    return (F.length(flat) >= 6) & (signs | moves | ((F.size(words) >= 4) & (hard >= 0.5)) | noisy)
+    moves = better & ((common >= GLYPH_COMMON) | ((F.size(words) >= GLYPH_WORDS) & (upper >= GLYPH_UPPER)))
+    noisy = (noise / F.greatest(F.length(solid), F.lit(1)) > NOISE_SHARE) & ~F.rlike(solid, F.lit(VOWEL))
+    return (F.length(flat) >= GLYPH_CHARS) & (signs | moves | ((F.size(words) >= HARD_WORDS) & (hard >= HARD_SHARE)) | noisy)
 
 
 def is_suspicious(text: Column) -> Column:
     """Whether a text has replacement or control characters, a letter four times in a row, a long word of mixed cases, or
     is glyph-encoded and reads badly. Null for null."""
-    long = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]{16,}"), F.lit(0)), lambda w: (
-        (F.length(F.regexp_replace(w, "[a-z]", "")) >= 6) & (F.length(F.regexp_replace(w, "[A-Z]", "")) >= 4) & (F.regexp_count(w, F.lit("[A-Z](?=[a-z])|[a-z](?=[A-Z])")) >= 4)))
-    odd = F.rlike(text, F.lit(r"\x{FFFD}|[\p{Cc}\p{Cs}\p{Co}&&[^\x09-\x0D\x1C-\x1F\x85]]|([A-Za-z])\1{3,}"))
-    return odd | (F.size(long) > 0) | (is_glyph_encoded(text) & (language_score(_flat(text)) < 0.5))
+    turns = lambda w: F.regexp_count(w, F.lit("[A-Z](?=[a-z])|[a-z](?=[A-Z])"))
+    kept = lambda w, dropped: F.length(F.regexp_replace(w, dropped, ""))
+    long = F.filter(F.regexp_extract_all(text, F.lit(LONG_WORD), F.lit(0)), lambda w: (kept(w, "[a-z]") >= LONG_UPPER) & (kept(w, "[A-Z]") >= LONG_LOWER) & (turns(w) >= LONG_TURNS))
+    return F.rlike(text, F.lit(ODD)) | (F.size(long) > 0) | (is_glyph_encoded(text) & (language_score(_flat(text)) < BAD_SCORE))

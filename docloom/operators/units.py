@@ -71,11 +71,14 @@ def within_budget(items: DataFrame, budget: int = 24_000, joint: int = 2) -> Dat
     """Of each workspace's items (workspace_id, item_id, score, text) those that fit a budget of characters, best first: an item that
     does not fit is skipped. Longer ones than the budget are cut to what is left; joint characters part two items.
 
-    Only sizes are gathered by workspace; an item can only be taken if all before it leave room, so at most budget items are.
+    Only sizes are gathered by workspace, and only those that can be taken: of items of one size the best fit first, and no more than
+    fill the budget, so some budget * ln(budget) items at most are gathered whatever the workspace holds.
     """
     size = F.least(F.length("text"), F.lit(budget + 1))
+    best = F.row_number().over(Window.partitionBy("workspace_id", "__n").orderBy(F.desc("score"), "item_id"))
+    items = items.filter("text <> ''").withColumn("__n", size).withColumn("__k", best).filter(F.col("__k") <= F.greatest(F.lit(1), F.floor(F.lit(budget + joint) / (F.col("__n") + joint))))
     item = F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("id"), size.alias("n"))
-    listed = items.filter("text <> ''").groupBy("workspace_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = items.groupBy("workspace_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = items.schema["item_id"].dataType.simpleString()
     start = F.struct(F.array().cast(f"array<struct<item_id:{kind},chars:int>>").alias("taken"), F.lit(0).alias("used"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import content_hash
 from docloom.operators import blocks as bl
-from docloom.operators import duplicates, search
+from docloom.operators import duplicates, evaluation, search
 from docloom.plans.common import SQL_BM25, SQL_DOCS, SQL_QUERIES, queries_from_benchmark, workspace_docs
 from docloom.sources.tables import table
 from docloom.streaming import edits
@@ -87,57 +88,87 @@ def st4_mark_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def em1_pages_to_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose representation is not the one that was embedded, or never was."""
-    from docloom.functions.text import content_hash
-
-    pages = table(spark, sf_dir, "pages").select("page_id", content_hash(F.col("url"), F.substring("html", 1, 50), F.col("html")).alias("now"))
-    done = pages.filter("page_id % 5 <> 0").select("page_id", F.when(F.col("page_id") % 3 == 0, "old").otherwise(F.col("now")).alias("embedded"), F.when(F.col("page_id") % 7 == 0, "failed").otherwise("completed").alias("status"))
-    joined = pages.join(done.filter("status = 'completed'"), "page_id", "left")
-    return joined.filter(~F.col("now").eqNullSafe(F.col("embedded"))).select("page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", content_hash(F.col("url"), F.col("html")).alias("representation_hash"))
+    hashes = F.when(F.col("page_id") % 3 == 0, F.sha2("representation_hash", 256)).otherwise(F.col("representation_hash"))
+    vectors = pages.filter("page_id % 5 <> 0").select("page_id", hashes.alias("representation_hash"), F.when(F.col("page_id") % 7 == 0, "failed").otherwise("completed").alias("status"))
+    return evaluation.to_embed(pages, vectors).select("page_id", F.substring("representation_hash", 1, 12).alias("representation"))
 
 
 def em2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as units: each distinct text is embedded once, known ones are skipped."""
+    """Lines as units of two models: each distinct text is embedded once by each, known ones are skipped."""
     lines = table(spark, sf_dir, "documents").select(F.col("source").alias("workspace_id"), F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
-    units = lines.select("workspace_id", F.sha1("line").alias("hash"))
-    known = F.substring("hash", 1, 1).isin("0", "1", "2")
-    return units.groupBy("workspace_id").agg(F.count("*").alias("units"), F.countDistinct("hash").alias("texts"), F.countDistinct(F.when(~known, F.col("hash"))).alias("to_embed"))
+    units = lines.select("workspace_id", F.when(F.length("line") % 2 == 0, "m0").otherwise("m1").alias("embedding_model"), F.sha1("line").alias("representation_hash"))
+    first = F.substring("representation_hash", 1, 1)
+    known = units.drop("workspace_id").filter(first.isin("0", "1", "2", "3")).distinct()
+    vectors = known.withColumn("status", F.when(first == "3", "failed").otherwise("completed")).union(known.filter(first == "2").withColumn("status", F.lit("failed")))
+    return evaluation.embedding_counts(units, vectors)
 
 
-def qa1_gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rank of the first document that holds a query's own words, over its workspace, and the reciprocal."""
+def _gold_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of its workspace that holds a query's own words."""
     queries = queries_from_benchmark(spark, sf_dir)
-    ranked = search.ranked(search.bm25(queries, workspace_docs(spark, sf_dir)), "query_id").join(queries.select("query_id", "question"), "query_id")
+    ranked = search.ranked(search.bm25(queries, workspace_docs(spark, sf_dir)), "query_id").select("query_id", "doc_id", "rank")
     docs = workspace_docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[ \n]+", " ").alias("flat"))
-    hits = ranked.join(docs, "doc_id").filter(F.contains(F.col("flat"), F.col("question"))).groupBy("query_id").agg(F.min("rank").alias("gold_rank"))
-    return queries.join(hits, "query_id", "left").select("query_id", "gold_rank", F.coalesce(F.round(1 / F.col("gold_rank"), 6), F.lit(0.0)).alias("reciprocal"))
+    return evaluation.gold_ranks(queries, ranked, docs, F.col("question"))
+
+
+def qa1_gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gold_ranks(spark, sf_dir).select("query_id", "gold_rank", F.round("reciprocal", 6).alias("reciprocal"))
+
+
+def qa1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _gold_ranks(spark, sf_dir).withColumn("part", F.col("query_id") % 3)
+    return evaluation.gold_summary(ranks, "part").withColumn("mean_reciprocal", F.round("mean_reciprocal", 6))
+
+
+def _routing_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as routing cases: the status was expected, the key's remainder answered, and every ninth was not answered."""
+    k, routes = F.col("o_orderkey"), F.array(F.lit("F"), F.lit("O"), F.lit("P"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("expected"), F.when(k % 9 != 4, routes[(k % 3).cast("int")]).alias("actual"), F.when(k % 4 == 0, F.array(F.lit("O"), F.lit("P"))).when(k % 4 == 1, F.array(F.lit("F"))).alias("acceptable")
+    )
 
 
 def qa4_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as routing cases: the status was expected, the priority's number was answered."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("expected"), F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("actual"))
-    return orders.groupBy("expected", "actual").agg(F.count("*").alias("n")).withColumn("correct", F.col("expected") == F.col("actual"))
+    return evaluation.routing_matrix(_routing_cases(spark, sf_dir))
+
+
+def qa4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.routing_summary(_routing_cases(spark, sf_dir), ("O",))
 
 
 QUERIES = {
     "tx1_blocks": tx1_blocks, "tx2_packets": tx2_packets, "tx4_block_changes": tx4_block_changes, "tx5_stale": tx5_stale, "sr11_cover": sr11_cover,
     "lq18_near_duplicates": lq18_near_duplicates, "st1_parsed_events": st1_parsed_events, "st3_accepted_events": st3_accepted_events, "st4_mark_ingested": st4_mark_ingested,
-    "em1_pages_to_embed": em1_pages_to_embed, "em2_vector_dedup": em2_vector_dedup, "qa1_gold_rank": qa1_gold_rank, "qa4_routing": qa4_routing,
+    "em1_pages_to_embed": em1_pages_to_embed, "em2_vector_dedup": em2_vector_dedup, "qa1_gold_rank": qa1_gold_rank, "qa1_summary": qa1_summary, "qa4_routing": qa4_routing, "qa4_summary": qa4_summary,
 }
 
 _EVENTS = """e AS (
     SELECT *, event_id % 17 <> 0 AND event_id % 13 <> 0 AND event_id % 11 <> 0 AS valid,
            CASE WHEN event_id % 17 <> 0 AND event_id % 13 <> 0 THEN event_id END AS revision FROM events)"""
 
+_GOLD = f"""{SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25},
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::int AS rank FROM bm25),
+    h AS (
+        SELECT query_id, min(rank) AS gold_rank FROM k JOIN queries USING (query_id) JOIN documents USING (doc_id)
+        WHERE contains(regexp_replace(text, '[ \\n]+', ' ', 'g'), question) GROUP BY query_id)"""
+_ROUTES = """c AS (
+    SELECT o_orderstatus AS expected, CASE WHEN o_orderkey % 9 <> 4 THEN ['F', 'O', 'P'][(o_orderkey % 3 + 1)::int] END AS actual,
+           CASE o_orderkey % 4 WHEN 0 THEN ['O', 'P'] WHEN 1 THEN ['F'] ELSE [] END AS acceptable FROM orders),
+    r AS (SELECT *, coalesce(expected = actual OR list_contains(acceptable, actual), false) AS fine FROM c)"""
+
 ORACLE_SQL = {
     "tx1_blocks": """
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l WHERE regexp_matches(x, '\\S'))
         SELECT doc_id AS document_id, printf('B%04d', n) AS block_id,
                md5(trim(regexp_replace(CASE WHEN i % 4 = 1 THEN '## ' || x ELSE x END, '\\s+', ' ', 'g'))) AS digest, (2 * i - 1)::int AS line_start,
-               (2 * i - 1 + CASE WHEN i % 4 <> 1 AND i < max(i) OVER (PARTITION BY doc_id) THEN 0 ELSE 0 END)::int AS line_end,
+               (2 * i - 1)::int AS line_end,
                CASE WHEN i % 4 = 1 OR starts_with(ltrim(x), '#') THEN 'heading' WHEN regexp_matches(x, '^\\s*([-*]|1[.]) ') THEN 'list'
                     WHEN starts_with(ltrim(x), '```') THEN 'code' ELSE 'paragraph' END AS block_type FROM k""",
-    "tx5_stale": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0",
+    "tx5_stale": """
+        WITH h AS (SELECT doc_id, sha256(text) AS edited, CASE WHEN doc_id % 3 <> 0 THEN sha256(CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END) END AS ingested FROM documents)
+        SELECT doc_id FROM h WHERE ingested IS DISTINCT FROM edited""",
     "lq18_near_duplicates": """
         WITH RECURSIVE n AS (
             SELECT doc_id, doc_id * 7 % 1000 AS created, regexp_replace(nfc_normalize(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss')), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM documents),
@@ -156,18 +187,20 @@ ORACLE_SQL = {
     "st4_mark_ingested": """
         SELECT user_id AS document_id, max(event_id) AS revision, CASE WHEN arg_min(event_type, event_id) = arg_max(event_type, event_id) THEN sha1(arg_max(event_type, event_id))
                WHEN user_id % 2 = 0 THEN 'before' END AS ingested_hash FROM events GROUP BY user_id""",
-    "em1_pages_to_embed": "SELECT page_id FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 OR page_id % 7 = 0",
+    "em1_pages_to_embed": """
+        WITH p AS (SELECT page_id, sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) AS h FROM pages),
+        v AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN sha256(h) ELSE h END AS done FROM p WHERE page_id % 5 <> 0 AND page_id % 7 <> 0)
+        SELECT page_id, left(h, 12) AS representation FROM p LEFT JOIN v USING (page_id) WHERE done IS DISTINCT FROM h""",
     "em2_vector_dedup": """
-        WITH u AS (SELECT source AS workspace_id, sha1(x) AS h FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '')
-        SELECT workspace_id, count(*) AS units, count(DISTINCT h) AS texts, count(DISTINCT h) FILTER (h[1] NOT IN ('0', '1', '2')) AS to_embed FROM u GROUP BY ALL""",
-    "qa1_gold_rank": f"""
-        WITH {SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25},
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id)::int AS rank FROM bm25),
-        h AS (
-            SELECT query_id, min(rank) AS gold_rank FROM k JOIN queries USING (query_id) JOIN documents USING (doc_id)
-            WHERE contains(regexp_replace(text, '[ \\n]+', ' ', 'g'), question) GROUP BY query_id)
-        SELECT query_id, gold_rank, coalesce(round(1 / gold_rank, 6), 0.0) AS reciprocal FROM queries LEFT JOIN h USING (query_id)""",
-    "qa4_routing": """
-        WITH o AS (SELECT o_orderstatus AS expected, ['F', 'O', 'P'][(o_orderkey % 3 + 1)::int] AS actual FROM orders)
-        SELECT expected, actual, count(*) AS n, expected = actual AS correct FROM o GROUP BY ALL""",
+        WITH u AS (SELECT source AS workspace_id, length(x) % 2 AS m, sha1(x) AS h FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> '')
+        SELECT workspace_id, count(*) AS units, count(DISTINCT (m, h)) AS texts, count(DISTINCT (m, h)) FILTER (h[1] IN ('0', '1', '2')) AS skipped, count(DISTINCT (m, h)) FILTER (h[1] = '3') AS failed,
+               count(DISTINCT (m, h)) FILTER (h[1] NOT IN ('0', '1', '2')) AS to_embed FROM u GROUP BY workspace_id""",
+    "qa1_gold_rank": f"WITH {_GOLD} SELECT query_id, gold_rank, coalesce(round(1 / gold_rank, 6), 0.0) AS reciprocal FROM queries LEFT JOIN h USING (query_id)",
+    "qa1_summary": f"""
+        WITH {_GOLD} SELECT query_id % 3 AS part, count(*) AS cases, count(gold_rank) AS found, count(*) FILTER (gold_rank <= 1) AS within_1, count(*) FILTER (gold_rank <= 5) AS within_5,
+               count(*) FILTER (gold_rank <= 10) AS within_10, round(avg(coalesce(1 / gold_rank, 0.0)), 6) AS mean_reciprocal FROM queries LEFT JOIN h USING (query_id) GROUP BY part""",
+    "qa4_routing": f"WITH {_ROUTES} SELECT expected, actual, count(*) AS n, count(*) FILTER (fine) AS accepted FROM r GROUP BY ALL",
+    "qa4_summary": f"""
+        WITH {_ROUTES} SELECT count(*) AS cases, count(*) FILTER (expected = actual) AS correct, count(*) FILTER (fine) AS accepted, count(*) FILTER (actual IS NULL) AS failed,
+               count(*) FILTER (actual = 'O' AND NOT fine) AS false_changes FROM r""",
 }

@@ -50,7 +50,7 @@ def tx7_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tx9_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _markdown(spark, sf_dir)
-    return pages.select("page_id", tx.frontmatter(C("markdown"), "title").alias("title"), F.size(tx.section_items(C("markdown"), "Observations")).alias("n_items"), F.length(tx.without_section(F.substring("markdown", 1, 100), "Key Points")).alias("rest"))
+    return pages.select("page_id", tx.frontmatter(C("markdown"), "title").alias("title"), F.size(tx.section_items(C("markdown"), "Observations")).alias("n_items"), F.length(tx.without_section(C("markdown"), "Key Points")).alias("rest"))
 
 
 def sr13_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def gr6_source_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gr7_unordered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = _links(spark, sf_dir).select(
         F.col("from_page_id").alias("source"), F.col("to_page_id").alias("target"), "relation", F.col("confidence"),
-    ).withColumn("position", F.xxhash64("source", "target", "relation") * 0 + F.col("source") * 10000 + F.col("target") * 3 + F.substring("relation", 2, 1).cast("int"))
+    ).withColumn("position", F.col("source") * 10000 + F.col("target") * 3 + F.substring("relation", 2, 1).cast("int"))
     slugs = _pages(spark, sf_dir).filter("page_id % 4 = 0").select(F.col("page_id").alias("slug"), (F.col("page_id") - 1).alias("canonical"))
     return graph.unordered_links(links.select("source", "target", "relation", "position").distinct(), slugs)
 

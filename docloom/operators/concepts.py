@@ -68,6 +68,27 @@ def evidence_band(scored: DataFrame, share: float = 0.85, most: int = 8) -> Data
     return once.withColumn("rank", place).filter(F.col("rank") <= most)
 
 
+def selected_evidence(candidates: DataFrame, least: float = 0.0, share: float = 0.85, most: int = 8) -> DataFrame:
+    """Rows (query_id, rank, page_id, place, score): the evidence to show for each query.
+
+    candidates: query_id, page_id, page_rank, place, document_id, text, blocks, score; a query's pages are bounded by their ranking. Candidates with one
+    text and one list of blocks of a document are one, the first by page and place. Of each page stay those within a share of its best score, and not
+    below least. A single-block candidate of a page comes along if one of several blocks that stays names its block. The best of all
+    are shown; of equal scores those that stayed come first, then by page and place.
+    """
+    by_place = [F.col("page_rank"), F.col("place")]
+    copies = F.row_number().over(Window.partitionBy("query_id", "text", "document_id", "blocks").orderBy(*by_place))
+    page = Window.partitionBy("query_id", "page_id")
+    once = candidates.withColumn("k", copies).filter("k = 1").drop("k").withColumn("top", F.max("score").over(page))
+    floor = F.when(F.col("top") > 0, F.greatest(F.lit(least), F.col("top") * share)).otherwise(F.lit(least))
+    judged = once.withColumn("stays", F.col("score") >= floor)
+    named = judged.filter("stays AND size(blocks) > 1").select("query_id", "page_id", F.explode("blocks").alias("block")).distinct().withColumn("named", F.lit(True))
+    whole = judged.withColumn("block", F.when(F.size("blocks") == 1, F.col("blocks")[0])).join(named, ["query_id", "page_id", "block"], "left")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("stays"), *by_place))
+    shown = whole.filter(F.col("stays") | F.coalesce("named", F.lit(False))).withColumn("rank", place).filter(F.col("rank") <= most)
+    return shown.select("query_id", "rank", "page_id", "place", "score")
+
+
 def page_view(pages: DataFrame, relations: DataFrame, edges: DataFrame) -> DataFrame:
     """Active pages with their source documents and the active pages their links go to, each list sorted."""
     active = pages.filter("status = 'active'").select("page_id")

@@ -62,6 +62,17 @@ def sr14_evidence_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.evidence_band(scored).select("query_id", "rank", "unit_id", "score")
 
 
+def sr14_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as candidates: orders in groups are queries, suppliers pages, every other candidate names two blocks."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    block = lambda x: F.concat(F.lit("B"), x)
+    candidates = _line(spark, sf_dir).select(
+        (F.col("l_orderkey") % 300).alias("query_id"), (q % 6).alias("page_id"), (q % 6 * 7 % 6 + q % 2).alias("page_rank"), F.col("pos").alias("place"), (q % 3).alias("document_id"), F.concat(F.lit("t"), p % 19).alias("text"),
+        F.when(p % 2 == 0, F.array(block(p % 5), block(q % 4))).otherwise(F.array(block(p % 5))).alias("blocks"), ((F.col("l_quantity") * 7 + p) % 100 / 100 - 0.1).cast("double").alias("score"),
+    )
+    return concepts.selected_evidence(candidates, least=0.05).withColumn("score", F.round("score", 6))
+
+
 def gr2_page_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     relations = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("page_id"), (F.col("o_orderkey") % 50).alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "source_of").otherwise("extracted_concept").alias("relation_type")
@@ -126,7 +137,7 @@ def qa6_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "sc9_language_score": sc9_language_score, "er2_merged_terms": er2_merged_terms, "er3_merged_concepts": er3_merged_concepts, "er4_attached_evidence": er4_attached_evidence,
-    "er6_split_aliases": er6_split_aliases, "sr14_evidence_band": sr14_evidence_band, "gr2_page_view": gr2_page_view, "ev8_living_pages": ev8_living_pages,
+    "er6_split_aliases": er6_split_aliases, "sr14_evidence_band": sr14_evidence_band, "sr14_evidence": sr14_evidence, "gr2_page_view": gr2_page_view, "ev8_living_pages": ev8_living_pages,
     "lq11_dangling": lq11_dangling, "lq13_ungrounded": lq13_ungrounded, "lq15_observations": lq15_observations, "us6_purge_counts": us6_purge_counts,
     "us7_without_document": us7_without_document, "qa6_granularity": qa6_granularity,
 }
@@ -170,6 +181,16 @@ ORACLE_SQL = {
         o AS (SELECT q, t, max({{'s': s, 'u': -u}}) AS m FROM b GROUP BY ALL),
         k AS (SELECT q, m.s AS s, -m.u AS u, row_number() OVER (PARTITION BY q ORDER BY m.s DESC, -m.u)::int AS rank FROM o)
         SELECT q AS query_id, rank, u AS unit_id, s AS score FROM k WHERE rank <= 8""",
+    "sr14_evidence": f"""
+        WITH c AS (
+            SELECT l_orderkey % 300 AS q, l_suppkey % 6 AS page, l_suppkey % 6 * 7 % 6 + l_suppkey % 2 AS pr, {_POS} AS place, l_suppkey % 3 AS doc, 't' || l_partkey % 19 AS text,
+                   CASE WHEN l_partkey % 2 = 0 THEN ['B' || l_partkey % 5, 'B' || l_suppkey % 4] ELSE ['B' || l_partkey % 5] END AS blocks, ((l_quantity * 7 + l_partkey) % 100 / 100 - 0.1)::double AS s FROM lineitem),
+        o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, text, doc, blocks ORDER BY pr, place) AS k FROM c) WHERE k = 1),
+        j AS (SELECT *, s >= CASE WHEN top > 0 THEN greatest(0.05::double, top * 0.85::double) ELSE 0.05::double END AS stays FROM (SELECT *, max(s) OVER (PARTITION BY q, page) AS top FROM o)),
+        n AS (SELECT DISTINCT q, page, unnest(blocks) AS b FROM j WHERE stays AND len(blocks) > 1),
+        w AS (SELECT j.* FROM j WHERE stays OR (len(blocks) = 1 AND (q, page, blocks[1]) IN (SELECT q, page, b FROM n))),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, stays DESC, pr, place)::int AS rank FROM w)
+        SELECT q AS query_id, rank, page AS page_id, place, round(s, 6) AS score FROM r WHERE rank <= 8""",
     "gr2_page_view": f"""
         WITH {_LINKS}, {_PAGES}, a AS (SELECT page_id FROM pages_ WHERE status = 'active'),
         d AS (SELECT o_custkey AS p, array_to_string(list_sort(list(DISTINCT o_orderkey % 50)), ',') AS documents FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),

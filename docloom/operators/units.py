@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.helpers import SECTION_WEIGHTS, evidence_units, paragraphs, section_of
 from docloom.functions.text import UNIT_TYPES, UNIT_WEIGHTS, block_refs, without_refs
 
 
@@ -43,6 +44,15 @@ def attached_units(units: DataFrame, entries: DataFrame) -> DataFrame:
     return units.join(single, ["page_id", "unit_id"], "left")
 
 
+def paragraph_units(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, paragraph, place, unit, section, weight): the units of the paragraphs of pages (page_id, markdown), from 0, with the section that their
+    paragraph opens with and its weight. A page's text is cut where it stands; nothing is shuffled."""
+    cut = pages.select("page_id", F.posexplode(paragraphs("markdown")).alias("paragraph", "text"))
+    section = F.coalesce(section_of("text"), F.lit("paragraph"))
+    units = cut.select("page_id", "paragraph", section.alias("section"), F.posexplode(evidence_units("text")).alias("place", "unit"))
+    return units.select("page_id", "paragraph", "place", "unit", "section", _looked_up(SECTION_WEIGHTS, F.col("section"), 1.0).alias("weight"))
+
+
 #: Weights of evidence scores.
 TOKEN_WEIGHT, ROLE_BONUS = 0.20, 0.25
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.helpers import name_key, sentences, slugify
+from docloom.operators.units import paragraph_units
 from docloom.sources.tables import table
 
 
@@ -22,7 +23,22 @@ def tx8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
-QUERIES = {"sc1_slugs": sc1_slugs, "sc2_name_keys": sc2_name_keys, "tx8_sentences": tx8_sentences}
+def tx8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents as lines of pages: headings, bullets with and without references, plain lines, in paragraphs of one to four."""
+    shapes = [("## Key Points\n", ""), ("- ", " [B0001, B0002]"), ("* ", ""), ("", "."), ("## Notes\n\n", ". [B0007]")]
+
+    def line(x: F.Column, i: F.Column) -> F.Column:
+        out = F.lit(None).cast("string")
+        for k, (before, after) in enumerate(shapes):
+            out = F.when(i % len(shapes) == k, F.concat(F.lit(before), F.trim(x), F.lit(after))).otherwise(out)
+        return F.concat(out, F.when(i % 4 == 3, F.lit("\n\n")).otherwise(F.lit("\n")))
+
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.array_join(F.transform(F.split("text", "[.]"), line), "").alias("markdown"))
+    units = paragraph_units(pages)
+    return units.groupBy("page_id", "section").agg(F.count("*").alias("n"), F.countDistinct("paragraph").alias("paragraphs"), F.max("weight").alias("weight"), F.sum(F.length("unit")).alias("chars"))
+
+
+QUERIES = {"sc1_slugs": sc1_slugs, "sc2_name_keys": sc2_name_keys, "tx8_sentences": tx8_sentences, "tx8_units": tx8_units}
 
 ORACLE_SQL = {
     "sc1_slugs": """

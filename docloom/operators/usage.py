@@ -119,10 +119,14 @@ def rag_summary(rows: DataFrame) -> DataFrame:
         n.alias("runs"),
         part(answerable & (F.col("support") == "sufficient"), na).alias("evidence_sufficient"),
         part(answerable & (F.col("support") == "partial"), na).alias("evidence_partial"),
-        part(F.col("correctness") == "correct", n).alias("correct"),
+        part(answerable & ~F.coalesce(F.col("support").isin("sufficient", "partial"), F.lit(False)), na).alias("evidence_none"),
+        *[part(F.col("correctness") == c, n).alias(c) for c in ("correct", "partial", "wrong")],
         part(F.col("hallucination"), n).alias("hallucination"),
+        (F.count_if(~answerable & (F.col("correctness") == "correct")) / F.greatest(F.lit(1), F.count_if(~answerable))).alias("unanswerable_correct"),
         part(wrong & (F.col("support") == "sufficient"), na).alias("fail_generation"),
-        part(wrong & (F.col("support") != "sufficient"), na).alias("fail_retrieval"),
+        part(wrong & ~F.coalesce(F.col("support") == "sufficient", F.lit(False)), na).alias("fail_retrieval"),
+        F.when(na > 0, F.coalesce(F.sum(F.when(answerable, F.col("recall"))), F.lit(0.0)) / na).alias("code_recall"),
+        (F.sum("evidence_count") / n).alias("evidence_count"),
         F.avg("seconds").alias("seconds"),
     )
 

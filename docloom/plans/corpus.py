@@ -137,10 +137,32 @@ def qa4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.routing_summary(_routing_cases(spark, sf_dir), ("O",))
 
 
+def _run_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as concepts of three runs; words of their texts are titles and aliases, sources the documents."""
+    word = lambda k: F.coalesce(F.get(F.split("text", "[ \n]+"), F.lit(k)), F.lit(""))
+    return table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 3).alias("run"), F.col("source").alias("document_id"), F.col("doc_id").alias("concept_id"),
+        F.concat(word(0), F.lit("-"), word(1), F.lit(" x ("), word(2), F.lit(")")).alias("title"), F.array(F.upper(word(3)), F.lit("-")).alias("aliases"),
+    )
+
+
+def qa6_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.alignment(_run_concepts(spark, sf_dir))
+
+
+def qa6_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts = _run_concepts(spark, sf_dir).filter("run <> 1 OR document_id <> 'src3'")
+    return evaluation.page_spread(concepts.withColumnRenamed("concept_id", "page_id"))
+
+
+def qa6_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.head_groups(_run_concepts(spark, sf_dir)).select("run", "document_id", "head", F.size("titles").alias("n"), F.md5(F.array_join("titles", "|")).alias("digest"))
+
+
 QUERIES = {
     "tx1_blocks": tx1_blocks, "tx2_packets": tx2_packets, "tx4_block_changes": tx4_block_changes, "tx5_stale": tx5_stale, "sr11_cover": sr11_cover,
     "lq18_near_duplicates": lq18_near_duplicates, "st1_parsed_events": st1_parsed_events, "st3_accepted_events": st3_accepted_events, "st4_mark_ingested": st4_mark_ingested,
-    "em1_pages_to_embed": em1_pages_to_embed, "em2_vector_dedup": em2_vector_dedup, "qa1_gold_rank": qa1_gold_rank, "qa1_summary": qa1_summary, "qa4_routing": qa4_routing, "qa4_summary": qa4_summary,
+    "em1_pages_to_embed": em1_pages_to_embed, "em2_vector_dedup": em2_vector_dedup, "qa1_gold_rank": qa1_gold_rank, "qa1_summary": qa1_summary, "qa4_routing": qa4_routing, "qa4_summary": qa4_summary, "qa6_alignment": qa6_alignment, "qa6_spread": qa6_spread, "qa6_heads": qa6_heads,
 }
 
 _EVENTS = """e AS (
@@ -152,6 +174,9 @@ _GOLD = f"""{SQL_QUERIES}, {SQL_DOCS}, {SQL_BM25},
     h AS (
         SELECT query_id, min(rank) AS gold_rank FROM k JOIN queries USING (query_id) JOIN documents USING (doc_id)
         WHERE contains(regexp_replace(text, '[ \\n]+', ' ', 'g'), question) GROUP BY query_id)"""
+_FOLDED = lambda x: f"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_CONCEPTS = """w AS (SELECT doc_id % 3 AS run, source, doc_id, list_transform([1, 2, 3, 4], lambda k: coalesce(regexp_split_to_array(text, '[ \\n]+')[k], '')) AS w FROM documents),
+    c AS (SELECT *, w[1] || '-' || w[2] || ' x (' || w[3] || ')' AS title, upper(w[4]) AS alias FROM w)"""
 _ROUTES = """c AS (
     SELECT o_orderstatus AS expected, CASE WHEN o_orderkey % 9 <> 4 THEN ['F', 'O', 'P'][(o_orderkey % 3 + 1)::int] END AS actual,
            CASE o_orderkey % 4 WHEN 0 THEN ['O', 'P'] WHEN 1 THEN ['F'] ELSE [] END AS acceptable FROM orders),
@@ -203,4 +228,19 @@ ORACLE_SQL = {
     "qa4_summary": f"""
         WITH {_ROUTES} SELECT count(*) AS cases, count(*) FILTER (expected = actual) AS correct, count(*) FILTER (fine) AS accepted, count(*) FILTER (actual IS NULL) AS failed,
                count(*) FILTER (actual = 'O' AND NOT fine) AS false_changes FROM r""",
+    "qa6_alignment": f"""
+        WITH {_CONCEPTS}, r AS (SELECT run, doc_id, unnest([title, alias, regexp_replace(title, '\\(.*?\\)', '', 'g'), regexp_replace(alias, '\\(.*?\\)', '', 'g')]) AS name FROM c),
+        n AS (SELECT DISTINCT run, doc_id, {_FOLDED('name')} AS key FROM r), k AS (SELECT DISTINCT run AS other, key FROM n WHERE key <> ''),
+        f AS (SELECT run, other, count(DISTINCT doc_id) AS aligned FROM n JOIN k USING (key) WHERE run <> other GROUP BY ALL),
+        t AS (SELECT run, count(*) AS concepts FROM c GROUP BY run)
+        SELECT a.run, b.run AS other, a.concepts, coalesce(aligned, 0) AS aligned, round(coalesce(aligned, 0) / a.concepts, 3) AS share
+        FROM t a JOIN t b ON a.run <> b.run LEFT JOIN f ON f.run = a.run AND f.other = b.run""",
+    "qa6_spread": """
+        WITH c AS (SELECT source AS d, doc_id % 3 AS run FROM documents WHERE doc_id % 3 <> 1 OR source <> 'src3'),
+        g AS (SELECT d, r.run, count(c.run) AS n FROM (SELECT DISTINCT d FROM c) CROSS JOIN (SELECT DISTINCT run FROM c) r LEFT JOIN c USING (d, run) GROUP BY ALL)
+        SELECT d AS document_id, min(n) AS least, max(n) AS most, max(n) - min(n) AS spread FROM g GROUP BY d""",
+    "qa6_heads": f"""
+        WITH {_CONCEPTS}, h AS (SELECT DISTINCT run, source, doc_id, title, {_FOLDED('word')} AS head FROM (
+            SELECT *, unnest(list_concat([string_split_regex(trim(title), '\\s+')[1]], regexp_extract_all(title, '\\((.*?)\\)', 1))) AS word FROM c))
+        SELECT run, source AS document_id, head, count(*)::int AS n, md5(string_agg(title, '|' ORDER BY title)) AS digest FROM h WHERE head <> '' GROUP BY ALL HAVING count(*) > 1""",
 }

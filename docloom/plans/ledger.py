@@ -73,6 +73,7 @@ def qa2_rag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("variant"), F.col("l_returnflag").alias("category"), (F.col("l_linenumber") != 1).alias("answerable"),
         pick("l_partkey", "sufficient", "partial", "none").alias("support"), pick("l_suppkey", "correct", "partial", "wrong").alias("correctness"),
         (F.col("l_quantity") > 45).alias("hallucination"), F.col("l_quantity").cast("double").alias("seconds"),
+        F.when(F.col("l_suppkey") % 5 > 0, F.col("l_suppkey") % 5 / 4).alias("recall"), (F.col("l_partkey") % 9).alias("evidence_count"),
     )
     summary = usage.rag_summary(rows)
     return summary.select("variant", "category", "runs", *[F.round(c, 6).alias(c) for c in summary.columns[3:]])
@@ -129,9 +130,13 @@ ORACLE_SQL = {
     "qa2_rag_summary": """
         WITH r AS (
             SELECT l_linestatus AS variant, l_returnflag AS category, l_linenumber <> 1 AS a, ['sufficient', 'partial', 'none'][(l_partkey % 3 + 1)::int] AS s,
-                   ['correct', 'partial', 'wrong'][(l_suppkey % 3 + 1)::int] AS c, l_quantity > 45 AS h, l_quantity::double AS t FROM lineitem)
+                   ['correct', 'partial', 'wrong'][(l_suppkey % 3 + 1)::int] AS c, l_quantity > 45 AS h, l_quantity::double AS t,
+                   CASE WHEN l_suppkey % 5 > 0 THEN l_suppkey % 5 / 4 END AS recall, l_partkey % 9 AS k FROM lineitem)
         SELECT variant, category, count(*) AS runs, round(count(*) FILTER (a AND s = 'sufficient') / nullif(count(*) FILTER (a), 0), 6) AS evidence_sufficient,
                round(count(*) FILTER (a AND s = 'partial') / nullif(count(*) FILTER (a), 0), 6) AS evidence_partial,
+               round(count(*) FILTER (a AND s = 'none') / nullif(count(*) FILTER (a), 0), 6) AS evidence_none, round(count(*) FILTER (c = 'partial') / count(*), 6) AS partial,
+               round(count(*) FILTER (c = 'wrong') / count(*), 6) AS wrong, round(count(*) FILTER (NOT a AND c = 'correct') / greatest(1, count(*) FILTER (NOT a)), 6) AS unanswerable_correct,
+               round(coalesce(sum(recall) FILTER (a), 0) / nullif(count(*) FILTER (a), 0), 6) AS code_recall, round(sum(k) / count(*), 6) AS evidence_count,
                round(count(*) FILTER (c = 'correct') / count(*), 6) AS correct, round(count(*) FILTER (h) / count(*), 6) AS hallucination,
                round(count(*) FILTER (a AND c <> 'correct' AND s = 'sufficient') / nullif(count(*) FILTER (a), 0), 6) AS fail_generation,
                round(count(*) FILTER (a AND c <> 'correct' AND s <> 'sufficient') / nullif(count(*) FILTER (a), 0), 6) AS fail_retrieval, round(avg(t), 6) AS seconds

@@ -52,3 +52,17 @@ def test_a_budget_is_filled_as_one_by_one(spark):
                 used += chars + 2
     got = within_budget(spark.createDataFrame(rows, "workspace_id string, item_id int, score double, text string"), budget=60)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_alignment_spread_and_heads(spark):
+    rows = [
+        ("a", "d", 1, "Pod (Kubernetes)", ["Container Group"]), ("a", "d", 2, "Pod-Lifecycle", None), ("a", "e", 3, "Straße", []), ("a", "e", 4, "--", ["?"]),
+        ("b", "d", 1, "POD", []), ("b", "d", 2, "container_group", [None]), ("b", "d", 3, "Kubernetes", []), ("c", "f", 1, "strasse", []),
+    ]
+    concepts = spark.createDataFrame(rows, "run string, document_id string, concept_id int, title string, aliases array<string>")
+    got = {(r.run, r.other): (r.concepts, r.aligned, r.share) for r in E.alignment(concepts).collect()}
+    assert got == {("a", "b"): (4, 1, 0.25), ("b", "a"): (3, 2, 0.667), ("a", "c"): (4, 1, 0.25), ("c", "a"): (1, 1, 1.0), ("b", "c"): (3, 0, 0.0), ("c", "b"): (1, 0, 0.0)}
+    spread = {r.document_id: (r.least, r.most, r.spread) for r in E.page_spread(concepts.withColumnRenamed("concept_id", "page_id")).collect()}
+    assert spread == {"d": (0, 3, 3), "e": (0, 2, 2), "f": (0, 1, 1)}
+    more = concepts.union(spark.createDataFrame([("b", "d", 9, "Limits (Pod)", [])], concepts.schema))
+    assert [(r.run, r.document_id, r["head"], r.titles) for r in E.head_groups(more).collect()] == [("b", "d", "pod", ["Limits (Pod)", "POD"])]

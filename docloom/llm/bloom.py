@@ -2,7 +2,7 @@
 
 Each task gathers its keys with their rows, FLUSH at a time, and sorts them. Keys go to the owner of their segment,
 a range of keys; there are as many segments as it takes for one to hold about SEGMENT_KEYS keys, so an owner's memory is
-bounded whatever the input. A key that a flush holds more than once is known to repeat: its owner gets one head for
+bounded whatever the input, if keys are spread evenly over 64 bits (callers mix those that are not). A key that a flush holds more than once is known to repeat: its owner gets one head for
 all its rows, and the rows themselves are dealt out evenly, so no owner sees more of a hot key than a head a flush.
 An owner adds its keys to a pair of Bloom filters sized by their number, one of keys seen once and one of keys seen
 twice, and passes on the rows whose key is in the second. Nothing is broadcast and nothing comes to the driver.

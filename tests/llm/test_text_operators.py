@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import kernels as K
-from docloom.llm.bloom import suspects
+from docloom.llm.bloom import dealt, suspects
 from docloom.llm.bpe import WordMemo
 from docloom.llm.jaccard import jaccard_components
 from docloom.llm.language import fit, identify, viterbi
@@ -389,3 +389,23 @@ def test_substring_dedup_of_many_equal_rows(spark):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in found.collect())
     assert got == Counter(brute_windows(rows, 35))
     assert max(len(r.removed_spans) for r in found.collect()) <= 2
+
+
+def test_owners_of_anchors_hold_alike(spark, monkeypatch):
+    """Anchors are smallest hashes; still no owner gets many more of them than the others."""
+    held = []
+
+    def seen(rows, find, payload, keys):
+        sizes = dealt(rows, find, payload, keys).filter("kind = 0").selectExpr("segment", "size(key) AS n").groupBy("segment").sum("n").collect()
+        held.append([n for _, n in sizes])
+        return suspects(rows, find, payload, keys)
+
+    monkeypatch.setattr("docloom.llm.bloom.SEGMENT_KEYS", 300)
+    monkeypatch.setattr("docloom.llm.substring.suspects", seen)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(1000))) for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in dedup_substrings(docs, window=35).collect()} == {0}
+    anchors = held[0]
+    assert len(anchors) > 8 and sum(anchors) > 2000
+    assert max(anchors) < 1.5 * sum(anchors) / len(anchors)

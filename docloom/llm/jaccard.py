@@ -43,6 +43,8 @@ from docloom.sources.store import forget, written
 SIZE_RATIO, SPARE, FANOUT, LEADERS = 1.3, 0.15, 8, 8
 #: Shingles of a chunk of a block, where each set counts SET_COST more for its bitmap.
 CHUNK, SET_COST = 1 << 21, 128
+#: Of how many keys there is a task of owners, and of how many shingles in blocks one that compares sets, where the shuffle has more.
+OWNER_KEYS, BLOCK_SHINGLES = 1 << 17, 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +211,14 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stars(docs: DataFrame, spare: DataFrame, n: int, classes: Classes, n_keys: int) -> DataFrame:
     """Rows (a, b): documents and the hubs of the shared keys that they keep. spare: (doc, spare) of describe."""
-    found = written(dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True).mapInArrow(_owners, "kind tinyint, doc long, key long, odd tinyint, hub long, n int"))
+    found = written(dealt(docs, _entries(n, classes), ENTRY, n_keys, narrow=True).mapInArrow(_owners, "kind tinyint, doc long, key long, odd tinyint, hub long, n int"), n_keys, OWNER_KEYS)
     single = found.filter(F.col("kind") == SINGLE).select("doc", "key", "odd", "hub", "n")
     known = found.filter(F.col("kind") == KNOWN).select("doc", "key", "odd")
     hubs = found.filter(F.col("kind") == HEAD).select("key", "hub").join(known.groupBy("key").agg(F.count("*").cast("int").alias("n")), "key")
     rows = single.union(known.join(hubs, "key").select("doc", "key", "odd", "hub", "n"))
     place = F.row_number().over(Window.partitionBy("doc", "odd").orderBy(F.desc("n"), "key"))
     kept = rows.withColumn("place", place).join(spare, "doc").filter(F.col("place") > F.get("spare", F.col("odd")))
-    placed = written(kept.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
+    placed = written(kept.filter("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), found.count())
     forget(found)
     return placed
 
@@ -413,35 +415,39 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes = Classes(num, den)
     described = written(describe(docs, n, sizes))
+    n_docs, n_shingles = described.agg(F.count("*"), F.sum("n_shingles")).first()
     linkable = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["f1", "f2", "n_shingles"]
-    classes = written(linkable.groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    classes = written(linkable.groupBy(*same).agg(F.min("doc_id").alias("rep")), n_docs)
     # Documents that others stand for; one with several texts also stands for itself.
     of_several = linkable.groupBy("doc_id").agg(F.countDistinct(*same).alias("texts"))
     copies = linkable.join(classes, same).filter("doc_id <> rep").select("doc_id", "rep").distinct().join(of_several, "doc_id")
-    copies = written(copies.select("doc_id", "rep", (F.col("texts") > 1).alias("several")))
+    copies = written(copies.select("doc_id", "rep", (F.col("texts") > 1).alias("several")), n_docs)
 
     rate = (1 + SPARE) * 2 * (den - num) / (den + num) * 2
-    n_keys = int(rate * (described.agg(F.sum("n_shingles")).first()[0] or 0))
+    n_keys = int(rate * (n_shingles or 0))
     # A document of several texts has the keys of all and leaves none out.
     spare = linkable.groupBy(F.col("doc_id").alias("doc")).agg(F.array(*[F.when(F.count("*") > 1, 0).otherwise(F.min(F.col("spare")[k])).alias("s") for k in (0, 1)]).alias("spare"))
     found = stars(docs.filter("doc_id IS NOT NULL"), spare, n, sizes, n_keys)
+    n_members = 2 * found.count()
     for end in ("a", "b"):
         known = copies.withColumnsRenamed({"doc_id": "copy", "rep": "of"})
         stood_for = F.when(F.col("of").isNull(), F.array(end)).when(F.col("several"), F.array("of", end)).otherwise(F.array("of"))
         found = found.join(known, F.col(end) == F.col("copy"), "left").withColumn(end, F.explode(stood_for)).select("a", "b")
     members = found.select(F.col("a").alias("doc_id"), F.col("b").alias("block")).filter("doc_id <> block").distinct()
-    members = written(members.union(members.select("block", "block").distinct()))
+    members = written(members.union(members.select("block", "block").distinct()), n_members)
     weights = linkable.groupBy("doc_id").agg(F.sum(F.col("n_shingles") + SET_COST).alias("weight"))
-    members = written(members.join(weights, "doc_id"))
+    n_members = members.count()
+    members = written(members.join(weights, "doc_id"), n_members + n_docs)
     totals = members.groupBy("block").agg(F.ceil(F.sum("weight") / chunk).cast("long").alias("chunks"))
-    members = written(members.join(totals, "block"))
+    members = written(members.join(totals, "block"), n_members)
+    in_blocks = members.agg(F.sum("weight")).first()[0] or 0
 
     own = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
     all_chunks = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     places = members.select("doc_id", "block", F.explode(F.when(F.col("doc_id") == F.col("block"), all_chunks).otherwise(F.array(own))).alias("chunk"))
     dealt_texts = docs.join(places.hint("shuffle_hash"), "doc_id").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
-    links = written(dealt_texts.mapInArrow(_within(n, num, den), "a long, b long"))
+    links = written(dealt_texts.mapInArrow(_within(n, num, den), "a long, b long"), in_blocks, BLOCK_SHINGLES)
 
     large = members.filter("chunks > 1")
     if large.take(1):
@@ -465,7 +471,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, id_col: str
 
     ends = components(links.union(copies.filter("several").select("doc_id", "rep")))
     names = classes.join(ends.withColumnRenamed("node", "rep"), "rep", "left")
-    names = written(names.select(*same, F.coalesce("component", "rep").alias("component_id")))
+    names = written(names.select(*same, F.coalesce("component", "rep").alias("component_id")), n_docs)
     forget(classes, copies, members, links)
     joined = described.drop("spare").join(names, same, "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -65,11 +65,12 @@ def repeated_lines(docs: DataFrame, min_chars: int) -> DataFrame:
         doc, h = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc", "h"))
         yield [halves[:, 0], doc, h, halves[:, 1].view(np.int64)]
 
-    found = written(suspects(docs, find, {"doc": "near", "h": "long", "check": "long"}, lines))
+    found = written(suspects(docs, find, {"doc": "near", "h": "long", "check": "long"}, lines), lines)
+    n_found = found.count()
     counted = found.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    confirmed = written(counted.filter("first < last").select("key", "check", "first", "n"))
+    confirmed = written(counted.filter("first < last").select("key", "check", "first", "n"), n_found)
     same = ["key", "check"]
-    is_hot = F.col("n") * HOT_SHARE > found.count()
+    is_hot = F.col("n") * HOT_SHARE > n_found
     hot = F.broadcast(confirmed.filter(is_hot).drop("n"))
     by_broadcast = found.join(hot, same)
     by_shuffle = found.join(hot, same, "left_anti").join(confirmed.filter(~is_hot).drop("n"), same)

@@ -137,7 +137,8 @@ def mix_sources(
         )
     )
     targets = written(source_targets(sized, weights, share, cap)).withColumnRenamed("source", "of")
-    largest = targets.agg(F.max("n_docs")).first()[0] or 0
+    largest, rows = targets.agg(F.max("n_docs"), F.sum("n_docs")).first()
+    largest, rows = largest or 0, rows or 0
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     planned = (
         sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
@@ -153,7 +154,7 @@ def mix_sources(
     left = math.ceil(largest / group)
     rounded = []
     while True:
-        level = written(level)
+        level = written(level, rows)
         rounded.append(level.select("source", F.explode("done").alias("d")).select("source", "d.*"))
         if left <= 1:
             break

@@ -253,7 +253,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, h long, n long, full binary, heads binary, ends binary, tail long"
     described = written(keyed.mapInArrow(lambda batches: describe(batches, path), schema))
-    buckets = max(1, math.ceil(described.count() / BUCKET_DOCS))
+    n_docs = described.count()
+    buckets = max(1, math.ceil(n_docs / BUCKET_DOCS))
     described = described.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     kinds = F.expr(
         f"explode(array(named_struct('kind', 'f', 'size', 0, 'n', n div {WINDOW}),"
@@ -262,7 +263,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     )
     counts = described.select("bucket", kinds.alias("k")).groupBy("bucket", "k.kind", "k.size").agg(F.sum("k.n").alias("n"))
     earlier = Window.partitionBy("kind", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = written(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))))
+    before = written(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))), min(3 * n_docs, buckets * (1 + UNITS + UNIT)))
     totals = {(r.kind, r.size): r.n for r in before.groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()}  # one row a length
     histogram = lambda kind, size: np.array([0] + [totals.get((kind, i), 0) for i in range(1, size)], np.int64)
     plan = Plan(totals.get(("f", 0), 0), histogram("m", UNITS), histogram("t", UNIT))

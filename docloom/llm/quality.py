@@ -167,8 +167,9 @@ def fences(blend: DataFrame) -> DataFrame:
 def thresholds(measured: DataFrame) -> DataFrame:
     """Rows (of, fences) for every (language, source) group that has a document; fences holds <metric>_low and <metric>_high."""
     wide = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
-    limits = fences(blended(written(sketches(measured)))).groupBy("of").agg(*wide)
-    return written(limits.select("of", F.struct(*[f"{m}_{side}" for m in METRICS for side in ("low", "high")]).alias("fences")))
+    sketch = written(sketches(measured), measured.count() * len(METRICS))
+    limits = fences(blended(sketch)).groupBy("of").agg(*wide)
+    return written(limits.select("of", F.struct(*[f"{m}_{side}" for m in METRICS for side in ("low", "high")]).alias("fences")), sketch.count())
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:

@@ -111,3 +111,32 @@ def test_tree_join_equals_all_pairs():
                 parent = [x if p == y else p for p in parent]
     same = lambda labels: {frozenset(np.flatnonzero(np.array(labels) == v).tolist()) for v in set(np.array(labels).tolist())}
     assert same(whole.labels) == same(parent)
+
+
+def test_files_follow_rows_not_partitions(spark, tmp_path, monkeypatch):
+    """Small tables that are dealt over many partitions are not written as a file for each."""
+    from docloom.llm import jaccard as module
+    from docloom.operators import components as links
+
+    for m in (module, links):
+        monkeypatch.setattr(m, "forget", lambda *tables: None)
+    monkeypatch.setattr("docloom.sources.store.shared_dir", lambda spark: str(tmp_path))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rnd.randint(0, 500)}" for _ in range(60)]
+        rows += [" ".join([*base[:cut], f"x{cut}", *base[cut:]]) for cut in (1, 30)]
+    rows = list(enumerate(rows))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, 3, 80, 100).collect()), key=str)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted(brute(rows, 3, 80, 100), key=str) and any(i != c for i, _, c in got)
+    files = [len(list(table.glob("part-*"))) for table in tmp_path.iterdir()]
+    assert sum(n > 1 for n in files) <= 1, files  # the links that components starts from

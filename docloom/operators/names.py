@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import keywords, raw_tokens, retrieval_query, without_particle
+from docloom.functions.text import keywords, lower_each, raw_tokens, retrieval_query, without_particle
 
 NAME_ROWS, TEXT_ROWS = 50_000, 4096
 #: Tokens of a question that are no names.
@@ -64,8 +64,8 @@ def names_held(names: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame
 def expanded_mentions(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows (document_id, slug, block_refs, mention_count, importance): the blocks of a concept's document that hold its title or an alias,
     without regard to case; each adds a quarter to the importance. concepts: document_id, slug, names, importance."""
-    names = concepts.select("document_id", "slug", F.explode("names").alias("name")).select("document_id", "slug", F.lower(F.trim("name")).alias("name"))
-    hits = names_held(names, blocks.select("document_id", F.col("block_id").alias("text_id"), F.lower("text").alias("text")), ["document_id"])
+    names = concepts.select("document_id", "slug", F.explode("names").alias("name")).select("document_id", "slug", lower_each(F.trim("name")).alias("name"))
+    hits = names_held(names, blocks.select("document_id", F.col("block_id").alias("text_id"), lower_each(F.col("text")).alias("text")), ["document_id"])
     found = names.join(hits, ["document_id", "name"]).groupBy("document_id", "slug").agg(F.array_sort(F.collect_set("text_id")).alias("block_refs"))
     joined = concepts.select("document_id", "slug", "importance").join(found, ["document_id", "slug"], "left")
     refs = F.coalesce("block_refs", F.array().cast("array<string>"))

@@ -78,7 +78,7 @@ def er5_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     blocks = turns.select(C("conv_id").alias("document_id"), F.concat(F.lit("B"), "turn").alias("block_id"), "text")
     word = lambda k: F.coalesce(F.get(F.split("text", " "), F.lit(k)), F.lit(""))
-    concepts = turns.select(C("conv_id").alias("document_id"), F.concat(F.lit("c"), "turn").alias("slug"), F.array(F.upper(word(0)), word(3)).alias("names"), (C("turn") % 3).cast("double").alias("importance"))
+    concepts = turns.select(C("conv_id").alias("document_id"), F.concat(F.lit("c"), "turn").alias("slug"), F.array(tx.upper_each(word(0)), word(3)).alias("names"), (C("turn") % 3).cast("double").alias("importance"))
     return names.expanded_mentions(concepts, blocks).select("document_id", "slug", _joined("block_refs"), "mention_count", "importance")
 
 

@@ -31,6 +31,15 @@ def test_mentions(spark):
     assert got == {("d", "s1"): (["B1"], 1, 1.25), ("d", "s2"): (["B1", "B2"], 2, 0.5), ("e", "s1"): ([], 0, 2.0), ("d", "s3"): ([], 0, 0.5)}
 
 
+def test_mentions_of_letters_with_uneven_cases(spark, tmp_path):
+    from docloom.plans.resolving import er5_mentions
+
+    turns = [(1, 0, "Berß und so weiter"), (1, 1, "die bERß steht"), (1, 2, "ﬁn İa ΟΔΟΣ ΟΔΟΣ"), (1, 3, "x οδοσα FIN"), (1, 4, "ﬁn")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.slug: r.block_refs for r in er5_mentions(spark, str(tmp_path)).collect()}
+    assert got == {"c0": "B0,B1", "c1": "B1", "c2": "B2,B3,B4", "c3": "B3", "c4": "B2,B4"}
+
+
 def test_variants_and_scores(spark):
     markdown = "# P\n##  Aliases \n- 코끼리는, Big Cat\n-\n\n## More\n- no\n## aliases\nthird (x), -\n### deep"
     pages = spark.createDataFrame(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.helpers import SECTION_WEIGHTS, evidence_units, paragraphs, section_of
 from docloom.functions.text import UNIT_TYPES, UNIT_WEIGHTS, block_refs, without_refs
+from docloom.sources.store import written
 
 
 def _looked_up(table: dict, key: F.Column, default: object) -> F.Column:
@@ -35,13 +36,19 @@ def page_units(pages: DataFrame) -> DataFrame:
 def attached_units(units: DataFrame, entries: DataFrame) -> DataFrame:
     """units (page_id, unit_id, block_refs) with entry_id: the one entry (page_id, entry_id, block_refs) of the page that cites all its blocks.
 
-    Blocks are joined one by one and counted, so units meet only entries that share a block.
+    A page's different sets of blocks are looked up, each once, among the different sets of its entries: those that have the block of it that
+    the fewest of them have. Units of one page and set share what is found, so they are neither multiplied nor shuffled for it.
     """
-    asked = units.select("page_id", "unit_id", F.size(F.array_distinct("block_refs")).alias("n"), F.explode(F.array_distinct("block_refs")).alias("ref")).distinct()
-    has = entries.select("page_id", "entry_id", F.explode(F.array_distinct("block_refs")).alias("ref"))
-    whole = asked.join(has, ["page_id", "ref"]).groupBy("page_id", "unit_id", "n", "entry_id").agg(F.count("*").alias("k")).filter("k = n")
-    single = whole.groupBy("page_id", "unit_id").agg(F.count("*").alias("m"), F.min("entry_id").alias("entry_id")).filter("m = 1").drop("m")
-    return units.join(single, ["page_id", "unit_id"], "left")
+    blocks = F.array_sort(F.array_distinct("block_refs"))
+    held = entries.select("page_id", "entry_id", blocks.alias("held")).groupBy("page_id", "held").agg(F.count("*").alias("m"), F.min("entry_id").alias("entry_id"))
+    has = held.select("*", F.explode("held").alias("ref"))
+    often = has.groupBy("page_id", "ref").agg(F.count("*").alias("often"))
+    asked = units.select("page_id", blocks.alias("blocks")).distinct().select("*", F.explode("blocks").alias("ref")).join(often, ["page_id", "ref"], "left")
+    rare = asked.groupBy("page_id", "blocks").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "ref")).alias("least")).filter("least.often > 0")
+    met = rare.select("page_id", "blocks", "least.ref").join(has, ["page_id", "ref"]).filter(F.size(F.array_except("blocks", "held")) == 0)
+    single = met.groupBy("page_id", "blocks").agg(F.sum("m").alias("m"), F.min("entry_id").alias("entry_id")).filter("m = 1").drop("m")
+    # Written, so that its size is known: a small one is broadcast by Spark's own threshold.
+    return units.withColumn("blocks", blocks).join(written(single), ["page_id", "blocks"], "left").drop("blocks")
 
 
 def paragraph_units(pages: DataFrame) -> DataFrame:

@@ -87,51 +87,68 @@ def structure_scores(queries: DataFrame, pages: DataFrame, base: DataFrame, dens
     return base.join(added, ["query_id", "page_id"], "left").withColumn("score", total).drop("added")
 
 
-def scored_walk(seeds: DataFrame, links: DataFrame, scores: DataFrame, depth: int = 3, floor: float = 0.95, fan: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scored(rows: DataFrame, scores: DataFrame | Column, pages: DataFrame | None = None) -> DataFrame:
+    """rows (query_id, page_id, ...) that have a score, with it: from a table (query_id, page_id, score), or by a column of both ids for those of
+    the pages (page_id), if these are given. A column is computed for the rows alone, where a table would hold all pairs."""
+    if isinstance(scores, DataFrame):
+        return rows.join(scores, ["query_id", "page_id"])
+    return (rows if pages is None else rows.join(pages.select("page_id"), "page_id", "left_semi")).withColumn("score", scores)
+
+
+def scored_walk(
+    seeds: DataFrame, links: DataFrame, scores: DataFrame | Column, depth: int = 3, floor: float = 0.95, fan: int = 8, pages: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Walks from each query's seeds along links to pages that score at least floor of its best seed.
 
     seeds: query_id, page_id, place (0, 1, ... in a query); links: from_page_id, to_page_id, link_type, of traversable types only;
-    scores: query_id, page_id, score of the query's pages. A page is expanded where it is met first, in breadth-first order, to its fan
-    best neighbours off its own path. Because of that a level is one join and one rank by page, and a page's place in the order is its
-    parent's place times fan plus its own. Returns paths (query_id, nodes, link_types, score, depth, place), nodes (query_id, page_id,
-    score, depth) and stops (query_id, stop_reason). Seeds without a score have 0; repeated links are one.
+    scores, pages: as in scored; a column scores the pages that a walk meets and no others. A page is expanded where it is met first, in
+    breadth-first order, to its fan best neighbours off its own path. Because of that a level is one join and one rank by page, and a page's
+    place in the order is its parent's place times fan plus its own. Returns paths (query_id, nodes, link_types, score, depth, place), nodes
+    (query_id, page_id, score, depth) and stops (query_id, stop_reason). Seeds without a score have 0; repeated links are one.
     """
     ends = links.select("from_page_id", "to_page_id", "link_type").distinct()
-    ways = ends.select(F.col("from_page_id").alias("page_id"), F.col("to_page_id").alias("target"), "link_type")
+    ways = ends.select(F.col("from_page_id").alias("at"), F.col("to_page_id").alias("page_id"), "link_type")
     ways = ways.union(ends.select(F.col("to_page_id"), F.col("from_page_id"), "link_type"))
-    start = seeds.join(scores, ["query_id", "page_id"], "left").fillna(0.0, ["score"])
+    ways = written(ways if pages is None else ways.join(pages.select("page_id"), "page_id", "left_semi").select("at", "page_id", "link_type"))
+    known = scored(seeds.select("query_id", "page_id").distinct(), scores, pages).select("query_id", "page_id", "score")
+    start = written(seeds.join(known, ["query_id", "page_id"], "left").fillna(0.0, ["score"]))
     best = start.groupBy("query_id").agg(F.max("score").alias("top"))
-    reach = scores.join(best, "query_id").filter(F.col("score") >= F.col("top") * floor).select("query_id", F.col("page_id").alias("target"), F.col("score").alias("reached"))
     kind = seeds.schema["page_id"].dataType.simpleString()
     frontier = written(
-        start.join(best.filter("top > 0"), "query_id", "left_semi").select("query_id", "page_id", F.col("place").cast("long").alias("place"), F.array("page_id").alias("nodes"), F.array().cast("array<string>").alias("link_types"))
+        start.join(best.filter("top > 0"), "query_id").select("query_id", F.col("page_id").alias("at"), F.col("place").cast("long").alias("place"), F.array("page_id").alias("nodes"), F.array().cast("array<string>").alias("link_types"), "top")
     )
     nodes = start.select("query_id", "page_id", "score", F.lit(0).alias("depth"))
+
+    def steps(front: DataFrame) -> DataFrame:
+        met = front.join(ways, "at").filter(~F.array_contains("nodes", F.col("page_id")))
+        return scored(met, scores).filter(F.col("score") >= F.col("top") * floor)
+
     paths, turns = [], []
-    for level in range(depth + 1):
-        steps = frontier.join(ways, "page_id").filter(~F.array_contains("nodes", F.col("target"))).join(reach, ["query_id", "target"])
-        if level == depth:
-            deeper = steps.select("query_id").distinct().withColumn("deeper", F.lit(True))
-            break
-        by = Window.partitionBy("query_id", "page_id", "place").orderBy(F.desc("reached"), "target", "link_type")
-        taken = steps.withColumn("k", F.row_number().over(by) - 1).filter(F.col("k") < fan)
-        taken = taken.select("query_id", F.col("target").cast(kind).alias("target"), "reached", (F.col("place") * fan + F.col("k")).alias("place"), F.col("place").alias("parent"),
-                             F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("link_types", F.col("link_type")).alias("link_types"))
+    for level in range(depth):
+        by = Window.partitionBy("query_id", "at", "place").orderBy(F.desc("score"), "page_id", "link_type")
+        taken = steps(frontier).withColumn("k", F.row_number().over(by) - 1).filter(F.col("k") < fan)
+        taken = taken.select("query_id", F.col("page_id").cast(kind).alias("page_id"), "score", (F.col("place") * fan + F.col("k")).alias("place"), F.col("place").alias("parent"),
+                             F.array_append("nodes", F.col("page_id")).alias("nodes"), F.array_append("link_types", F.col("link_type")).alias("link_types"), "top")
         taken = written(taken)
-        paths.append(taken.select("query_id", "nodes", "link_types", F.col("reached").alias("score"), F.lit(level + 1).alias("depth"), "place"))
-        met = nodes.select("query_id", F.col("page_id").alias("target"))
-        fresh = taken.join(met, ["query_id", "target"], "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("query_id", "target").orderBy("place"))).filter("k = 1")
-        grown = fresh.select("query_id", F.col("parent").alias("place")).distinct().withColumn("grew", F.lit(True))
-        tried = taken.select("query_id", F.col("parent").alias("place")).distinct().withColumn("tried", F.lit(True))
-        turn = frontier.select("query_id", "place").join(tried, ["query_id", "place"], "left").join(grown, ["query_id", "place"], "left")
-        turn = turn.filter(F.col("tried").isNotNull() | F.lit(level == 0))
-        turns.append(turn.select("query_id", F.struct(F.lit(level).alias("level"), "place").alias("at"), (F.col("tried").isNotNull() & F.col("grew").isNull()).alias("closed")))
-        nodes = written(nodes.union(fresh.select("query_id", "target", "reached", F.lit(level + 1))))
-        frontier = fresh.select("query_id", F.col("target").alias("page_id"), "place", "nodes", "link_types")
+        paths.append(taken.select("query_id", "nodes", "link_types", "score", F.lit(level + 1).alias("depth"), "place"))
+        first = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy("place"))
+        fresh = written(taken.join(nodes, ["query_id", "page_id"], "left_anti").withColumn("k", first).filter("k = 1").drop("k"))
+        # A query's last page of a level that led anywhere; of the seeds the last one.
+        tried = taken.groupBy("query_id").agg(F.max("parent").alias("tried"))
+        grown = fresh.groupBy("query_id").agg(F.max("parent").alias("grew"))
+        turn = tried.withColumn("last", F.col("tried")) if level else frontier.groupBy("query_id").agg(F.max("place").alias("last")).join(tried, "query_id", "left")
+        closed = F.coalesce(F.col("tried") == F.col("last"), F.lit(False)) & (F.coalesce("grew", F.lit(-1)) < F.col("last"))
+        turns.append(turn.join(grown, "query_id", "left").select("query_id", F.lit(level).alias("level"), closed.alias("closed")))
+        nodes = nodes.union(fresh.select("query_id", "page_id", "score", F.lit(level + 1)))
+        frontier = fresh.select("query_id", F.col("page_id").alias("at"), "place", "nodes", "link_types", "top")
+    # One step more is enough to know, and most queries have one from any few of their last pages.
+    few = written(steps(frontier.filter(F.pmod(F.xxhash64("place"), F.lit(16)) == 0)).select("query_id").distinct())
+    more = steps(frontier.join(few, "query_id", "left_anti")).select("query_id").distinct()
+    deeper = few.union(more).withColumn("deeper", F.lit(True))
     every, last = paths[0], turns[0]
-    for more, turn in zip(paths[1:], turns[1:], strict=True):
-        every, last = every.union(more), last.union(turn)
-    closed = last.groupBy("query_id").agg(F.max_by("closed", "at").alias("closed"))
+    for path, turn in zip(paths[1:], turns[1:], strict=True):
+        every, last = every.union(path), last.union(turn)
+    closed = last.groupBy("query_id").agg(F.max_by("closed", "level").alias("closed"))
     stops = best.join(closed, "query_id", "left").join(deeper, "query_id", "left")
     reason = F.when(F.col("top") <= 0, "no_relevant_seed").when(F.col("deeper"), "max_depth").when(F.col("closed"), "relative_score_floor").otherwise("no_frontier")
     return every, nodes, stops.select("query_id", reason.alias("stop_reason"))

@@ -2,6 +2,7 @@
 
 import random
 
+from docloom.operators import answering as an
 from docloom.operators import units as un
 
 
@@ -39,3 +40,22 @@ def test_attached_units(spark):
     same = lambda name: spark.range(300).selectExpr("1 AS page_id", f"id AS {name}", "array('B1', 'B2') AS block_refs")
     got, most = most_rows(spark, lambda: un.attached_units(same("unit_id"), same("entry_id")).collect())
     assert len(got) == 300 and most < 3000  # of 90,000 pairs
+
+
+def test_walk_by_a_column_scores_what_it_meets(spark, tmp_path):
+    from docloom.plans.answering import _walk, gr4_stops
+
+    n, suppliers = 2000, 300
+    spark.range(n).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(600).selectExpr("id AS o_orderkey", "id * 37 % 2000 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(suppliers).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    for query in (gr4_stops,):
+        _, most = most_rows(spark, lambda query=query: query(spark, str(tmp_path)).collect())
+        assert most < 60_000 < n * suppliers
+    seeds, links, score, pages = _walk(spark, str(tmp_path))
+    queries = seeds.select("query_id").distinct()
+    every = queries.crossJoin(pages).withColumn("score", score)
+    by_column, by_table = an.scored_walk(seeds, links, score, pages=pages), an.scored_walk(seeds, links, every)
+    for a, b in zip(by_column, by_table, strict=True):
+        a, b = (sorted(map(str, x.collect())) for x in (a, b))
+        assert a == b and a

@@ -43,13 +43,13 @@ def test_attached_units(spark):
 
 
 def test_walk_by_a_column_scores_what_it_meets(spark, tmp_path):
-    from docloom.plans.answering import _walk, gr4_stops, gr4_walk_paths
+    from docloom.plans.answering import _walk, gr4_stops, gr4_walk_paths, gr5_answer_paths
 
     n, suppliers = 2000, 300
     spark.range(n).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(600).selectExpr("id AS o_orderkey", "id * 37 % 2000 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
     spark.range(suppliers).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
-    for query in (gr4_stops, gr4_walk_paths):
+    for query in (gr4_stops, gr4_walk_paths, gr5_answer_paths):
         _, most = most_rows(spark, lambda query=query: query(spark, str(tmp_path)).collect())
         assert most < 60_000 < n * suppliers
     seeds, links, score, pages = _walk(spark, str(tmp_path))

@@ -52,11 +52,17 @@ def unmatched_hints(attached: DataFrame, most: int = 2) -> DataFrame:
 
 
 def split_aliases(aliases: DataFrame, titles: DataFrame) -> DataFrame:
-    """Aliases (slug, key) that are another concept's title, unless each is the other's: dropped, a link instead."""
-    other = titles.select(F.col("slug").alias("title_slug"), F.col("key"))
-    taken = aliases.join(other, "key").filter("slug <> title_slug")
-    back = taken.select(F.col("title_slug").alias("slug"), F.col("slug").alias("title_slug"))
-    return taken.join(back, ["slug", "title_slug"], "left_anti").select("slug", "key", F.col("title_slug").alias("link_to")).distinct()
+    """Aliases (slug, key) that are another concept's title, unless each is the other's: dropped, a link instead.
+
+    Either side brings along the other names of its concept, so a pair is judged where it is made: pairs are not shuffled, however many
+    concepts have one name. A concept's own aliases and titles are taken to be few.
+    """
+    names = lambda t: t.select("slug", "key").dropna().distinct()
+    also = lambda t, name: names(t).groupBy("slug").agg(F.collect_list("key").alias(name))
+    asked = names(aliases).join(also(titles, "titles"), "slug", "left")
+    other = names(titles).join(also(aliases, "aliases"), "slug", "left").withColumnRenamed("slug", "link_to")
+    each = F.coalesce(F.arrays_overlap("titles", "aliases"), F.lit(False))
+    return asked.join(other, "key").filter((F.col("slug") != F.col("link_to")) & ~each).select("slug", "key", "link_to")
 
 
 def evidence_band(scored: DataFrame, share: float = 0.85, most: int = 8) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from docloom.operators import answering as an
+from docloom.operators import concepts as cs
 from docloom.operators import units as un
 
 
@@ -42,6 +43,20 @@ def test_attached_units(spark):
     assert len(got) == 300 and most < 3000  # of 90,000 pairs
 
 
+def test_split_aliases(spark):
+    rng = random.Random(2)
+    aliases, titles = ([(rng.randint(0, 9), rng.randint(0, 6)) for _ in range(40)] + [(1, None), (None, 2)] for _ in range(2))
+    pairs = {(s, k, o) for s, k in aliases for o, t in titles if k == t and None not in (s, k, o) and s != o}
+    want = {(s, k, o) for s, k, o in pairs if not any((o, s) == (x, z) for x, _, z in pairs)}
+    frame = lambda rows: spark.createDataFrame(rows, "slug int, key int")
+    got = [tuple(r) for r in cs.split_aliases(frame(aliases), frame(titles)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    few = spark.range(400).selectExpr("id AS slug", "id % 2 AS key")
+    # Here all pairs are mutual; none goes from step to step.
+    got, most = most_rows(spark, lambda: cs.split_aliases(few, few).collect())
+    assert not got and most < 2000 < 80_000
+
+
 def test_walk_by_a_column_scores_what_it_meets(spark, tmp_path):
     from docloom.plans.answering import _walk, gr4_stops, gr4_walk_paths, gr5_answer_paths
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.store import written
+
 #: The numbers that a taken slug is tried with, and the slug that nobody gets.
 SLUG_NUMBERS, NO_SLUG = range(2, 10), "untitled"
 
@@ -19,27 +21,29 @@ def allocated_slugs(concepts: DataFrame, index: DataFrame) -> DataFrame:
     active one, the one deleted; that goes to the first concept only. All others take the first free one of slug, slug-2 ... slug-9, null
     if none is. Concepts can only be in each other's way below one root (the slug without such endings); of one slug only the first
     nine can get anything, so a root's list is bounded by its different slugs.
+
+    Of a key's slugs in the index only the least and the greatest count, as a concept has one hit if all of its are equal: concepts do not
+    meet the index's rows but one row for each key. All tables that are joined to the concepts are written first, so small ones are broadcast.
     """
-    me = concepts.select("workspace_id", "slug", "place").distinct()
     keyed = concepts.select("workspace_id", "slug", "place", F.explode("keys").alias("key"))
-    known = index.select("workspace_id", F.col("slug").alias("match"), "status", F.explode("keys").alias("key"))
-    hits = keyed.join(known, ["workspace_id", "key"]).select("workspace_id", "slug", "place", "match", "status").distinct()
-    is_active = F.col("status") == "active"
-    sums = hits.groupBy("workspace_id", "slug", "place").agg(
-        F.count_if(is_active).alias("n_active"), F.min(F.when(is_active, F.col("match"))).alias("active"),
-        F.count_if(F.col("status") == "deleted").alias("n_deleted"), F.min(F.when(F.col("status") == "deleted", F.col("match"))).alias("deleted"),
-    )
-    reuse = F.when(F.col("n_active") == 1, F.col("active")).when((F.col("n_active") == 0) & (F.col("n_deleted") == 1), F.col("deleted"))
+    known = index.select("workspace_id", F.struct(F.col("slug").alias("match")).alias("hit"), "status", F.explode("keys").alias("key"))
+    of = lambda status: F.when(F.col("status") == status, F.col("hit"))
+    ends = {f"{end}_{status}": of(status) for status in ("active", "deleted") for end in ("min", "max")}
+    least = lambda name, c: (F.min(c) if name.startswith("min") else F.max(c)).alias(name)
+    by_key = written(known.groupBy("workspace_id", "key").agg(*[least(name, c) for name, c in ends.items()]))
+    sums = keyed.join(by_key, ["workspace_id", "key"]).groupBy("workspace_id", "slug", "place").agg(*[least(name, F.col(name)) for name in ends])
+    one = lambda status: F.when(F.col(f"min_{status}") == F.col(f"max_{status}"), F.col(f"min_{status}.match"))
+    reuse = F.when(F.col("min_active").isNull(), one("deleted")).otherwise(one("active"))
     wished = sums.select("workspace_id", "slug", "place", reuse.alias("allocated")).filter("allocated IS NOT NULL")
-    first = F.row_number().over(Window.partitionBy("workspace_id", "allocated").orderBy("place", "slug"))
-    reused = wished.withColumn("k", first).filter("k = 1").drop("k")
-    rest = me.join(reused, ["workspace_id", "slug", "place"], "left_anti")
+    reused = wished.groupBy("workspace_id", "allocated").agg(F.min(F.struct("place", "slug")).alias("x"))
+    reused = written(reused.select("workspace_id", "x.slug", "x.place", "allocated"))
+    rest = concepts.select("workspace_id", "slug", "place").join(reused, ["workspace_id", "slug", "place"], "left_anti")
 
     numbers = f"(-[{SLUG_NUMBERS[0]}-{SLUG_NUMBERS[-1]}])+$"
     root = F.regexp_replace("slug", numbers, "")
-    turn = F.row_number().over(Window.partitionBy("workspace_id", "slug").orderBy("place"))
-    rest = rest.withColumns({"root": root, "turn": turn})
-    waiting = rest.filter(F.col("turn") <= len(SLUG_NUMBERS) + 1).groupBy("workspace_id", "root").agg(F.array_sort(F.collect_list(F.struct("place", "slug"))).alias("waiting"))
+    turn = F.dense_rank().over(Window.partitionBy("workspace_id", "slug").orderBy("place"))
+    early = written(rest.withColumn("turn", turn).filter(F.col("turn") <= len(SLUG_NUMBERS) + 1).distinct().withColumn("root", root))
+    waiting = written(early.groupBy("workspace_id", "root").agg(F.array_sort(F.collect_list(F.struct("place", "slug"))).alias("waiting")))
     taken = index.select("workspace_id", "slug", root.alias("root")).join(waiting, ["workspace_id", "root"], "left_semi")
     taken = taken.groupBy("workspace_id", "root").agg(F.collect_set("slug").alias("taken"))
     none = F.array().cast("array<string>")
@@ -54,8 +58,9 @@ def allocated_slugs(concepts: DataFrame, index: DataFrame) -> DataFrame:
 
     given = waiting.join(taken, ["workspace_id", "root"], "left").select("workspace_id", F.explode(F.aggregate("waiting", start, step)["out"]).alias("x"))
     given = given.select("workspace_id", "x.slug", "x.place", "x.allocated")
-    late = rest.filter(F.col("turn") > len(SLUG_NUMBERS) + 1).select("workspace_id", "slug", "place", F.lit(None).cast("string").alias("allocated"))
-    return reused.union(given).union(late)
+    last = written(early.filter(F.col("turn") == len(SLUG_NUMBERS) + 1).select("workspace_id", "slug", F.col("place").alias("last")))
+    late = rest.join(last, ["workspace_id", "slug"]).filter(F.col("place") > F.col("last")).select("workspace_id", "slug", "place").distinct()
+    return reused.union(given).union(late.withColumn("allocated", F.lit(None).cast("string")))
 
 
 def _acyclic(edges: pd.DataFrame) -> pd.DataFrame:

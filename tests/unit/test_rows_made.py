@@ -3,6 +3,7 @@
 import random
 
 from docloom.operators import answering as an
+from docloom.operators import assignment as ag
 from docloom.operators import concepts as cs
 from docloom.operators import units as un
 
@@ -57,6 +58,19 @@ def test_split_aliases(spark):
     assert not got and most < 2000 < 80_000
 
 
+def test_slugs_of_shared_keys(spark):
+    concepts = spark.range(300).selectExpr("1 AS workspace_id", "concat('c', id) AS slug", "id AS place", "array('k', concat('j', id % 3)) AS keys")
+    index = spark.range(300).selectExpr("1 AS workspace_id", "concat('x', id) AS slug", "'active' AS status", "array('k') AS keys")
+    got, most = most_rows(spark, lambda: ag.allocated_slugs(concepts, index).collect())
+    assert {(r.slug, r.allocated) for r in got} == {(f"c{i}", f"c{i}") for i in range(300)} and most < 5000  # of 90,000 pairs
+    # One hit by two keys is one; two are none; a deleted one counts only without an active one; the first place gets it.
+    known = [(1, "a", "active", ["p", "q"]), (1, "b", "active", ["r"]), (1, "c", "deleted", ["s"]), (1, "d", "deleted", ["r"]), (1, None, "active", ["t"]), (1, "e", "draft", ["s"])]
+    asked = [(1, "u", 1, ["p", "q"]), (1, "v", 2, ["p", "r"]), (1, "w", 3, ["s"]), (1, "x", 0, ["s"]), (1, "y", 5, ["r"]), (1, "z", 6, ["t", "s"])] + [(1, "n", i, []) for i in range(12)] * 2
+    got = ag.allocated_slugs(spark.createDataFrame(asked, "workspace_id int, slug string, place int, keys array<string>"), spark.createDataFrame(known, "workspace_id int, slug string, status string, keys array<string>")).collect()
+    assert {(r.slug, r.place): r.allocated for r in got} == {("u", 1): "a", ("v", 2): "v", ("w", 3): "w", ("x", 0): "c", ("y", 5): "b", ("z", 6): "z", ("n", 0): "n"} | {("n", i): f"n-{i + 1}" for i in range(1, 9)} | {("n", i): None for i in range(9, 12)}
+    assert len(got) == 18
+
+
 def test_walk_by_a_column_scores_what_it_meets(spark, tmp_path):
     from docloom.plans.answering import _walk, gr4_stops, gr4_walk_paths, gr5_answer_paths
 

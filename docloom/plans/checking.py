@@ -16,7 +16,8 @@ def sc10_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, a quarter of them moved down by the glyph shift."""
     shifted = F.translate("text", "".join(map(chr, range(tx.GLYPH_SHIFT + 3, 123))), "".join(map(chr, range(3, 123 - tx.GLYPH_SHIFT))))
     text = F.when(C("doc_id") % 4 == 0, shifted).otherwise(C("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.is_glyph_encoded(text).alias("glyphs"), tx.is_suspicious(text).alias("suspicious"))
+    shown = table(spark, sf_dir, "documents").select("doc_id", text.alias("text")).withColumn("glyphs", tx.is_glyph_encoded(C("text")))
+    return shown.select("doc_id", "glyphs", tx.is_suspicious(C("text"), C("glyphs")).alias("suspicious"))
 
 
 def sc12_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

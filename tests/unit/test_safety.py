@@ -53,3 +53,13 @@ def test_glyphs_and_suspicious_texts(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tx.is_glyph_encoded(F.col("t")).alias("g"), tx.is_suspicious(F.col("t")).alias("s"))
     assert {r.t: (r.g, r.s) for r in df.collect()} == cases
+
+
+def test_glyphs_move_a_text_once(spark):
+    from docloom.functions import text as tx
+
+    shifted = "".join(chr(ord(c) - 29) if c != " " else " " for c in "The house is on the hill and the river is in the valley")
+    df = spark.createDataFrame([(shifted,)], "t string").select(tx.is_glyph_encoded(F.col("t")).alias("g"))
+    assert df.collect()[0].g
+    plan = spark.range(1).selectExpr("string(id) AS t").select(tx.is_glyph_encoded(F.col("t")).alias("g"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1

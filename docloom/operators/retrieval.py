@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.mixing import mixed_top
 from docloom.operators.search import bm25
 from docloom.operators.vectors import VectorIndex, hybrid_top
 
@@ -52,7 +53,7 @@ def concept_candidates(concepts: DataFrame, pool: DataFrame, most: int = CONCEPT
     queries = defined(concepts).select(F.col("slug").alias("query_id"), "workspace_id", concept_text().alias("question"), F.col("v").alias("asked"))
     items = defined(pool).select("workspace_id", F.col("slug").alias("item"), concept_text().alias("text"), "v")
     # One more than wanted, for the concept itself.
-    found = _hybrid(queries, items, most + 1, weight).filter(F.col("query_id") != F.col("item"))
+    found = mixed_top(queries, items, most + 1, weight).filter(F.col("query_id") != F.col("item"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return found.withColumn("rank", place).filter(F.col("rank") <= most).select(F.col("query_id").alias("slug"), F.col("item").alias("candidate"), "score", "rank")
 

@@ -2,10 +2,14 @@
 
 import random
 
+import pytest
+
 from docloom.operators import answering as an
 from docloom.operators import assignment as ag
 from docloom.operators import concepts as cs
+from docloom.operators import mixing
 from docloom.operators import units as un
+from docloom.operators.retrieval import _hybrid, concept_candidates
 
 
 def most_rows(spark, run):
@@ -88,3 +92,24 @@ def test_walk_by_a_column_scores_what_it_meets(spark, tmp_path):
     for a, b in zip(by_column, by_table, strict=True):
         a, b = (sorted(map(str, x.collect())) for x in (a, b))
         assert a == b and a
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mixed_top_equals_pairs(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(mixing, "QUERY_ROWS", 4)
+        monkeypatch.setattr(mixing, "ITEM_ROWS", 7)
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["fox", "hen", "사과는", "dog", "x1", "cat"]) for _ in range(rng.randint(0, 9)))
+    vector = lambda: rng.choice([None, [1.0], [float("nan"), 1.0]]) if rng.random() < 0.3 else [rng.random(), rng.random() / 2]
+    items = [(rng.choice("ab"), i, text() if i % 9 else None, vector()) for i in range(60)]
+    queries = [(i, rng.choice("abc"), text() if i else "zebra", vector()) for i in range(14)]
+    items, queries = spark.createDataFrame(items, "workspace_id string, item long, text string, v array<double>"), spark.createDataFrame(queries, "query_id long, workspace_id string, question string, asked array<double>")
+    got, want = (sorted(map(tuple, f(queries, items, 5, 0.75).select("query_id", "rank", "item", "score").collect())) for f in (mixing.mixed_top, _hybrid))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want]) and len(got) > 20
+
+
+def test_concepts_of_shared_words(spark):
+    rows = spark.range(200).selectExpr("'w' AS workspace_id", "id AS slug", "'t' AS title", "array('') AS aliases", "array('') AS tags", "concat_ws(' ', transform(sequence(1, 30), i -> concat('word', i + id % 3))) AS definition", "array(1.0D, double(id)) AS v")
+    got, most = most_rows(spark, lambda: concept_candidates(rows, rows, 3).collect())
+    assert len(got) == 600 and most < 20_000  # 40,000 pairs share some 30 words each
